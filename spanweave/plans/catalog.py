@@ -77,3 +77,93 @@ def corrupt_random(spark, sf):
     out = corrupt(ch, "row_key", input_length=128, target_length=32, density=0.15)
     return out.select("doc_id", "chunk", render("input_ids"), render("labels"),
                       render("decoder_input_ids"), render("attention_mask"))
+
+
+# --- D6 packing, E3/E17 complement corruption --------------------------------
+from spanweave.functions.masks import plan_lengths  # noqa: E402
+from spanweave.functions.rank import dense_index  # noqa: E402
+from spanweave.operators.corrupt import corrupt_complement  # noqa: E402
+from spanweave.operators.pack import (assign_batches, collect_batches, pack_tokens,  # noqa: E402
+                                      pad_to_longest)
+from spanweave.operators.vocab import build_vocab, encode_ids  # noqa: E402
+from spanweave.plans.corpus import documents  # noqa: E402
+from spanweave.sources.tables import read_table  # noqa: E402
+
+PACK_INPUT = 128
+PACK_DENSITY = 0.15
+PACK_GROUP_DOCS = 64
+PACK_RAW, PACK_TARGET = plan_lengths(PACK_INPUT, PACK_DENSITY, 3.0)
+
+
+def packed_rows(spark, sf):
+    docs = documents(spark, sf)
+    ids = encode_ids(docs, "text", build_vocab(docs, "text"))
+    g = dense_index(ids, ["doc_id"], "doc_idx").withColumn("pack_group", (F.col("doc_idx") / PACK_GROUP_DOCS).cast("bigint"))
+    return pack_tokens(g, "ids", PACK_RAW, "pack_group", "doc_id")
+
+
+_PACK_SQL = (O.vocab_ctes() + O.text_ids_ctes("docs", "documents", ["doc_id"])
+             + O.pack_ctes(PACK_RAW, PACK_GROUP_DOCS))
+
+
+@query("pack_rows", sql=_PACK_SQL + f"""
+SELECT pack_group, row, {O.render('input_ids')} AS input_ids FROM packed""")
+def pack_rows(spark, sf):
+    return packed_rows(spark, sf).select("pack_group", "row", render("input_ids"))
+
+
+def _complement_sql() -> str:
+    keep = ("list_filter(list_transform(input_ids, lambda x, i: CASE WHEN {s}[i] != 0 THEN {s}[i] ELSE x END), "
+            "lambda y: y >= 0) || [1]")
+    return (_PACK_SQL + f""",
+pkk AS (SELECT *, CAST(pack_group AS VARCHAR) || ':' || CAST(row AS VARCHAR) AS row_key FROM packed)"""
+            + "," + O.random_mask_ctes("pkk", "len(input_ids)", "row_key", PACK_DENSITY, 3.0, False, False)
+            + f""",
+se AS (SELECT *, {O.sentinel('mask')} AS s_in,
+              {O.sentinel('list_transform(mask, lambda b: 1 - b)')} AS s_lab FROM m6)
+SELECT pack_group, row, {O.render(keep.format(s='s_in'))} AS input_ids,
+       {O.render(keep.format(s='s_lab'))} AS labels FROM se""")
+
+
+@query("corrupt_packed", sql=_complement_sql())
+def corrupt_packed(spark, sf):
+    p = packed_rows(spark, sf).withColumn(
+        "row_key", F.concat_ws(":", F.col("pack_group").cast("string"), F.col("row").cast("string")))
+    out = corrupt_complement(p, "row_key", PACK_INPUT, PACK_TARGET, density=PACK_DENSITY)
+    return out.select("pack_group", "row", render("input_ids"), render("labels"))
+
+
+# --- D8/D10/D11 batching over conversation turns ------------------------------
+BATCH = 32
+
+
+def turn_batches(spark, sf):
+    docs = documents(spark, sf)
+    conv = read_table(spark, sf, "conversations", balance=True).select("conv_id", "turn", "text")
+    ids = encode_ids(conv, "text", build_vocab(docs, "text"))
+    return assign_batches(ids, ["conv_id", "turn"], BATCH)
+
+
+_BATCH_SQL = (O.vocab_ctes() + O.text_ids_ctes("cv", "conversations", ["conv_id", "turn"]) + f""",
+cb AS (SELECT conv_id, turn, ids, ((row_number() OVER (ORDER BY conv_id, turn) - 1) // {BATCH})::BIGINT AS batch_id
+       FROM cv_ids)""")
+
+
+@query("batch_pad", sql=_BATCH_SQL + f""",
+cp AS (SELECT *, (ceil(max(len(ids)) OVER (PARTITION BY batch_id) / 8) * 8)::INTEGER AS padded_length FROM cb)
+SELECT conv_id, turn, batch_id, padded_length, {O.render('list_resize(ids, padded_length, 0)')} AS input_ids,
+       {O.render('list_resize(list_transform(ids, lambda x: 1), padded_length, 0)')} AS attention_mask FROM cp""")
+def batch_pad(spark, sf):
+    b = turn_batches(spark, sf).withColumn("attention_mask", F.expr("array_repeat(1, size(ids))"))
+    p = pad_to_longest(b.withColumnRenamed("ids", "input_ids"), "batch_id", {"input_ids": 0, "attention_mask": 0})
+    return p.select("conv_id", "turn", "batch_id", "padded_length", render("input_ids"), render("attention_mask"))
+
+
+@query("batch_collect", sql=_BATCH_SQL + """
+SELECT batch_id, count(*) AS n_rows,
+       array_to_string(list(array_to_string(ids, ' ') ORDER BY conv_id, turn), ';') AS input_ids
+FROM cb GROUP BY batch_id""")
+def batch_collect(spark, sf):
+    c = collect_batches(turn_batches(spark, sf), "batch_id", "row_idx", ["ids"])
+    return c.select("batch_id", F.col("n_rows").cast("bigint").alias("n_rows"),
+                    F.expr("array_join(transform(ids, r -> array_join(r, ' ')), ';')").alias("input_ids"))

@@ -124,3 +124,46 @@ def corrupt_select(ids: str, mask: str, input_length: int, target_length: int) -
     labels = f"list_transform({tgt}, lambda y: CASE WHEN y = 0 THEN -100 ELSE y END)"
     dec = f"list_transform([0] || labels[1 : {target_length - 1}], lambda y: CASE WHEN y = -100 THEN 0 ELSE y END)"
     return inputs, labels, dec
+
+
+def text_ids_ctes(name: str, table: str, keys: list[str], text: str = "text", eos: bool = True) -> str:
+    """CTEs ``{name}_pc`` (pieces) and ``{name}_ids`` (ids, eos appended) for any text table.
+
+    Needs the ``vocab`` CTE of the documents corpus.
+    """
+    k = ", ".join(keys)
+    on = " AND ".join(f"t.{c} = p.{c}" for c in keys)
+    kp = ", ".join(f"p.{c}" for c in keys)
+    tail = " || [1]" if eos else ""
+    return f""",
+{name}_raw AS (
+  SELECT {k}, regexp_extract_all(' ' || {text}, '{PIECE_PATTERN}', 1) AS ws,
+         regexp_extract_all(' ' || {text}, '{PIECE_PATTERN}', 2) AS core FROM {table}),
+{name}_pc AS (
+  SELECT {k}, list_transform(core, lambda c, i: CASE WHEN ws[i] = '' THEN c ELSE '{WORD_MARK}' || c END) AS pieces
+  FROM {name}_raw),
+{name}_tok AS (
+  SELECT {k}, unnest(pieces) AS piece, unnest(generate_series(1, len(pieces))) AS pos FROM {name}_pc),
+{name}_ids AS (
+  SELECT {kp}, coalesce(list(coalesce(v.id, 2) ORDER BY t.pos) FILTER (WHERE t.pos IS NOT NULL), []::INTEGER[]){tail} AS ids
+  FROM {name}_pc p LEFT JOIN {name}_tok t ON {on} LEFT JOIN vocab v ON v.piece = t.piece
+  GROUP BY {kp})"""
+
+
+def vocab_ctes() -> str:
+    return "WITH " + ",".join([PIECES_CTE, VOCAB_CTE])
+
+
+def pack_ctes(length: int, group_docs: int) -> str:
+    L = int(length)
+    return f""",
+pk0 AS (SELECT doc_id, ids, ((row_number() OVER (ORDER BY doc_id) - 1) // {group_docs})::BIGINT AS pack_group
+        FROM docs_ids),
+pk1 AS (SELECT *, len(ids) AS n,
+        coalesce(sum(len(ids)) OVER (PARTITION BY pack_group ORDER BY doc_id
+                 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS st FROM pk0),
+pk2 AS (SELECT pack_group, doc_id, st, r::INTEGER AS row,
+               ids[greatest(r * {L} - st, 0) + 1 : least((r + 1) * {L}, st + n) - st] AS piece
+        FROM pk1, unnest(range(st // {L}, (st + n - 1) // {L} + 1)) t(r) WHERE n > 0),
+packed AS (SELECT pack_group, row, flatten(list(piece ORDER BY st)) AS input_ids
+           FROM pk2 GROUP BY pack_group, row HAVING len(flatten(list(piece ORDER BY st))) = {L})"""

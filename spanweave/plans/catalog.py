@@ -167,3 +167,74 @@ def batch_collect(spark, sf):
     c = collect_batches(turn_batches(spark, sf), "batch_id", "row_idx", ["ids"])
     return c.select("batch_id", F.col("n_rows").cast("bigint").alias("n_rows"),
                     F.expr("array_join(transform(ids, r -> array_join(r, ' ')), ';')").alias("input_ids"))
+
+
+# --- X1 phrase mining, E4-E8 phrase masking -----------------------------------
+from spanweave.operators.phrases import match_phrases, mine_phrases, phrase_mask  # noqa: E402
+from spanweave.operators.vocab import id_to_piece  # noqa: E402
+
+MINE_MIN_COUNT = 5
+PHRASE_MIN_SCORE = 1.0
+
+
+@query("phrase_mine", sql=O.vocab_ctes() + O.mine_ctes(MINE_MIN_COUNT) + """
+SELECT phrase, n, count, round(score, 6) AS score FROM mined""")
+def phrase_mine(spark, sf):
+    m = mine_phrases(documents(spark, sf), "text", max_n=5, min_count=MINE_MIN_COUNT)
+    return m.withColumn("score", F.round("score", 6))
+
+
+def chunk_tokens(spark, sf):
+    docs = documents(spark, sf)
+    vocab = build_vocab(docs, "text")
+    ch = corpus_chunks(spark, sf, vocab=vocab)
+    phrases = mine_phrases(docs, "text", max_n=5, min_count=MINE_MIN_COUNT, min_score=PHRASE_MIN_SCORE)
+    return id_to_piece(ch, "input_ids", vocab, "tokens"), phrases
+
+
+_PHRASE_BASE = (O.corpus_ctes() + O.mine_ctes(MINE_MIN_COUNT) + f""",
+mined_set AS (SELECT phrase FROM mined WHERE score >= {PHRASE_MIN_SCORE})""" + O.tokens_cte("chunks")
+                + O.words_ctes("cw", "tk_rows", ["doc_id", "chunk"]))
+
+
+@query("phrase_match", sql=_PHRASE_BASE + O.ngrams_cte("cg", "cw", ["doc_id", "chunk"], (5, 4, 3, 2)) + """,
+cm AS (SELECT * FROM cg WHERE text IN (SELECT phrase FROM mined_set))
+SELECT r.doc_id, r.chunk, count(m.s) AS n_matches,
+       coalesce(string_agg(CAST(m.n AS VARCHAR) || ':' || CAST(m.s AS VARCHAR) || ':' || m.text, '|'
+                           ORDER BY m.n DESC, m.s), '') AS matches
+FROM tk_rows r LEFT JOIN cm m ON m.doc_id = r.doc_id AND m.chunk = r.chunk
+GROUP BY r.doc_id, r.chunk""")
+def phrase_match(spark, sf):
+    tok, phrases = chunk_tokens(spark, sf)
+    m = match_phrases(tok, "tokens", phrases, "row_key", "matches")
+    return m.select("doc_id", "chunk", F.size("matches").cast("bigint").alias("n_matches"), F.expr(
+        "array_join(transform(sort_array(transform(matches, m -> named_struct('k', -m.n, 's', m.s, 't', m.text))), "
+        "x -> concat(cast(-x.k as string), ':', cast(x.s as string), ':', x.t)), '|')").alias("matches"))
+
+
+@query("phrase_mask", sql=_PHRASE_BASE + O.phrase_mask_ctes() + f"""
+SELECT doc_id, chunk, {O.render('mask')} AS phrase_mask FROM pmask""")
+def phrase_mask_q(spark, sf):
+    tok, phrases = chunk_tokens(spark, sf)
+    m = phrase_mask(tok, "tokens", phrases, "row_key", "phrase_mask")
+    return m.select("doc_id", "chunk", render("phrase_mask"))
+
+
+def _corrupt_phrase_sql(input_length: int, target_length: int) -> str:
+    inputs, labels, dec = O.corrupt_select("input_ids", "cmask", input_length, target_length)
+    return (_PHRASE_BASE + O.phrase_mask_ctes() + f""",
+cl AS (SELECT *, list_transform(mask, lambda b, i: CASE WHEN input_ids[i] IN (0, 1) THEN 0 ELSE b END) AS cmask FROM pmask),
+se AS (SELECT *, {O.sentinel('cmask')} AS sent FROM cl),
+c1 AS (SELECT doc_id, chunk, attention_mask, {inputs} AS inp, {labels} AS labels FROM se),
+c2 AS (SELECT *, {dec} AS dec FROM c1)
+SELECT doc_id, chunk, {O.render('inp')} AS input_ids, {O.render('labels')} AS labels,
+       {O.render('dec')} AS decoder_input_ids, {O.render('attention_mask')} AS attention_mask FROM c2""")
+
+
+@query("corrupt_phrase", sql=_corrupt_phrase_sql(128, 72))
+def corrupt_phrase(spark, sf):
+    tok, phrases = chunk_tokens(spark, sf)
+    m = phrase_mask(tok, "tokens", phrases, "row_key", "phrase_mask")
+    out = corrupt(m, "row_key", input_length=128, target_length=72, mask_col="phrase_mask")
+    return out.select("doc_id", "chunk", render("input_ids"), render("labels"),
+                      render("decoder_input_ids"), render("attention_mask"))

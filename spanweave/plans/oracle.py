@@ -167,3 +167,115 @@ pk2 AS (SELECT pack_group, doc_id, st, r::INTEGER AS row,
         FROM pk1, unnest(range(st // {L}, (st + n - 1) // {L} + 1)) t(r) WHERE n > 0),
 packed AS (SELECT pack_group, row, flatten(list(piece ORDER BY st)) AS input_ids
            FROM pk2 GROUP BY pack_group, row HAVING len(flatten(list(piece ORDER BY st))) = {L})"""
+
+
+def punct_literal() -> str:
+    from spanweave.constants import ASCII_PUNCTUATION
+    return "'" + ASCII_PUNCTUATION.replace("'", "''") + "'"
+
+
+def words_ctes(name: str, src: str, keys: list[str], tokens: str = "tokens") -> str:
+    """E4 in SQL: ``{name}`` = (keys, w, part, first, ntok, text) from a token-list column."""
+    k = ", ".join(keys)
+    seps = "('</s>', '<pad>')"
+    return f""",
+{name}_t AS (SELECT {k}, unnest({tokens}) AS tok, unnest(generate_series(0, len({tokens}) - 1)) AS i FROM {src}),
+{name}_t1 AS (SELECT *, tok IN {seps} AS sep, lag(tok) OVER (PARTITION BY {k} ORDER BY i) AS prev FROM {name}_t),
+{name}_t2 AS (SELECT *, (NOT sep AND (prev IS NULL OR prev IN {seps} OR starts_with(tok, '{WORD_MARK}')
+                         OR contains({punct_literal()}, tok))) AS st FROM {name}_t1),
+{name}_t3 AS (SELECT *, sum(st::INTEGER) OVER w - 1 AS w, sum(sep::INTEGER) OVER w AS part
+              FROM {name}_t2 WINDOW w AS (PARTITION BY {k} ORDER BY i ROWS UNBOUNDED PRECEDING)),
+{name} AS (SELECT {k}, w, min(part) AS part, min(i) AS first, count(*) AS ntok,
+                  string_agg(lower(trim(tok, '{WORD_MARK}')), '' ORDER BY i) AS text
+           FROM {name}_t3 WHERE NOT sep GROUP BY {k}, w)"""
+
+
+def ngrams_cte(name: str, words: str, keys: list[str], sizes, same_part: bool = True) -> str:
+    k = ", ".join(keys)
+    parts = []
+    for n in sizes:
+        frame = f"(PARTITION BY {k} ORDER BY w ROWS BETWEEN CURRENT ROW AND {n - 1} FOLLOWING)"
+        parts.append(f"SELECT {k}, w AS s, {n} AS n, string_agg(text, ' ') OVER {frame} AS text, "
+                     f"count(*) OVER {frame} AS cnt, max(part) OVER {frame} AS last_part, part FROM {words}")
+    cond = "cnt = n" + (" AND last_part = part" if same_part else "")
+    return f""",
+{name} AS (SELECT {k}, s, n, text FROM ({' UNION ALL '.join(parts)}) WHERE {cond})"""
+
+
+def mine_ctes(min_count: int, max_n: int = 5) -> str:
+    """X1 in SQL over the documents corpus (needs ``pc``)."""
+    from spanweave.operators.phrases import compositions
+    rows = []
+    cid = 0
+    for n in range(2, max_n + 1):
+        for comp in compositions(n):
+            for a, l in comp:
+                rows.append(f"({n}, {cid}, {a}, {l})")
+            cid += 1
+    return (words_ctes("dw", "pc", ["doc_id"], "pieces")
+            + ngrams_cte("dg", "dw", ["doc_id"], range(1, max_n + 1), same_part=False) + f""",
+gram_counts AS (SELECT n, text, count(*) AS count FROM dg GROUP BY n, text),
+total AS (SELECT sum(count)::DOUBLE AS total FROM gram_counts WHERE n = 1),
+cand AS (SELECT * FROM gram_counts WHERE n >= 2 AND count >= {min_count}),
+comps(n, cid, a, l) AS (VALUES {', '.join(rows)}),
+sub AS (SELECT c.n, c.text, c.count, p.cid, p.l,
+               array_to_string(string_split(c.text, ' ')[p.a + 1 : p.a + p.l], ' ') AS sub
+        FROM cand c JOIN comps p ON p.n = c.n),
+segs AS (SELECT s.n, s.text, s.count, s.cid,
+                sum(ln(g.count::DOUBLE) - ln(t.total)) AS lp
+         FROM sub s JOIN gram_counts g ON g.n = s.l AND g.text = s.sub
+         CROSS JOIN total t
+         GROUP BY s.n, s.text, s.count, s.cid),
+mined AS (SELECT s.text AS phrase, s.n::INTEGER AS n, s.count::BIGINT AS count,
+                 (ln(s.count::DOUBLE) - ln(t.total)) - max(s.lp) AS score
+          FROM segs s CROSS JOIN total t GROUP BY s.text, s.n, s.count, t.total)""")
+
+
+def tokens_cte(src: str = "chunks") -> str:
+    """ids -> piece strings via the vocabulary (specials and sentinels included)."""
+    return f""",
+full_vocab AS (SELECT piece, id FROM vocab UNION ALL SELECT '<pad>', 0 UNION ALL SELECT '</s>', 1
+               UNION ALL SELECT '<unk>', 2
+               UNION ALL SELECT '<extra_id_' || CAST(j AS VARCHAR) || '>', (32099 - j)::INTEGER FROM range(100) t(j)),
+tk_u AS (SELECT doc_id, chunk, unnest(input_ids) AS id, unnest(generate_series(1, len(input_ids))) AS pos FROM {src}),
+tk_rows AS (SELECT c.doc_id, c.chunk, c.row_key, c.input_ids, c.attention_mask,
+                   list(coalesce(v.piece, '<unk>') ORDER BY u.pos) AS tokens
+            FROM {src} c JOIN tk_u u ON u.doc_id = c.doc_id AND u.chunk = c.chunk
+            LEFT JOIN full_vocab v ON v.id = u.id
+            GROUP BY c.doc_id, c.chunk, c.row_key, c.input_ids, c.attention_mask)"""
+
+
+def phrase_mask_ctes(p: float = 0.5, max_pred: int = 512) -> str:
+    """E5-E7 over ``tk_rows`` with words ``cw`` and phrase set ``mined_set``: table ``pmask``."""
+    budget = f"least({max_pred}, greatest(1, round_even(len(r.tokens) * {p!r}, 0)::INTEGER))"
+    return (ngrams_cte("cg", "cw", ["doc_id", "chunk"], (5, 4, 3, 2)) + f""",
+cm AS (SELECT g.* FROM cg g WHERE g.text IN (SELECT phrase FROM mined_set)),
+cr AS (SELECT r.doc_id, r.chunk,
+              list_reduce(coalesce(list({{'s': m.s, 'n': m.n}} ORDER BY m.n DESC, {md5('r.row_key', "'merge'", 'm.n', 'm.s')})
+                                   FILTER (WHERE m.s IS NOT NULL), []),
+                          lambda acc, x: CASE WHEN len(list_filter(acc, lambda a: a.s < x.s + x.n AND x.s < a.s + a.n)) > 0
+                                              THEN acc ELSE list_append(acc, x) END,
+                          []::STRUCT(s BIGINT, n INTEGER)[]) AS chosen
+       FROM tk_rows r LEFT JOIN cm m ON m.doc_id = r.doc_id AND m.chunk = r.chunk GROUP BY r.doc_id, r.chunk, r.row_key),
+ch AS (SELECT doc_id, chunk, unnest(chosen) AS c FROM cr),
+ch2 AS (SELECT doc_id, chunk, c.s AS s, c.n AS n FROM ch),
+pcand AS (
+  SELECT h.doc_id, h.chunk, w1.first AS first, (w2.first + w2.ntok - w1.first) AS ntok
+  FROM ch2 h JOIN cw w1 ON w1.doc_id = h.doc_id AND w1.chunk = h.chunk AND w1.w = h.s
+             JOIN cw w2 ON w2.doc_id = h.doc_id AND w2.chunk = h.chunk AND w2.w = h.s + h.n - 1
+  UNION ALL
+  SELECT w.doc_id, w.chunk, w.first, w.ntok FROM cw w
+  WHERE NOT EXISTS (SELECT 1 FROM ch2 h WHERE h.doc_id = w.doc_id AND h.chunk = w.chunk AND w.w >= h.s AND w.w < h.s + h.n)),
+sel AS (
+  SELECT r.doc_id, r.chunk,
+         list_reduce(coalesce(list({{'first': c.first, 'ntok': c.ntok}} ORDER BY c.ntok DESC, {md5('r.row_key', "'cand'", 'c.first')})
+                              FILTER (WHERE c.first IS NOT NULL), []),
+                     lambda acc, x: CASE WHEN acc.used + x.ntok <= {budget}
+                                         THEN {{'used': acc.used + x.ntok, 'sel': list_append(acc.sel, x)}} ELSE acc END,
+                     {{'used': 0, 'sel': []::STRUCT(first BIGINT, ntok BIGINT)[]}}).sel AS sel
+  FROM tk_rows r LEFT JOIN pcand c ON c.doc_id = r.doc_id AND c.chunk = r.chunk
+  GROUP BY r.doc_id, r.chunk, r.row_key, r.tokens),
+pmask AS (
+  SELECT r.*, list_transform(range(len(r.tokens)), lambda i:
+           CASE WHEN len(list_filter(s.sel, lambda c: i >= c.first AND i < c.first + c.ntok)) > 0 THEN 1 ELSE 0 END) AS mask
+  FROM tk_rows r JOIN sel s ON s.doc_id = r.doc_id AND s.chunk = r.chunk)""")

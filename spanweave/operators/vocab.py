@@ -107,7 +107,6 @@ def encode(df: DataFrame, text_col: str, vocab: DataFrame, max_len: int,
     body = max_len - 1
     d = df.withColumn("_sw_ids", lookup(pieces(text_col)))
     if overflow == "truncate":
-        d = d.withColumn("chunk", F.lit(0))
         seg = f"slice(_sw_ids, 1, {body})"
     elif overflow == "chunk":
         d = d.withColumn("chunk", F.explode(F.expr(

@@ -238,3 +238,108 @@ def corrupt_phrase(spark, sf):
     out = corrupt(m, "row_key", input_length=128, target_length=72, mask_col="phrase_mask")
     return out.select("doc_id", "chunk", render("input_ids"), render("labels"),
                       render("decoder_input_ids"), render("attention_mask"))
+
+
+# --- C1-C7 formatting, D3/D5 task encoding -----------------------------------
+from spanweave.operators.formatting import format_all, format_task  # noqa: E402
+from spanweave.operators.vocab import encode, encode_labels  # noqa: E402
+from spanweave.plans import tasks as T  # noqa: E402
+
+_TAB = "chr(9)"
+
+
+def _fmt_sst2(spark, sf):
+    return format_task(T.sst2_input(spark, sf), "sst2")
+
+
+@query("format_sst2", sql="""
+SELECT d.doc_id AS idx, 'sst2: sentence: ' || d.text AS processed_inputs,
+       CASE l.quality WHEN 0 THEN 'negative' WHEN 1 THEN 'positive' WHEN -1 THEN 'other' END AS processed_outputs
+FROM documents d JOIN labels l ON l.doc_id = d.doc_id""")
+def format_sst2(spark, sf):
+    return _fmt_sst2(spark, sf).select("idx", "processed_inputs", "processed_outputs")
+
+
+_PAIRS_SQL = """FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1"""
+
+
+def _fmt_rte(spark, sf):
+    return format_task(T.rte_input(spark, sf), "rte")
+
+
+@query("format_rte", sql=f"""
+SELECT a.conv_id, a.turn, 'rte: sentence1: ' || a.text || ' ' || 'sentence2' || b.text AS processed_inputs,
+       CASE WHEN b.role = 'assistant' THEN 'positive' ELSE 'negative' END AS processed_outputs {_PAIRS_SQL}""")
+def format_rte(spark, sf):
+    return _fmt_rte(spark, sf).select("conv_id", "turn", "processed_inputs", "processed_outputs")
+
+
+@query("format_stsb", sql=f"""
+SELECT a.conv_id, a.turn, 'stsb sentence1: ' || a.text || ' ' || 'sentence2: ' || b.text AS processed_inputs,
+       CAST(round(CAST((length(a.text) + length(b.text)) % 51 AS DOUBLE) / 10, 1) AS VARCHAR) AS processed_outputs
+{_PAIRS_SQL}""")
+def format_stsb(spark, sf):
+    f = format_task(T.stsb_input(spark, sf), "stsb")
+    return f.select("conv_id", "turn", "processed_inputs", "processed_outputs")
+
+
+def _dialogue_sql() -> str:
+    from spanweave.operators.tasks import N_INPUT_COLUMN_NAMES
+    cols = ", ".join(f"max(text) FILTER (WHERE turn = {i}) AS t{i}" for i in range(T.MAX_TURNS))
+    parts = ", ".join(f"'{N_INPUT_COLUMN_NAMES[i]}: ' || coalesce(t{i}, 'None')" for i in range(T.MAX_TURNS))
+    return f"""
+WITH p AS (SELECT conv_id, {cols} FROM conversations GROUP BY conv_id)
+SELECT conv_id, 'DCchat: ' || concat_ws({_TAB}, {parts}) AS processed_inputs,
+       CASE {O.uniform('2', 'conv_id')} WHEN 0 THEN 'Incoherent' WHEN 1 THEN 'Coherent' END AS processed_outputs
+FROM p"""
+
+
+def _fmt_dialogue(spark, sf):
+    d = T.dialogue_input(spark, sf)
+    return format_task(d, "DCchat", text_columns=[f"t{i}" for i in range(T.MAX_TURNS)])
+
+
+@query("format_dialogue", sql=_dialogue_sql())
+def format_dialogue(spark, sf):
+    return _fmt_dialogue(spark, sf).select("conv_id", "processed_inputs", "processed_outputs")
+
+
+@query("format_mix", sql=f"""
+SELECT 'sst2' AS task, processed_inputs, processed_outputs FROM (
+  SELECT 'sst2: sentence: ' || d.text AS processed_inputs,
+         CASE l.quality WHEN 0 THEN 'negative' WHEN 1 THEN 'positive' WHEN -1 THEN 'other' END AS processed_outputs
+  FROM documents d JOIN labels l ON l.doc_id = d.doc_id)
+UNION ALL
+SELECT 'rte', 'rte: sentence1: ' || a.text || ' ' || 'sentence2' || b.text,
+       CASE WHEN b.role = 'assistant' THEN 'positive' ELSE 'negative' END {_PAIRS_SQL}
+UNION ALL
+SELECT 'DCchat', processed_inputs, processed_outputs FROM ({_dialogue_sql()})""")
+def format_mix(spark, sf):
+    return format_all({"sst2": _fmt_sst2(spark, sf), "rte": _fmt_rte(spark, sf),
+                       "DCchat": _fmt_dialogue(spark, sf)})
+
+
+TASK_LEN = 128
+LABEL_LEN = 4
+
+
+@query("encode_task", sql=O.vocab_ctes() + """,
+fmt AS (SELECT d.doc_id, 'sst2: sentence: ' || d.text AS processed_inputs,
+               CASE l.quality WHEN 0 THEN 'negative' WHEN 1 THEN 'positive' WHEN -1 THEN 'other' END AS processed_outputs
+        FROM documents d JOIN labels l ON l.doc_id = d.doc_id)"""
+    + O.text_ids_ctes("fin", "fmt", ["doc_id"], "processed_inputs", eos=False)
+    + O.text_ids_ctes("fout", "fmt", ["doc_id"], "processed_outputs", eos=False) + f""",
+seg AS (SELECT doc_id, c::INTEGER AS chunk, ids[c * {TASK_LEN - 1} + 1 : c * {TASK_LEN - 1} + {TASK_LEN - 1}] || [1] AS seg
+        FROM fin_ids, unnest(range(0, greatest(ceil(len(ids) / {TASK_LEN - 1})::INTEGER, 1))) AS r(c))
+SELECT s.doc_id, s.chunk, {O.render(O.fit('s.seg', TASK_LEN))} AS input_ids,
+       {O.render(O.fit('list_transform(s.seg, lambda x: 1)', TASK_LEN))} AS attention_mask,
+       {O.render(f"list_transform({O.fit(f'o.ids[1:{LABEL_LEN - 1}] || [1]', LABEL_LEN)}, lambda y: CASE WHEN y = 0 THEN -100 ELSE y END)")} AS labels
+FROM seg s JOIN fout_ids o ON o.doc_id = s.doc_id""")
+def encode_task(spark, sf):
+    """Format + encode inputs (whole text, chunked) + encode labels (D3)."""
+    vocab = corpus_vocab(spark, sf)
+    f = _fmt_sst2(spark, sf).withColumnRenamed("idx", "doc_id")
+    e = encode(f, "processed_inputs", vocab, TASK_LEN, overflow="chunk")
+    e = encode_labels(e, "processed_outputs", vocab, LABEL_LEN)
+    return e.select("doc_id", F.col("chunk").cast("int").alias("chunk"), render("input_ids"),
+                    render("attention_mask"), render("labels"))

@@ -343,3 +343,109 @@ def encode_task(spark, sf):
     e = encode_labels(e, "processed_outputs", vocab, LABEL_LEN)
     return e.select("doc_id", F.col("chunk").cast("int").alias("chunk"), render("input_ids"),
                     render("attention_mask"), render("labels"))
+
+
+# --- F1-F5 shuffle/split/mix, A3/B2-B4 slicing and caps, D12 step plan -------
+from spanweave.operators import split as S  # noqa: E402
+from spanweave.operators.pack import plan_steps  # noqa: E402
+
+
+def _docs_ids(spark, sf):
+    return read_table(spark, sf, "documents", balance=True).select("doc_id")
+
+
+@query("shuffle_order", sql=f"""
+SELECT doc_id, (row_number() OVER (ORDER BY {O.md5('doc_id')}, doc_id) - 1)::BIGINT AS shuffle_idx FROM documents""")
+def shuffle_order(spark, sf):
+    return S.shuffle(_docs_ids(spark, sf), "doc_id")
+
+
+@query("epoch_order", sql="""
+SELECT doc_id, (row_number() OVER (ORDER BY md5(concat_ws(':', '42+2', CAST(doc_id AS VARCHAR))), doc_id) - 1)::BIGINT
+       AS shuffle_idx FROM documents""")
+def epoch_order(spark, sf):
+    return S.reshuffle_epoch(_docs_ids(spark, sf), "doc_id", epoch=2)
+
+
+@query("buffer_order", sql=f"""
+WITH b AS (SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // 100 AS block FROM documents)
+SELECT doc_id, (row_number() OVER (ORDER BY block, {O.md5('doc_id')}, doc_id) - 1)::BIGINT AS shuffle_idx FROM b""")
+def buffer_order(spark, sf):
+    return S.buffer_shuffle(_docs_ids(spark, sf), ["doc_id"], "doc_id", buffer=100)
+
+
+_SPLIT_SQL = f"""
+WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY {O.md5('doc_id')}, doc_id) - 1 AS i,
+                  count(*) OVER () AS n FROM documents)
+SELECT doc_id, CASE WHEN i < ceil(n * 0.05) THEN 'validation' ELSE 'train' END AS split FROM r"""
+
+
+@query("split_docs", sql=_SPLIT_SQL)
+def split_docs(spark, sf):
+    return S.train_test_split(_docs_ids(spark, sf), "doc_id", 0.05)
+
+
+@query("plan_split_steps", sql=f"""
+WITH s AS ({_SPLIT_SQL})
+SELECT split, count(*) AS n_rows, CAST(ceil(count(*) / 32) AS BIGINT) AS n_batches,
+       CAST((CAST(ceil(count(*) / 32) AS BIGINT) // 2) * 3 // 1 AS BIGINT) AS total_steps
+FROM s GROUP BY split""")
+def plan_split_steps(spark, sf):
+    return plan_steps(S.train_test_split(_docs_ids(spark, sf), "doc_id", 0.05), "split", 32, grad_acc=2, epochs=3)
+
+
+@query("interleave_text", sql="""
+WITH d AS (SELECT 'documents' AS source, 0 AS k, row_number() OVER (ORDER BY doc_id) - 1 AS src_idx, text FROM documents),
+c AS (SELECT 'conversations' AS source, 1 AS k, row_number() OVER (ORDER BY conv_id, turn) - 1 AS src_idx, text
+      FROM conversations),
+a AS (SELECT * FROM d UNION ALL SELECT * FROM c),
+m AS (SELECT least((SELECT count(*) FROM documents), (SELECT count(*) FROM conversations)) AS m,
+             CASE WHEN (SELECT count(*) FROM documents) <= (SELECT count(*) FROM conversations) THEN 0 ELSE 1 END AS first_short)
+SELECT source, src_idx::BIGINT AS src_idx, (src_idx * 2 + k)::BIGINT AS mix_idx, text
+FROM a, m WHERE src_idx < m.m OR (src_idx = m.m AND k < m.first_short)""")
+def interleave_text(spark, sf):
+    docs = read_table(spark, sf, "documents", balance=True).select("doc_id", "text")
+    conv = read_table(spark, sf, "conversations", balance=True).select("conv_id", "turn", "text")
+    d = S.interleave({"documents": docs.select("doc_id", F.lit(0).cast("bigint").alias("turn"), "text"),
+                      "conversations": conv.select(F.col("conv_id").alias("doc_id"), "turn", "text")},
+                     {"documents": ["doc_id", "turn"], "conversations": ["doc_id", "turn"]})
+    return d.select("source", "src_idx", F.col("mix_idx").cast("bigint").alias("mix_idx"), "text")
+
+
+@query("slice_docs", sql="""
+SELECT doc_id FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS i, count(*) OVER () AS n FROM documents)
+WHERE i < round_even(n * 10 / 100.0, 0)""")
+def slice_docs(spark, sf):
+    return S.slice_split(_docs_ids(spark, sf), ["doc_id"], percent=10)
+
+
+@query("take_skip", sql="""
+SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY doc_id) - 1 < 100 THEN 'train' ELSE 'validation' END AS part
+FROM documents""")
+def take_skip(spark, sf):
+    tr, va = S.take_skip(_docs_ids(spark, sf), ["doc_id"], 100)
+    return tr.withColumn("part", F.lit("train")).unionByName(va.withColumn("part", F.lit("validation")))
+
+
+def _turns(spark, sf):
+    c = read_table(spark, sf, "conversations", balance=True).select("conv_id", "turn", "role")
+    return c.withColumn("turn_key", F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")))
+
+
+@query("cap_roles", sql=f"""
+SELECT conv_id, turn, role, rank_in_group FROM (
+  SELECT conv_id, turn, role, row_number() OVER (PARTITION BY role ORDER BY
+         {O.md5("CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR)")},
+         CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR)) AS rank_in_group
+  FROM conversations) WHERE rank_in_group <= 50""")
+def cap_roles(spark, sf):
+    return S.cap_per_task(_turns(spark, sf), "role", "turn_key", 50).select("conv_id", "turn", "role", "rank_in_group")
+
+
+@query("first_roles", sql="""
+SELECT conv_id, turn, role, rank_in_group FROM (
+  SELECT conv_id, turn, role, row_number() OVER (PARTITION BY role ORDER BY conv_id * 100 + turn) AS rank_in_group
+  FROM conversations) WHERE rank_in_group <= 100""")
+def first_roles(spark, sf):
+    t = _turns(spark, sf).withColumn("pos", F.col("conv_id") * 100 + F.col("turn"))
+    return S.first_n_per_task(t, "role", "pos", 100).select("conv_id", "turn", "role", "rank_in_group")

@@ -436,7 +436,7 @@ def _turns(spark, sf):
 SELECT conv_id, turn, role, rank_in_group FROM (
   SELECT conv_id, turn, role, row_number() OVER (PARTITION BY role ORDER BY
          {O.md5("CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR)")},
-         CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR)) AS rank_in_group
+         CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR))::INTEGER AS rank_in_group
   FROM conversations) WHERE rank_in_group <= 50""")
 def cap_roles(spark, sf):
     return S.cap_per_task(_turns(spark, sf), "role", "turn_key", 50).select("conv_id", "turn", "role", "rank_in_group")
@@ -444,7 +444,7 @@ def cap_roles(spark, sf):
 
 @query("first_roles", sql="""
 SELECT conv_id, turn, role, rank_in_group FROM (
-  SELECT conv_id, turn, role, row_number() OVER (PARTITION BY role ORDER BY conv_id * 100 + turn) AS rank_in_group
+  SELECT conv_id, turn, role, (row_number() OVER (PARTITION BY role ORDER BY conv_id * 100 + turn))::INTEGER AS rank_in_group
   FROM conversations) WHERE rank_in_group <= 100""")
 def first_roles(spark, sf):
     t = _turns(spark, sf).withColumn("pos", F.col("conv_id") * 100 + F.col("turn"))

@@ -449,3 +449,125 @@ SELECT conv_id, turn, role, rank_in_group FROM (
 def first_roles(spark, sf):
     t = _turns(spark, sf).withColumn("pos", F.col("conv_id") * 100 + F.col("turn"))
     return S.first_n_per_task(t, "role", "pos", 100).select("conv_id", "turn", "role", "rank_in_group")
+
+
+# --- G1-G16 evaluation, D9 decode ----------------------------------------------
+from spanweave.functions.arrays import trim_after_eos_sql  # noqa: E402
+from spanweave.operators import metrics as M  # noqa: E402
+from spanweave.operators.vocab import decode  # noqa: E402
+from spanweave.plans import evaluation as EV  # noqa: E402
+
+_METRIC_SQL = O.corpus_ctes() + O.predictions_cte() + """,
+fm AS (SELECT max(pred[1]) AS m FROM preds),
+al AS (SELECT p.doc_id, p.chunk,
+              CASE WHEN fm.m = 0 THEN p.pred[2 : len(p.pred)] || [0] ELSE p.pred END AS pred,
+              list_transform(p.labels, lambda x: CASE WHEN x = -100 THEN 0 ELSE x END) AS labels
+       FROM preds p, fm),
+ex AS (SELECT avg(CASE WHEN pred = labels THEN 1.0 ELSE 0.0 END) AS ex_acc FROM al),
+pos0 AS (SELECT unnest(labels) AS l, unnest(pred) AS p FROM al),
+pos AS (SELECT * FROM pos0 WHERE l NOT IN (0, 1)),
+base AS (SELECT sum(CASE WHEN l = p THEN 1.0 ELSE 0.0 END) AS tp, sum(CASE WHEN l != p THEN 1.0 ELSE 0.0 END) AS fp,
+                count(*) AS n, corr(l::DOUBLE, p::DOUBLE) AS pearson FROM pos),
+tk AS (SELECT l AS k, count(*)::DOUBLE AS t_k FROM pos GROUP BY l),
+pk AS (SELECT p AS k, count(*)::DOUBLE AS p_k FROM pos GROUP BY p),
+kk AS (SELECT coalesce(tk.k, pk.k) AS k, coalesce(t_k, 0) AS t_k, coalesce(p_k, 0) AS p_k FROM tk FULL JOIN pk ON tk.k = pk.k),
+mc AS (SELECT sum(t_k * p_k) AS tp_sum, sum(t_k * t_k) AS t2, sum(p_k * p_k) AS p2 FROM kk),
+mcc AS (SELECT CASE WHEN sqrt((b.n::DOUBLE * b.n - mc.p2) * (b.n::DOUBLE * b.n - mc.t2)) = 0 THEN 0.0
+                    ELSE (b.tp * b.n - mc.tp_sum) / sqrt((b.n::DOUBLE * b.n - mc.p2) * (b.n::DOUBLE * b.n - mc.t2)) * 100 END AS mcc
+        FROM base b, mc),
+rl AS (SELECT l, coalesce(sum(count(*)) OVER (ORDER BY l ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+                 + (count(*) + 1) / 2.0 AS r_l FROM pos GROUP BY l),
+rp AS (SELECT p, coalesce(sum(count(*)) OVER (ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+                 + (count(*) + 1) / 2.0 AS r_p FROM pos GROUP BY p),
+sp AS (SELECT corr(rl.r_l, rp.r_p) AS spearman FROM pos JOIN rl USING (l) JOIN rp USING (p)),
+v AS (SELECT b.tp / b.n AS accuracy, b.tp / (b.tp + b.fp) AS f1, b.pearson, mcc.mcc, sp.spearman, ex.ex_acc
+      FROM base b, mcc, sp, ex)
+SELECT metric, round(value, 6) AS value FROM (
+  SELECT 'token_accuracy' AS metric, accuracy AS value FROM v UNION ALL SELECT 'example_accuracy', ex_acc FROM v
+  UNION ALL SELECT 'token_f1', f1 FROM v UNION ALL SELECT 'example_f1', ex_acc FROM v
+  UNION ALL SELECT 'token_precision', f1 FROM v UNION ALL SELECT 'example_precision', ex_acc FROM v
+  UNION ALL SELECT 'token_recall', f1 FROM v UNION ALL SELECT 'example_recall', ex_acc FROM v
+  UNION ALL SELECT 'token_mcc', mcc FROM v UNION ALL SELECT 'example_mcc', 0.0 FROM v
+  UNION ALL SELECT 'token_pearson', pearson FROM v UNION ALL SELECT 'example_pearson', 'nan'::DOUBLE FROM v
+  UNION ALL SELECT 'token_spearman', spearman FROM v UNION ALL SELECT 'example_spearman', 'nan'::DOUBLE FROM v)"""
+
+
+@query("token_metrics", sql=_METRIC_SQL)
+def token_metrics_q(spark, sf):
+    m = M.token_metrics(EV.predictions(spark, sf))
+    return m.select("metric", F.round("value", 6).alias("value"))
+
+
+@query("trim_after_eos", sql=O.corpus_ctes() + O.predictions_cte() + f""",
+t AS (SELECT doc_id, chunk, pred[1 : len(pred) - 1] || [1] AS f FROM preds)
+SELECT doc_id, chunk, {O.render("list_transform(f, lambda x, i: CASE WHEN i > list_position(f, 1) THEN 0 ELSE x END)")}
+       AS pred FROM t""")
+def trim_after_eos_q(spark, sf):
+    p = EV.predictions(spark, sf).withColumn("pred", F.expr(trim_after_eos_sql("pred")))
+    return p.select("doc_id", "chunk", render("pred"))
+
+
+@query("logit_scores", sql="WITH " + O.logits_cte()[2:] + """
+SELECT example_key, array_to_string(list_transform(logits, lambda v: list_position(v, list_max(v)) - 1), ' ') AS pred,
+       round((SELECT count(*) FROM (SELECT unnest(list_transform(logits, lambda v: list_position(v, list_max(v)) - 1)) AS p,
+                                         unnest(labels) AS l) WHERE p = l)::DOUBLE / len(labels), 6) AS padded_accuracy,
+       round(list_sum(list_filter(list_transform(logits, lambda v, i: CASE WHEN labels[i] = -100 THEN NULL ELSE
+             ln(list_sum(list_transform(v, lambda x: exp(x::DOUBLE - list_max(v)::DOUBLE)))) + list_max(v)::DOUBLE
+             - v[labels[i] + 1]::DOUBLE END), lambda x: x IS NOT NULL)), 6) AS nll_sum,
+       len(list_filter(labels, lambda l: l != -100))::INTEGER AS nll_n
+FROM logit_ex""")
+def logit_scores(spark, sf):
+    d = M.argmax_tokens(EV.logits_examples(spark, sf), "logits", "pred")
+    total, count = M.masked_nll_parts("logits", "labels")
+    return d.select("example_key", render("pred"), F.round(M.padded_token_accuracy("pred", "labels"), 6)
+                    .alias("padded_accuracy"), F.round(total, 6).alias("nll_sum"), count.alias("nll_n"))
+
+
+@query("eval_batches", sql="WITH " + O.logits_cte()[2:] + """,
+pe AS (SELECT example_key // 4 + 1 AS batch, logits, labels FROM logit_ex WHERE example_key // 4 + 1 < 5 * 2),
+pp AS (SELECT batch, unnest(logits) AS v, unnest(labels) AS l FROM pe),
+pq AS (SELECT batch, l, list_position(v, list_max(v)) - 1 AS p,
+              CASE WHEN l = -100 THEN NULL ELSE ln(list_sum(list_transform(v, lambda x: exp(x::DOUBLE - list_max(v)::DOUBLE))))
+                   + list_max(v)::DOUBLE - v[l + 1]::DOUBLE END AS nll FROM pp),
+pb AS (SELECT batch, sum(nll) / count(nll) AS loss, sum(CASE WHEN p = l THEN 1 ELSE 0 END)::DOUBLE / count(*) AS accuracy
+       FROM pq GROUP BY batch)
+SELECT round(avg(loss), 6) AS loss, round(avg(accuracy), 6) AS accuracy, count(*) AS n_batches FROM pb""")
+def eval_batches(spark, sf):
+    ex = EV.logits_examples(spark, sf).withColumn("batch", (F.col("example_key") / 4).cast("bigint") + 1)
+    r = M.evaluate_batches(ex, "batch", steps=5, grad_acc=2)
+    return r.select(F.round("loss", 6).alias("loss"), F.round("accuracy", 6).alias("accuracy"), "n_batches")
+
+
+def _rouge_tokens_sql(col: str) -> str:
+    t = f"trim(regexp_replace(lower({col}), '[^a-z0-9]+', ' ', 'g'))"
+    return f"CASE WHEN {t} = '' THEN []::VARCHAR[] ELSE string_split({t}, ' ') END"
+
+
+@query("rouge_l", sql=f"""
+WITH pairs AS (SELECT a.item_id, {_rouge_tokens_sql('a.text')} AS pt, {_rouge_tokens_sql('b.text')} AS rt
+               FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 1),
+lcs AS (SELECT item_id, pt, rt,
+               list_reduce(pt,
+                 lambda row, tok: [0::BIGINT] || list_transform(range(1, len(rt) + 1), lambda j:
+                     list_max(list_transform(range(1, j + 1), lambda jj:
+                         CASE WHEN rt[jj] = tok THEN row[jj] + 1 ELSE row[jj + 1] END))),
+                 list_resize([]::BIGINT[], len(rt) + 1, 0)) AS r
+        FROM pairs WHERE len(pt) > 0 AND len(rt) > 0),
+f AS (SELECT p.item_id, coalesce(CASE WHEN l.r[len(l.r)] = 0 THEN 0.0 ELSE
+        2.0 * (l.r[len(l.r)]::DOUBLE / len(p.pt)) * (l.r[len(l.r)]::DOUBLE / len(p.rt))
+        / (l.r[len(l.r)]::DOUBLE / len(p.pt) + l.r[len(l.r)]::DOUBLE / len(p.rt)) END, 0.0) AS f
+      FROM pairs p LEFT JOIN lcs l ON l.item_id = p.item_id)
+SELECT round(avg(f) * 100, 6) AS rouge_l, count(*) AS n_pairs FROM f""")
+def rouge_l_q(spark, sf):
+    r = M.rouge_l(EV.text_pairs(spark, sf))
+    return r.select(F.round("rouge_l", 6).alias("rouge_l"), "n_pairs")
+
+
+@query("decode_text", sql=O.corpus_ctes() + O.tokens_cte("chunks").replace("tk_rows AS", "tk_unused AS") + """,
+dec AS (SELECT u.doc_id, u.chunk, string_agg(v.piece, '' ORDER BY u.pos) FILTER (WHERE v.id >= 3 AND v.id < 32000) AS t
+        FROM tk_u u LEFT JOIN full_vocab v ON v.id = u.id GROUP BY u.doc_id, u.chunk)
+SELECT doc_id, chunk, trim(replace(coalesce(t, ''), '▁', ' ')) AS text FROM dec""")
+def decode_text(spark, sf):
+    ch = corpus_chunks(spark, sf)
+    vocab = corpus_vocab(spark, sf)
+    return decode(ch, "input_ids", vocab, "text").select("doc_id", "chunk", "text")

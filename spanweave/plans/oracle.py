@@ -279,3 +279,22 @@ pmask AS (
   SELECT r.*, list_transform(range(len(r.tokens)), lambda i:
            CASE WHEN len(list_filter(s.sel, lambda c: i >= c.first AND i < c.first + c.ntok)) > 0 THEN 1 ELSE 0 END) AS mask
   FROM tk_rows r JOIN sel s ON s.doc_id = r.doc_id AND s.chunk = r.chunk)""")
+
+
+def predictions_cte() -> str:
+    """Oracle twin of plans.evaluation.predictions (needs ``chunks``)."""
+    alt = (f"list_transform(input_ids, lambda x, i: CASE WHEN x > 1 AND {uniform('5', 'row_key', 'i - 1')} = 0 "
+           f"THEN 3 + (x * 31 + (i - 1)) % 97 ELSE x END)")
+    return f""",
+pr0 AS (SELECT doc_id, chunk, row_key, input_ids,
+               CASE WHEN {uniform('4', 'row_key')} = 0 THEN input_ids ELSE {alt} END AS alt FROM chunks),
+preds AS (SELECT doc_id, chunk, row_key, [0] || alt[1 : len(alt) - 1] AS pred,
+                 list_transform(input_ids, lambda x: CASE WHEN x = 0 THEN -100 ELSE x END) AS labels FROM pr0)"""
+
+
+def logits_cte() -> str:
+    return f""",
+lg0 AS (SELECT vec_id, embedding, CASE WHEN {uniform('8', 'vec_id')} = 0 THEN -100 ELSE label END AS label,
+               vec_id // 8 AS example_key FROM embeddings),
+logit_ex AS (SELECT example_key, list(embedding ORDER BY vec_id) AS logits, list(label ORDER BY vec_id) AS labels
+             FROM lg0 GROUP BY example_key)"""

@@ -43,6 +43,20 @@ def uniform(n, seed=DEFAULT_SEED, *parts) -> Column:
     return F.pmod(F.conv(F.substring(h, 1, 8), 16, 10).cast("bigint"), F.lit(n) if not isinstance(n, Column) else n)
 
 
+def _materialize(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the cluster's shared checkpoint folder.
+
+    Row numbers come from partition ids and positions, and the offsets are
+    computed in a second branch over the same rows; both branches must see
+    one and the same range partitioning (the range bounds are sampled and
+    may differ between two evaluations or after an executor loss), so the
+    numbered rows are written once and both branches read them.
+    """
+    from spanweave.session import checkpoint_dir
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def dense_index(df: DataFrame, order_cols: list, name: str = "idx",
                 num_partitions: int | None = None) -> DataFrame:
     """Attach an exact 0-based global row index in ``order_cols`` order.
@@ -63,6 +77,7 @@ def dense_index(df: DataFrame, order_cols: list, name: str = "idx",
                .withColumn("_sw_mid", F.monotonically_increasing_id()))
     # local position = id minus the partition's base (pid << 33)
     local = local.withColumn("_sw_pos", F.col("_sw_mid") - F.shiftleft(F.col("_sw_pid").cast("bigint"), 33))
+    local = _materialize(local)
     counts = local.groupBy("_sw_pid").agg(F.count(F.lit(1)).alias("_sw_n"))
     from pyspark.sql.window import Window
     offsets = counts.withColumn(
@@ -71,3 +86,30 @@ def dense_index(df: DataFrame, order_cols: list, name: str = "idx",
     ).select("_sw_pid", "_sw_off")
     out = local.join(F.broadcast(offsets), "_sw_pid")
     return out.withColumn(name, F.col("_sw_off") + F.col("_sw_pos")).drop("_sw_pid", "_sw_mid", "_sw_pos", "_sw_off")
+
+
+def group_dense_index(df: DataFrame, group_cols: list, order_cols: list, name: str = "idx",
+                      num_partitions: int | None = None) -> DataFrame:
+    """0-based index inside each group in ``order_cols`` order, without one task per group.
+
+    Range-partition on (group, order), number rows locally, then add for every
+    (partition, group) the rows of the same group in earlier partitions. The
+    offset table has about (#groups + #partitions) rows and is joined on
+    (partition, group); AQE broadcasts it when it is small. A group holding a
+    third of all rows is spread over many range partitions.
+    """
+    from pyspark.sql.window import Window
+    spark = df.sparkSession
+    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keys = list(group_cols) + list(order_cols)
+    local = (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+               .withColumn("_sw_pid", F.spark_partition_id())
+               .withColumn("_sw_mid", F.monotonically_increasing_id()))
+    local = _materialize(local)
+    pg = local.groupBy("_sw_pid", *group_cols).agg(F.min("_sw_mid").alias("_sw_min"),
+                                                   F.count(F.lit(1)).alias("_sw_n"))
+    w = Window.partitionBy(*group_cols).orderBy("_sw_pid").rowsBetween(Window.unboundedPreceding, -1)
+    pg = pg.withColumn("_sw_before", F.coalesce(F.sum("_sw_n").over(w), F.lit(0)))
+    out = local.join(pg.select("_sw_pid", *group_cols, "_sw_min", "_sw_before"), ["_sw_pid", *group_cols])
+    return (out.withColumn(name, F.col("_sw_before") + F.col("_sw_mid") - F.col("_sw_min"))
+               .drop("_sw_pid", "_sw_mid", "_sw_min", "_sw_before"))

@@ -81,7 +81,7 @@ def corrupt_random(spark, sf):
 
 # --- D6 packing, E3/E17 complement corruption --------------------------------
 from spanweave.functions.masks import plan_lengths  # noqa: E402
-from spanweave.functions.rank import dense_index  # noqa: E402
+from spanweave.functions.rank import dense_index, uniform_sql  # noqa: E402
 from spanweave.operators.corrupt import corrupt_complement  # noqa: E402
 from spanweave.operators.pack import (assign_batches, collect_batches, pack_tokens,  # noqa: E402
                                       pad_to_longest)
@@ -571,3 +571,98 @@ def decode_text(spark, sf):
     ch = corpus_chunks(spark, sf)
     vocab = corpus_vocab(spark, sf)
     return decode(ch, "input_ids", vocab, "text").select("doc_id", "chunk", "text")
+
+
+# --- H1-H7 run-log analytics, B8 due steps -------------------------------------
+from spanweave.operators import runlog as R  # noqa: E402
+from spanweave.operators.split import due_steps  # noqa: E402
+from spanweave.plans.runs import run_log  # noqa: E402
+
+_RL = """WITH rl AS (
+  SELECT 'u' || CAST(user_id AS VARCHAR) AS run, CASE WHEN event_type = 'view' THEN 'training' ELSE 'eval' END AS prefix,
+         row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS step, event_type AS name, value, event_id, user_id
+  FROM events)"""
+
+
+@query("run_steps", sql=_RL + " SELECT run, event_id, step FROM rl")
+def run_steps(spark, sf):
+    return run_log(spark, sf).select("run", "event_id", "step")
+
+
+@query("run_stats", sql=_RL + """,
+ri AS (SELECT *, ceil(step / 10)::BIGINT AS interval FROM rl),
+rr AS (SELECT *, row_number() OVER (PARTITION BY run, prefix, interval, name ORDER BY step DESC) AS r FROM ri)
+SELECT run, prefix, interval, name, round(sum(value * pow(0.9, r)) / sum(pow(0.9, r)), 6) AS average,
+       count(*) AS n_updates FROM rr GROUP BY run, prefix, interval, name""")
+def run_stats(spark, sf):
+    d = R.report_intervals(run_log(spark, sf), 10)
+    a = R.average_stats(d, weight=0.9)
+    return a.select("run", "prefix", "interval", "name", F.round("average", 6).alias("average"), "n_updates")
+
+
+@query("best_steps", sql=_RL + """,
+b AS (SELECT run, name AS metric, step AS best_step, value AS best_value,
+             row_number() OVER (PARTITION BY run, name ORDER BY CASE WHEN name = 'purchase' THEN value ELSE -value END DESC,
+                                step) AS k
+      FROM rl WHERE name IN ('purchase', 'error'))
+SELECT run, metric, best_step, best_value FROM b WHERE k = 1""")
+def best_steps(spark, sf):
+    rl = run_log(spark, sf)
+    return R.best_step(rl, "purchase", True).unionByName(R.best_step(rl, "error", False))
+
+
+@query("early_stop", sql=_RL + """,
+ev AS (SELECT run, list({'step': step, 'value': value} ORDER BY step) AS evals FROM rl WHERE name = 'purchase' GROUP BY run)
+SELECT run, list_reduce(evals, lambda acc, e: CASE WHEN acc.stop IS NOT NULL THEN acc ELSE {
+         'best': CASE WHEN acc.best IS NULL OR e.value > acc.best THEN e.value ELSE acc.best END,
+         'bad': CASE WHEN acc.best IS NULL OR (e.value > acc.best AND abs(e.value - acc.best) > 0.5) THEN 0 ELSE acc.bad + 1 END,
+         'stop': CASE WHEN NOT (acc.best IS NULL OR (e.value > acc.best AND abs(e.value - acc.best) > 0.5))
+                       AND acc.bad + 1 >= 3 THEN e.step::BIGINT ELSE NULL::BIGINT END} END,
+         {'best': NULL::DOUBLE, 'bad': 0, 'stop': NULL::BIGINT}).stop AS stopped_at_step,
+       len(evals)::INTEGER AS n_evals
+FROM ev""")
+def early_stop_q(spark, sf):
+    return R.early_stop(run_log(spark, sf), "purchase", patience=3, threshold=0.5)
+
+
+@query("keep_last", sql=_RL + """,
+due AS (SELECT run, step FROM rl WHERE step % 25 = 0 OR step > 1000)
+SELECT run, step FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY step DESC) AS k FROM due) WHERE k <= 3""")
+def keep_last_q(spark, sf):
+    due = due_steps(run_log(spark, sf), "step", 25, 1000)
+    return R.keep_last(due, 3).select("run", "step")
+
+
+_SCHEDULERS = "array('constant', 'constant_with_warmup', 'linear', 'cosine')"
+
+
+@query("sweep_rank", sql=_RL + f""",
+runs AS (SELECT run, user_id, avg(value) AS metric FROM rl WHERE name = 'purchase' GROUP BY run, user_id),
+cells AS (SELECT 'cola' AS task, 'lr_' || CAST((user_id * 7) % 5 AS VARCHAR) AS lr_bin,
+                 ['constant', 'constant_with_warmup', 'linear', 'cosine'][{O.uniform('4', 'user_id')} + 1] AS scheduler,
+                 run, metric FROM runs),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY task, lr_bin, scheduler ORDER BY metric DESC, run DESC) AS k FROM cells)
+SELECT task, lr_bin, scheduler, count(*) AS n_runs, round(avg(metric), 6) AS mean_metric,
+       max(CASE WHEN k = 1 THEN run END) AS best_run
+FROM ranked GROUP BY task, lr_bin, scheduler""")
+def sweep_rank(spark, sf):
+    rl = run_log(spark, sf).filter(F.col("name") == "purchase")
+    runs = rl.groupBy("run", "user_id").agg(F.avg("value").alias("metric"))
+    cells = runs.select(F.lit("cola").alias("task"),
+                        F.concat(F.lit("lr_"), F.pmod(F.col("user_id") * 7, F.lit(5)).cast("string")).alias("lr_bin"),
+                        F.expr(f"element_at({_SCHEDULERS}, cast({uniform_sql('4', 42, 'user_id')} as int) + 1)")
+                         .alias("scheduler"), "run", "metric")
+    r = R.rank_sweep(cells)
+    return r.select("task", "lr_bin", "scheduler", "n_runs", F.round("mean_metric", 6).alias("mean_metric"), "best_run")
+
+
+@query("train_eval_gap", sql=_RL + """,
+ep AS (SELECT run, ceil(step / 20)::BIGINT AS epoch, prefix, value FROM rl),
+p AS (SELECT run, epoch, avg(value) FILTER (WHERE prefix = 'training') AS training,
+             avg(value) FILTER (WHERE prefix = 'eval') AS eval FROM ep WHERE epoch % 2 = 0 GROUP BY run, epoch)
+SELECT run, epoch, round(training, 6) AS training, round(eval, 6) AS eval, round(eval - training, 6) AS gap FROM p""")
+def train_eval_gap_q(spark, sf):
+    d = run_log(spark, sf).withColumn("epoch", F.ceil(F.col("step") / 20).cast("bigint"))
+    g = R.train_eval_gap(d)
+    return g.select("run", "epoch", F.round("training", 6).alias("training"), F.round("eval", 6).alias("eval"),
+                    F.round("gap", 6).alias("gap"))

@@ -20,7 +20,8 @@ METRICS: dict = {}
 
 
 def register_metric(name: str, fn) -> None:
-    """``fn(kept_positions_df) -> Column`` aggregate over columns ``l`` (label) and ``p`` (prediction)."""
+    """``fn() -> Column``, an aggregate over the confusion cells (columns ``l``, ``p``
+    and the cell count ``c``), e.g. ``lambda: F.sum(F.col("c") * (F.col("l") == F.col("p")))``."""
     METRICS[name] = fn
 
 
@@ -45,66 +46,83 @@ def kept_positions(df: DataFrame, keys: list, pred: str = "pred", labels: str =
     return df.select(*keys, F.explode(kept).alias("z")).select(*keys, F.col("z.l").alias("l"), F.col("z.p").alias("p"))
 
 
-def _mcc(pos: DataFrame, group: list) -> DataFrame:
-    """G5 multiclass Matthews x 100 from per-class counts (bounded by the vocabulary)."""
-    t = pos.groupBy(*group, F.col("l").alias("k")).agg(F.count(F.lit(1)).alias("t_k"))
-    p = pos.groupBy(*group, F.col("p").alias("k")).agg(F.count(F.lit(1)).alias("p_k"))
-    tp = t.join(p, group + ["k"], "full").na.fill(0, ["t_k", "p_k"])
-    sums = tp.groupBy(*group).agg(F.sum(F.col("t_k").cast("double") * F.col("p_k")).alias("tp_sum"),
-                                  F.sum(F.col("t_k").cast("double") ** 2).alias("t2"),
-                                  F.sum(F.col("p_k").cast("double") ** 2).alias("p2"))
-    c = pos.groupBy(*group).agg(F.sum((F.col("l") == F.col("p")).cast("double")).alias("c"),
-                                F.count(F.lit(1)).cast("double").alias("s"))
-    j = c.join(sums, group) if group else c.crossJoin(sums)
-    den = F.sqrt((F.col("s") ** 2 - F.col("p2")) * (F.col("s") ** 2 - F.col("t2")))
-    return j.select(*group, F.when(den == 0, F.lit(0.0))
-                    .otherwise((F.col("c") * F.col("s") - F.col("tp_sum")) / den * 100).alias("mcc"))
+def confusion_cells(df: DataFrame, group: list, pred: str = "pred", labels: str = "labels") -> DataFrame:
+    """One pass over the examples: counts per (group, label, prediction) over kept positions (B6),
+    plus two marker cells (l = -1, p = 0/1) counting wrong/right examples (G2).
 
+    The result is bounded by the distinct (label, prediction) pairs, so every
+    metric below is computed from this small table and the examples are read once.
+    """
+    z = F.arrays_zip(F.col(labels).alias("l"), F.col(pred).alias("p"))
+    kept = F.filter(z, lambda s: ~s["l"].isin(PAD_ID, EOS_ID))
+    marker = F.array(F.struct(F.lit(-1).alias("l"), (F.col(pred) == F.col(labels)).cast("int").alias("p")))
+    cells = df.select(*group, F.explode(F.concat(kept, marker)).alias("z"))
+    return cells.groupBy(*group, F.col("z.l").alias("l"), F.col("z.p").alias("p")).agg(F.count(F.lit(1)).alias("c"))
 
-def _avg_ranks(pos: DataFrame, col: str, group: list) -> DataFrame:
-    """Average rank of each distinct value (ties share the mean rank); size = distinct values."""
-    v = pos.groupBy(*group, F.col(col).alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy(*group).orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
-    v = v.withColumn("below", F.coalesce(F.sum("n").over(w), F.lit(0)))
-    return v.select(*group, F.col("v").alias(col), (F.col("below") + (F.col("n") + 1) / 2.0).alias(f"r_{col}"))
+
+def _weighted_corr(x: Column, y: Column, w: Column) -> Column:
+    n = F.sum(w)
+    sx, sy = F.sum(x * w), F.sum(y * w)
+    sxx, syy, sxy = F.sum(x * x * w), F.sum(y * y * w), F.sum(x * y * w)
+    den = F.sqrt((n * sxx - sx * sx) * (n * syy - sy * sy))
+    return F.when(den == 0, F.lit(float("nan"))).otherwise((n * sxy - sx * sy) / den)
 
 
 def token_metrics(df: DataFrame, group: list | None = None, pred: str = "pred", labels: str = "labels",
                   metric_names=("accuracy", "f1", "precision", "recall", "mcc", "pearson", "spearman"),
                   align: bool = True) -> DataFrame:
-    """``token_<m>`` and ``example_<m>`` in long form (group..., metric, value)."""
+    """``token_<m>`` and ``example_<m>`` in long form (group..., metric, value).
+
+    G3/G4 micro scores, G5 MCC x 100, G6 Pearson and G7 Spearman (average
+    ranks) all derive from the confusion cells; G8 example scores from the
+    marker cells (accuracy-like = share correct, MCC 0, correlations NaN).
+    """
     group = list(group or [])
     d = align_predictions(df, pred, labels) if align else df
-    ex = d.groupBy(*group).agg(F.avg(example_correct(pred, labels).cast("double")).alias("ex_acc"))
-    pos = kept_positions(d, group, pred, labels)
-    agg = pos.groupBy(*group).agg(
-        F.sum((F.col("l") == F.col("p")).cast("double")).alias("tp"),
-        F.sum((F.col("l") != F.col("p")).cast("double")).alias("fp"),
-        F.count(F.lit(1)).alias("n"),
-        F.corr(F.col("l").cast("double"), F.col("p").cast("double")).alias("pearson"),
-        *[fn().alias(f"custom_{name}") for name, fn in METRICS.items()])
-    out = agg.withColumn("accuracy", F.col("tp") / F.col("n"))
-    out = (out.withColumn("precision", F.col("tp") / (F.col("tp") + F.col("fp")))
+    cells = confusion_cells(d, group, pred, labels)
+    tok = cells.filter(F.col("l") >= 0)
+    ex = (cells.filter(F.col("l") == -1).groupBy(*group)
+               .agg((F.sum(F.when(F.col("p") == 1, F.col("c")).otherwise(0)) / F.sum("c")).alias("ex_acc")))
+    c = F.col("c").cast("double")
+    base = tok.groupBy(*group).agg(
+        F.sum(F.when(F.col("l") == F.col("p"), c).otherwise(0.0)).alias("tp"),
+        F.sum(F.when(F.col("l") != F.col("p"), c).otherwise(0.0)).alias("fp"),
+        F.sum(c).alias("n"),
+        _weighted_corr(F.col("l").cast("double"), F.col("p").cast("double"), c).alias("pearson"))
+    tk = tok.groupBy(*group, F.col("l").alias("k")).agg(F.sum(c).alias("t_k"))
+    pk = tok.groupBy(*group, F.col("p").alias("k")).agg(F.sum(c).alias("p_k"))
+    kk = tk.join(pk, group + ["k"], "full").na.fill(0.0, ["t_k", "p_k"])
+    mc = kk.groupBy(*group).agg(F.sum(F.col("t_k") * F.col("p_k")).alias("tp_sum"),
+                                F.sum(F.col("t_k") ** 2).alias("t2"), F.sum(F.col("p_k") ** 2).alias("p2"))
+    # average ranks per distinct value from the marginals (ties share the mean rank)
+    wl = Window.partitionBy(*group).orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
+    rl = tk.withColumn("r_l", F.coalesce(F.sum("t_k").over(wl), F.lit(0.0)) + (F.col("t_k") + 1) / 2.0) \
+           .select(*group, F.col("k").alias("l"), "r_l")
+    rp = pk.withColumn("r_p", F.coalesce(F.sum("p_k").over(wl), F.lit(0.0)) + (F.col("p_k") + 1) / 2.0) \
+           .select(*group, F.col("k").alias("p"), "r_p")
+    sp = (tok.join(rl, group + ["l"]).join(rp, group + ["p"]).groupBy(*group)
+             .agg(_weighted_corr(F.col("r_l"), F.col("r_p"), c).alias("spearman")))
+    j = lambda a, b: a.join(b, group) if group else a.crossJoin(b)  # noqa: E731 - one-row sides
+    out = j(j(j(base, mc), sp), ex)
+    den = F.sqrt((F.col("n") ** 2 - F.col("p2")) * (F.col("n") ** 2 - F.col("t2")))
+    out = (out.withColumn("accuracy", F.col("tp") / F.col("n"))
+              .withColumn("precision", F.col("tp") / (F.col("tp") + F.col("fp")))
               .withColumn("recall", F.col("tp") / (F.col("tp") + F.col("fp")))
-              .withColumn("f1", F.col("tp") / (F.col("tp") + F.col("fp"))))
-    if "mcc" in metric_names:
-        out = out.join(_mcc(pos, group), group) if group else out.crossJoin(_mcc(pos, group))
-    if "spearman" in metric_names:
-        rl, rp = _avg_ranks(pos, "l", group), _avg_ranks(pos, "p", group)
-        ranked = pos.join(F.broadcast(rl), group + ["l"]).join(F.broadcast(rp), group + ["p"])
-        sp = ranked.groupBy(*group).agg(F.corr("r_l", "r_p").alias("spearman"))
-        out = out.join(sp, group) if group else out.crossJoin(sp)
-    out = out.join(ex, group) if group else out.crossJoin(ex)
+              .withColumn("f1", F.col("tp") / (F.col("tp") + F.col("fp")))
+              .withColumn("mcc", F.when(den == 0, F.lit(0.0))
+                          .otherwise((F.col("tp") * F.col("n") - F.col("tp_sum")) / den * 100)))
+    for name, fn in METRICS.items():
+        out = j(out, tok.groupBy(*group).agg(fn().alias(f"custom_{name}")))
     rows = []
     for m in metric_names:
-        tok = F.col(m).cast("double")
+        tokv = F.col(m).cast("double")
         if m in ("pearson", "spearman"):
             exv = F.lit(float("nan"))
         elif m == "mcc":
             exv = F.lit(0.0)
         else:
             exv = F.col("ex_acc")
-        rows += [F.struct(F.lit(f"token_{m}").alias("metric"), F.coalesce(tok, F.lit(float("nan"))).alias("value")),
+        rows += [F.struct(F.lit(f"token_{m}").alias("metric"), F.coalesce(tokv, F.lit(float("nan"))).alias("value")),
                  F.struct(F.lit(f"example_{m}").alias("metric"), exv.alias("value"))]
     for name in METRICS:
         rows.append(F.struct(F.lit(f"token_{name}").alias("metric"), F.col(f"custom_{name}").cast("double").alias("value")))

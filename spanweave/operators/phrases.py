@@ -40,14 +40,15 @@ def words_sql(tokens: str, with_parts: bool = True) -> str:
              f"OR instr(_sw_punct, {tokens}[i]) > 0))")
     bounds = (f"filter(transform(IF(size({tokens}) > 0, sequence(0, size({tokens}) - 1), cast(array() as array<int>)), "
               f"i -> named_struct('i', i, 'sep', {sep}, 'start', {start})), x -> x.sep OR x.start)")
-    if with_parts:
-        part = "size(filter(B, y -> y.sep AND y.i < B[j].i))"
-    else:
-        part = "0"
+    # part = number of separators before the word; separators are few per row
+    # (eos, trailing pads), so counting them per word stays linear in practice
+    part = "size(filter(SP, y -> y < B[j].i))" if with_parts else "0"
     words = (f"transform(filter(IF(size(B) > 0, sequence(0, size(B) - 1), cast(array() as array<int>)), j -> B[j].start), "
              f"j -> named_struct('first', B[j].i, 'ntok', coalesce(try_element_at(B, j + 2).i, size({tokens})) - B[j].i, "
              f"'part', {part}))")
-    return _let(bounds, "B", words)
+    if not with_parts:
+        return _let(bounds, "B", words)
+    return _let(bounds, "B", _let("transform(filter(B, y -> y.sep), y -> y.i)", "SP", words))
 
 
 def word_texts_sql(tokens: str, words: str) -> str:
@@ -185,18 +186,27 @@ def mine_phrases(df: DataFrame, text_col: str = "text", max_n: int = 5, min_coun
     sub-span keys).
     """
     words = doc_words(df, text_col)
+    # every document also emits one marker (n = 0, weight = its word count): the
+    # word total comes out of the same aggregation as the n-gram counts
     grams = words.select(F.explode(F.expr(_let("word_texts", "W",
+        f"concat(array(named_struct('n', 0, 'text', '', 'w', size(W))), "
         f"flatten(transform(sequence(1, {max_n}), n -> transform("
         f"IF(size(W) >= n, sequence(0, size(W) - n), cast(array() as array<int>)), "
-        f"s -> named_struct('n', n, 'text', array_join(slice(W, s + 1, n), ' ')))))"))).alias("g")).select("g.*")
-    counts = grams.groupBy("n", "text").agg(F.count(F.lit(1)).alias("count"))
-    total = counts.filter("n = 1").agg(F.sum("count").alias("total")).scalar()
-    cand = counts.filter((F.col("n") >= 2) & (F.col("count") >= min_count))
+        f"s -> named_struct('n', n, 'text', array_join(slice(W, s + 1, n), ' '), 'w', 1)))))"))).alias("g")).select("g.*")
+    counts = grams.groupBy("n", "text").agg(F.sum("w").cast("bigint").alias("count"))
+    # every occurrence of a candidate contains each of its sub-spans, so sub-span
+    # counts are >= the candidate's count >= min_count: only frequent n-grams are
+    # needed. The frequent table is small; it is persisted so the three readers
+    # below (candidates, sub-span lookup, total) share one counting pass.
+    frequent = counts.filter((F.col("count") >= min_count) | (F.col("n") == 0)).persist()
+    total = frequent.filter(F.col("n") == 0).select(F.col("count").alias("total"), F.lit(1).alias("_sw_one"))
+    cand = frequent.filter(F.col("n") >= 2)
     subs = cand.select("n", "text", "count", F.explode(F.expr(
         "flatten(transform(sequence(1, n - 1), l -> transform(sequence(0, n - l), a -> named_struct('a', a, 'l', l))))"
     )).alias("sp")).select("n", "text", "count", F.col("sp.a").alias("a"), F.col("sp.l").alias("l"))
     subs = subs.withColumn("sub", F.expr("array_join(slice(split(text, ' '), a + 1, l), ' ')"))
-    sub_counts = counts.select(F.col("n").alias("l"), F.col("text").alias("sub"), F.col("count").alias("sub_count"))
+    sub_counts = frequent.filter(F.col("n") >= 1).select(F.col("n").alias("l"), F.col("text").alias("sub"),
+                                                         F.col("count").alias("sub_count"))
     joined = subs.join(sub_counts, ["l", "sub"])
     per = joined.groupBy("n", "text", "count").agg(
         F.collect_list(F.struct("a", "l", F.log(F.col("sub_count").cast("double")).alias("lc"))).alias("parts"))
@@ -207,7 +217,7 @@ def mine_phrases(df: DataFrame, text_col: str = "text", max_n: int = 5, min_coun
     # sum over a segmentation of log p(segment) = sum(log c_seg) - k * log N
     best = (f"array_max(transform(element_at({comp_lit}, n), c -> aggregate(c, cast(0.0 as double), "
             f"(s, seg) -> s + filter(parts, q -> q.a = seg.a AND q.l = seg.l)[0].lc - ln(cast(total as double)))))")
-    scored = per.withColumn("total", total)
+    scored = per.withColumn("_sw_one", F.lit(1)).join(F.broadcast(total), "_sw_one").drop("_sw_one")
     scored = scored.withColumn("score", F.expr(
         f"(ln(cast(count as double)) - ln(cast(total as double))) - {best}"))
     out = scored.select(F.col("text").alias("phrase"), F.col("n").cast("int").alias("n"),

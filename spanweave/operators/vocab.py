@@ -50,11 +50,15 @@ def build_vocab(df: DataFrame, text_col: str = "text", size: int = VOCAB_SIZE,
     ranked = top.withColumn(
         "id", (F.row_number().over(Window.orderBy(F.desc("count"), F.asc("piece"))) + (N_SPECIAL - 1)).cast("int"))
     spark = df.sparkSession
-    specials = spark.createDataFrame(
-        [(PAD_TOKEN, PAD_ID, 0), (EOS_TOKEN, EOS_ID, 0), (UNK_TOKEN, UNK_ID, 0)]
-        + [(sentinel_token(j), size - 1 - j, 0) for j in range(n_sentinels)],
-        "piece string, id int, count bigint")
-    return ranked.select("piece", "id", "count").unionByName(specials)
+    specials = ([(PAD_TOKEN, PAD_ID, 0), (EOS_TOKEN, EOS_ID, 0), (UNK_TOKEN, UNK_ID, 0)]
+                + [(sentinel_token(j), size - 1 - j, 0) for j in range(n_sentinels)])
+    # the table is bounded by ``size``: materialise it once so every consumer
+    # (encoding, decoding, id -> piece) reads the same small relation instead
+    # of recounting the corpus
+    rows = [(r["piece"], r["id"], r["count"]) for r in ranked.select("piece", "id", "count").collect()]
+    if len(rows) > size:
+        raise ValueError("vocabulary larger than its declared size")
+    return spark.createDataFrame(rows + specials, "piece string, id int, count bigint")
 
 
 def _vocab_pieces(vocab: DataFrame, size: int, n_sentinels: int) -> list[str]:

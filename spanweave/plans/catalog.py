@@ -666,3 +666,66 @@ def train_eval_gap_q(spark, sf):
     g = R.train_eval_gap(d)
     return g.select("run", "epoch", F.round("training", 6).alias("training"), F.round("eval", 6).alias("eval"),
                     F.round("gap", 6).alias("gap"))
+
+
+# --- A4, I1-I4 streaming ---------------------------------------------------------
+from spanweave.streaming import streams as ST  # noqa: E402
+
+
+def _doc_stream(spark, sf):
+    return ST.stream_corpus(spark, f"{sf.rstrip('/')}/documents*.parquet", drop=("lang", "source", "n_chars"),
+                            expected_shards=1)
+
+
+@query("stream_corrupt", sql=_corrupt_sql(0.15, 128, 32))
+def stream_corrupt(spark, sf):
+    """I1 equals the batch corruption (same oracle as corrupt_random)."""
+    vocab = corpus_vocab(spark, sf)
+    out = ST.stream_encode_corrupt(spark, _doc_stream(spark, sf), vocab, ST.scratch_path(spark, "stream-corrupt"))
+    d = spark.read.parquet(out)
+    return d.select("doc_id", "chunk", render("input_ids"), render("labels"),
+                    render("decoder_input_ids"), render("attention_mask"))
+
+
+def _stream_pack_sql() -> str:
+    keep = ("list_filter(list_transform(input_ids, lambda x, i: CASE WHEN {s}[i] != 0 THEN {s}[i] ELSE x END), "
+            "lambda y: y >= 0) || [1]")
+    return (O.vocab_ctes() + O.text_ids_ctes("docs", "documents", ["doc_id"])
+            + O.pack_ctes(PACK_RAW, 10 ** 12) + f""",
+pkk AS (SELECT *, CAST(pack_group AS VARCHAR) || ':' || CAST(row AS VARCHAR) AS row_key FROM packed)"""
+            + "," + O.random_mask_ctes("pkk", "len(input_ids)", "row_key", PACK_DENSITY, 3.0, False, False)
+            + f""",
+se AS (SELECT *, {O.sentinel('mask')} AS s_in, {O.sentinel('list_transform(mask, lambda b: 1 - b)')} AS s_lab FROM m6)
+SELECT pack_group, row, {O.render(keep.format(s='s_in'))} AS input_ids,
+       {O.render(keep.format(s='s_lab'))} AS labels FROM se""")
+
+
+@query("stream_pack", sql=_stream_pack_sql())
+def stream_pack(spark, sf):
+    """The test corpus is one file, hence one micro-batch and one packing group."""
+    vocab = corpus_vocab(spark, sf)
+    out = ST.stream_pack_corrupt(spark, _doc_stream(spark, sf), vocab, ST.scratch_path(spark, "stream-pack"),
+                                 PACK_RAW, PACK_INPUT, PACK_TARGET, density=PACK_DENSITY)
+    return spark.read.parquet(out).select("pack_group", "row", render("input_ids"), render("labels"))
+
+
+@query("stream_take", sql="SELECT doc_id FROM documents ORDER BY doc_id LIMIT 500")
+def stream_take(spark, sf):
+    out = ST.stream_take(spark, _doc_stream(spark, sf).select("doc_id"), 500, "doc_id",
+                         ST.scratch_path(spark, "stream-take"))
+    return spark.read.parquet(out)
+
+
+@query("stream_stats", sql=_RL + """,
+ri AS (SELECT *, ceil(step / 10)::BIGINT AS interval FROM rl)
+SELECT run, prefix, interval, name, round(avg(value), 6) AS average, count(*) AS n_updates
+FROM ri GROUP BY run, prefix, interval, name""")
+def stream_stats(spark, sf):
+    """I4: the run log (derived from events) written once, then aggregated as a stream."""
+    src = ST.scratch_path(spark, "run-log")
+    run_log(spark, sf).select("run", "prefix", "step", "name", "value").write.parquet(src)
+    schema = "run string, prefix string, step bigint, name string, value double"
+    stream = spark.readStream.schema(schema).parquet(src)
+    out = ST.stream_stats(spark, stream, 10, ST.scratch_path(spark, "stream-stats"))
+    d = spark.read.parquet(out)
+    return d.select("run", "prefix", "interval", "name", F.round("average", 6).alias("average"), "n_updates")

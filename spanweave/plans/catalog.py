@@ -729,3 +729,94 @@ def stream_stats(spark, sf):
     out = ST.stream_stats(spark, stream, 10, ST.scratch_path(spark, "stream-stats"))
     d = spark.read.parquet(out)
     return d.select("run", "prefix", "interval", "name", F.round("average", 6).alias("average"), "n_updates")
+
+
+# --- A5/J5 instances, C8-C11 instruction prompts ---------------------------------
+from spanweave.operators import instructions as IN  # noqa: E402
+from spanweave.plans.instructions import instruction_tasks  # noqa: E402
+
+_STRIP_D = r"'^[\s\p{Z}]+|[\s\p{Z}]+$'"
+INSTR_MAX = 256
+
+
+def _d_strip(x: str) -> str:
+    return f"regexp_replace({x}, {_STRIP_D}, '', 'g')"
+
+
+def _d_dot(x: str) -> str:
+    return f"({x} || CASE WHEN length({x}) > 0 AND contains({O.punct_literal()}, right({x}, 1)) THEN '' ELSE '.' END)"
+
+
+def _d_example(kind: str, e: str, k: str, expl: str) -> str:
+    head = _d_dot(f"(' {kind} Example ' || CAST({k} AS VARCHAR) || ' -' || chr(10) || 'Input: ' || {_d_strip(e + '.input')})")
+    body = _d_dot(f"({head} || chr(10) || ' Output: ' || {_d_strip(e + '.output')})")
+    ex = _d_dot(f"({body} || chr(10) || ' Explanation: ' || {_d_strip(e + '.explanation')})")
+    return (f"(CASE WHEN {expl} AND {e}.explanation IS NOT NULL THEN {ex} || chr(10) ELSE {body} || chr(10) END "
+            f"|| chr(10))")
+
+
+def _d_count(text: str) -> str:
+    from spanweave.constants import PIECE_PATTERN
+    return f"(len(regexp_extract_all({text}, '{PIECE_PATTERN}', 2)) + 1)"
+
+
+def _instruction_sql(encoding_sql: str) -> str:
+    """Oracle of instruction rendering; ``encoding_sql`` yields columns name_f, def_f, npos, nneg, expl_f."""
+    ti = f"({_d_dot(chr(39) + 'Now complete the following example -' + chr(39) + ' || chr(10) || ' + chr(39) + 'Input: ' + chr(39) + ' || ' + _d_strip('inp'))} || chr(10) || 'Output: ')"
+    definition = (f"CASE WHEN def_f THEN {_d_dot(chr(39) + 'Definition: ' + chr(39) + ' || ' + _d_strip('definition'))} "
+                  f"|| chr(10) || chr(10) ELSE '' END")
+    pos_c = f"list_transform(pos[1 : npos], lambda e, i: {_d_example('Positive', 'e', 'i', 'expl_f')})"
+    neg_c = f"list_transform(neg[1 : nneg], lambda e, i: {_d_example('Negative', 'e', 'i', 'expl_f')})"
+
+    def fold(cands: str, prior: str) -> str:
+        return (f"list_reduce({cands}, lambda s, c: CASE WHEN s.stop THEN s WHEN "
+                f"{_d_count(f'(d || {prior} || array_to_string(s.acc, {chr(39)} {chr(39)}) || c || ti)')} <= {INSTR_MAX} "
+                f"THEN {{'acc': list_append(s.acc, c), 'stop': false}} ELSE {{'acc': s.acc, 'stop': true}} END, "
+                f"{{'acc': []::VARCHAR[], 'stop': false}}).acc")
+    return f"""
+WITH tt AS (SELECT conv_id, list({{'turn': turn, 'role': role, 'text': text}} ORDER BY turn) AS t
+            FROM conversations GROUP BY conv_id),
+tk AS (SELECT conv_id, 'task' || CAST(conv_id AS VARCHAR) AS task, t[1].text AS definition,
+              list_transform(range(1, len(t)), lambda k: {{'input': t[k].text, 'output': t[k + 1].text,
+                                                          'explanation': t[k + 1].role}}) AS pos,
+              list_transform(range(1, len(t)), lambda k: {{'input': t[k + 1].text, 'output': t[k].text,
+                                                          'explanation': t[k + 1].role}}) AS neg, t
+       FROM tt),
+ins AS (SELECT task, definition, pos, neg, i - 1 AS instance_pos,
+               CAST(conv_id AS VARCHAR) || '-' || CAST(t[i + 1].turn AS VARCHAR) AS id,
+               t[i].text AS inp, [t[i + 1].text, t[i + 1].role] AS output
+        FROM tk, unnest(range(1, len(t))) r(i)),
+enc AS (SELECT *, {encoding_sql} FROM ins WHERE instance_pos < 100),
+b AS (SELECT *, {definition} AS d, {ti} AS ti FROM enc),
+p AS (SELECT *, {fold(pos_c, "''")} AS pa FROM b),
+n AS (SELECT *, {fold(neg_c, "array_to_string(pa, ' ')")} AS na FROM p)
+SELECT id, CASE WHEN name_f THEN task || '. ' ELSE '' END || d || array_to_string(pa, '') || array_to_string(na, '') || ti
+       AS source,
+       output[{O.uniform('len(output)', 'id', chr(39) + 'ref' + chr(39))} + 1] AS target
+FROM n"""
+
+
+@query("instruction_prompts", sql=_instruction_sql(
+    "true AS name_f, true AS def_f, 2 AS npos, 2 AS nneg, true AS expl_f"))
+def instruction_prompts(spark, sf):
+    e = IN.explode_instances(instruction_tasks(spark, sf), subset="test")
+    e = IN.with_fixed_encoding(e, add_task_name=True, add_task_definition=True, num_pos_examples=2,
+                               num_neg_examples=2, add_explanation=True)
+    r = IN.choose_reference(IN.render_instruction(e, max_source_length=INSTR_MAX))
+    return r.select("id", "source", "target")
+
+
+def _encoding_case(field: str) -> str:
+    cases = " ".join(f"WHEN {i} THEN {v}" for i, v in enumerate(
+        [str(x).lower() if isinstance(x, bool) else str(x) for x in
+         [e[{"name_f": 0, "def_f": 1, "npos": 2, "nneg": 3, "expl_f": 4}[field]] for e in IN.ENCODINGS]]))
+    return f"CASE {O.uniform('5', 'id')} {cases} END AS {field}"
+
+
+@query("instruction_mixed", sql=_instruction_sql(", ".join(
+    _encoding_case(f) for f in ("name_f", "def_f", "npos", "nneg", "expl_f"))))
+def instruction_mixed(spark, sf):
+    """One of five encodings per instance (md5 uniform), then C8/C9/C11."""
+    e = IN.choose_encoding(IN.explode_instances(instruction_tasks(spark, sf), subset="test"))
+    r = IN.choose_reference(IN.render_instruction(e, max_source_length=INSTR_MAX))
+    return r.select("id", "source", "target")

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from spanweave.functions.arrays import render
 from spanweave.functions.masks import random_spans_mask
 from spanweave.operators.corrupt import corrupt
+from spanweave.constants import PIECE_PATTERN, WORD_MARK
 from spanweave.plans import oracle as O
 from spanweave.plans.corpus import corpus_chunks, corpus_vocab
 
@@ -820,3 +821,28 @@ def instruction_mixed(spark, sf):
     e = IN.choose_encoding(IN.explode_instances(instruction_tasks(spark, sf), subset="test"))
     r = IN.choose_reference(IN.render_instruction(e, max_source_length=INSTR_MAX))
     return r.select("id", "source", "target")
+
+
+TRUNC_MAX = 64
+
+
+@query("instruction_truncate", sql=O.vocab_ctes() + f""",
+src AS ({_instruction_sql("true AS name_f, true AS def_f, 2 AS npos, 2 AS nneg, true AS expl_f")}),
+sp_raw AS (SELECT id, source, regexp_extract_all(' ' || source, '{PIECE_PATTERN}', 1) AS ws,
+                  regexp_extract_all(' ' || source, '{PIECE_PATTERN}', 2) AS core FROM src),
+sp AS (SELECT id, source, list_transform(core, lambda c, i: CASE WHEN ws[i] = '' THEN c ELSE '{WORD_MARK}' || c END)
+              AS pieces FROM sp_raw),
+su AS (SELECT id, unnest(pieces) AS piece, unnest(generate_series(1, len(pieces))) AS pos FROM sp),
+sd AS (SELECT u.id, string_agg(v.piece, '' ORDER BY u.pos) FILTER (WHERE v.id IS NOT NULL) AS t
+       FROM su u LEFT JOIN vocab v ON v.piece = u.piece WHERE u.pos <= {TRUNC_MAX} GROUP BY u.id)
+SELECT sp.id, CASE WHEN len(sp.pieces) + 1 <= {TRUNC_MAX} THEN sp.source
+                   ELSE trim(replace(coalesce(sd.t, ''), '{WORD_MARK}', ' ')) END AS source_text
+FROM sp LEFT JOIN sd ON sd.id = sp.id""")
+def instruction_truncate(spark, sf):
+    """Prompts over the limit become the decoding of their first tokens."""
+    e = IN.explode_instances(instruction_tasks(spark, sf), subset="test")
+    e = IN.with_fixed_encoding(e, add_task_name=True, add_task_definition=True, num_pos_examples=2,
+                               num_neg_examples=2, add_explanation=True)
+    r = IN.render_instruction(e, max_source_length=INSTR_MAX)
+    t = IN.truncate_source(r, corpus_vocab(spark, sf), TRUNC_MAX)
+    return t.select("id", "source_text")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import IntegerType, StringType
 
 from spanweave.operators.tasks import N_INPUT_COLUMN_NAMES, TaskConfig, get_task
 
@@ -22,7 +23,7 @@ def label_to_text(label: str | Column, labels: dict, task: str = "") -> Column:
     return F.coalesce(hit, F.raise_error(F.concat(F.lit(f"unknown label for {task}: "), c.cast("string"))))
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(StringType())
 def _py_round1(x: pa.Array) -> pa.Array:
     return pa.array([None if v is None else str(round(v, 1)) for v in x.to_pylist()], pa.string())
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import IntegerType, StringType
 from pyspark.sql.window import Window
 
 from spanweave.constants import EOS_ID, IGNORE_ID, PAD_ID
@@ -172,7 +173,7 @@ def rouge_tokens(text: str | Column) -> Column:
     return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, " "))
 
 
-@F.arrow_udf("int")
+@F.arrow_udf(IntegerType())
 def lcs_length(a: pa.Array, b: pa.Array) -> pa.Array:
     """Longest common subsequence length per pair, one vectorised row update per token:
     row_i = running max of (match ? row_{i-1}[j-1] + 1 : row_{i-1}[j])."""

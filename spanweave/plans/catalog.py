@@ -846,3 +846,42 @@ def instruction_truncate(spark, sf):
     r = IN.render_instruction(e, max_source_length=INSTR_MAX)
     t = IN.truncate_source(r, corpus_vocab(spark, sf), TRUNC_MAX)
     return t.select("id", "source_text")
+
+
+# --- A7 cache, A8 feature sink, G14 duplicate trimming ----------------------------
+from spanweave.sources.tables import cached, write_features  # noqa: E402
+from spanweave.streaming.streams import scratch_path  # noqa: E402
+
+
+@query("features_sink", sql=_corrupt_sql(0.15, 128, 32).replace(
+    "SELECT doc_id, chunk, {0} AS input_ids".format(O.render('inp')), "SELECT {0} AS input_ids".format(O.render('inp')))
+    .replace(f"       {O.render('dec')} AS decoder_input_ids, ", "       "))
+def features_sink(spark, sf):
+    """Only input_ids, attention_mask and labels reach the written features."""
+    ch = corpus_chunks(spark, sf)
+    out = scratch_path(spark, "features")
+    write_features(corrupt(ch, "row_key", input_length=128, target_length=32, density=0.15), out)
+    d = spark.read.parquet(out)
+    return d.select(render("input_ids"), render("labels"), render("attention_mask"))
+
+
+@query("cached_chunks", sql=O.corpus_ctes() + f"""
+SELECT doc_id, chunk, {O.render('input_ids')} AS input_ids, {O.render('attention_mask')} AS attention_mask
+FROM chunks""")
+def cached_chunks(spark, sf):
+    """Whole-text encoding behind a configuration-keyed cache."""
+    cfg = {"source": sf, "table": "documents", "tokenizer": "corpus-vocab-32100", "max_len": 128, "overflow": "chunk"}
+    d = cached(spark, cfg, lambda: corpus_chunks(spark, sf))
+    return d.select("doc_id", "chunk", render("input_ids"), render("attention_mask"))
+
+
+@query("dedup_predictions", sql=O.corpus_ctes() + O.predictions_cte() + """
+SELECT DISTINCT doc_id, chunk, array_to_string(pred, ' ') AS pred FROM preds""")
+def dedup_predictions(spark, sf):
+    """The last distributed batch repeats rows; one row per example key survives."""
+    p = EV.predictions(spark, sf)
+    last = dense_index(p, ["doc_id", "chunk"], "_i")
+    n = p.agg(F.count(F.lit(1))).scalar()
+    repeated = p.unionByName(last.filter(F.col("_i") >= n - 32).drop("_i"))
+    t = M.trim_duplicates(repeated, "row_key")
+    return t.select("doc_id", "chunk", render("pred"))

@@ -72,3 +72,38 @@ def write_predictions(df: DataFrame, path: str, partition_by=("task", "split"),
     if parts:
         w = w.partitionBy(*parts)
     w.parquet(path)
+
+
+def read_task(spark: SparkSession, base: str, benchmark: str, task: str, fmt: str = "parquet") -> dict[str, DataFrame]:
+    """A2: every split of one task, laid out as ``base/benchmark/task/<split>``.
+
+    ``mnli`` has matched/mismatched validation and test splits; other tasks
+    one of each. Returns split name -> DataFrame.
+    """
+    if task == "mnli":
+        splits = ["train", "validation_matched", "validation_mismatched", "test_matched", "test_mismatched"]
+    else:
+        splits = ["train", "validation", "test"]
+    return {s: spark.read.format(fmt).load(f"{base.rstrip('/')}/{benchmark}/{task}/{s}") for s in splits}
+
+
+def cached(spark: SparkSession, config: dict, build, root: str | None = None) -> DataFrame:
+    """Load a materialised result if present, else build, write and load it.
+
+    The key is a hash of the whole configuration (paths, tokenizer, slice,
+    lengths), so a changed setting never hits a stale entry. Entries live in
+    the shared checkpoint folder unless ``root`` names another shared path;
+    ``_SUCCESS`` marks a complete write.
+    """
+    import hashlib
+    import json
+
+    from spanweave.session import checkpoint_dir
+    key = hashlib.sha256(json.dumps(config, sort_keys=True, default=str).encode()).hexdigest()[:24]
+    path = f"{(root or checkpoint_dir(spark)).rstrip('/')}/cache-{key}"
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    p = jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")
+    if not p.getFileSystem(conf).exists(p):
+        build().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

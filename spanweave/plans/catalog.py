@@ -885,3 +885,62 @@ def dedup_predictions(spark, sf):
     repeated = p.unionByName(last.filter(F.col("_i") >= n - 32).drop("_i"))
     t = M.trim_duplicates(repeated, "row_key")
     return t.select("doc_id", "chunk", render("pred"))
+
+
+# --- D4 per-sentence encoding, A6 phrase file, A9 prediction sink ------------------
+from spanweave.operators.vocab import encode_sentences  # noqa: E402
+from spanweave.sources.tables import read_phrases, write_predictions  # noqa: E402
+
+SENT_LEN = 64
+
+
+@query("encode_sentences", sql=O.vocab_ctes() + f""",
+sents AS (SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS text,
+                 unnest(generate_series(0, len(string_split(text, chr(10))) - 1))::INTEGER AS sentence_idx
+          FROM conversations),
+sk AS (SELECT *, CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR) || ':' || CAST(sentence_idx AS VARCHAR) AS sk FROM sents)"""
+    + O.text_ids_ctes("st", "sk", ["sk"], eos=False) + f""",
+enc AS (SELECT sk, ids[1 : {SENT_LEN - 1}] || [1] AS seg FROM st_ids)
+SELECT k.conv_id, k.turn, k.sentence_idx, {O.render(O.fit('e.seg', SENT_LEN))} AS input_ids
+FROM sk k JOIN enc e ON e.sk = k.sk""")
+def encode_sentences_q(spark, sf):
+    """Each line of a turn encoded on its own (rows out != rows in)."""
+    conv = read_table(spark, sf, "conversations", balance=True).select("conv_id", "turn", "text")
+    d = conv.withColumn("sentences", F.split("text", "\n")).drop("text")
+    e = encode_sentences(d, "sentences", corpus_vocab(spark, sf), SENT_LEN)
+    return e.select("conv_id", "turn", "sentence_idx", render("input_ids"))
+
+
+@query("phrase_file", sql=O.vocab_ctes() + O.mine_ctes(MINE_MIN_COUNT) + f"""
+SELECT DISTINCT phrase FROM mined WHERE score >= {PHRASE_MIN_SCORE}""")
+def phrase_file(spark, sf):
+    """Mined phrases written one per line, read back as a set."""
+    path = scratch_path(spark, "phrases")
+    m = mine_phrases(documents(spark, sf), "text", max_n=5, min_count=MINE_MIN_COUNT, min_score=PHRASE_MIN_SCORE)
+    m.select("phrase").write.text(path)
+    return read_phrases(spark, path)
+
+
+@query("prediction_sink", sql=O.corpus_ctes() + O.predictions_cte() + O.tokens_cte("chunks").replace("tk_rows AS", "tk_unused AS") + """,
+fm AS (SELECT max(pred[1]) AS m FROM preds),
+al AS (SELECT p.doc_id, p.chunk, CASE WHEN fm.m = 0 THEN p.pred[2 : len(p.pred)] || [0] ELSE p.pred END AS pred,
+              list_transform(p.labels, lambda x: CASE WHEN x = -100 THEN 0 ELSE x END) AS labels FROM preds p, fm),
+pu AS (SELECT doc_id, chunk, unnest(pred) AS id, unnest(generate_series(1, len(pred))) AS pos FROM al),
+lu AS (SELECT doc_id, chunk, unnest(labels) AS id, unnest(generate_series(1, len(labels))) AS pos FROM al),
+pdx AS (SELECT u.doc_id, u.chunk, string_agg(v.piece, '' ORDER BY u.pos) FILTER (WHERE v.id >= 3 AND v.id < 32000) AS t
+        FROM pu u LEFT JOIN full_vocab v ON v.id = u.id GROUP BY u.doc_id, u.chunk),
+ldx AS (SELECT u.doc_id, u.chunk, string_agg(v.piece, '' ORDER BY u.pos) FILTER (WHERE v.id >= 3 AND v.id < 32000) AS t
+        FROM lu u LEFT JOIN full_vocab v ON v.id = u.id GROUP BY u.doc_id, u.chunk)
+SELECT 'corpus' AS task, 'train' AS split, a.doc_id, a.chunk, trim(replace(coalesce(a.t, ''), '▁', ' ')) AS prediction,
+       trim(replace(coalesce(b.t, ''), '▁', ' ')) AS reference
+FROM pdx a JOIN ldx b ON b.doc_id = a.doc_id AND b.chunk = a.chunk""")
+def prediction_sink(spark, sf):
+    """Decoded predictions next to decoded references, partitioned by task and split."""
+    vocab = corpus_vocab(spark, sf)
+    p = EV.predictions(spark, sf)
+    p = M.align_predictions(p)
+    p = decode(decode(p, "pred", vocab, "prediction"), "labels", vocab, "reference")
+    out = scratch_path(spark, "predictions")
+    write_predictions(p.select(F.lit("corpus").alias("task"), F.lit("train").alias("split"), "doc_id", "chunk",
+                               "prediction", "reference"), out)
+    return spark.read.parquet(out).select("task", "split", "doc_id", "chunk", "prediction", "reference")

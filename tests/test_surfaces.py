@@ -33,7 +33,7 @@ def test_map_batches(spark):
     df = spark.range(10).select(F.col("id").cast("int").alias("x"))
 
     def double(b):
-        return pa.RecordBatch.from_arrays([pa.compute.multiply(b.column(0), 2)], names=["y"])
+        return pa.RecordBatch.from_arrays([pa.compute.multiply(b.column(0), 2).cast(pa.int32())], names=["y"])
 
     assert sorted(r["y"] for r in map_batches(df, double, "y int").collect()) == [2 * i for i in range(10)]
 

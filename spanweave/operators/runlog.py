@@ -42,29 +42,30 @@ def early_stop(df: DataFrame, metric: str, patience: int, threshold: float = 0.0
                value: str = "value", step: str = "step") -> DataFrame:
     """H4: step at which early stopping ends training (NULL: never).
 
-    An evaluation improves if it beats the best so far by more than
-    ``threshold``; the best is updated on any strict improvement; training
-    stops at the evaluation where ``patience`` non-improvements accumulate.
-    Evaluations of one run are folded in step order (one array per run,
-    bounded by its number of evaluations).
+    The best so far is updated on any strict improvement, so it is the
+    running max (min) of earlier evaluations; an evaluation improves when it
+    beats that by more than ``threshold``. Training stops at the first
+    evaluation that is ``patience`` evaluations past the last improvement.
+    Expressed with running-window aggregates (no per-run array is gathered).
     """
-    d = df.filter(F.col(name) == metric)
-    g = d.groupBy(run).agg(F.sort_array(F.collect_list(F.struct(step, value))).alias("_sw_evals"))
-    better = "e.{v} > acc.best" if greater_is_better else "e.{v} < acc.best"
-    better = better.format(v=value)
-    fold = (f"aggregate(_sw_evals, named_struct('best', CAST(NULL AS DOUBLE), 'bad', 0, 'stop', CAST(NULL AS BIGINT)), "
-            f"(acc, e) -> IF(acc.stop IS NOT NULL, acc, named_struct("
-            f"'best', IF(acc.best IS NULL OR {better}, e.{value}, acc.best), "
-            f"'bad', IF(acc.best IS NULL OR ({better} AND abs(e.{value} - acc.best) > {float(threshold)!r}), 0, acc.bad + 1), "
-            f"'stop', IF(NOT (acc.best IS NULL OR ({better} AND abs(e.{value} - acc.best) > {float(threshold)!r})) "
-            f"AND acc.bad + 1 >= {int(patience)}, CAST(e.{step} AS BIGINT), CAST(NULL AS BIGINT)))), acc -> acc.stop)")
-    return g.select(run, F.expr(fold).alias("stopped_at_step"), F.size("_sw_evals").alias("n_evals"))
+    d = df.filter(F.col(name) == metric).select(run, step, value)
+    sign = 1.0 if greater_is_better else -1.0
+    v = F.col(value) * sign
+    w_prev = Window.partitionBy(run).orderBy(step).rowsBetween(Window.unboundedPreceding, -1)
+    w_upto = Window.partitionBy(run).orderBy(step).rowsBetween(Window.unboundedPreceding, 0)
+    d = d.withColumn("_sw_k", F.row_number().over(Window.partitionBy(run).orderBy(step)))
+    d = d.withColumn("_sw_best", F.max(v).over(w_prev))
+    improved = F.col("_sw_best").isNull() | ((v > F.col("_sw_best")) & (F.abs(v - F.col("_sw_best")) > threshold))
+    d = d.withColumn("_sw_imp", F.when(improved, F.col("_sw_k")).otherwise(F.lit(0)))
+    d = d.withColumn("_sw_last", F.max("_sw_imp").over(w_upto))
+    stop = F.when(F.col("_sw_k") - F.col("_sw_last") >= patience, F.col(step).cast("bigint"))
+    return d.groupBy(run).agg(F.min(stop).alias("stopped_at_step"), F.count(F.lit(1)).cast("int").alias("n_evals"))
 
 
 def keep_last(df: DataFrame, n: int, run: str = "run", step: str = "step") -> DataFrame:
-    """H6: only the last n checkpoints of each run (checkpoint rows are few per run)."""
-    w = Window.partitionBy(run).orderBy(F.desc(step))
-    return df.withColumn("_sw_r", F.row_number().over(w)).filter(F.col("_sw_r") <= n).drop("_sw_r")
+    """H6: only the last n checkpoints of each run (salted two-level cap: skew-safe)."""
+    from spanweave.operators.split import cap_per_group
+    return cap_per_group(df, run, -F.col(step), n, step).drop("rank_in_group")
 
 
 def rank_sweep(df: DataFrame, task: str = "task", run: str = "run", metric: str = "metric",

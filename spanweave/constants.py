@@ -28,6 +28,10 @@ DEFAULT_SEED = 42
 # characters or one punctuation/symbol character (group 2). The same pattern
 # runs unchanged in Java regex (Spark) and RE2 (DuckDB oracle).
 PIECE_PATTERN = r"([\p{Z}\p{Cc}]*)([^\p{Z}\p{C}\p{P}\p{S}]+|[\p{P}\p{S}])"
+# The same pattern with possessive quantifiers for Java regex: the separator
+# class and the word/punctuation classes are disjoint, so backtracking can never
+# produce a different match; possessive matching only skips the futile retries.
+SPARK_PIECE_PATTERN = r"([\p{Z}\p{Cc}]*+)([^\p{Z}\p{C}\p{P}\p{S}]++|[\p{P}\p{S}])"
 
 # ASCII punctuation as the reference's word grouping tests it (a token that is
 # a substring of this text opens a new word).

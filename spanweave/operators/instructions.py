@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
-from spanweave.constants import ASCII_PUNCTUATION, DEFAULT_SEED, PIECE_PATTERN
+from spanweave.constants import ASCII_PUNCTUATION, DEFAULT_SEED, SPARK_PIECE_PATTERN
 from spanweave.functions.rank import uniform_sql
 from spanweave.operators.split import cap_per_task, first_n_per_task
 
@@ -102,7 +102,7 @@ def _dot(x: str) -> str:
 
 def token_count_sql(text: str) -> str:
     """Tokens of a text under the engine's tokenizer: pieces + eos."""
-    return f"(size(regexp_extract_all({text}, {_sql_lit(PIECE_PATTERN)}, 2)) + 1)"
+    return f"(size(regexp_extract_all({text}, {_sql_lit(SPARK_PIECE_PATTERN)}, 2)) + 1)"
 
 
 def _example_sql(kind: str, e: str, k: str, expl: str) -> str:

@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from spanweave.constants import (EOS_ID, EOS_TOKEN, N_SENTINELS, PAD_ID, PAD_TOKEN, PIECE_PATTERN,
+from spanweave.constants import (EOS_ID, EOS_TOKEN, N_SENTINELS, PAD_ID, PAD_TOKEN, SPARK_PIECE_PATTERN,
                                  UNK_ID, UNK_TOKEN, VOCAB_SIZE, WORD_MARK)
 from spanweave.functions.arrays import fit_length_sql, ignore_pads_sql
 
@@ -25,8 +25,8 @@ N_SPECIAL = 3
 def pieces(text: str | Column) -> Column:
     """Text -> array of pieces (JVM regex, two capture groups, zipped)."""
     t = F.concat(F.lit(" "), text if isinstance(text, Column) else F.col(text))
-    ws = F.regexp_extract_all(t, F.lit(PIECE_PATTERN), F.lit(1))
-    core = F.regexp_extract_all(t, F.lit(PIECE_PATTERN), F.lit(2))
+    ws = F.regexp_extract_all(t, F.lit(SPARK_PIECE_PATTERN), F.lit(1))
+    core = F.regexp_extract_all(t, F.lit(SPARK_PIECE_PATTERN), F.lit(2))
     return F.zip_with(ws, core, lambda w, c: F.when(w == F.lit(""), c).otherwise(F.concat(F.lit(WORD_MARK), c)))
 
 
@@ -55,22 +55,24 @@ def build_vocab(df: DataFrame, text_col: str = "text", size: int = VOCAB_SIZE,
     # the table is bounded by ``size``: materialise it once so every consumer
     # (encoding, decoding, id -> piece) reads the same small relation instead
     # of recounting the corpus
-    rows = [(r["piece"], r["id"], r["count"]) for r in ranked.select("piece", "id", "count").collect()]
-    if len(rows) > size:
+    import pandas as pd
+    pdf = ranked.select("piece", "id", "count").toPandas()  # Arrow transfer, bounded by ``size``
+    if len(pdf) > size:
         raise ValueError("vocabulary larger than its declared size")
-    return spark.createDataFrame(rows + specials, "piece string, id int, count bigint")
+    pdf = pd.concat([pdf, pd.DataFrame(specials, columns=["piece", "id", "count"])], ignore_index=True)
+    pdf = pdf.astype({"id": "int32", "count": "int64"})
+    return spark.createDataFrame(pdf, "piece string, id int, count bigint")
 
 
 def _vocab_pieces(vocab: DataFrame, size: int, n_sentinels: int) -> list[str]:
     """Ordinary pieces ordered by id (ids 3..), collected once; bounded by ``size``."""
-    rows = (vocab.filter((F.col("id") >= N_SPECIAL) & (F.col("id") < size - n_sentinels))
-                 .orderBy("id").select("piece", "id").collect())
-    if len(rows) > size:
+    pdf = (vocab.filter((F.col("id") >= N_SPECIAL) & (F.col("id") < size - n_sentinels))
+                .orderBy("id").select("piece", "id").toPandas())
+    if len(pdf) > size:
         raise ValueError("vocabulary larger than its declared size")
-    for i, r in enumerate(rows):
-        if r["id"] != i + N_SPECIAL:
-            raise ValueError("vocabulary ids must be dense from 3")
-    return [r["piece"] for r in rows]
+    if (pdf["id"].to_numpy() != range(N_SPECIAL, N_SPECIAL + len(pdf))).any():
+        raise ValueError("vocabulary ids must be dense from 3")
+    return pdf["piece"].tolist()
 
 
 def piece_ids(vocab: DataFrame, size: int = VOCAB_SIZE, n_sentinels: int = N_SENTINELS):

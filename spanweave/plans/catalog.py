@@ -16,7 +16,7 @@ from spanweave.functions.masks import random_spans_mask
 from spanweave.operators.corrupt import corrupt
 from spanweave.constants import PIECE_PATTERN, WORD_MARK
 from spanweave.plans import oracle as O
-from spanweave.plans.corpus import corpus_chunks, corpus_vocab
+from spanweave.plans.corpus import corpus_chunks, corpus_phrases, corpus_vocab
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -37,7 +37,7 @@ SELECT piece, id, count FROM vocab
 UNION ALL SELECT '<pad>', 0, 0 UNION ALL SELECT '</s>', 1, 0 UNION ALL SELECT '<unk>', 2, 0
 UNION ALL SELECT '<extra_id_' || CAST(j AS VARCHAR) || '>', (32099 - j)::INTEGER, 0 FROM range(100) t(j)""")
 def vocab_build(spark, sf):
-    return corpus_vocab(spark, sf)
+    return corpus_vocab(spark, sf, fresh=True)
 
 
 # --- D2 encoding (whole texts, chunked) ------------------------------------
@@ -98,7 +98,7 @@ PACK_RAW, PACK_TARGET = plan_lengths(PACK_INPUT, PACK_DENSITY, 3.0)
 
 def packed_rows(spark, sf):
     docs = documents(spark, sf)
-    ids = encode_ids(docs, "text", build_vocab(docs, "text"))
+    ids = encode_ids(docs, "text", corpus_vocab(spark, sf))
     g = dense_index(ids, ["doc_id"], "doc_idx").withColumn("pack_group", (F.col("doc_idx") / PACK_GROUP_DOCS).cast("bigint"))
     return pack_tokens(g, "ids", PACK_RAW, "pack_group", "doc_id")
 
@@ -139,9 +139,8 @@ BATCH = 32
 
 
 def turn_batches(spark, sf):
-    docs = documents(spark, sf)
     conv = read_table(spark, sf, "conversations", balance=True).select("conv_id", "turn", "text")
-    ids = encode_ids(conv, "text", build_vocab(docs, "text"))
+    ids = encode_ids(conv, "text", corpus_vocab(spark, sf))
     return assign_batches(ids, ["conv_id", "turn"], BATCH)
 
 
@@ -186,10 +185,9 @@ def phrase_mine(spark, sf):
 
 
 def chunk_tokens(spark, sf):
-    docs = documents(spark, sf)
-    vocab = build_vocab(docs, "text")
+    vocab = corpus_vocab(spark, sf)
     ch = corpus_chunks(spark, sf, vocab=vocab)
-    phrases = mine_phrases(docs, "text", max_n=5, min_count=MINE_MIN_COUNT, min_score=PHRASE_MIN_SCORE)
+    phrases = corpus_phrases(spark, sf, MINE_MIN_COUNT, PHRASE_MIN_SCORE)
     return id_to_piece(ch, "input_ids", vocab, "tokens"), phrases
 
 

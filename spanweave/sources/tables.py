@@ -107,3 +107,21 @@ def cached(spark: SparkSession, config: dict, build, root: str | None = None) ->
     if not p.getFileSystem(conf).exists(p):
         build().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def input_fingerprint(spark: SparkSession, pattern: str) -> list:
+    """(path, size, modification time) of every file under a path or glob, for cache keys."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(pattern)
+    fs = path.getFileSystem(conf)
+    out = []
+    for st in fs.globStatus(path) or []:
+        if st.isDirectory():
+            it = fs.listFiles(st.getPath(), True)
+            while it.hasNext():
+                f = it.next()
+                out.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+        else:
+            out.append((st.getPath().toString(), st.getLen(), st.getModificationTime()))
+    return sorted(out)

@@ -70,8 +70,9 @@ def corpus_ctes(max_len: int = 128) -> str:
 
 def segmentation(n_items: str, k: str, key: str, tag: str) -> str:
     h = md5(key, f"'{tag}'", "i")
+    rank = f"((('0x' || substr({h}, 1, 8))::BIGINT << 20) + i)"
     cuts = (f"list_sort(list_transform(list_sort(list_transform(range(1, {n_items}), "
-            f"lambda i: {h} || lpad(CAST(i AS VARCHAR), 10, '0')))[1 : {k} - 1], lambda s: substr(s, 33)::INTEGER))")
+            f"lambda i: {rank}))[1 : {k} - 1], lambda r: (r & 1048575)::INTEGER))")
     return f"[0] || {cuts} || [{n_items}]"
 
 

@@ -69,6 +69,13 @@ def _weighted_corr(x: Column, y: Column, w: Column) -> Column:
     return F.when(den == 0, F.lit(float("nan"))).otherwise((n * sxy - sx * sy) / den)
 
 
+def _attach_one_row(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Join two global (ungrouped) aggregates: each side is exactly one row, so a
+    broadcast equi-join on a constant key is bounded by construction."""
+    return (a.withColumn("_sw_one", F.lit(1))
+             .join(F.broadcast(b.withColumn("_sw_one", F.lit(1))), "_sw_one").drop("_sw_one"))
+
+
 def token_metrics(df: DataFrame, group: list | None = None, pred: str = "pred", labels: str = "labels",
                   metric_names=("accuracy", "f1", "precision", "recall", "mcc", "pearson", "spearman"),
                   align: bool = True) -> DataFrame:
@@ -103,7 +110,7 @@ def token_metrics(df: DataFrame, group: list | None = None, pred: str = "pred",
            .select(*group, F.col("k").alias("p"), "r_p")
     sp = (tok.join(rl, group + ["l"]).join(rp, group + ["p"]).groupBy(*group)
              .agg(_weighted_corr(F.col("r_l"), F.col("r_p"), c).alias("spearman")))
-    j = lambda a, b: a.join(b, group) if group else a.crossJoin(b)  # noqa: E731 - one-row sides
+    j = lambda a, b: a.join(b, group) if group else _attach_one_row(a, b)
     out = j(j(j(base, mc), sp), ex)
     den = F.sqrt((F.col("n") ** 2 - F.col("p2")) * (F.col("n") ** 2 - F.col("t2")))
     out = (out.withColumn("accuracy", F.col("tp") / F.col("n"))

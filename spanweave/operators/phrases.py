@@ -77,10 +77,10 @@ def phrase_member_udf(phrases: DataFrame, col: str = "phrase"):
     The set is collected once and its size checked against
     ``MAX_BROADCAST_PHRASES``; beyond it callers use ``match_phrases_shuffled``.
     """
-    rows = phrases.select(col).distinct().limit(MAX_BROADCAST_PHRASES + 1).collect()
-    if len(rows) > MAX_BROADCAST_PHRASES:
+    pdf = phrases.select(col).distinct().limit(MAX_BROADCAST_PHRASES + 1).toPandas()  # Arrow, size-checked
+    if len(pdf) > MAX_BROADCAST_PHRASES:
         return None
-    bc = phrases.sparkSession.sparkContext.broadcast([r[0] for r in rows if r[0] is not None])
+    bc = phrases.sparkSession.sparkContext.broadcast([x for x in pdf[col].tolist() if x is not None])
 
     @F.arrow_udf("array<boolean>")
     def _member(arr: pa.Array) -> pa.Array:

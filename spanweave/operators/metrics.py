@@ -87,7 +87,10 @@ def token_metrics(df: DataFrame, group: list | None = None, pred: str = "pred",
     """
     group = list(group or [])
     d = align_predictions(df, pred, labels) if align else df
-    cells = confusion_cells(d, group, pred, labels)
+    # filters on the grouping key would be pushed below the aggregation and make
+    # every branch recount the examples; the cell table is small (distinct
+    # label/prediction pairs), so it is kept once and all branches read it
+    cells = confusion_cells(d, group, pred, labels).persist()
     tok = cells.filter(F.col("l") >= 0)
     ex = (cells.filter(F.col("l") == -1).groupBy(*group)
                .agg((F.sum(F.when(F.col("p") == 1, F.col("c")).otherwise(0)) / F.sum("c")).alias("ex_acc")))

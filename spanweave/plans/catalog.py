@@ -99,8 +99,11 @@ PACK_RAW, PACK_TARGET = plan_lengths(PACK_INPUT, PACK_DENSITY, 3.0)
 def packed_rows(spark, sf):
     docs = documents(spark, sf)
     ids = encode_ids(docs, "text", corpus_vocab(spark, sf))
-    g = dense_index(ids, ["doc_id"], "doc_idx").withColumn("pack_group", (F.col("doc_idx") / PACK_GROUP_DOCS).cast("bigint"))
-    return pack_tokens(g, "ids", PACK_RAW, "pack_group", "doc_id")
+    # number only the narrow key column; the group id joins back to the arrays
+    # (AQE broadcasts it when small), so the token arrays are never checkpointed
+    groups = dense_index(docs.select("doc_id"), ["doc_id"], "doc_idx").select(
+        "doc_id", (F.col("doc_idx") / PACK_GROUP_DOCS).cast("bigint").alias("pack_group"))
+    return pack_tokens(ids.join(groups, "doc_id"), "ids", PACK_RAW, "pack_group", "doc_id")
 
 
 _PACK_SQL = (O.vocab_ctes() + O.text_ids_ctes("docs", "documents", ["doc_id"])

@@ -129,6 +129,15 @@ def resolve_overlaps_sql(matches: str, seed, key: str) -> str:
             f"concat(acc, array(named_struct('s', m.s, 'n', m.n)))))")
 
 
+def _spans_to_mask_sql(spans: str, n: str) -> str:
+    """0/1 array of length n from disjoint (first, ntok) spans sorted by first: one run
+    of zeros and one run of ones per span, then trailing zeros (linear in n)."""
+    gap = f"c.first - IF(j = 0, 0, {spans}[j - 1].first + {spans}[j - 1].ntok)"
+    end = f"IF(size({spans}) = 0, 0, element_at({spans}, -1).first + element_at({spans}, -1).ntok)"
+    return (f"concat(flatten(transform({spans}, (c, j) -> concat(array_repeat(0, {gap}), array_repeat(1, c.ntok)))), "
+            f"array_repeat(0, {n} - {end}))")
+
+
 def phrase_mask(df: DataFrame, tokens: str, phrases: DataFrame, key: str, out: str = "phrase_mask",
                 p: float = 0.5, max_predictions: int = 512, seed=DEFAULT_SEED) -> DataFrame:
     """0/1 mask over ``tokens`` masking whole words and phrases.
@@ -151,8 +160,7 @@ def phrase_mask(df: DataFrame, tokens: str, phrases: DataFrame, key: str, out: s
     fold = (f"aggregate(_sw_cands, named_struct('used', 0, 'sel', cast(array() as array<struct<first:int,ntok:int>>)), "
             f"(acc, c) -> IF(acc.used + c.ntok <= {budget}, named_struct('used', acc.used + c.ntok, 'sel', "
             f"concat(acc.sel, array(named_struct('first', c.first, 'ntok', c.ntok)))), acc), "
-            f"acc -> transform(IF(size({tokens}) > 0, sequence(0, size({tokens}) - 1), cast(array() as array<int>)), "
-            f"i -> IF(exists(acc.sel, c -> i >= c.first AND i < c.first + c.ntok), 1, 0)))")
+            f"acc -> {_let('array_sort(acc.sel)', 'S', _spans_to_mask_sql('S', f'size({tokens})'))})")
     d = d.withColumn(out, F.expr(fold))
     return d.drop("_sw_matches", "_sw_chosen", "_sw_cands", "words")
 

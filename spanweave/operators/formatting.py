@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import IntegerType, StringType
+from pyspark.sql.types import StringType
 
 from spanweave.operators.tasks import N_INPUT_COLUMN_NAMES, TaskConfig, get_task
 

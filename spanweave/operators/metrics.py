@@ -11,7 +11,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import IntegerType, StringType
+from pyspark.sql.types import IntegerType
 from pyspark.sql.window import Window
 
 from spanweave.constants import EOS_ID, IGNORE_ID, PAD_ID

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from spanweave.constants import IGNORE_ID, PAD_ID
 from spanweave.functions.rank import dense_index
 
 
@@ -74,6 +73,3 @@ def plan_steps(df: DataFrame, split: str, batch_size: int, grad_acc: int = 1,
     c = c.withColumn("n_batches", F.expr(f"cast(ceil(n_rows / {batch_size}) as bigint)"))
     return c.withColumn("total_steps", F.expr(f"cast((n_batches div {grad_acc}) * {epochs} div {workers} as bigint)"))
 
-
-def labels_pad(col: str) -> str:
-    return f"transform({col}, y -> IF(y = {PAD_ID}, {IGNORE_ID}, y))"

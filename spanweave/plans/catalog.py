@@ -86,7 +86,7 @@ from spanweave.functions.rank import dense_index, uniform_sql  # noqa: E402
 from spanweave.operators.corrupt import corrupt_complement  # noqa: E402
 from spanweave.operators.pack import (assign_batches, collect_batches, pack_tokens,  # noqa: E402
                                       pad_to_longest)
-from spanweave.operators.vocab import build_vocab, encode_ids  # noqa: E402
+from spanweave.operators.vocab import encode_ids  # noqa: E402
 from spanweave.plans.corpus import documents  # noqa: E402
 from spanweave.sources.tables import read_table  # noqa: E402
 

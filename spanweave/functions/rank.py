@@ -59,6 +59,22 @@ def _materialize(df: DataFrame) -> DataFrame:
 
 def dense_index(df: DataFrame, order_cols: list, name: str = "idx",
                 num_partitions: int | None = None) -> DataFrame:
+    """Exact 0-based global row index in ``order_cols`` order (see ``_dense_index_rows``).
+
+    Wide rows are not numbered directly: only the (non-null, unique) order
+    key columns are range-partitioned and checkpointed, and the index joins
+    back on them (AQE broadcasts it when small). That trades a full
+    checkpoint of the wide rows for one shuffle of them.
+    """
+    extra = [c for c in df.columns if c not in order_cols]
+    if not extra:
+        return _dense_index_rows(df, order_cols, name, num_partitions)
+    idx = _dense_index_rows(df.select(*order_cols), order_cols, name, num_partitions)
+    return df.join(idx, list(order_cols))
+
+
+def _dense_index_rows(df: DataFrame, order_cols: list, name: str = "idx",
+                      num_partitions: int | None = None) -> DataFrame:
     """Attach an exact 0-based global row index in ``order_cols`` order.
 
     ``row_number() over (order by ...)`` without a partition moves every row

@@ -84,3 +84,14 @@ def test_pack_exact_rows_and_remainder(spark):
     flat = [x for _, _, ids in docs for x in ids]
     assert all(len(r["input_ids"]) == 8 for r in out)
     assert [x for r in out for x in r["input_ids"]] == flat[: len(flat) // 8 * 8]
+
+
+def test_shuffled_membership_fallback(spark, monkeypatch):
+    """Beyond the broadcast bound, membership is a shuffled semi join; same masks."""
+    import spanweave.operators.phrases as P
+    monkeypatch.setattr(P, "MAX_BROADCAST_PHRASES", 2)
+    df = spark.createDataFrame(ROWS, "k string, tokens array<string>")
+    ph = spark.createDataFrame([(x,) for x in PHRASES], "phrase string")
+    got = {r["k"]: r["m"] for r in phrase_mask(df, "tokens", ph, "k", "m", p=0.5).collect()}
+    for k, toks in ROWS:
+        assert got[k] == brute_force_mask(k, toks, set(PHRASES), p=0.5), k

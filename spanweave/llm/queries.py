@@ -9,16 +9,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from spanweave.llm.decontamination import op1_decontaminate
 from spanweave.llm.html_text import op7_html_text
 from spanweave.llm.language_id import op4_language_id
 from spanweave.llm.licences import op5_licence_scan
 from spanweave.llm.lm_scoring import op8_lm_score
 from spanweave.llm.near_dedup import op3_minhash_near_dedup
 from spanweave.llm.packing import op2_best_fit_packing
+from spanweave.llm.pii import op9_personal_data
 from spanweave.llm.topk import OP10_SQL, op10_exact_topk
 from spanweave.llm.warc import OP6_SQL, op6_warc
 
 QUERIES: dict[str, Callable] = {
+    "op1_decontaminate": op1_decontaminate,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op4_language_id": op4_language_id,
@@ -26,6 +29,7 @@ QUERIES: dict[str, Callable] = {
     "op6_warc": op6_warc,
     "op7_html_text": op7_html_text,
     "op8_lm_score": op8_lm_score,
+    "op9_personal_data": op9_personal_data,
     "op10_exact_topk": op10_exact_topk,
 }
 

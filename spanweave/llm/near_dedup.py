@@ -40,7 +40,7 @@ from spanweave.llm.common import (components, constants, find_words, fresh, hash
 ROWS = 3             #: minhashes in one hash of a collection
 LOSS = 1e-6          #: chance to miss a pair exactly at the similarity
 SLACK = 0.3          #: signature estimates this far below the similarity still join a cluster
-BLOCK_DOCS = 1024    #: members of a block
+BLOCK_DOCS = 512    #: members of a block
 BLOCK_SHINGLES = 1 << 20
 _U = np.uint64
 
@@ -224,7 +224,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         "other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
         F.xxhash64("component", "g", F.least("own", "other"), F.greatest("own", "other")).alias("grp"), "c", "rk")
     texts = docs.select(row_key(docs, id_col, text_col).alias("rk"), F.col(text_col).alias("text"))
-    blocks = texts.join(placed, "rk").select("grp", "c", "text")
+    # the member list grows with the corpus: never broadcast it, hash it partition by partition
+    blocks = texts.join(placed.hint("shuffle_hash"), "rk").select("grp", "c", "text")
     blocks = blocks.repartition(F.col("grp")).sortWithinPartitions("grp", "c")
     linked = components(_links(blocks, num, den))
 

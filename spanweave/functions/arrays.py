@@ -88,9 +88,8 @@ def check_length(col: str, n: int, what: str | None = None) -> Column:
     """Fail the task with expected/actual length if an array has the wrong size."""
     what = what or col
     return F.when(F.size(col) != F.lit(int(n)),
-                  F.raise_error(F.concat(F.lit(f"`{what}` are incorrectly preprocessed. `{what}` length is "),
-                                         F.size(col).cast("string"),
-                                         F.lit(f", but should be {int(n)}.")))
+                  F.raise_error(F.concat(F.lit(f"array {what}: expected {int(n)} elements, found "),
+                                         F.size(col).cast("string")))
             ).otherwise(F.col(col))
 
 

@@ -61,20 +61,28 @@ def dense_index(df: DataFrame, order_cols: list, name: str = "idx",
                 num_partitions: int | None = None) -> DataFrame:
     """Exact 0-based global row index in ``order_cols`` order (see ``_dense_index_rows``).
 
-    Wide rows are not numbered directly: only the (non-null, unique) order
-    key columns are range-partitioned and checkpointed, and the index joins
-    back on them (AQE broadcasts it when small). That trades a full
-    checkpoint of the wide rows for one shuffle of them.
+    Wide rows are not numbered directly: one row per distinct key is range-partitioned and
+    checkpointed with its number of rows, and the first index of each key joins back null-safely.
+    Rows that share a key (nulls are a key too) take consecutive indexes, so no row is lost or
+    multiplied; which of them comes first is settled by the other columns' hash.
     """
+    from pyspark.sql.window import Window
     extra = [c for c in df.columns if c not in order_cols]
     if not extra:
         return _dense_index_rows(df, order_cols, name, num_partitions)
-    idx = _dense_index_rows(df.select(*order_cols), order_cols, name, num_partitions)
-    return df.join(idx, list(order_cols))
+    keys = df.groupBy(*order_cols).agg(F.count(F.lit(1)).alias("_sw_copies"))
+    keys = _dense_index_rows(keys, order_cols, name, num_partitions, weight="_sw_copies").toDF(
+        *[f"_sw_k{i}" for i in range(len(order_cols))], "_sw_copies", name)
+    same = [F.col(c).eqNullSafe(F.col(f"_sw_k{i}")) for i, c in enumerate(order_cols)]
+    d = df.join(keys, on=same)
+    if keys.where("_sw_copies > 1").limit(1).count():
+        d = d.withColumn(name, F.col(name) + F.row_number().over(
+            Window.partitionBy(*order_cols).orderBy(F.xxhash64(F.to_json(F.struct(*extra))))) - 1)
+    return d.select(*df.columns, name)
 
 
 def _dense_index_rows(df: DataFrame, order_cols: list, name: str = "idx",
-                      num_partitions: int | None = None) -> DataFrame:
+                      num_partitions: int | None = None, weight: str | None = None) -> DataFrame:
     """Attach an exact 0-based global row index in ``order_cols`` order.
 
     ``row_number() over (order by ...)`` without a partition moves every row
@@ -83,7 +91,8 @@ def _dense_index_rows(df: DataFrame, order_cols: list, name: str = "idx",
     at most ``num_partitions`` rows), turn the counts into offsets and
     broadcast them back. The only wide step is the range shuffle, which
     splits hot key ranges because the order is total.
-    ``order_cols`` must make the order total (end with a unique key).
+    ``order_cols`` must make the order total (end with a unique key). With ``weight`` a row
+    takes that many indexes and gets the first of them.
     """
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -91,11 +100,14 @@ def _dense_index_rows(df: DataFrame, order_cols: list, name: str = "idx",
                .sortWithinPartitions(*order_cols)
                .withColumn("_sw_pid", F.spark_partition_id())
                .withColumn("_sw_mid", F.monotonically_increasing_id()))
+    from pyspark.sql.window import Window
     # local position = id minus the partition's base (pid << 33)
     local = local.withColumn("_sw_pos", F.col("_sw_mid") - F.shiftleft(F.col("_sw_pid").cast("bigint"), 33))
     local = _materialize(local)
-    counts = local.groupBy("_sw_pid").agg(F.count(F.lit(1)).alias("_sw_n"))
-    from pyspark.sql.window import Window
+    if weight:
+        before = Window.partitionBy("_sw_pid").orderBy("_sw_mid").rowsBetween(Window.unboundedPreceding, -1)
+        local = local.withColumn("_sw_pos", F.coalesce(F.sum(weight).over(before), F.lit(0)))
+    counts = local.groupBy("_sw_pid").agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("_sw_n"))
     offsets = counts.withColumn(
         "_sw_off",
         F.coalesce(F.sum("_sw_n").over(Window.orderBy("_sw_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),

@@ -108,8 +108,8 @@ def token_count_sql(text: str) -> str:
 def _example_sql(kind: str, e: str, k: str, expl: str) -> str:
     head = _dot(f"concat(' {kind} Example ', cast({k} as string), ' -\\nInput: ', {_strip(e + '.input')})")
     body = _dot(f"concat({head}, '\\n', ' Output: ', {_strip(e + '.output')})")
-    with_expl = (f"IF({expl} AND {e}.explanation IS NOT NULL, concat({_dot(f'concat({body}, chr(10), {chr(39)} Explanation: {chr(39)}, {_strip(e + chr(46) + chr(101) + chr(120) + chr(112) + chr(108) + chr(97) + chr(110) + chr(97) + chr(116) + chr(105) + chr(111) + chr(110))})')}, '\\n'), "
-                 f"concat({body}, '\\n'))")
+    reason = f"concat({body}, '\\n', ' Explanation: ', {_strip(e + '.explanation')})"
+    with_expl = f"IF({expl} AND {e}.explanation IS NOT NULL, concat({_dot(reason)}, '\\n'), concat({body}, '\\n'))"
     return f"concat({with_expl}, '\\n')"
 
 
@@ -122,8 +122,8 @@ def render_instruction(df: DataFrame, max_source_length: int = 1024, out: str =
     """
     ti = _dot(f"concat('Now complete the following example -\\nInput: ', {_strip('Instance.input')})")
     ti = f"concat({ti}, '\\nOutput: ')"
-    definition = (f"IF(encoding.add_task_definition, concat({_dot(f'concat({chr(39)}Definition: {chr(39)}, {_strip(chr(96) + "Definition" + chr(96) + "[0]")})')}, "
-                  f"'\\n\\n'), '')")
+    stated = f"concat('Definition: ', {_strip('`Definition`[0]')})"
+    definition = f"IF(encoding.add_task_definition, concat({_dot(stated)}, '\\n\\n'), '')"
     d = df.withColumn("_sw_ti", F.expr(ti)).withColumn("_sw_def", F.expr(definition))
     d = d.withColumn("_sw_name", F.expr("IF(encoding.add_task_name, concat(Task, '. '), '')"))
     for kind, col, n in (("Positive", "`Positive Examples`", "encoding.num_pos_examples"),
@@ -131,8 +131,9 @@ def render_instruction(df: DataFrame, max_source_length: int = 1024, out: str =
         strs = (f"transform(slice(coalesce({col}, array()), 1, {n}), (e, i) -> "
                 f"{_example_sql(kind, 'e', 'i + 1', 'encoding.add_explanation')})")
         prior = "array_join(_sw_pos, ' ')" if kind == "Negative" else "''"
+        so_far = f"concat(_sw_def, {prior}, array_join(s.acc, ' '), c, _sw_ti)"
         fold = (f"aggregate({strs}, named_struct('acc', cast(array() as array<string>), 'stop', false), "
-                f"(s, c) -> IF(s.stop, s, IF({token_count_sql(f'concat(_sw_def, {prior}, array_join(s.acc, {chr(39)} {chr(39)}), c, _sw_ti)')} "
+                f"(s, c) -> IF(s.stop, s, IF({token_count_sql(so_far)} "
                 f"<= {int(max_source_length)}, named_struct('acc', concat(s.acc, array(c)), 'stop', false), "
                 f"named_struct('acc', s.acc, 'stop', true))), s -> s.acc)")
         d = d.withColumn("_sw_pos" if kind == "Positive" else "_sw_neg", F.expr(fold))
@@ -143,7 +144,7 @@ def render_instruction(df: DataFrame, max_source_length: int = 1024, out: str =
 def choose_reference(df: DataFrame, seed=DEFAULT_SEED, key: str = "id", out: str = "target") -> DataFrame:
     """C11: one of the instance's reference outputs by md5 uniform; NULL when it has none."""
     n = "size(Instance.output)"
-    pick = f"IF({n} > 0, element_at(Instance.output, cast({uniform_sql(n, seed, key, chr(39) + 'ref' + chr(39))} as int) + 1), NULL)"
+    pick = f"IF({n} > 0, element_at(Instance.output, cast({uniform_sql(n, seed, key, "'ref'")} as int) + 1), NULL)"
     return df.withColumn(out, F.expr(pick))
 
 

@@ -4,12 +4,19 @@ The reference downloads a pretrained subword model; none is available
 offline, so the vocabulary is learned from the corpus itself: a piece is a
 run of word characters or one punctuation/symbol character, prefixed with
 the word-start marker when separators precede it (as a sentencepiece model
-writes it). Ids: 0 pad, 1 eos, 2 unk, 3.. pieces by (count desc, piece),
-then the sentinels at the top of the id space.
+writes it). The vocabulary holds every character of the corpus, the marker
+included, and then the most frequent longer pieces; a piece that is not in it
+is spelled as its characters (a head with the marker, then continuation
+pieces), so no text of the corpus is lost. Ids: 0 pad, 1 eos, 2 unk, 3..
+characters by (count desc, character), then pieces by (count desc, piece), then
+the sentinels at the top of the id space.
 """
 
 from __future__ import annotations
 
+from itertools import chain
+
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
@@ -41,14 +48,19 @@ def build_vocab(df: DataFrame, text_col: str = "text", size: int = VOCAB_SIZE,
 
     Counting is a map-side-combined ``groupBy`` (hot pieces never reach one
     task unaggregated); the top-k is a ``TakeOrderedAndProject`` whose result
-    is bounded by ``size``, so numbering it on one task is safe.
+    is bounded by ``size``, so numbering it on one task is safe. An alphabet that
+    leaves no room for longer pieces keeps its most frequent characters.
     """
     k = size - n_sentinels - N_SPECIAL
     counts = (df.select(F.explode(pieces(text_col)).alias("piece"))
                 .groupBy("piece").agg(F.count(F.lit(1)).alias("count")))
-    top = counts.orderBy(F.desc("count"), F.asc("piece")).limit(k)
-    ranked = top.withColumn(
-        "id", (F.row_number().over(Window.orderBy(F.desc("count"), F.asc("piece"))) + (N_SPECIAL - 1)).cast("int"))
+    chars = (counts.select(F.explode(F.split("piece", "")).alias("piece"), "count")
+                   .groupBy("piece").agg(F.sum("count").alias("count")).where("piece <> ''"))
+    longer = counts.where(F.length("piece") > 1)
+    both = chars.withColumn("part", F.lit(0)).unionByName(longer.withColumn("part", F.lit(1)))
+    order = (F.asc("part"), F.desc("count"), F.asc("piece"))
+    top = both.orderBy(*order).limit(k)
+    ranked = top.withColumn("id", (F.row_number().over(Window.orderBy(*order)) + (N_SPECIAL - 1)).cast("int"))
     spark = df.sparkSession
     specials = ([(PAD_TOKEN, PAD_ID, 0), (EOS_TOKEN, EOS_ID, 0), (UNK_TOKEN, UNK_ID, 0)]
                 + [(sentinel_token(j), size - 1 - j, 0) for j in range(n_sentinels)])
@@ -76,25 +88,37 @@ def _vocab_pieces(vocab: DataFrame, size: int, n_sentinels: int) -> list[str]:
 
 
 def piece_ids(vocab: DataFrame, size: int = VOCAB_SIZE, n_sentinels: int = N_SENTINELS):
-    """Column function: array<string> pieces -> array<int> ids (unknown -> 2).
-
-    Vectorised Arrow lookup (``pyarrow.compute.index_in``) against the
-    broadcast piece list: the vocabulary is bounded by ``size`` (32,100 by
-    default, checked), and the lookup keeps the per-document layout, so no
-    token-level explode/regroup shuffle is needed.
+    """Column function: array<string> pieces -> array<int> ids.
+
+    A piece of the vocabulary is one id; any other is the ids of its characters
+    (a character the corpus never had is 2). Each batch looks up its distinct
+    pieces only, against a dictionary that a task builds once from the broadcast
+    piece list: the vocabulary is bounded by ``size`` (32,100 by default,
+    checked), and the lookup keeps the per-document layout, so no token-level
+    explode/regroup shuffle is needed.
     """
     plist = _vocab_pieces(vocab, size, n_sentinels)
     bc = vocab.sparkSession.sparkContext.broadcast(plist)
+    held: dict = {}
 
     @F.arrow_udf("array<int>")
     def _lookup(arr: pa.Array) -> pa.Array:
+        if not held:
+            held.update(zip(bc.value, range(N_SPECIAL, N_SPECIAL + len(bc.value))))
         if isinstance(arr, pa.ChunkedArray):
             arr = arr.combine_chunks()
-        offsets = pc.subtract(arr.offsets, arr.offsets[0])
-        flat = pc.list_flatten(arr)
-        idx = pc.index_in(flat, value_set=pa.array(bc.value, pa.string()))
-        ids = pc.fill_null(pc.add(idx, N_SPECIAL), UNK_ID).cast(pa.int32())
-        return pa.ListArray.from_arrays(offsets, ids, mask=arr.is_null())
+        coded = pc.list_flatten(arr).dictionary_encode()
+        spelled = [[held[p]] if p in held else [held.get(c, UNK_ID) for c in p or ""]
+                   for p in coded.dictionary.to_pylist()]
+        sizes = np.array([len(x) for x in spelled], np.int64)
+        starts = np.concatenate([[0], np.cumsum(sizes)])
+        every = np.fromiter(chain.from_iterable(spelled), np.int32, starts[-1])
+        which = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        ends = np.concatenate([[0], np.cumsum(sizes[which])])
+        ids = every[np.repeat(starts[which] - ends[:-1], sizes[which]) + np.arange(ends[-1])]
+        lens = pc.fill_null(pc.list_value_length(arr), 0).to_numpy(zero_copy_only=False)
+        rows = ends[np.concatenate([[0], np.cumsum(lens)])]
+        return pa.ListArray.from_arrays(pa.array(rows, pa.int32()), pa.array(ids), mask=arr.is_null())
 
     return _lookup
 
@@ -143,10 +167,13 @@ def encode_labels(df: DataFrame, text_col: str, vocab: DataFrame, max_len: int,
     return d.withColumn(out, F.expr(ignore_pads_sql("_sw_lab"))).drop("_sw_lab", "_sw_labmask")
 
 
-def encode_sentences(df: DataFrame, list_col: str, vocab: DataFrame, max_len: int) -> DataFrame:
-    """A list of sentences per row; each sentence encoded alone (rows out != rows in)."""
+def encode_sentences(df: DataFrame, list_col: str, vocab: DataFrame, max_len: int,
+                     overflow: str = "chunk") -> DataFrame:
+    """A list of sentences per row; each sentence encoded alone (rows out != rows in).
+
+    Long sentences become several rows (column ``chunk``), or are cut with ``overflow="truncate"``."""
     d = df.select("*", F.posexplode(list_col).alias("sentence_idx", "_sw_sentence"))
-    return encode(d, "_sw_sentence", vocab, max_len, overflow="truncate").drop("_sw_sentence")
+    return encode(d, "_sw_sentence", vocab, max_len, overflow=overflow).drop("_sw_sentence")
 
 
 def vocab_array(vocab: DataFrame) -> Column:

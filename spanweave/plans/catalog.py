@@ -14,9 +14,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from spanweave.functions.arrays import render
 from spanweave.functions.masks import random_spans_mask
 from spanweave.operators.corrupt import corrupt
-from spanweave.constants import PIECE_PATTERN, WORD_MARK
+from spanweave.constants import PIECE_PATTERN, UNK_ID, WORD_MARK
 from spanweave.plans import oracle as O
-from spanweave.plans.corpus import corpus_chunks, corpus_phrases, corpus_vocab
+from spanweave.plans.corpus import VOCAB_VERSION, corpus_chunks, corpus_phrases, corpus_vocab, documents
+from spanweave.sources.tables import input_fingerprint
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -49,6 +50,15 @@ def encode_chunks(spark, sf):
     return ch.select("doc_id", "chunk", render("input_ids"), render("attention_mask"))
 
 
+@query("unk_share", sql=O.corpus_ctes() + """
+SELECT count(*) AS n_rows, CAST(sum(len(list_filter(ids, lambda x: x = 2))) AS BIGINT) AS n_unknown FROM doc_ids""")
+def unk_share(spark, sf):
+    """Ids that stand for no piece, over the whole corpus: none, since every character has a piece."""
+    ids = encode_ids(documents(spark, sf), "text", corpus_vocab(spark, sf), add_eos=False)
+    unknown = F.size(F.filter("ids", lambda i: i == UNK_ID)).cast("bigint")
+    return ids.agg(F.count(F.lit(1)).alias("n_rows"), F.sum(unknown).alias("n_unknown"))
+
+
 # --- E1/E2 random span mask ------------------------------------------------
 @query("span_mask", sql=O.corpus_ctes() + "," + O.random_mask_ctes(
     "chunks", "len(input_ids)", "row_key", 0.15, 3.0, True, True) + f"""
@@ -233,11 +243,15 @@ SELECT doc_id, chunk, {O.render('inp')} AS input_ids, {O.render('labels')} AS la
        {O.render('dec')} AS decoder_input_ids, {O.render('attention_mask')} AS attention_mask FROM c2""")
 
 
-@query("corrupt_phrase", sql=_corrupt_phrase_sql(128, 72))
+#: Half of the 128 tokens at most are masked, each with a sentinel at most, then a last sentinel and the end.
+PHRASE_TARGET = 130
+
+
+@query("corrupt_phrase", sql=_corrupt_phrase_sql(128, 130))
 def corrupt_phrase(spark, sf):
     tok, phrases = chunk_tokens(spark, sf)
     m = phrase_mask(tok, "tokens", phrases, "row_key", "phrase_mask")
-    out = corrupt(m, "row_key", input_length=128, target_length=72, mask_col="phrase_mask")
+    out = corrupt(m, "row_key", input_length=128, target_length=PHRASE_TARGET, mask_col="phrase_mask")
     return out.select("doc_id", "chunk", render("input_ids"), render("labels"),
                       render("decoder_input_ids"), render("attention_mask"))
 
@@ -322,7 +336,7 @@ def format_mix(spark, sf):
 
 
 TASK_LEN = 128
-LABEL_LEN = 4
+LABEL_LEN = 16
 
 
 @query("encode_task", sql=O.vocab_ctes() + """,
@@ -834,9 +848,12 @@ sp_raw AS (SELECT id, source, regexp_extract_all(' ' || source, '{PIECE_PATTERN}
 sp AS (SELECT id, source, list_transform(core, lambda c, i: CASE WHEN ws[i] = '' THEN c ELSE '{WORD_MARK}' || c END)
               AS pieces FROM sp_raw),
 su AS (SELECT id, unnest(pieces) AS piece, unnest(generate_series(1, len(pieces))) AS pos FROM sp),
-sd AS (SELECT u.id, string_agg(v.piece, '' ORDER BY u.pos) FILTER (WHERE v.id IS NOT NULL) AS t
-       FROM su u LEFT JOIN vocab v ON v.piece = u.piece WHERE u.pos <= {TRUNC_MAX} GROUP BY u.id)
-SELECT sp.id, CASE WHEN len(sp.pieces) + 1 <= {TRUNC_MAX} THEN sp.source
+{O.spelled_ctes("sx", "su", ["id"])},
+sn AS (SELECT id, tid, row_number() OVER (PARTITION BY id ORDER BY pos, sub) AS nth FROM sx),
+sd AS (SELECT n.id, count(*) AS tokens, string_agg(v.piece, '' ORDER BY n.nth)
+              FILTER (WHERE v.id IS NOT NULL AND n.nth <= {TRUNC_MAX}) AS t
+       FROM sn n LEFT JOIN vocab v ON v.id = n.tid GROUP BY n.id)
+SELECT sp.id, CASE WHEN coalesce(sd.tokens, 0) + 1 <= {TRUNC_MAX} THEN sp.source
                    ELSE trim(replace(coalesce(sd.t, ''), '{WORD_MARK}', ' ')) END AS source_text
 FROM sp LEFT JOIN sd ON sd.id = sp.id""")
 def instruction_truncate(spark, sf):
@@ -871,7 +888,7 @@ SELECT doc_id, chunk, {O.render('input_ids')} AS input_ids, {O.render('attention
 FROM chunks""")
 def cached_chunks(spark, sf):
     """Whole-text encoding behind a configuration-keyed cache."""
-    cfg = {"source": sf, "table": "documents", "tokenizer": "corpus-vocab-32100", "max_len": 128, "overflow": "chunk"}
+    cfg = {"source": sf, "table": "documents", "tokenizer": VOCAB_VERSION, "inputs": input_fingerprint(spark, f"{sf.rstrip('/')}/documents.parquet"), "max_len": 128, "overflow": "chunk"}
     d = cached(spark, cfg, lambda: corpus_chunks(spark, sf))
     return d.select("doc_id", "chunk", render("input_ids"), render("attention_mask"))
 
@@ -901,15 +918,16 @@ sents AS (SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS text,
           FROM conversations),
 sk AS (SELECT *, CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR) || ':' || CAST(sentence_idx AS VARCHAR) AS sk FROM sents)"""
     + O.text_ids_ctes("st", "sk", ["sk"], eos=False) + f""",
-enc AS (SELECT sk, ids[1 : {SENT_LEN - 1}] || [1] AS seg FROM st_ids)
-SELECT k.conv_id, k.turn, k.sentence_idx, {O.render(O.fit('e.seg', SENT_LEN))} AS input_ids
+enc AS (SELECT sk, c::INTEGER AS chunk, ids[c * {SENT_LEN - 1} + 1 : c * {SENT_LEN - 1} + {SENT_LEN - 1}] || [1] AS seg
+        FROM st_ids, unnest(range(0, greatest(ceil(len(ids) / {SENT_LEN - 1})::INTEGER, 1))) AS r(c))
+SELECT k.conv_id, k.turn, k.sentence_idx, e.chunk, {O.render(O.fit('e.seg', SENT_LEN))} AS input_ids
 FROM sk k JOIN enc e ON e.sk = k.sk""")
 def encode_sentences_q(spark, sf):
     """Each line of a turn encoded on its own (rows out != rows in)."""
     conv = read_table(spark, sf, "conversations", balance=True).select("conv_id", "turn", "text")
     d = conv.withColumn("sentences", F.split("text", "\n")).drop("text")
     e = encode_sentences(d, "sentences", corpus_vocab(spark, sf), SENT_LEN)
-    return e.select("conv_id", "turn", "sentence_idx", render("input_ids"))
+    return e.select("conv_id", "turn", "sentence_idx", F.col("chunk").cast("int").alias("chunk"), render("input_ids"))
 
 
 @query("phrase_file", sql=O.vocab_ctes() + O.mine_ctes(MINE_MIN_COUNT) + f"""

@@ -9,6 +9,9 @@ from spanweave.operators.vocab import build_vocab, encode
 from spanweave.sources.tables import cached, input_fingerprint, read_table
 
 CHUNK_LEN = 128
+#: Part of every artifact's key: changes with the algorithm, so that older artifacts are not reused.
+VOCAB_VERSION = "characters-and-pieces-2"
+PHRASES_VERSION = "pmi-1"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,7 +29,7 @@ def corpus_vocab(spark: SparkSession, sf_dir: str, fresh: bool = False) -> DataF
     if fresh:
         return build_vocab(documents(spark, sf_dir), "text")
     cfg = {"artifact": "vocabulary", "inputs": input_fingerprint(spark, f"{sf_dir.rstrip('/')}/documents.parquet"),
-           "pattern": SPARK_PIECE_PATTERN, "size": VOCAB_SIZE}
+           "pattern": SPARK_PIECE_PATTERN, "size": VOCAB_SIZE, "version": VOCAB_VERSION}
     return cached(spark, cfg, lambda: build_vocab(documents(spark, sf_dir), "text"))
 
 
@@ -48,6 +51,6 @@ def corpus_phrases(spark: SparkSession, sf_dir: str, min_count: int, min_score:
     """X1 phrases of the corpus, stored once as an artifact (the reference loads a phrase file)."""
     from spanweave.operators.phrases import mine_phrases
     cfg = {"artifact": "phrases", "inputs": input_fingerprint(spark, f"{sf_dir.rstrip('/')}/documents.parquet"),
-           "pattern": SPARK_PIECE_PATTERN, "min_count": min_count, "min_score": min_score, "max_n": max_n}
+           "pattern": SPARK_PIECE_PATTERN, "version": PHRASES_VERSION, "min_count": min_count, "min_score": min_score, "max_n": max_n}
     return cached(spark, cfg, lambda: mine_phrases(documents(spark, sf_dir), "text", max_n=max_n,
                                                    min_count=min_count, min_score=min_score).select("phrase"))

@@ -38,16 +38,35 @@ pc AS (
 VOCAB_CTE = f"""
 piece_counts AS (
   SELECT piece, count(*) AS n FROM (SELECT unnest(pieces) AS piece FROM pc) GROUP BY piece),
+piece_chars AS (
+  SELECT substr(piece, i, 1) AS piece, sum(n) AS n
+  FROM (SELECT piece, n, unnest(generate_series(1, length(piece))) AS i FROM piece_counts) GROUP BY 1),
+ranked_pieces AS (
+  SELECT piece, n, row_number() OVER (ORDER BY part, n DESC, piece) AS r
+  FROM (SELECT piece, n, 0 AS part FROM piece_chars
+        UNION ALL SELECT piece, n, 1 FROM piece_counts WHERE length(piece) > 1)),
 vocab AS (
-  SELECT piece, (row_number() OVER (ORDER BY n DESC, piece) + 2)::INTEGER AS id, n::BIGINT AS count
-  FROM piece_counts QUALIFY row_number() OVER (ORDER BY n DESC, piece) <= {VOCAB_SIZE - 103})"""
+  SELECT piece, (r + 2)::INTEGER AS id, n::BIGINT AS count FROM ranked_pieces WHERE r <= {VOCAB_SIZE - 103})"""
+
+
+def spelled_ctes(name: str, src: str, keys: list[str]) -> str:
+    """``{name}``: (keys, pos, sub, tid) of the pieces in ``src``; unknown pieces as their characters."""
+    k = ", ".join(keys)
+    return f"""
+{name}_w AS (SELECT s.*, v.id AS tid FROM {src} s LEFT JOIN vocab v ON v.piece = s.piece),
+{name}_c AS (SELECT {k}, pos, i AS sub, substr(piece, i, 1) AS ch
+  FROM (SELECT {k}, pos, piece, unnest(generate_series(1, length(piece))) AS i FROM {name}_w WHERE tid IS NULL)),
+{name} AS (SELECT {k}, pos, 0 AS sub, tid FROM {name}_w WHERE tid IS NOT NULL
+  UNION ALL SELECT {", ".join("c." + x for x in keys)}, pos, sub, coalesce(v.id, 2) FROM {name}_c c LEFT JOIN vocab v ON v.piece = c.ch)"""
+
 
 IDS_CTE = """
 tok AS (
-  SELECT doc_id, unnest(pieces) AS piece, unnest(generate_series(1, len(pieces))) AS pos FROM pc),
+  SELECT doc_id, unnest(pieces) AS piece, unnest(generate_series(1, len(pieces))) AS pos FROM pc),""" + spelled_ctes(
+    "tok_ids", "tok", ["doc_id"]) + """,
 doc_ids AS (
-  SELECT pc.doc_id, coalesce(list(coalesce(v.id, 2) ORDER BY t.pos) FILTER (WHERE t.pos IS NOT NULL), []::INTEGER[]) AS ids
-  FROM pc LEFT JOIN tok t ON t.doc_id = pc.doc_id LEFT JOIN vocab v ON v.piece = t.piece
+  SELECT pc.doc_id, coalesce(list(t.tid ORDER BY t.pos, t.sub) FILTER (WHERE t.tid IS NOT NULL), []::INTEGER[]) AS ids
+  FROM pc LEFT JOIN tok_ids t ON t.doc_id = pc.doc_id
   GROUP BY pc.doc_id)"""
 
 
@@ -145,9 +164,10 @@ def text_ids_ctes(name: str, table: str, keys: list[str], text: str = "text", eo
   FROM {name}_raw),
 {name}_tok AS (
   SELECT {k}, unnest(pieces) AS piece, unnest(generate_series(1, len(pieces))) AS pos FROM {name}_pc),
+{spelled_ctes(name + "_sp", name + "_tok", keys)},
 {name}_ids AS (
-  SELECT {kp}, coalesce(list(coalesce(v.id, 2) ORDER BY t.pos) FILTER (WHERE t.pos IS NOT NULL), []::INTEGER[]){tail} AS ids
-  FROM {name}_pc p LEFT JOIN {name}_tok t ON {on} LEFT JOIN vocab v ON v.piece = t.piece
+  SELECT {kp}, coalesce(list(t.tid ORDER BY t.pos, t.sub) FILTER (WHERE t.tid IS NOT NULL), []::INTEGER[]){tail} AS ids
+  FROM {name}_pc p LEFT JOIN {name}_sp t ON {on}
   GROUP BY {kp})"""
 
 

@@ -47,3 +47,11 @@ def test_interleave_first_exhausted(spark):
     b = spark.range(2).select((F.col("id") + 10).alias("x"))
     out = [r["x"] for r in interleave({"a": a, "b": b}, {"a": ["x"], "b": ["x"]}).orderBy("mix_idx").collect()]
     assert out == [0, 10, 1, 11, 2]
+
+
+def test_dense_index_keeps_null_and_repeated_keys(spark):
+    df = spark.createDataFrame([(1, "a"), (None, "b"), (2, "c"), (2, "d"), (None, "e")], "k int, v string")
+    got = dense_index(df, ["k"], "i", num_partitions=3)
+    assert sorted(r["i"] for r in got.collect()) == [0, 1, 2, 3, 4]
+    assert {r["v"] for r in got.where("k is null").collect()} == {"b", "e"}
+    assert [r["k"] for r in got.orderBy("i").collect()] == [None, None, 1, 2, 2]

@@ -43,3 +43,28 @@ def test_check_length_raises(spark):
     assert df.select(check_length("a", 3)).collect()[0][0] == [1, 2, 3]
     with pytest.raises(Exception):
         df.select(check_length("a", 4)).collect()
+
+
+def test_unknown_pieces_are_spelled(spark):
+    from spanweave.operators.vocab import build_vocab, encode
+    corpus = spark.createDataFrame([(1, "aa bb aa"), (2, "abc, aa")], "k int, text string")
+    # 3 special ids, 5 characters (marker, a, b, c and the comma), the most frequent longer piece, 100 sentinels
+    vocab = build_vocab(corpus, "text", size=109)
+    pieces = {r["piece"] for r in vocab.collect()}
+    assert {"a", "b", "c", ",", "\u2581", "\u2581aa"} <= pieces and "\u2581abc" not in pieces
+    ids = encode(corpus, "text", vocab, 16, size=109)
+    assert all(2 not in r["input_ids"] for r in ids.collect())
+
+
+def test_masked_loss_is_linear_in_classes(spark):
+    import numpy as np
+    from pyspark.sql import functions as F
+    from spanweave.operators.metrics import masked_nll_parts
+    n = 32_100
+    rng = np.random.default_rng(3)
+    logits = rng.normal(size=(3, n)).astype(float)
+    df = spark.createDataFrame([(logits.tolist(), [5, -100, 7])], "logits array<array<double>>, labels array<int>")
+    total, count = masked_nll_parts()
+    got = df.select(total.alias("t"), count.alias("c")).first()
+    want = sum(np.log(np.exp(logits[i]).sum()) - logits[i][label] for i, label in ((0, 5), (2, 7)))
+    assert got["c"] == 2 and abs(got["t"] - want) < 1e-6

@@ -21,7 +21,7 @@ same joins are shuffled. Documents meet their windows again on a hash of id and
 
 Defined cases: null and empty texts hold and match nothing, on either side; null ids are carried
 along; rows equal in id and text are found once; a document shorter than an item is one window; ties
-go to the earlier window; other columns are ignored.
+go to the earlier of the placed windows; other columns are ignored.
 """
 
 from __future__ import annotations

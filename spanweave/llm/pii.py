@@ -320,7 +320,8 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     rows = searched(docs, id_col, text_col, docs.columns)
     model, limits = fit(rows)
     spans = fresh(docs, "_spans")
-    d = rows.select("row.*", all_spans(F.col("base"), F.col("cands"), model, limits).alias(spans))
+    # in two steps: the carried columns may have the names of the working ones
+    d = rows.select("row", all_spans(F.col("base"), F.col("cands"), model, limits).alias(spans)).select("row.*", spans)
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
 
     def replaced(text: Column) -> Column:

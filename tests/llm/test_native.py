@@ -22,7 +22,7 @@ def test_decontamination_matches_brute_force(spark):
     rng = random.Random(4)
     items = [prose(n, 100 + n) for n in (6, 14, 25, 40, 59)] + ["just three words", "", None]
     docs = []
-    for k in range(60):
+    for k in range(120):
         text = prose(rng.randrange(5, 200), k).split()
         if k % 2:
             part = (items[k % 6]).split()
@@ -31,7 +31,7 @@ def test_decontamination_matches_brute_force(spark):
             at = rng.randrange(len(text))
             text[at:at] = part
         docs.append((k, " ".join(text).upper() if k % 3 else ", ".join(text)))
-    docs += [(60, None), (61, ""), (62, items[3]), (62, items[3])]
+    docs += [(120, None), (121, ""), (122, items[3]), (122, items[3])]
     d = spark.createDataFrame(docs, "doc_id bigint, text string")
     b = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
     from collections import Counter

@@ -20,7 +20,7 @@ LOWER[65:91] += 32
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 5
 _POWERS: dict[int, np.ndarray] = {}
-WORDS_AT_ONCE = 200_000
+WORDS_AT_ONCE = 50_000
 
 
 # ---------------------------------------------------------------- tables
@@ -91,7 +91,7 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 def _powers(base: int, n: int) -> np.ndarray:
     have = _POWERS.get(base)
     if have is None or len(have) < n:
-        size = max(n, 1 << 21)
+        size = max(n, 1 << 19)
         steps = np.full(size, base, _U)
         steps[0] = 1
         have = _POWERS[base] = np.cumprod(steps, dtype=_U)
@@ -170,7 +170,7 @@ def shingles(words: np.ndarray, offsets: np.ndarray, width: int = 5):
     return (np.concatenate(parts) if parts else np.zeros(0, _U)), np.cumsum(sizes)
 
 
-def slices(batches, nbytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches, nbytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Record batches cut so that each holds about ``nbytes`` at most (or one row)."""
     for batch in batches:
         n = batch.num_rows

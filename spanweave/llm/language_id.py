@@ -28,6 +28,7 @@ FILTERS = 8
 WIDTHS = (2, 3, 4)
 ROWS_PER_LANGUAGE = 400
 WINDOWS_PER_ROW = 3
+SALTS = 8
 EPOCHS = 12
 UNKNOWN = "und"
 
@@ -40,8 +41,10 @@ def training_windows(docs: DataFrame, may_learn: Column, id_col: str, text_col:
         F.col(lang_col).alias("lang"), rank.alias("rank"),
         *[F.substring(text_col, (F.pmod(F.hash(rank, F.lit(k)), F.greatest(F.length(text_col) - WINDOW // 2, F.lit(1)))
                                  + 1).cast("int"), F.lit(WINDOW)).alias(f"w{k}") for k in range(WINDOWS_PER_ROW)])
-    order = Window.partitionBy("lang").orderBy("rank", "w0")
-    rows = keys.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= ROWS_PER_LANGUAGE)
+    rows = keys
+    for part in (["lang", F.pmod("rank", F.lit(SALTS))], ["lang"]):   # a hot language meets in one task cut down only
+        order = Window.partitionBy(*part).orderBy("rank", "w0")
+        rows = rows.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= ROWS_PER_LANGUAGE)
     return sorted((r["lang"], r[f"w{k}"]) for r in rows.collect() for k in range(WINDOWS_PER_ROW))
 
 
@@ -188,7 +191,7 @@ def identify(docs: DataFrame, may_learn: Column, id_col: str = "doc_id", text_co
     letters = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
     return (docs.withColumn(got, F.when(letters, predict(F.col(text_col))))
                 .withColumn(lang_out, F.coalesce(F.col(f"{got}.lang"), F.lit(UNKNOWN)))
-                .withColumn(score_out, F.coalesce(F.least(F.col(f"{got}.score"), F.lit(1.0)), F.lit(0.0)))
+                .withColumn(score_out, F.least(F.coalesce(F.col(f"{got}.score"), F.lit(0.0)), F.lit(1.0)))
                 .drop(got))
 
 

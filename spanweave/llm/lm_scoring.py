@@ -36,7 +36,7 @@ from spanweave.llm.common import LOWER, find_words, hash_words, id_crc, slices,
 FREQUENT = 1 << 19
 END = 255                       #: the end symbol as a byte, also what stands before a text
 END_TOKEN = -0x0E5D0E5D0E5D0E5D  #: the end's key among the token hashes
-BATCH_TRIPLES = 1 << 22
+COUNTS_HELD = 1 << 21            #: counts a task holds before it merges them, or passes them on
 
 
 def _triples(data: np.ndarray, offsets: np.ndarray):
@@ -84,10 +84,10 @@ def corpus_counts(docs: DataFrame, text_col: str) -> DataFrame:
             held[1].append((np.append(keys, END_TOKEN), np.append(n, batch.num_rows)))
             for kind in held:
                 size[kind] += len(held[kind][-1][0])
-                if size[kind] > BATCH_TRIPLES:
+                if size[kind] > COUNTS_HELD:
                     held[kind] = [merged(held[kind])]
                     size[kind] = len(held[kind][0][0])
-                    if size[kind] > BATCH_TRIPLES // 2:
+                    if size[kind] > COUNTS_HELD // 2:
                         yield batch_of(kind, *held[kind][0])
                         held[kind], size[kind] = [], 0
         for kind, parts in held.items():

@@ -301,23 +301,23 @@ def format_stsb(spark, sf):
 
 def _dialogue_sql() -> str:
     from spanweave.operators.tasks import N_INPUT_COLUMN_NAMES
-    cols = ", ".join(f"max(text) FILTER (WHERE turn = {i}) AS t{i}" for i in range(T.MAX_TURNS))
-    parts = ", ".join(f"'{N_INPUT_COLUMN_NAMES[i]}: ' || coalesce(t{i}, 'None')" for i in range(T.MAX_TURNS))
+    cols = ", ".join(f"max(text) FILTER (WHERE turn % 8 = {i}) AS t{i}" for i in range(8))
+    parts = ", ".join(f"'{N_INPUT_COLUMN_NAMES[i]}: ' || coalesce(t{i}, 'None')" for i in range(8))
     return f"""
-WITH p AS (SELECT conv_id, {cols} FROM conversations GROUP BY conv_id)
-SELECT conv_id, 'DCchat: ' || concat_ws({_TAB}, {parts}) AS processed_inputs,
+WITH p AS (SELECT conv_id, (turn // 8)::INTEGER AS part, {cols} FROM conversations GROUP BY conv_id, part)
+SELECT conv_id, part, 'DCchat: ' || concat_ws({_TAB}, {parts}) AS processed_inputs,
        CASE {O.uniform('2', 'conv_id')} WHEN 0 THEN 'Incoherent' WHEN 1 THEN 'Coherent' END AS processed_outputs
 FROM p"""
 
 
 def _fmt_dialogue(spark, sf):
     d = T.dialogue_input(spark, sf)
-    return format_task(d, "DCchat", text_columns=[f"t{i}" for i in range(T.MAX_TURNS)])
+    return format_task(d, "DCchat", text_columns=[f"t{i}" for i in range(T.TURNS_PER_ROW)])
 
 
 @query("format_dialogue", sql=_dialogue_sql())
 def format_dialogue(spark, sf):
-    return _fmt_dialogue(spark, sf).select("conv_id", "processed_inputs", "processed_outputs")
+    return _fmt_dialogue(spark, sf).select("conv_id", "part", "processed_inputs", "processed_outputs")
 
 
 @query("format_mix", sql=f"""
@@ -729,7 +729,7 @@ def stream_pack(spark, sf):
 def stream_take(spark, sf):
     out = ST.stream_take(spark, _doc_stream(spark, sf).select("doc_id"), 500, "doc_id",
                          ST.scratch_path(spark, "stream-take"))
-    return spark.read.parquet(out)
+    return spark.read.parquet(out).select("doc_id")
 
 
 @query("stream_stats", sql=_RL + """,

@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from spanweave.functions.rank import uniform_sql
 from spanweave.sources.tables import read_table
 
-MAX_TURNS = 8
+#: Columns of one dialogue row; longer conversations take several rows (``part``).
+TURNS_PER_ROW = 8
 
 
 def sst2_input(spark: SparkSession, sf: str) -> DataFrame:
@@ -43,7 +44,13 @@ def stsb_input(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def dialogue_input(spark: SparkSession, sf: str) -> DataFrame:
-    c = read_table(spark, sf, "conversations", balance=True).select("conv_id", "turn", "text")
-    p = c.groupBy("conv_id").pivot("turn", list(range(MAX_TURNS))).agg(F.max("text"))
-    p = p.select("conv_id", *[F.col(str(i)).alias(f"t{i}") for i in range(MAX_TURNS)])
+    return dialogue_rows(read_table(spark, sf, "conversations", balance=True).select("conv_id", "turn", "text"))
+
+
+def dialogue_rows(c: DataFrame) -> DataFrame:
+    """Turns as columns t0.. of one row for every ``TURNS_PER_ROW`` turns of a conversation."""
+    n = TURNS_PER_ROW
+    c = c.withColumn("part", F.floor(F.col("turn") / n).cast("int")).withColumn("at", F.col("turn") % n)
+    p = c.groupBy("conv_id", "part").pivot("at", list(range(n))).agg(F.max("text"))
+    p = p.select("conv_id", "part", *[F.col(str(i)).alias(f"t{i}") for i in range(n)])
     return p.withColumn("label", F.expr(uniform_sql("2", 42, "conv_id")).cast("int"))

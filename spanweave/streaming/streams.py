@@ -30,6 +30,18 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def batch_folder(out: str, batch_id: int) -> str:
+    """Where a micro-batch writes: a folder of its own, so that a retried batch replaces its rows."""
+    return f"{out}/batch_id={batch_id}"
+
+
+def batch_folders(spark: SparkSession, out: str) -> list[str]:
+    """Folders of the micro-batches written so far."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{out}/batch_id=*")
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
+    return sorted(f.getPath().toString() for f in found or [])
+
+
 def count_input_files(spark: SparkSession, pattern: str) -> int:
     """Number of files matching a glob (the shard count of a file stream)."""
     jvm = spark.sparkContext._jvm
@@ -94,7 +106,8 @@ def stream_pack_corrupt(spark: SparkSession, stream: DataFrame, vocab: DataFrame
                                                           F.col("row").cast("string")))
         shuffled = buffer_shuffle(packed, ["pack_group", "row"], "row_key", buffer=buffer)
         feats = corrupt_complement(shuffled, "row_key", input_length, target_length, density=density)
-        feats.select("pack_group", "row", "shuffle_idx", "input_ids", "labels").write.mode("append").parquet(out)
+        feats.select("pack_group", "row", "shuffle_idx", "input_ids", "labels").write.mode("overwrite").parquet(
+            batch_folder(out, batch_id))
 
     q = (stream.writeStream.foreachBatch(per_batch).option("checkpointLocation", out + "-checkpoint")
                .trigger(availableNow=True).start())
@@ -104,18 +117,13 @@ def stream_pack_corrupt(spark: SparkSession, stream: DataFrame, vocab: DataFrame
 
 def stream_take(spark: SparkSession, stream: DataFrame, n: int, order: str, out: str) -> str:
     """Keep the first n rows of the stream (in ``order`` inside each micro-batch), then
-    write nothing more. The running count is read back from the sink (parquet footers)."""
-    def written() -> int:
-        try:
-            return spark.read.parquet(out).count()
-        except Exception:  # noqa: BLE001 - no output yet
-            return 0
-
+    write nothing more. What earlier batches wrote is counted from their folders (parquet
+    footers), so a batch that runs again counts and writes the same rows again."""
     def per_batch(batch: DataFrame, batch_id: int) -> None:
-        left = n - written()
-        if left <= 0:
-            return
-        batch.orderBy(order).limit(left).write.mode("append").parquet(out)
+        earlier = [p for p in batch_folders(spark, out) if int(p.rpartition("=")[2]) < batch_id]
+        left = n - (spark.read.parquet(*earlier).count() if earlier else 0)
+        if left > 0:
+            batch.orderBy(order).limit(left).write.mode("overwrite").parquet(batch_folder(out, batch_id))
 
     q = (stream.writeStream.foreachBatch(per_batch).option("checkpointLocation", out + "-checkpoint")
                .trigger(availableNow=True).start())

@@ -68,3 +68,22 @@ def test_masked_loss_is_linear_in_classes(spark):
     got = df.select(total.alias("t"), count.alias("c")).first()
     want = sum(np.log(np.exp(logits[i]).sum()) - logits[i][label] for i, label in ((0, 5), (2, 7)))
     assert got["c"] == 2 and abs(got["t"] - want) < 1e-6
+
+
+def test_dialogue_of_twelve_turns_keeps_them_all(spark):
+    from spanweave.plans.tasks import dialogue_rows
+    turns = spark.createDataFrame([(1, k, f"t{k}") for k in range(12)], "conv_id int, turn int, text string")
+    rows = dialogue_rows(turns).orderBy("part").collect()
+    assert [r["part"] for r in rows] == [0, 1]
+    assert [r[f"t{k}"] for r in rows for k in range(8)] == [f"t{k}" for k in range(12)] + [None] * 4
+
+
+def test_stream_take_over_several_batches(spark, tmp_path):
+    from spanweave.streaming.streams import stream_take
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for k in range(4):
+        spark.range(10 * k, 10 * k + 10).coalesce(1).write.mode("append").parquet(src)
+    for _ in range(2):   # the second run finds nothing new and adds nothing
+        stream = spark.readStream.schema("id bigint").option("maxFilesPerTrigger", 1).parquet(src)
+        stream_take(spark, stream, 25, "id", out)
+        assert spark.read.parquet(out).count() == 25

@@ -1,5 +1,7 @@
 """Golden arrays of the reference's corruption tests (masks supplied as input)."""
 
+# The inputs and expected arrays below must equal the reference's own for right results.
+
 from pyspark.sql import functions as F
 
 from spanweave.functions.arrays import sentinel_ids_sql

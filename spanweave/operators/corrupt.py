@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from spanweave.constants import DEFAULT_SEED, EOS_ID, PAD_ID, VOCAB_SIZE
 from spanweave.functions.arrays import (check_length, corrupt_inputs_sql, corrupt_targets_sql,
+                                        corrupt_token_types_sql,
                                         fit_length_sql, ignore_pads_sql, sentinel_ids_sql,
                                         shift_right_sql, unmask_special_sql)
 from spanweave.functions.masks import random_spans_mask
@@ -13,13 +14,15 @@ from spanweave.functions.masks import random_spans_mask
 
 def corrupt(df: DataFrame, key: str, input_length: int, target_length: int,
             ids: str = "input_ids", density: float = 0.5, mean_span: float = 3.0,
-            vocab_size: int = VOCAB_SIZE, seed=DEFAULT_SEED, mask_col: str | None = None) -> DataFrame:
+            vocab_size: int = VOCAB_SIZE, seed=DEFAULT_SEED, mask_col: str | None = None,
+            types: str | None = None) -> DataFrame:
     """Random (or supplied, e.g. phrase) mask -> E9 -> E10 -> E11/E13 -> E14 -> B9 -> E15.
 
     The mask covers the whole row (pads included) and is then cleared on pad
     and eos. Inputs are padded/cropped to ``input_length`` with pad, labels to
     ``target_length`` with pad then -100. ``attention_mask`` passes through at
-    its pre-corruption length, as in the reference.
+    its pre-corruption length, as in the reference. A column of sentence numbers named by
+    ``types`` loses the positions that the inputs lose (E12) and is padded alike.
     """
     d = df.withColumn("_sw_n", F.size(ids))
     if mask_col is None:
@@ -30,6 +33,9 @@ def corrupt(df: DataFrame, key: str, input_length: int, target_length: int,
     d = d.withColumn("_sw_in", F.expr(fit_length_sql(corrupt_inputs_sql(ids, "_sw_sent"), input_length, PAD_ID)))
     d = d.withColumn("_sw_lab", F.expr(ignore_pads_sql(fit_length_sql(corrupt_targets_sql(ids, "_sw_sent"),
                                                                         target_length, PAD_ID))))
+    if types is not None:
+        kept = fit_length_sql(corrupt_token_types_sql(types, "_sw_sent"), input_length, PAD_ID)
+        d = d.withColumn("_sw_types", F.expr(kept)).withColumn(types, check_length("_sw_types", input_length, types))
     d = (d.withColumn(ids, check_length("_sw_in", input_length, "input_ids"))
           .withColumn("labels", check_length("_sw_lab", target_length, "labels")))
     d = d.withColumn("decoder_input_ids", F.expr(shift_right_sql("labels", str(target_length))))

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StringType
 
 from spanweave.operators.tasks import N_INPUT_COLUMN_NAMES, TaskConfig, get_task
+from spanweave.operators.vocab import encode, encode_labels
 
 
 def _map_lit(labels: dict) -> Column:
@@ -94,3 +95,11 @@ def format_all(formatted: dict[str, DataFrame], keys: list[str] | None = None) -
         part = d.select(F.lit(name).alias("task"), *cols)
         out = part if out is None else out.unionByName(part)
     return out
+
+
+def encode_task(df: DataFrame, task: str, vocab: DataFrame, max_len: int, label_len: int, overflow: str = "chunk",
+                **kw) -> DataFrame:
+    """A task's rows formatted by its record (C6), inputs encoded (D2; whole texts, in chunks, unless
+    ``overflow`` says otherwise) and outputs encoded as labels (D3). Regression scores are encoded as text."""
+    d = encode(format_task(df, task, **kw), "processed_inputs", vocab, max_len, overflow=overflow)
+    return encode_labels(d, "processed_outputs", vocab, label_len)

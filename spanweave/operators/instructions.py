@@ -41,14 +41,21 @@ ENCODINGS = [
 
 
 def read_instruction_tasks(spark: SparkSession, split_file: str, task_dir: str, subset: str | None = None,
-                           max_per_task: int | None = None, seed=DEFAULT_SEED) -> DataFrame:
-    """A5: task names (one per line) joined with task JSON files (one task per file,
-    named after the task); one row per instance; 'test' keeps the first 100 instances
-    per task, ``max_per_task`` a seeded random cap."""
-    names = spark.read.text(split_file).select(F.trim("value").alias("task_name")).filter("task_name != ''")
-    tasks = (spark.read.schema(TASK_SCHEMA).option("multiLine", True).json(task_dir)
-                  .withColumn("task_name", F.regexp_extract(F.input_file_name(), r"([^/]+)\.json$", 1)))
-    tasks = tasks.join(names, "task_name")
+                           max_per_task: int | None = None, seed=DEFAULT_SEED, one_per_file: bool = True) -> DataFrame:
+    """A5: task names (one per line) joined with task JSON files; one row per instance; 'test' keeps
+    the first 100 instances per task, ``max_per_task`` a seeded random cap.
+
+    A file holds one task and is named after it, or, with ``one_per_file=False``, one task per line
+    with its name in the field ``Task``. ``Definition`` may be a text or a list of texts.
+    """
+    names = spark.read.text(split_file).select(F.trim("value").alias("task_name")).filter("task_name != ''").distinct()
+    fields = [StructField(f.name, StringType()) if f.name == "Definition" else f for f in TASK_SCHEMA.fields]
+    tasks = spark.read.schema(StructType(fields)).option("multiLine", one_per_file).json(task_dir)
+    # a list read as text keeps its JSON form
+    listed = F.when(F.col("Definition").startswith("["), F.from_json("Definition", ArrayType(StringType())))
+    tasks = tasks.withColumn("Definition", F.coalesce(listed, F.array("Definition")))
+    name = F.regexp_extract(F.input_file_name(), r"([^/]+)\.json$", 1) if one_per_file else F.col("Task")
+    tasks = tasks.withColumn("task_name", name).join(names, "task_name")
     return explode_instances(tasks, subset=subset, max_per_task=max_per_task, seed=seed)
 
 

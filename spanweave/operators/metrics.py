@@ -16,8 +16,11 @@ from pyspark.sql.window import Window
 
 from spanweave.constants import EOS_ID, IGNORE_ID, PAD_ID
 from spanweave.functions.arrays import argmax_sql
+from spanweave.operators.split import limit_batches
+from spanweave.operators.tasks import REGISTRY
 
 METRICS: dict = {}
+BUILT_IN = ("accuracy", "f1", "precision", "recall", "mcc", "pearson", "spearman")
 
 
 def register_metric(name: str, fn) -> None:
@@ -26,25 +29,19 @@ def register_metric(name: str, fn) -> None:
     METRICS[name] = fn
 
 
-def align_predictions(df: DataFrame, pred: str = "pred", labels: str = "labels") -> DataFrame:
-    """G1: labels -100 -> pad; if the largest first predicted token over the whole set
-    is pad, drop the first prediction token and append pad."""
-    first_max = df.agg(F.max(F.element_at(pred, 1))).scalar()
+def align_predictions(df: DataFrame, pred: str = "pred", labels: str = "labels", group: list | None = None) -> DataFrame:
+    """G1: labels -100 -> pad; if the largest first predicted token over the whole set (over
+    the group's rows, where ``group`` names columns) is pad, drop the first prediction token and
+    append pad."""
+    largest = F.max(F.element_at(pred, 1))
+    if group:
+        df = df.join(df.groupBy(*group).agg(largest.alias("_sw_first")), group)
+        first_max = F.col("_sw_first")
+    else:
+        first_max = df.agg(largest).scalar()
     shifted = F.concat(F.slice(pred, 2, F.greatest(F.size(pred) - 1, F.lit(0))), F.array(F.lit(PAD_ID)))
     return (df.withColumn(labels, F.transform(labels, lambda x: F.when(x == IGNORE_ID, PAD_ID).otherwise(x)))
-              .withColumn(pred, F.when(first_max == PAD_ID, shifted).otherwise(F.col(pred))))
-
-
-def example_correct(pred: str = "pred", labels: str = "labels") -> Column:
-    """Every position equal (pads included)."""
-    return (F.col(pred) == F.col(labels)).alias("example_correct")
-
-
-def kept_positions(df: DataFrame, keys: list, pred: str = "pred", labels: str = "labels") -> DataFrame:
-    """One row per position whose label is neither pad nor eos: (keys, l, p)."""
-    z = F.arrays_zip(F.col(labels).alias("l"), F.col(pred).alias("p"))
-    kept = F.filter(z, lambda s: ~s["l"].isin(PAD_ID, EOS_ID))
-    return df.select(*keys, F.explode(kept).alias("z")).select(*keys, F.col("z.l").alias("l"), F.col("z.p").alias("p"))
+              .withColumn(pred, F.when(first_max == PAD_ID, shifted).otherwise(F.col(pred))).drop("_sw_first"))
 
 
 def confusion_cells(df: DataFrame, group: list, pred: str = "pred", labels: str = "labels") -> DataFrame:
@@ -77,16 +74,22 @@ def _attach_one_row(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def token_metrics(df: DataFrame, group: list | None = None, pred: str = "pred", labels: str = "labels",
-                  metric_names=("accuracy", "f1", "precision", "recall", "mcc", "pearson", "spearman"),
-                  align: bool = True) -> DataFrame:
+                  metric_names: list | None = None, align: bool = True) -> DataFrame:
     """``token_<m>`` and ``example_<m>`` in long form (group..., metric, value).
 
+    Without ``metric_names``, all built-in and registered metrics.
+
     G3/G4 micro scores, G5 MCC x 100, G6 Pearson and G7 Spearman (average
     ranks) all derive from the confusion cells; G8 example scores from the
     marker cells (accuracy-like = share correct, MCC 0, correlations NaN).
     """
     group = list(group or [])
-    d = align_predictions(df, pred, labels) if align else df
+    names = list(metric_names) if metric_names is not None else [*BUILT_IN, *METRICS]
+    unknown = [m for m in names if m not in BUILT_IN and m not in METRICS]
+    if unknown:
+        raise KeyError(f"unknown metrics {unknown}")
+    custom = {m: METRICS[m] for m in names if m not in BUILT_IN}
+    d = align_predictions(df, pred, labels, group) if align else df
     # filters on the grouping key would be pushed below the aggregation and make
     # every branch recount the examples; the cell table is small (distinct
     # label/prediction pairs), so it is kept once and all branches read it
@@ -122,10 +125,10 @@ def token_metrics(df: DataFrame, group: list | None = None, pred: str = "pred",
               .withColumn("f1", F.col("tp") / (F.col("tp") + F.col("fp")))
               .withColumn("mcc", F.when(den == 0, F.lit(0.0))
                           .otherwise((F.col("tp") * F.col("n") - F.col("tp_sum")) / den * 100)))
-    for name, fn in METRICS.items():
+    for name, fn in custom.items():
         out = j(out, tok.groupBy(*group).agg(fn().alias(f"custom_{name}")))
     rows = []
-    for m in metric_names:
+    for m in [m for m in names if m in BUILT_IN]:
         tokv = F.col(m).cast("double")
         if m in ("pearson", "spearman"):
             exv = F.lit(float("nan"))
@@ -135,11 +138,23 @@ def token_metrics(df: DataFrame, group: list | None = None, pred: str = "pred",
             exv = F.col("ex_acc")
         rows += [F.struct(F.lit(f"token_{m}").alias("metric"), F.coalesce(tokv, F.lit(float("nan"))).alias("value")),
                  F.struct(F.lit(f"example_{m}").alias("metric"), exv.alias("value"))]
-    for name in METRICS:
+    for name in custom:
         rows.append(F.struct(F.lit(f"token_{name}").alias("metric"), F.col(f"custom_{name}").cast("double").alias("value")))
     return out.select(*group, F.explode(F.array(*rows)).alias("m")).select(*group, "m.metric", "m.value")
 
 
+def metrics_by_task(df: DataFrame, task: str = "task", pred: str = "pred", labels: str = "labels") -> DataFrame:
+    """G9 by task: each task's predictions are aligned and scored on their own, and get the metrics
+    that the task's record lists (J1), registered ones (J3) included. A task without a record raises."""
+    listed = {name: list(cfg.metric_names) for name, cfg in REGISTRY.items()}
+    names = sorted({m for ms in listed.values() for m in ms})
+    pairs = [x for name, ms in listed.items() for x in (F.lit(name), F.array(*[F.lit(m) for m in ms]))]
+    wanted = F.coalesce(F.element_at(F.create_map(*pairs), F.col(task)), F.raise_error(
+        F.concat(F.lit("no record of task "), F.coalesce(F.col(task), F.lit("null")))).cast("array<string>"))
+    found = token_metrics(df, [task], pred, labels, metric_names=names)
+    return found.where(F.array_contains(wanted, F.regexp_replace("metric", "^(token|example)_", "")))
+
+
 def argmax_tokens(df: DataFrame, logits: str = "logits", out: str = "pred") -> DataFrame:
     """First maximum over the vocabulary at every position."""
     return df.withColumn(out, F.expr(argmax_sql(logits)))
@@ -167,7 +182,7 @@ def evaluate_batches(df: DataFrame, batch_1based: str, steps: int, grad_acc: int
                      logits: str = "logits", labels: str = "labels") -> DataFrame:
     """Per batch mean NLL (G12) and padded accuracy (G11); batches stop before
     steps*grad_acc (B5); the result is the mean of batch means."""
-    d = df.filter(F.col(batch_1based) < steps * grad_acc)
+    d = limit_batches(df, batch_1based, steps, grad_acc)
     d = argmax_tokens(d, logits, "_sw_pred")
     total, count = masked_nll_parts(logits, labels)
     d = d.select(batch_1based, total.alias("nll_sum"), count.alias("nll_n"),

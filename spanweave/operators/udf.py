@@ -26,6 +26,17 @@ def collate(df: DataFrame, mode: str, **cfg) -> DataFrame:
         from spanweave.operators.corrupt import corrupt_complement
         return corrupt_complement(df, **cfg)
     if mode == "instruction":
-        from spanweave.operators.instructions import choose_reference, render_instruction
-        return choose_reference(render_instruction(df, **{k: v for k, v in cfg.items() if k == "max_source_length"}))
+        return collate_instructions(df, **cfg)
     raise ValueError(f"unknown collator mode {mode!r}")
+
+
+def collate_instructions(df: DataFrame, vocab: DataFrame, max_source_length: int = 1024,
+                         max_target_length: int = 128) -> DataFrame:
+    """Prompts (C8-C9) and references (C11) encoded to model inputs: ``input_ids`` and ``attention_mask``
+    padded to the source length, ``labels`` to the target length with -100. Both lengths cut what is
+    longer, as the reference's collator does."""
+    from spanweave.operators.instructions import choose_reference, render_instruction
+    from spanweave.operators.vocab import encode, encode_labels
+    d = choose_reference(render_instruction(df, max_source_length=max_source_length))
+    d = encode(d, "source", vocab, max_source_length, overflow="truncate")
+    return encode_labels(d, "target", vocab, max_target_length)

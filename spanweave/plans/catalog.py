@@ -257,8 +257,7 @@ def corrupt_phrase(spark, sf):
 
 
 # --- C1-C7 formatting, D3/D5 task encoding -----------------------------------
-from spanweave.operators.formatting import format_all, format_task  # noqa: E402
-from spanweave.operators.vocab import encode, encode_labels  # noqa: E402
+from spanweave.operators.formatting import encode_task as task_encoding, format_all, format_task  # noqa: E402
 from spanweave.plans import tasks as T  # noqa: E402
 
 _TAB = "chr(9)"
@@ -299,10 +298,12 @@ def format_stsb(spark, sf):
     return f.select("conv_id", "turn", "processed_inputs", "processed_outputs")
 
 
+_ORDINALS = ["first", "second", "third", "fourth", "fifth", "sixth", "seventh", "eighth"]
+
+
 def _dialogue_sql() -> str:
-    from spanweave.operators.tasks import N_INPUT_COLUMN_NAMES
     cols = ", ".join(f"max(text) FILTER (WHERE turn % 8 = {i}) AS t{i}" for i in range(8))
-    parts = ", ".join(f"'{N_INPUT_COLUMN_NAMES[i]}: ' || coalesce(t{i}, 'None')" for i in range(8))
+    parts = ", ".join(f"'{_ORDINALS[i]}_sentence: ' || coalesce(t{i}, 'None')" for i in range(8))
     return f"""
 WITH p AS (SELECT conv_id, (turn // 8)::INTEGER AS part, {cols} FROM conversations GROUP BY conv_id, part)
 SELECT conv_id, part, 'DCchat: ' || concat_ws({_TAB}, {parts}) AS processed_inputs,
@@ -339,24 +340,28 @@ TASK_LEN = 128
 LABEL_LEN = 16
 
 
-@query("encode_task", sql=O.vocab_ctes() + """,
-fmt AS (SELECT d.doc_id, 'sst2: sentence: ' || d.text AS processed_inputs,
-               CASE l.quality WHEN 0 THEN 'negative' WHEN 1 THEN 'positive' WHEN -1 THEN 'other' END AS processed_outputs
-        FROM documents d JOIN labels l ON l.doc_id = d.doc_id)"""
-    + O.text_ids_ctes("fin", "fmt", ["doc_id"], "processed_inputs", eos=False)
-    + O.text_ids_ctes("fout", "fmt", ["doc_id"], "processed_outputs", eos=False) + f""",
-seg AS (SELECT doc_id, c::INTEGER AS chunk, ids[c * {TASK_LEN - 1} + 1 : c * {TASK_LEN - 1} + {TASK_LEN - 1}] || [1] AS seg
+def encode_task_sql(formatted: str, keys: list[str]) -> str:
+    """Oracle of task encoding; ``formatted`` yields keys, processed_inputs, processed_outputs."""
+    k, same = ", ".join(keys), " AND ".join(f"o.{c} = s.{c}" for c in keys)
+    return (O.vocab_ctes() + f""",
+fmt AS ({formatted})""" + O.text_ids_ctes("fin", "fmt", keys, "processed_inputs", eos=False)
+            + O.text_ids_ctes("fout", "fmt", keys, "processed_outputs", eos=False) + f""",
+seg AS (SELECT {k}, c::INTEGER AS chunk, ids[c * {TASK_LEN - 1} + 1 : c * {TASK_LEN - 1} + {TASK_LEN - 1}] || [1] AS seg
         FROM fin_ids, unnest(range(0, greatest(ceil(len(ids) / {TASK_LEN - 1})::INTEGER, 1))) AS r(c))
-SELECT s.doc_id, s.chunk, {O.render(O.fit('s.seg', TASK_LEN))} AS input_ids,
+SELECT {", ".join("s." + c for c in keys)}, s.chunk, {O.render(O.fit('s.seg', TASK_LEN))} AS input_ids,
        {O.render(O.fit('list_transform(s.seg, lambda x: 1)', TASK_LEN))} AS attention_mask,
        {O.render(f"list_transform({O.fit(f'o.ids[1:{LABEL_LEN - 1}] || [1]', LABEL_LEN)}, lambda y: CASE WHEN y = 0 THEN -100 ELSE y END)")} AS labels
-FROM seg s JOIN fout_ids o ON o.doc_id = s.doc_id""")
+FROM seg s JOIN fout_ids o ON {same}""")
+
+
+@query("encode_task", sql=encode_task_sql("""
+SELECT d.doc_id, 'sst2: sentence: ' || d.text AS processed_inputs,
+       CASE l.quality WHEN 0 THEN 'negative' WHEN 1 THEN 'positive' WHEN -1 THEN 'other' END AS processed_outputs
+FROM documents d JOIN labels l ON l.doc_id = d.doc_id""", ["doc_id"]))
 def encode_task(spark, sf):
     """Format + encode inputs (whole text, chunked) + encode labels (D3)."""
-    vocab = corpus_vocab(spark, sf)
-    f = _fmt_sst2(spark, sf).withColumnRenamed("idx", "doc_id")
-    e = encode(f, "processed_inputs", vocab, TASK_LEN, overflow="chunk")
-    e = encode_labels(e, "processed_outputs", vocab, LABEL_LEN)
+    rows = T.sst2_input(spark, sf).withColumnRenamed("idx", "doc_id")
+    e = task_encoding(rows, "sst2", corpus_vocab(spark, sf), TASK_LEN, LABEL_LEN)
     return e.select("doc_id", F.col("chunk").cast("int").alias("chunk"), render("input_ids"),
                     render("attention_mask"), render("labels"))
 
@@ -473,8 +478,13 @@ from spanweave.operators import metrics as M  # noqa: E402
 from spanweave.operators.vocab import decode  # noqa: E402
 from spanweave.plans import evaluation as EV  # noqa: E402
 
-_METRIC_SQL = O.corpus_ctes() + O.predictions_cte() + """,
-fm AS (SELECT max(pred[1]) AS m FROM preds),
+def metric_sql(where: str = "true") -> str:
+    """All metrics over the predictions that ``where`` selects."""
+    return O.corpus_ctes() + O.predictions_cte() + f""",
+fm AS (SELECT max(pred[1]) AS m FROM preds WHERE {where}),""" + _METRIC_PARTS.replace("FROM preds p, fm", f"FROM preds p, fm WHERE {where}") + _METRIC_ROWS
+
+
+_METRIC_PARTS = """
 al AS (SELECT p.doc_id, p.chunk,
               CASE WHEN fm.m = 0 THEN p.pred[2 : len(p.pred)] || [0] ELSE p.pred END AS pred,
               list_transform(p.labels, lambda x: CASE WHEN x = -100 THEN 0 ELSE x END) AS labels
@@ -496,8 +506,9 @@ rl AS (SELECT l, coalesce(sum(count(*)) OVER (ORDER BY l ROWS BETWEEN UNBOUNDED
 rp AS (SELECT p, coalesce(sum(count(*)) OVER (ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
                  + (count(*) + 1) / 2.0 AS r_p FROM pos GROUP BY p),
 sp AS (SELECT corr(rl.r_l, rp.r_p) AS spearman FROM pos JOIN rl USING (l) JOIN rp USING (p)),
-v AS (SELECT b.tp / b.n AS accuracy, b.tp / (b.tp + b.fp) AS f1, b.pearson, mcc.mcc, sp.spearman, ex.ex_acc
-      FROM base b, mcc, sp, ex)
+v AS (SELECT b.tp AS hits, b.tp / b.n AS accuracy, b.tp / (b.tp + b.fp) AS f1, b.pearson, mcc.mcc, sp.spearman, ex.ex_acc
+      FROM base b, mcc, sp, ex)"""
+_METRIC_ROWS = """
 SELECT metric, round(value, 6) AS value FROM (
   SELECT 'token_accuracy' AS metric, accuracy AS value FROM v UNION ALL SELECT 'example_accuracy', ex_acc FROM v
   UNION ALL SELECT 'token_f1', f1 FROM v UNION ALL SELECT 'example_f1', ex_acc FROM v
@@ -508,7 +519,7 @@ SELECT metric, round(value, 6) AS value FROM (
   UNION ALL SELECT 'token_spearman', spearman FROM v UNION ALL SELECT 'example_spearman', 'nan'::DOUBLE FROM v)"""
 
 
-@query("token_metrics", sql=_METRIC_SQL)
+@query("token_metrics", sql=metric_sql())
 def token_metrics_q(spark, sf):
     m = M.token_metrics(EV.predictions(spark, sf))
     return m.select("metric", F.round("value", 6).alias("value"))
@@ -703,25 +714,12 @@ def stream_corrupt(spark, sf):
                     render("decoder_input_ids"), render("attention_mask"))
 
 
-def _stream_pack_sql() -> str:
-    keep = ("list_filter(list_transform(input_ids, lambda x, i: CASE WHEN {s}[i] != 0 THEN {s}[i] ELSE x END), "
-            "lambda y: y >= 0) || [1]")
-    return (O.vocab_ctes() + O.text_ids_ctes("docs", "documents", ["doc_id"])
-            + O.pack_ctes(PACK_RAW, 10 ** 12) + f""",
-pkk AS (SELECT *, CAST(pack_group AS VARCHAR) || ':' || CAST(row AS VARCHAR) AS row_key FROM packed)"""
-            + "," + O.random_mask_ctes("pkk", "len(input_ids)", "row_key", PACK_DENSITY, 3.0, False, False)
-            + f""",
-se AS (SELECT *, {O.sentinel('mask')} AS s_in, {O.sentinel('list_transform(mask, lambda b: 1 - b)')} AS s_lab FROM m6)
-SELECT pack_group, row, {O.render(keep.format(s='s_in'))} AS input_ids,
-       {O.render(keep.format(s='s_lab'))} AS labels FROM se""")
-
-
-@query("stream_pack", sql=_stream_pack_sql())
+@query("stream_pack", sql=_complement_sql())
 def stream_pack(spark, sf):
-    """The test corpus is one file, hence one micro-batch and one packing group."""
+    """The test corpus is one file, hence one micro-batch; its rows equal those of corrupt_packed."""
     vocab = corpus_vocab(spark, sf)
     out = ST.stream_pack_corrupt(spark, _doc_stream(spark, sf), vocab, ST.scratch_path(spark, "stream-pack"),
-                                 PACK_RAW, PACK_INPUT, PACK_TARGET, density=PACK_DENSITY)
+                                 PACK_RAW, PACK_INPUT, PACK_TARGET, density=PACK_DENSITY, group_docs=PACK_GROUP_DOCS)
     return spark.read.parquet(out).select("pack_group", "row", render("input_ids"), render("labels"))
 
 
@@ -738,12 +736,22 @@ SELECT run, prefix, interval, name, round(avg(value), 6) AS average, count(*) AS
 FROM ri GROUP BY run, prefix, interval, name""")
 def stream_stats(spark, sf):
     """I4: the run log (derived from events) written once, then aggregated as a stream."""
+    return _stream_stats(spark, sf, None)
+
+
+@query("stream_weighted_stats", sql=ORACLE["run_stats"])
+def stream_weighted_stats(spark, sf):
+    """I4 with the weights of H1: equals the batch result of run_stats."""
+    return _stream_stats(spark, sf, 0.9)
+
+
+def _stream_stats(spark, sf, weight):
     src = ST.scratch_path(spark, "run-log")
     run_log(spark, sf).select("run", "prefix", "step", "name", "value").write.parquet(src)
     schema = "run string, prefix string, step bigint, name string, value double"
     stream = spark.readStream.schema(schema).parquet(src)
-    out = ST.stream_stats(spark, stream, 10, ST.scratch_path(spark, "stream-stats"))
-    d = spark.read.parquet(out)
+    out = ST.stream_stats(spark, stream, 10, ST.scratch_path(spark, "stream-stats"), weight)
+    d = ST.read_stats(spark, out)
     return d.select("run", "prefix", "interval", "name", F.round("average", 6).alias("average"), "n_updates")
 
 
@@ -950,16 +958,21 @@ pdx AS (SELECT u.doc_id, u.chunk, string_agg(v.piece, '' ORDER BY u.pos) FILTER
         FROM pu u LEFT JOIN full_vocab v ON v.id = u.id GROUP BY u.doc_id, u.chunk),
 ldx AS (SELECT u.doc_id, u.chunk, string_agg(v.piece, '' ORDER BY u.pos) FILTER (WHERE v.id >= 3 AND v.id < 32000) AS t
         FROM lu u LEFT JOIN full_vocab v ON v.id = u.id GROUP BY u.doc_id, u.chunk)
-SELECT 'corpus' AS task, 'train' AS split, a.doc_id, a.chunk, trim(replace(coalesce(a.t, ''), '▁', ' ')) AS prediction,
+SELECT 'corpus' AS task, 'train' AS split, a.doc_id, a.chunk, trim(replace(coalesce(b.t, ''), '▁', ' ')) AS input,
+       trim(replace(coalesce(a.t, ''), '▁', ' ')) AS prediction,
        trim(replace(coalesce(b.t, ''), '▁', ' ')) AS reference
 FROM pdx a JOIN ldx b ON b.doc_id = a.doc_id AND b.chunk = a.chunk""")
 def prediction_sink(spark, sf):
-    """Decoded predictions next to decoded references, partitioned by task and split."""
+    """Decoded predictions next to input and reference texts, partitioned by task and split. The
+    corpus predictions are of the chunk itself, so the input is the chunk's text."""
     vocab = corpus_vocab(spark, sf)
     p = EV.predictions(spark, sf)
     p = M.align_predictions(p)
-    p = decode(decode(p, "pred", vocab, "prediction"), "labels", vocab, "reference")
+    p = decode(decode(p, "pred", vocab, "prediction"), "labels", vocab, "reference").withColumn("input", F.col("reference"))
     out = scratch_path(spark, "predictions")
     write_predictions(p.select(F.lit("corpus").alias("task"), F.lit("train").alias("split"), "doc_id", "chunk",
-                               "prediction", "reference"), out)
-    return spark.read.parquet(out).select("task", "split", "doc_id", "chunk", "prediction", "reference")
+                               "input", "prediction", "reference"), out)
+    return spark.read.parquet(out).select("task", "split", "doc_id", "chunk", "input", "prediction", "reference")
+
+
+from spanweave.plans import surfaces  # noqa: E402, F401  (registers its queries)

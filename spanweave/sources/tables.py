@@ -67,6 +67,9 @@ def write_features(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 def write_predictions(df: DataFrame, path: str, partition_by=("task", "split"), mode: str = "overwrite") -> None:
     """Predictions next to input and target text, partitioned by task and split."""
+    missing = [c for c in ("input", "prediction", "reference") if c not in df.columns]
+    if missing:
+        raise ValueError(f"no columns {missing}")
     parts = [c for c in partition_by if c in df.columns]
     w = df.write.mode(mode)
     if parts:

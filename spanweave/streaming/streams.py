@@ -1,8 +1,8 @@
 """Streaming pipelines.
 
-Sources are file streams with declared schemas (never inferred); sinks and
-checkpoints live under the cluster's shared checkpoint folder so a restarted
-query resumes exactly once. ``trigger(availableNow=True)`` drains what is
+Sources are file streams with declared schemas (never inferred). A sink keeps its
+checkpoint next to its output folder: a query started again with the same folder goes
+on where it stopped, and a batch that runs twice replaces its own rows. ``trigger(availableNow=True)`` drains what is
 there and stops, which is also how the tests drive them.
 """
 
@@ -13,6 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
+from spanweave.functions.rank import dense_index
 from spanweave.operators.corrupt import corrupt, corrupt_complement
 from spanweave.operators.pack import pack_tokens
 from spanweave.operators.runlog import report_intervals
@@ -25,6 +26,10 @@ DOCUMENT_SCHEMA = StructType([StructField("doc_id", LongType()), StructField("te
                               StructField("n_chars", LongType())])
 
 
+#: Numbers of pack groups that a micro-batch has to itself.
+GROUPS_PER_BATCH = 1 << 32
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint folder."""
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
@@ -95,13 +100,17 @@ def stream_encode_corrupt(spark: SparkSession, stream: DataFrame, vocab: DataFra
 
 def stream_pack_corrupt(spark: SparkSession, stream: DataFrame, vocab: DataFrame, out: str,
                         raw_length: int, input_length: int, target_length: int, density: float = 0.15,
-                        buffer: int = 10_000) -> str:
-    """Per micro-batch: pack (group = the micro-batch, remainder dropped, as the
-    reference's map batches) -> buffer shuffle (F2) -> complement corruption (E17)."""
+                        buffer: int = 10_000, group_docs: int = 64) -> str:
+    """Per micro-batch: pack in groups of ``group_docs`` documents (remainder dropped, as the
+    reference's map batches) -> buffer shuffle (F2) -> complement corruption (E17).
+
+    Groups are numbered ``batch_id * GROUPS_PER_BATCH`` upwards, so they spread over the cluster and
+    the rows of a batch do not depend on how it is partitioned."""
     def per_batch(batch: DataFrame, batch_id: int) -> None:
-        ids = encode_ids(batch.select("doc_id", "text"), "text", vocab)
-        packed = pack_tokens(ids.withColumn("pack_group", F.lit(batch_id).cast("bigint")), "ids", raw_length,
-                             "pack_group", "doc_id")
+        docs = dense_index(batch.select("doc_id", "text"), ["doc_id"], "_sw_doc")
+        group = F.floor(F.col("_sw_doc") / group_docs) + F.lit(batch_id * GROUPS_PER_BATCH)
+        ids = encode_ids(docs.withColumn("pack_group", group.cast("bigint")), "text", vocab)
+        packed = pack_tokens(ids, "ids", raw_length, "pack_group", "doc_id")
         packed = packed.withColumn("row_key", F.concat_ws(":", F.col("pack_group").cast("string"),
                                                           F.col("row").cast("string")))
         shuffled = buffer_shuffle(packed, ["pack_group", "row"], "row_key", buffer=buffer)
@@ -131,19 +140,41 @@ def stream_take(spark: SparkSession, stream: DataFrame, n: int, order: str, out:
     return out
 
 
-def stream_stats(spark: SparkSession, stream: DataFrame, every: int, out: str) -> str:
+STATS_KEYS = ["run", "prefix", "interval", "name"]
+
+
+def stream_stats(spark: SparkSession, stream: DataFrame, every: int, out: str, weight: float | None = None) -> str:
     """I4: running mean of every statistic per (run, prefix, report interval).
 
-    A streaming aggregation in complete mode; each trigger rewrites the
-    current table to parquet through foreachBatch (no driver-side sink).
+    With ``weight`` the mean is weighted as in H1: the latest update by ``weight``, the one before by
+    its square, and so on; an interval's updates are kept in the state for it, ``every`` steps at most.
+    Update mode: a trigger writes only the keys it changed, into a folder of its own; ``read_stats``
+    gives the latest row of every key.
     """
-    agg = (report_intervals(stream, every).groupBy("run", "prefix", "interval", "name")
-           .agg(F.avg("value").alias("average"), F.count(F.lit(1)).alias("n_updates")))
+    average = F.avg("value")
+    if weight is not None:
+        latest_first = F.reverse(F.sort_array(F.collect_list(F.struct("step", "value"))))
+        total = lambda parts: F.aggregate(parts, F.lit(0.0), lambda a, x: a + x)
+        share = lambda i: F.pow(F.lit(float(weight)), i + 1)
+        average = (total(F.transform(latest_first, lambda u, i: u["value"] * share(i)))
+                   / total(F.transform(latest_first, lambda u, i: share(i))))
+    agg = report_intervals(stream, every).groupBy(*STATS_KEYS).agg(
+        average.alias("average"), F.count(F.lit(1)).alias("n_updates"))
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(out)
+        batch.write.mode("overwrite").parquet(batch_folder(out, batch_id))
 
-    q = (agg.writeStream.outputMode("complete").foreachBatch(per_batch)
+    q = (agg.writeStream.outputMode("update").foreachBatch(per_batch)
             .option("checkpointLocation", out + "-checkpoint").trigger(availableNow=True).start())
     _run(q)
     return out
+
+
+def read_stats(spark: SparkSession, out: str) -> DataFrame:
+    """The current table of ``stream_stats``: of every key, what the last batch that changed it wrote."""
+    schema = "run string, prefix string, interval bigint, name string, average double, n_updates bigint"
+    if not batch_folders(spark, out):
+        return spark.createDataFrame([], schema)
+    rows = spark.read.schema(schema + ", batch_id bigint").parquet(out)
+    last = rows.groupBy(*STATS_KEYS).agg(F.max_by(F.struct("average", "n_updates"), "batch_id").alias("last"))
+    return last.select(*STATS_KEYS, "last.average", "last.n_updates")

@@ -87,3 +87,84 @@ def test_stream_take_over_several_batches(spark, tmp_path):
         stream = spark.readStream.schema("id bigint").option("maxFilesPerTrigger", 1).parquet(src)
         stream_take(spark, stream, 25, "id", out)
         assert spark.read.parquet(out).count() == 25
+
+
+def test_stream_stats_over_several_batches_and_a_restart(spark, tmp_path):
+    from spanweave.operators.runlog import average_stats, report_intervals
+    from spanweave.streaming.streams import read_stats, stream_stats
+    src, out = str(tmp_path / "log"), str(tmp_path / "stats")
+    schema = "run string, prefix string, step bigint, name string, value double"
+    rows = [("r", "training", k, "loss", float(k * k % 7)) for k in range(1, 26)]
+
+    def run():
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+        stream_stats(spark, stream, 10, out, weight=0.9)
+
+    for lo in (0, 8, 16):   # intervals of ten steps grow over batches
+        spark.createDataFrame(rows[lo:lo + 8], schema).coalesce(1).write.mode("append").parquet(src)
+    run()
+    spark.createDataFrame(rows[24:], schema).coalesce(1).write.mode("append").parquet(src)
+    run()
+    want = average_stats(report_intervals(spark.createDataFrame(rows, schema), 10), weight=0.9)
+    want = {r["interval"]: (round(r["average"], 9), r["n_updates"]) for r in want.collect()}
+    got = {r["interval"]: (round(r["average"], 9), r["n_updates"]) for r in read_stats(spark, out).collect()}
+    assert got == want and len(got) == 3
+    changed = spark.read.parquet(out).groupBy("batch_id").count().collect()
+    assert max(r["count"] for r in changed) <= 2   # a batch writes what it changed, not the whole table
+
+
+def test_read_stats_before_any_batch(spark, tmp_path):
+    from spanweave.streaming.streams import read_stats
+    assert read_stats(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_stream_pack_over_several_files_equals_batch_groups(spark, tmp_path):
+    from spanweave.functions.masks import plan_lengths
+    from spanweave.operators.pack import pack_tokens
+    from spanweave.operators.vocab import build_vocab, encode_ids
+    from spanweave.streaming.streams import GROUPS_PER_BATCH, stream_pack_corrupt
+    docs = [(k, " ".join(f"w{(k * j) % 5}" for j in range(12))) for k in range(24)]
+    vocab = build_vocab(spark.createDataFrame(docs, "doc_id bigint, text string"), "text")
+    src, out = str(tmp_path / "docs"), str(tmp_path / "packed")
+    raw, target = plan_lengths(16, 0.15)
+    seen = []
+    for lo in range(0, 24, 12):   # a second call goes on with the new file only
+        part = spark.createDataFrame(docs[lo:lo + 12], "doc_id bigint, text string")
+        part.coalesce(1).write.mode("append").parquet(src)
+        stream = spark.readStream.schema("doc_id bigint, text string").parquet(src)
+        stream_pack_corrupt(spark, stream, vocab, out, raw, 16, target, group_docs=4)
+        ids = encode_ids(part, "text", vocab).withColumn(
+            "pack_group", F.floor((F.col("doc_id") - lo) / 4).cast("bigint") + F.lit(lo // 12 * GROUPS_PER_BATCH))
+        seen += [(r["pack_group"], r["row"]) for r in pack_tokens(ids, "ids", raw, "pack_group", "doc_id").collect()]
+    got = [(r["pack_group"], r["row"]) for r in spark.read.parquet(out).collect()]
+    assert sorted(got) == sorted(seen) and len({g for g, _ in got}) == 6
+
+
+def test_metrics_by_task_align_each_task_and_need_a_record(spark):
+    rows = [("cola", [0, 5, 6], [5, 6, 9]), ("sst2", [5, 6, 7], [5, 6, 8])]
+    df = spark.createDataFrame(rows, "task string, pred array<int>, labels array<int>")
+    got = {(r["task"], r["metric"]): r["value"] for r in M.metrics_by_task(df).collect()}
+    # cola starts with pad and moves to 5 6 0; sst2 does not and stays; only cola lists mcc
+    assert got["cola", "token_accuracy"] == got["sst2", "token_accuracy"] == pytest.approx(2 / 3)
+    assert ("cola", "token_mcc") in got and ("sst2", "token_mcc") not in got and ("sst2", "token_pearson") not in got
+    with pytest.raises(Exception, match="no record of task other"):
+        M.metrics_by_task(df.withColumn("task", F.lit("other"))).collect()
+    with pytest.raises(KeyError):
+        M.token_metrics(df, metric_names=["nothing"])
+
+
+def test_instruction_files_take_texts_and_lists_as_definition(spark, tmp_path):
+    import json
+    from spanweave.operators.instructions import read_instruction_tasks
+    for name, definition in (("a", "Say it."), ("b", ["Say [it]."]), ("c", "[not a list"), ("d", ["unused"])):
+        task = {"Task": name, "Definition": definition, "Instances": [
+            {"id": f"{name}-{k}", "input": "x", "output": ["y"]} for k in range(120)]}
+        (tmp_path / f"{name}.json").write_text(json.dumps(task, indent=1))
+    names = tmp_path / "names.txt"
+    names.write_text("a\nb\n\nc\nc\n")
+    d = read_instruction_tasks(spark, str(names), str(tmp_path / "*.json"), subset="test")
+    got = d.groupBy("task_name", F.col("Definition")[0].alias("d")).count().collect()
+    assert {(r["task_name"], r["d"], r["count"]) for r in got} == {("a", "Say it.", 100), ("b", "Say [it].", 100),
+                                                                    ("c", "[not a list", 100)}
+    few = read_instruction_tasks(spark, str(names), str(tmp_path / "*.json"), max_per_task=7)
+    assert few.count() == 21

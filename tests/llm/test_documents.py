@@ -174,46 +174,72 @@ def test_lm_base_score_and_probabilities(spark, monkeypatch, frequent):
         want = sum(math.log10((count[w] + 1) / (n + v + 1)) for w in ws)
         assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (
             held[r["doc_id"]], len(ws), sum(count[w] > 0 for w in ws), n)
-        assert abs(r["base_score"] - want) < 1e-6 * abs(want) and 1 < r["bits_per_byte"] < 5
+        assert abs(r["base_score"] - want) < 1e-6 * abs(want) and 0 < r["bits_per_byte"] < 5
 
 
 def test_lm_is_a_distribution_and_equals_direct_weighting(spark):
-    """Next-byte probabilities of every context sum to one, and a tiny corpus agrees with weighting written out."""
-    df = spark.createDataFrame([(0, "abab"), (1, "abba")], "doc_id bigint, text string")
-    model = lm_scoring.train(lm_scoring.corpus_counts(df, "text"))
-    assert np.allclose((10.0 ** model["rows"].astype(float)).sum(axis=1), 1, atol=1e-4)
-    data = [list(t.encode()) + [255] for t in ("abab", "abba")]
-    seen = [((row[k - 2] if k > 1 else 255), (row[k - 1] if k else 255), x) for row in data for k, x in enumerate(row)]
+    """Next-byte probabilities of every context sum to one, and a small corpus agrees with weighting written out."""
+    depth = lm_scoring.DEPTH
+    texts, other = ["abab", "abba", "the cat, the bat", "that cab"], "the tab bb"
+    df = spark.createDataFrame(list(enumerate([*texts, other])), "doc_id bigint, text string")
+
+    def places(text):
+        row = [255] * depth + list(text.encode()) + [255]
+        return [(tuple(row[k - depth:k]), row[k]) for k in range(depth, len(row))]
+    seen = [p for t in texts for p in places(t)]
+    every = {c for t in [*texts, other] for c, _ in places(t)}
+    codes = spark.createDataFrame([(int.from_bytes(bytes([*c, x]), "big"), seen.count((c, x))) for c in every
+                                   for x in range(256)], "key bigint, n bigint")
+    sums = Counter()
+    for r in lm_scoring.train(codes).collect():
+        sums[r["key"] >> 8] += 10 ** r["log"]
+    assert len(sums) == len(every) and all(abs(v - 1) < 1e-9 for v in sums.values())
+
+    def counts(context, prefix, bits):
+        at = [x for c, x in seen if x >> (8 - bits) == prefix and c[depth - len(context):] == context]
+        ones = sum(x >> (7 - bits) & 1 for x in at)
+        return len(at) - ones, ones
 
     def kt(z, o):
         return math.lgamma(z + .5) + math.lgamma(o + .5) - math.lgamma(z + o + 1) - math.log(math.pi)
 
-    def counts(rows, prefix, bits):
-        at = [x for *_, x in rows if x >> (8 - bits) == prefix]
-        ones = sum(x >> (7 - bits) & 1 for x in at)
-        return len(at) - ones, ones
-    total = 0.0
-    for before, last, x in seen:
-        for bits in range(8):
-            prefix = x >> (8 - bits)
-            tree0 = counts(seen, prefix, bits)
-            lasts = {b for _, b, _ in seen}
-
-            def weighted(b):
-                rows = [s for s in seen if s[1] == b]
-                deep = sum(kt(*counts([s for s in rows if s[0] == a], prefix, bits)) for a in {s[0] for s in rows})
-                return np.logaddexp(kt(*counts(rows, prefix, bits)), deep) - math.log(2), kt(*counts(rows, prefix, bits)) - deep
-            rows1 = [s for s in seen if s[1] == last]
-            rows2 = [s for s in rows1 if s[0] == before]
-            one = [(o + .5) / (z + o + 1) for z, o in (tree0, counts(rows1, prefix, bits), counts(rows2, prefix, bits))]
-            r1 = 1 / (1 + math.exp(-weighted(last)[1]))
-            p1 = r1 * one[1] + (1 - r1) * one[2]
-            r0 = 1 / (1 + math.exp(-(kt(*tree0) - sum(weighted(b)[0] for b in lasts))))
-            p = r0 * one[0] + (1 - r0) * p1
-            total += math.log10(p if x >> (7 - bits) & 1 else 1 - p)
-    learn = F.lit(True)
-    got = sum(r["score"] for r in lm_scoring.score_texts(df, learn).collect())
-    assert abs(got - total) < 1e-3
+    def children(context, prefix, bits):
+        longer = {c[depth - len(context) - 1:] for c, _ in seen if c[depth - len(context):] == context}
+        return sum(weighted(c, prefix, bits) for c in longer)
+
+    def weighted(context, prefix, bits):
+        own = kt(*counts(context, prefix, bits))
+        if len(context) == depth:
+            return own
+        return np.logaddexp(own, children(context, prefix, bits)) - math.log(2)
+
+    def chance(whole, length, prefix, bits):
+        context = whole[depth - length:]
+        z, o = counts(context, prefix, bits)
+        own = (o + .5) / (z + o + 1)
+        if length == depth or not sum(counts(whole[depth - length - 1:], prefix, bits)):
+            return own
+        weight = 1 / (1 + math.exp(children(context, prefix, bits) - kt(z, o)))
+        return weight * own + (1 - weight) * chance(whole, length + 1, prefix, bits)
+
+    got = {r["doc_id"]: r["score"] for r in lm_scoring.score_texts(df, F.col("doc_id") < len(texts)).collect()}
+    for i, text in enumerate([*texts, other]):
+        want = 0.0
+        for whole, x in places(text):
+            for bits in range(8):
+                p = chance(whole, 0, x >> (8 - bits), bits)
+                want += math.log10(p if x >> (7 - bits) & 1 else 1 - p)
+        assert abs(got[i] - want) < 1e-6, (i, got[i], want)
+
+
+def test_lm_chunks_do_not_change_scores(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text")
+    learn = F.col("doc_id") % 3 != 0
+    whole = {r["doc_id"]: r for r in lm_scoring.score_texts(docs, learn).collect()}
+    monkeypatch.setattr(lm_scoring, "CHUNK_BYTES", 20_000)
+    monkeypatch.setattr(lm_scoring, "COUNTS_HELD", 5_000)
+    for r in lm_scoring.score_texts(docs.repartition(5), learn).collect():
+        assert r["n_known"] == whole[r["doc_id"]]["n_known"] and abs(r["score"] - whole[r["doc_id"]]["score"]) < 1e-6
 
 
 def test_lm_edge_rows(spark):

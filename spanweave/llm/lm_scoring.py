@@ -264,7 +264,7 @@ def train(codes: DataFrame) -> DataFrame:
 
 
 def text_scores(keys: np.ndarray, logs: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """log10 probability of each row, its end included; ``keys`` are sorted and hold every code of the rows."""
+    """log10 probability of each row, its end included; ``keys`` are sorted, with repeats or not, and hold every code of the rows."""
     codes, at = byte_codes(data, offsets)
     return np.add.reduceat(logs[np.searchsorted(keys, codes)], at[:-1])
 
@@ -282,8 +282,8 @@ def score_texts(docs: DataFrame, may_learn: Column, id_col: str = "doc_id", text
     n_train, distinct = total["n"] or 0, total["v"]
     asked = counts.where("kind = 0").select("chunk", "key", "n")
     codes = stored(asked.groupBy("key").agg(F.sum("n").alias("n")), "codes")
-    # both sides grow with the corpus
-    answers = asked.select("chunk", "key").distinct().join(train(codes).hint("merge"), "key")
+    # both sides grow with the corpus; a code that a chunk asks for twice gets the same answer twice
+    answers = asked.select("chunk", "key").join(train(codes).hint("merge"), "key")
 
     # the cut: the smallest count that keeps no more than FREQUENT tokens above it
     above, cut = 0, None

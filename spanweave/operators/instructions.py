@@ -1,7 +1,8 @@
 """Instruction tasks (A5, B3/B4 caps, C8-C12, J5).
 
 Prompts are assembled per row with string functions; the example budget
-(C9) counts tokens as pieces + eos of each candidate prompt, examples are
+(C9) counts tokens as pieces + eos of each candidate prompt, or with a
+vocabulary as the ids that the whole prompt is encoded to; examples are
 added while the prompt fits and the first failure stops the list.
 """
 
@@ -120,12 +121,38 @@ def _example_sql(kind: str, e: str, k: str, expl: str) -> str:
     return f"concat({with_expl}, '\\n')"
 
 
-def render_instruction(df: DataFrame, max_source_length: int = 1024, out: str = "source") -> DataFrame:
+def _fitting_sql(counts: str, used: str, limit: int) -> str:
+    """Struct (used, n, stop): how many leading entries of ``counts`` fit into the limit after ``used``."""
+    return (f"aggregate({counts}, named_struct('used', {used}, 'n', 0, 'stop', false), (s, c) -> "
+            f"IF(s.stop OR s.used + c > {int(limit)}, named_struct('used', s.used, 'n', s.n, 'stop', true), "
+            f"named_struct('used', s.used + c, 'n', s.n + 1, 'stop', false)))")
+
+
+def _spelled_examples(d: DataFrame, strs: dict, max_source_length: int, vocab: DataFrame) -> DataFrame:
+    """Accepted examples by the ids of the whole prompt, task name and eos included.
+
+    Parts of a prompt meet at separators, so that their ids add up to those of the prompt."""
+    from spanweave.operators.vocab import piece_counts, pieces
+    d = d.withColumn("_sw_pos", F.expr(strs["Positive"])).withColumn("_sw_neg", F.expr(strs["Negative"]))
+    parts = F.concat(F.array(F.concat("_sw_name", "_sw_def", "_sw_ti")), "_sw_pos", "_sw_neg")
+    d = d.withColumn("_sw_n", piece_counts(vocab)(F.transform(parts, pieces)))
+    for col, counts, used in (("_sw_fp", "slice(_sw_n, 2, size(_sw_pos))", "_sw_n[0] + 1"),
+                              ("_sw_fn", "slice(_sw_n, size(_sw_pos) + 2, size(_sw_neg))", "_sw_fp.used")):
+        d = d.withColumn(col, F.expr(_fitting_sql(counts, used, max_source_length)))
+    d = d.withColumn("_sw_pos", F.expr("slice(_sw_pos, 1, _sw_fp.n)")).withColumn("_sw_neg", F.expr("slice(_sw_neg, 1, _sw_fn.n)"))
+    return d.drop("_sw_n", "_sw_fp", "_sw_fn")
+
+
+def render_instruction(df: DataFrame, max_source_length: int = 1024, out: str = "source",
+                       vocab: DataFrame | None = None) -> DataFrame:
     """C8 + C9: prompt = [task name + '. '] + [definition] + positives + negatives + task input.
 
     Each example is added while the prompt built so far (definition, the
     accepted examples joined by a space, the candidate, the task input) has at
     most ``max_source_length`` tokens; the first failure stops that list.
+    With ``vocab`` tokens are the ids of the whole prompt, spelled pieces and
+    the task name included, so that examples go before the task input is cut;
+    without it they are pieces, and the task name is not counted.
     """
     ti = _dot(f"concat('Now complete the following example -\\nInput: ', {_strip('Instance.input')})")
     ti = f"concat({ti}, '\\nOutput: ')"
@@ -133,10 +160,13 @@ def render_instruction(df: DataFrame, max_source_length: int = 1024, out: str =
     definition = f"IF(encoding.add_task_definition, concat({_dot(stated)}, '\\n\\n'), '')"
     d = df.withColumn("_sw_ti", F.expr(ti)).withColumn("_sw_def", F.expr(definition))
     d = d.withColumn("_sw_name", F.expr("IF(encoding.add_task_name, concat(Task, '. '), '')"))
-    for kind, col, n in (("Positive", "`Positive Examples`", "encoding.num_pos_examples"),
-                         ("Negative", "`Negative Examples`", "encoding.num_neg_examples")):
-        strs = (f"transform(slice(coalesce({col}, array()), 1, {n}), (e, i) -> "
-                f"{_example_sql(kind, 'e', 'i + 1', 'encoding.add_explanation')})")
+    candidates = {kind: (f"transform(slice(coalesce({col}, array()), 1, {n}), (e, i) -> "
+                         f"{_example_sql(kind, 'e', 'i + 1', 'encoding.add_explanation')})")
+                  for kind, col, n in (("Positive", "`Positive Examples`", "encoding.num_pos_examples"),
+                                       ("Negative", "`Negative Examples`", "encoding.num_neg_examples"))}
+    if vocab is not None:
+        d = _spelled_examples(d, candidates, max_source_length, vocab)
+    for kind, strs in candidates.items() if vocab is None else ():
         prior = "array_join(_sw_pos, ' ')" if kind == "Negative" else "''"
         so_far = f"concat(_sw_def, {prior}, array_join(s.acc, ' '), c, _sw_ti)"
         fold = (f"aggregate({strs}, named_struct('acc', cast(array() as array<string>), 'stop', false), "

@@ -31,12 +31,17 @@ def collate(df: DataFrame, mode: str, **cfg) -> DataFrame:
 
 
 def collate_instructions(df: DataFrame, vocab: DataFrame, max_source_length: int = 1024,
-                         max_target_length: int = 128) -> DataFrame:
+                         max_target_length: int = 128, overflow: str = "chunk") -> DataFrame:
     """Prompts (C8-C9) and references (C11) encoded to model inputs: ``input_ids`` and ``attention_mask``
-    padded to the source length, ``labels`` to the target length with -100. Both lengths cut what is
-    longer, as the reference's collator does."""
+    padded to the source length, ``labels`` to the target length with -100.
+
+    Whole texts: examples are admitted by the ids of the whole prompt, and what is still longer goes on in
+    further rows, one for each pair of ``source_chunk`` and ``target_chunk``. ``overflow="truncate"`` is
+    the reference's collator: both lengths cut what is longer."""
     from spanweave.operators.instructions import choose_reference, render_instruction
     from spanweave.operators.vocab import encode, encode_labels
-    d = choose_reference(render_instruction(df, max_source_length=max_source_length))
-    d = encode(d, "source", vocab, max_source_length, overflow="truncate")
-    return encode_labels(d, "target", vocab, max_target_length)
+    whole = overflow == "chunk"
+    d = choose_reference(render_instruction(df, max_source_length=max_source_length, vocab=vocab if whole else None))
+    d = encode(d, "source", vocab, max_source_length, overflow=overflow)
+    d = encode_labels(d.withColumnRenamed("chunk", "source_chunk"), "target", vocab, max_target_length, overflow=overflow)
+    return d.withColumnRenamed("chunk", "target_chunk")

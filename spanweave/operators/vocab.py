@@ -123,6 +123,34 @@ def piece_ids(vocab: DataFrame, size: int = VOCAB_SIZE, n_sentinels: int = N_SEN
     return _lookup
 
 
+def piece_counts(vocab: DataFrame, size: int = VOCAB_SIZE, n_sentinels: int = N_SENTINELS):
+    """Column function: array<array<string>> lists of pieces -> array<int>, the number of ids of each list.
+
+    Counts what ``piece_ids`` gives: one id for a piece of the vocabulary, else one for each character."""
+    plist = _vocab_pieces(vocab, size, n_sentinels)
+    bc = vocab.sparkSession.sparkContext.broadcast(plist)
+    held: set = set()
+
+    @F.arrow_udf("array<int>")
+    def _count(arr: pa.Array) -> pa.Array:
+        if not held:
+            held.update(bc.value)
+        if isinstance(arr, pa.ChunkedArray):
+            arr = arr.combine_chunks()
+        lists = pc.list_flatten(arr)
+        coded = pc.list_flatten(lists).dictionary_encode()
+        sizes = np.array([1 if p in held else len(p or "") for p in coded.dictionary.to_pylist()], np.int64)
+        which = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        ends = np.concatenate([[0], np.cumsum(sizes[which])])
+        inner = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+        outer = pc.fill_null(pc.list_value_length(arr), 0).to_numpy(zero_copy_only=False)
+        counts = np.diff(ends[np.concatenate([[0], np.cumsum(inner)])]).astype(np.int32)
+        rows = np.concatenate([[0], np.cumsum(outer)])
+        return pa.ListArray.from_arrays(pa.array(rows, pa.int32()), pa.array(counts), mask=arr.is_null())
+
+    return _count
+
+
 def encode(df: DataFrame, text_col: str, vocab: DataFrame, max_len: int,
            overflow: str = "chunk", out: str = "input_ids",
            mask_out: str = "attention_mask", size: int = VOCAB_SIZE) -> DataFrame:

@@ -784,19 +784,14 @@ def _d_count(text: str) -> str:
     return f"(len(regexp_extract_all({text}, '{PIECE_PATTERN}', 2)) + 1)"
 
 
-def _instruction_sql(encoding_sql: str) -> str:
-    """Oracle of instruction rendering; ``encoding_sql`` yields columns name_f, def_f, npos, nneg, expl_f."""
+def instruction_ctes(encoding_sql: str) -> tuple[str, str, str]:
+    """CTEs up to ``b`` (instances with definition ``d`` and task input ``ti``) and the lists of candidate
+    examples; ``encoding_sql`` yields columns name_f, def_f, npos, nneg, expl_f."""
     ti = f"({_d_dot(chr(39) + 'Now complete the following example -' + chr(39) + ' || chr(10) || ' + chr(39) + 'Input: ' + chr(39) + ' || ' + _d_strip('inp'))} || chr(10) || 'Output: ')"
     definition = (f"CASE WHEN def_f THEN {_d_dot(chr(39) + 'Definition: ' + chr(39) + ' || ' + _d_strip('definition'))} "
                   f"|| chr(10) || chr(10) ELSE '' END")
     pos_c = f"list_transform(pos[1 : npos], lambda e, i: {_d_example('Positive', 'e', 'i', 'expl_f')})"
     neg_c = f"list_transform(neg[1 : nneg], lambda e, i: {_d_example('Negative', 'e', 'i', 'expl_f')})"
-
-    def fold(cands: str, prior: str) -> str:
-        return (f"list_reduce({cands}, lambda s, c: CASE WHEN s.stop THEN s WHEN "
-                f"{_d_count(f'(d || {prior} || array_to_string(s.acc, {chr(39)} {chr(39)}) || c || ti)')} <= {INSTR_MAX} "
-                f"THEN {{'acc': list_append(s.acc, c), 'stop': false}} ELSE {{'acc': s.acc, 'stop': true}} END, "
-                f"{{'acc': []::VARCHAR[], 'stop': false}}).acc")
     return f"""
 WITH tt AS (SELECT conv_id, list({{'turn': turn, 'role': role, 'text': text}} ORDER BY turn) AS t
             FROM conversations GROUP BY conv_id),
@@ -811,7 +806,19 @@ ins AS (SELECT task, definition, pos, neg, i - 1 AS instance_pos,
                t[i].text AS inp, [t[i + 1].text, t[i + 1].role] AS output
         FROM tk, unnest(range(1, len(t))) r(i)),
 enc AS (SELECT *, {encoding_sql} FROM ins WHERE instance_pos < 100),
-b AS (SELECT *, {definition} AS d, {ti} AS ti FROM enc),
+b AS (SELECT *, {definition} AS d, {ti} AS ti FROM enc)""", pos_c, neg_c
+
+
+def _instruction_sql(encoding_sql: str) -> str:
+    """Oracle of instruction rendering."""
+    ctes, pos_c, neg_c = instruction_ctes(encoding_sql)
+
+    def fold(cands: str, prior: str) -> str:
+        return (f"list_reduce({cands}, lambda s, c: CASE WHEN s.stop THEN s WHEN "
+                f"{_d_count(f'(d || {prior} || array_to_string(s.acc, {chr(39)} {chr(39)}) || c || ti)')} <= {INSTR_MAX} "
+                f"THEN {{'acc': list_append(s.acc, c), 'stop': false}} ELSE {{'acc': s.acc, 'stop': true}} END, "
+                f"{{'acc': []::VARCHAR[], 'stop': false}}).acc")
+    return f"""{ctes},
 p AS (SELECT *, {fold(pos_c, "''")} AS pa FROM b),
 n AS (SELECT *, {fold(neg_c, "array_to_string(pa, ' ')")} AS na FROM p)
 SELECT id, CASE WHEN name_f THEN task || '. ' ELSE '' END || d || array_to_string(pa, '') || array_to_string(na, '') || ti

@@ -205,10 +205,65 @@ SELECT id, {O.render(O.fit('i', n))} AS input_ids, {O.render(O.fit('list_transfo
 
 @query("collate_instruction", sql=_collated_sql())
 def collate_instruction(spark, sf):
-    """J4 in instruction mode: prompts and references as padded ids."""
+    """J4 in instruction mode, cut to its lengths as the reference's collator does."""
     e = IN.explode_instances(instruction_tasks(spark, sf), subset="test")
     e = IN.with_fixed_encoding(e, add_task_name=True, add_task_definition=True, num_pos_examples=2,
                                num_neg_examples=2, add_explanation=True)
     out = collate(e, "instruction", vocab=corpus_vocab(spark, sf), max_source_length=C.INSTR_MAX,
-                  max_target_length=TARGET_LEN)
+                  max_target_length=TARGET_LEN, overflow="truncate")
     return out.select("id", render("input_ids"), render("attention_mask"), render("labels"))
+
+
+# The lengths of the reference's configuration of instruction tasks (ft.yaml).
+SOURCE_MAX, TARGET_MAX = 1024, 128
+
+
+def _whole_collated_sql() -> str:
+    n, m = SOURCE_MAX, TARGET_MAX
+    base, pos, neg = C.instruction_ctes("true AS name_f, true AS def_f, 2 AS npos, 2 AS nneg, true AS expl_f")
+
+    def fitting(counts: str, used: str) -> str:
+        return f"len(list_filter(range(1, len({counts}) + 1), lambda j: {used} + list_sum(({counts})[1 : j]) <= {n}))"
+
+    def seg(ids: str, c: str, body: int) -> str:
+        return f"{ids}[{c} * {body} + 1 : {c} * {body} + {body}] || [1]"
+    return (O.vocab_ctes() + f""",
+cand AS ({base}
+SELECT id, task || '. ' || d AS head, {pos} AS pos, {neg} AS neg, ti,
+       output[{O.uniform('len(output)', 'id', "'ref'")} + 1] AS target FROM b),
+part AS (SELECT id, unnest([head || ti] || pos || neg) AS part, unnest(generate_series(0, len(pos) + len(neg))) AS k FROM cand)"""
+            + O.text_ids_ctes("pt", "part", ["id", "k"], "part", eos=False) + f""",
+sizes AS (SELECT id, list(len(ids) ORDER BY k) AS n FROM pt_ids GROUP BY id),
+cp AS (SELECT c.*, s.n[1] + 1 AS used, s.n[2 : 1 + len(pos)] AS np, s.n[2 + len(pos) : len(s.n)] AS nn
+       FROM cand c JOIN sizes s ON s.id = c.id),
+kp AS (SELECT *, {fitting('np', 'used')} AS k FROM cp),
+kn AS (SELECT *, used + coalesce(list_sum(np[1 : k]), 0) AS more FROM kp),
+src AS (SELECT id, head || array_to_string(pos[1 : k], '') || array_to_string(neg[1 : {fitting('nn', 'more')}], '') || ti
+               AS source, target FROM kn)""" + O.text_ids_ctes("si", "src", ["id"], "source", eos=False)
+            + O.text_ids_ctes("so", "src", ["id"], "target", eos=False) + f""",
+sc AS (SELECT id, c::INTEGER AS source_chunk, {seg('ids', 'c', n - 1)} AS i
+       FROM si_ids, unnest(range(0, greatest(ceil(len(ids) / {n - 1})::INTEGER, 1))) AS r(c)),
+tc AS (SELECT id, c::INTEGER AS target_chunk, {seg('ids', 'c', m - 1)} AS o
+       FROM so_ids, unnest(range(0, greatest(ceil(len(ids) / {m - 1})::INTEGER, 1))) AS r(c))
+SELECT sc.id, source_chunk, target_chunk, {O.render(O.fit('i', n))} AS input_ids,
+       {O.render(O.fit('list_transform(i, lambda x: 1)', n))} AS attention_mask,
+       {O.render(f"list_transform({O.fit('o', m)}, lambda y: CASE WHEN y = 0 THEN -100 ELSE y END)")} AS labels
+FROM sc JOIN tc ON tc.id = sc.id""")
+
+
+@query("collate_instruction_whole", sql=_whole_collated_sql())
+def collate_instruction_whole(spark, sf):
+    """J4 in instruction mode at the reference's lengths: whole prompts and references, in chunk rows.
+
+    Instances carry the two examples of each kind that the encoding asks for, not the task's whole lists."""
+    tasks = instruction_tasks(spark, sf)
+    for kind in ("Positive Examples", "Negative Examples"):
+        tasks = tasks.withColumn(kind, F.slice(kind, 1, 2))
+    e = IN.explode_instances(tasks, subset="test")
+    e = IN.with_fixed_encoding(e, add_task_name=True, add_task_definition=True, num_pos_examples=2,
+                               num_neg_examples=2, add_explanation=True)
+    out = collate(e, "instruction", vocab=corpus_vocab(spark, sf), max_source_length=SOURCE_MAX,
+                  max_target_length=TARGET_MAX)
+    return out.select("id", F.col("source_chunk").cast("int").alias("source_chunk"),
+                      F.col("target_chunk").cast("int").alias("target_chunk"),
+                      render("input_ids"), render("attention_mask"), render("labels"))

@@ -168,3 +168,30 @@ def test_instruction_files_take_texts_and_lists_as_definition(spark, tmp_path):
                                                                     ("c", "[not a list", 100)}
     few = read_instruction_tasks(spark, str(names), str(tmp_path / "*.json"), max_per_task=7)
     assert few.count() == 21
+
+
+def test_collated_instructions_keep_task_input_and_whole_target(spark):
+    from spanweave.operators.instructions import TASK_SCHEMA, explode_instances, with_fixed_encoding
+    from spanweave.operators.udf import collate
+    from spanweave.operators.vocab import build_vocab, encode_ids
+    vocab = build_vocab(spark.createDataFrame([(1, "abcdefghijklmnopqrstuvwxyz ABCDEFGINOP .:- 0123456789")], "k int, text string"), "text")
+    # every word is spelled, so ids are several times the pieces
+    reply = " ".join(f"reply{k}" for k in range(40))
+    example = {"input": "some words " * 8, "output": "other words " * 8, "explanation": "why"}
+    task = {"Task": "task1", "Definition": ["Say it"], "Positive Examples": [example] * 2, "Negative Examples": [example] * 2,
+            "Instances": [{"id": "a", "input": "the question", "output": [reply]}]}
+    tasks = spark.createDataFrame([task], TASK_SCHEMA)
+    e = with_fixed_encoding(explode_instances(tasks), True, True, 2, 2, True)
+    rows = collate(e, "instruction", vocab=vocab, max_source_length=512, max_target_length=64).collect()
+
+    def ids(text):
+        return encode_ids(spark.createDataFrame([(text,)], "t string"), "t", vocab, add_eos=False).first()["ids"]
+    assert {r["source_chunk"] for r in rows} == {0} and len(rows) > 3
+    source = [x for x in rows[0]["input_ids"] if x][:-1]
+    assert source == ids(rows[0]["source"]) and rows[0]["source"].endswith("Input: the question.\nOutput: ")
+    assert "Positive Example 1" in rows[0]["source"] and "Positive Example 2" not in rows[0]["source"]
+    rows.sort(key=lambda r: r["target_chunk"])
+    assert [x for r in rows for x in r["labels"] if x not in (1, -100)] == ids(reply)
+    tight = collate(e, "instruction", vocab=vocab, max_source_length=20, max_target_length=64).collect()
+    parts = {r["source_chunk"]: [x for x in r["input_ids"] if x > 1] for r in tight}
+    assert "Example 1" not in tight[0]["source"] and [x for k in sorted(parts) for x in parts[k]] == ids(tight[0]["source"])

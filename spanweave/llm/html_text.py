@@ -39,10 +39,13 @@ CLOSES = {
     **{t: ({"tbody", "thead", "tfoot", "tr", "td", "th", "caption", "p"}, {"table"}) for t in ("tbody", "thead", "tfoot")},
     "body": ({"head"}, {"html"}), "option": ({"option"}, {"select"}),
 }
+#: start tags that leave an open head open; any other, and text, ends it
+HEAD = frozenset("title meta link base basefont bgsound script style noscript noframes template head html".split())
 #: an end tag does not reach past these
 WALL = frozenset({"table", "td", "th", "body"})
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
+UNQUOTED = re.compile(r"=\s*[^\s\"'>]+\Z")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
 
 
@@ -64,6 +67,12 @@ def _node(tag: str, raw: str) -> Node:
     return Node(tag, hidden, start)
 
 
+def _end_head(stack: list):
+    """Close an open head, unless something that holds its own content is open in it."""
+    if len(stack) > 1 and stack[-1].tag == "head":
+        stack.pop()
+
+
 def build(html: str) -> Node:
     """The page as a tree; children are nodes and strings."""
     root = Node("#root")
@@ -72,6 +81,8 @@ def build(html: str) -> Node:
         m = TOKEN.search(html, at)
         text = html[at:m.start() if m else len(html)]
         if text:
+            if not text.isspace():
+                _end_head(stack)
             stack[-1].children.append(unescape(text) if "&" in text else text)
         if not m:
             break
@@ -87,6 +98,8 @@ def build(html: str) -> Node:
                 if stack[k].tag in WALL and tag not in WALL and tag not in ("tr", "tbody", "thead", "tfoot", "html"):
                     break
             continue
+        if tag not in HEAD:
+            _end_head(stack)
         if tag in CLOSES:
             gone, barrier = CLOSES[tag]
             for k in range(len(stack) - 1, 0, -1):
@@ -98,6 +111,9 @@ def build(html: str) -> Node:
                         break
         node = _node(tag, m[3])
         stack[-1].children.append(node)
+        if m[3].endswith("/") and tag not in VOID and not UNQUOTED.search(m[3]) and (
+                tag == "svg" or any(n.tag == "svg" for n in stack)):
+            continue
         if tag in RAW:
             close = re.compile(rf"</{tag}\s*>", re.I).search(html, at)
             stop = close.start() if close else len(html)

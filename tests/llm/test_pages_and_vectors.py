@@ -47,6 +47,17 @@ def test_html_layout(html, text):
     assert visible_text(html) == text
 
 
+@pytest.mark.parametrize("html, text", [
+    ("<html><head><title>T</title><p>Hello", "Hello"), ("<head><meta charset=x>\n<script>s</script> Hello <b>you</b>", "Hello you"),
+    ("<head><title>T</title><noscript><p>n</p></noscript><template><p>t</p></template><div>a</div></head>b", "a\nb"),
+    ("<head><style>p{}</style></head><body>b", "b"), ("<div><svg/>text</div>", "text"),
+    ("<div><svg width=1 />text</div>", "text"), ("<svg><title/><g id='a'/></svg>text", "text"),
+    ("<svg width=1/>hidden</svg>text", "text"), ("<div><svg><path d=x /></svg>text</div>", "text"),
+])
+def test_html_implied_ends(html, text):
+    assert visible_text(html) == text
+
+
 def test_html_keeps_columns(spark):
     df = spark.createDataFrame([(1, "<p>a", "x"), (2, None, "y")], "page_id int, html string, `_text` string")
     got = {r["page_id"]: r["text"] for r in html_text.extract_text(df).collect()}

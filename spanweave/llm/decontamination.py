@@ -7,7 +7,8 @@ as the item.
 1. Screen, lossless: a window of positive similarity shares a shingle with the item, so windows are
    placed where a document shingle equals a benchmark shingle, aligned on the item's word.
 2. SimHash: each window and each item gets a 64-bit fingerprint, the majority of the bits of its
-   shingles' hashes, each counted as often as it occurs (sums of 16-bit lanes in longs).
+   shingles' hashes (sums of 16-bit lanes in longs). A repeated shingle has another hash at each
+   occurrence, so that all features are distinct and the distance follows the weighted similarity.
 3. Multi-index Hamming blocks: fingerprints are cut into ``RADIUS + 1`` blocks; two fingerprints
    within the radius agree in at least one, so an equi-join on (item size, block number, block
    bits) finds all of them; a pair is kept at its first equal block only.
@@ -81,6 +82,12 @@ def counted(hashes: Column) -> Column:
         s, lambda h, i: F.struct(h.alias("h"), (i - F.array_position(s, h).cast("int")).alias("k"))))
 
 
+def fingerprint(hashes: Column) -> Column:
+    """SimHash of occurrence-numbered hashes; a first occurrence stands as it is."""
+    numbered = F.transform(counted(hashes), lambda c: F.when(c["k"] < 0, c["h"]).otherwise(F.xxhash64(c["h"], c["k"])))
+    return bound(F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), hashes).otherwise(numbered), simhash)
+
+
 def _block(fp: Column, j: Column) -> Column:
     """Bits of block j; the last one also holds what is left over."""
     moved = F.call_function("shiftrightunsigned", fp, (j * BITS).cast("int"))
@@ -93,7 +100,7 @@ def benchmark_items(benchmark: DataFrame, item_col: str, text_col: str) -> DataF
         "size(words) > 0").distinct()
     items = items.select("item", F.size("words").alias("size"), F.least(F.size("words"), F.lit(WIDTH)).alias("width"),
                          window_hashes(F.col("words")).alias("hashes"))
-    return items.withColumn("fp", simhash(F.col("hashes")))
+    return items.withColumn("fp", fingerprint(F.col("hashes")))
 
 
 def row_key(id_col: str, text_col: str) -> Column:
@@ -127,7 +134,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     cut = held.select("rk", "id", F.inline(F.transform("windows", lambda w: F.struct(
         w["size"].alias("size"), w["start"].alias("start"), F.slice("words", w["start"] + 1, w["size"]).alias("w")))))
     cut = cut.select("rk", "id", "size", "start", window_hashes(F.col("w")).alias("hashes")).withColumn(
-        "fp", simhash(F.col("hashes")))
+        "fp", fingerprint(F.col("hashes")))
     cut = stored(cut, "prints")
 
     blocks = F.sequence(F.lit(0), F.lit(RADIUS))

@@ -58,6 +58,27 @@ def test_decontamination_matches_brute_force(spark):
     assert left == {i for i, _ in docs} - {i for i, _ in want}
 
 
+def test_decontamination_finds_windows_with_repeated_shingles(spark):
+    from collections import Counter
+    items, docs, want = [], [], {}
+    for k in range(12):
+        n, run, word = ((200, 17, "0"), (500, 51, "xxx"))[k % 2]
+        item = prose(n, 900 + k, 5000).split()
+        window = item[:60] + [word] * run + item[60 + run:]
+        if k >= 8:   # the repeats on the item's side
+            item, window = window, item
+        x, y = (Counter(tuple(w[j:j + 5]) for j in range(n - 4)) for w in (item, window))
+        both = sum((x & y).values())
+        want[k, k] = both / (2 * (n - 4) - both)
+        items.append((k, " ".join(item)))
+        docs.append((k, " ".join(window)))
+    assert min(want.values()) >= 0.8
+    found = decontamination.contaminated(spark.createDataFrame(docs, "doc_id bigint, text string"),
+                                         spark.createDataFrame(items, "item_id bigint, text string"))
+    assert {(r["id"], r["item"]): r["similarity"] for r in found.collect()} == want
+    assert no_python(found)
+
+
 def test_decontamination_edge_rows(spark):
     b = spark.createDataFrame([(1, "one two"), (2, None)], "item_id bigint, text string")
     got = decontamination.drop_contaminated(edge(spark), b)

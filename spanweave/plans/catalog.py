@@ -565,6 +565,16 @@ def eval_batches(spark, sf):
     return r.select(F.round("loss", 6).alias("loss"), F.round("accuracy", 6).alias("accuracy"), "n_batches")
 
 
+@query("eval_all_batches", sql=ORACLE["eval_batches"].replace(" WHERE example_key // 4 + 1 < 5 * 2", ""))
+def eval_all_batches(spark, sf):
+    """G16 over the whole table: as many steps as it has batches."""
+    ex = EV.logits_examples(spark, sf).withColumn("batch", (F.col("example_key") / 4).cast("bigint") + 1)
+    last = read_table(spark, sf, "embeddings").agg(F.max("vec_id")).first()[0]
+    steps = 1 if last is None else last // EV.POSITIONS // 4 + 2   # batches stop before it
+    r = M.evaluate_batches(ex, "batch", steps=steps)
+    return r.select(F.round("loss", 6).alias("loss"), F.round("accuracy", 6).alias("accuracy"), "n_batches")
+
+
 def _rouge_tokens_sql(col: str) -> str:
     t = f"trim(regexp_replace(lower({col}), '[^a-z0-9]+', ' ', 'g'))"
     return f"CASE WHEN {t} = '' THEN []::VARCHAR[] ELSE string_split({t}, ' ') END"

@@ -195,3 +195,10 @@ def test_collated_instructions_keep_task_input_and_whole_target(spark):
     tight = collate(e, "instruction", vocab=vocab, max_source_length=20, max_target_length=64).collect()
     parts = {r["source_chunk"]: [x for x in r["input_ids"] if x > 1] for r in tight}
     assert "Example 1" not in tight[0]["source"] and [x for k in sorted(parts) for x in parts[k]] == ids(tight[0]["source"])
+
+
+def test_all_batches_are_evaluated(spark):
+    from spanweave.plans import catalog as C
+    from tests.conftest import SF_SMALL
+    n = spark.read.parquet(f"{SF_SMALL}/embeddings.parquet").selectExpr("count(distinct vec_id div 32)").first()[0]
+    assert n > 9 and C.QUERIES["eval_all_batches"](spark, SF_SMALL).first()["n_batches"] == n

@@ -1,7 +1,8 @@
 """Operator 7: visible text of HTML pages, laid out.
 
 A small tree builder (implied end tags, void and raw-text elements) makes the nodes; visibility
-rules drop what a browser does not show; the renderer keeps block spacing (one line break between
+rules drop what a browser does not show (of svg it shows text and foreignObject; all options of a select
+count as shown); the renderer keeps block spacing (one line break between
 blocks, a blank line around paragraphs, headings, lists and tables), nested list markers, preformatted
 text and table cells aligned in columns.
 
@@ -23,10 +24,14 @@ from pyspark.sql import DataFrame, functions as F
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 UNSEEN = frozenset("script style head title template noscript meta link base datalist iframe object audio video "
-                   "canvas svg select textarea noembed noframes".split())
+                   "canvas noembed noframes".split())
 BLOCK = frozenset("address article aside blockquote body center details dialog dd div dl dt fieldset figcaption figure "
                   "footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary "
                   "table tbody td tfoot th thead tr ul caption".split())
+#: elements of svg whose text is shown
+DRAWN = frozenset({"text", "foreignobject"})
+#: shown on lines of their own, though they are no blocks to the tree
+LINES = DRAWN | {"option", "optgroup", "select"}
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre table figure menu".split())
 #: a start tag closes these open elements, up to the nearest of the barriers
 CLOSES = {
@@ -37,7 +42,7 @@ CLOSES = {
     "td": ({"td", "th", "p"}, {"tr", "table"}), "th": ({"td", "th", "p"}, {"tr", "table"}),
     "tr": ({"tr", "td", "th", "caption", "p"}, {"table"}),
     **{t: ({"tbody", "thead", "tfoot", "tr", "td", "th", "caption", "p"}, {"table"}) for t in ("tbody", "thead", "tfoot")},
-    "body": ({"head"}, {"html"}), "option": ({"option"}, {"select"}),
+    "body": ({"head"}, {"html"}), "option": ({"option"}, {"select"}), "optgroup": ({"option"}, {"select"}),
 }
 #: start tags that leave an open head open; any other, and text, ends it
 HEAD = frozenset("title meta link base basefont bgsound script style noscript noframes template head html".split())
@@ -50,10 +55,11 @@ HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)",
 
 
 class Node:
-    __slots__ = ("tag", "hidden", "start", "children")
+    """``svg`` is whether the node is inside svg, ``drawn`` whether text right in it is shown there."""
+    __slots__ = ("tag", "hidden", "start", "children", "svg", "drawn")
 
     def __init__(self, tag: str, hidden: bool = False, start: int = 1):
-        self.tag, self.hidden, self.start, self.children = tag, hidden, start, []
+        self.tag, self.hidden, self.start, self.children, self.svg, self.drawn = tag, hidden, start, [], False, True
 
 
 def _node(tag: str, raw: str) -> Node:
@@ -64,7 +70,12 @@ def _node(tag: str, raw: str) -> Node:
                   or tag == "dialog" and "open" not in attrs)
         if tag == "ol" and re.fullmatch(r"-?\d{1,9}", attrs.get("start", "")):
             start = int(attrs["start"])
-    return Node(tag, hidden, start)
+    node = Node(tag, hidden, start)
+    if tag == "optgroup" and raw and not raw.isspace() and attrs.get("label"):
+        label = Node("option")
+        label.children.append(attrs["label"])
+        node.children.append(label)
+    return node
 
 
 def _end_head(stack: list):
@@ -83,7 +94,8 @@ def build(html: str) -> Node:
         if text:
             if not text.isspace():
                 _end_head(stack)
-            stack[-1].children.append(unescape(text) if "&" in text else text)
+            if stack[-1].drawn:
+                stack[-1].children.append(unescape(text) if "&" in text else text)
         if not m:
             break
         at = m.end()
@@ -110,14 +122,17 @@ def build(html: str) -> Node:
                     if tag not in ("tr", "tbody", "thead", "tfoot", "li", "dt", "dd", "td", "th"):
                         break
         node = _node(tag, m[3])
-        stack[-1].children.append(node)
-        if m[3].endswith("/") and tag not in VOID and not UNQUOTED.search(m[3]) and (
-                tag == "svg" or any(n.tag == "svg" for n in stack)):
+        held = stack[-1]
+        held.children.append(node)
+        node.svg = held.svg or tag == "svg"
+        node.drawn = tag in DRAWN or held.drawn and tag != "svg"
+        node.hidden = node.hidden or held.svg and tag in ("desc", "metadata")
+        if m[3].endswith("/") and tag not in VOID and node.svg and not UNQUOTED.search(m[3]):
             continue
         if tag in RAW:
             close = re.compile(rf"</{tag}\s*>", re.I).search(html, at)
             stop = close.start() if close else len(html)
-            node.children.append(html[at:stop])
+            node.children.append(unescape(html[at:stop]) if tag == "textarea" else html[at:stop])
             at = close.end() if close else len(html)
         elif tag not in VOID:
             stack.append(node)
@@ -242,7 +257,11 @@ def render(root: Node) -> str:
             page.block(True)
             pre += 1
             after += [("pre", tag), ("block", tag)]
-        elif tag in BLOCK and not (tables and tag in ("tbody", "thead", "tfoot")):
+        elif tag == "textarea":
+            page.block(False)
+            pre += 1
+            after += [("pre", tag), ("block", tag)]
+        elif tag in LINES and (item.svg or tag not in DRAWN) or tag in BLOCK and not (tables and tag in ("tbody", "thead", "tfoot")):
             page.block(tag in SPACED)
             after.append(("block", tag))
         todo += reversed(after)

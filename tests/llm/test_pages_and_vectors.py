@@ -52,7 +52,11 @@ def test_html_layout(html, text):
     ("<head><title>T</title><noscript><p>n</p></noscript><template><p>t</p></template><div>a</div></head>b", "a\nb"),
     ("<head><style>p{}</style></head><body>b", "b"), ("<div><svg/>text</div>", "text"),
     ("<div><svg width=1 />text</div>", "text"), ("<svg><title/><g id='a'/></svg>text", "text"),
-    ("<svg width=1/>hidden</svg>text", "text"), ("<div><svg><path d=x /></svg>text</div>", "text"),
+    ("<svg width=1/>hidden</svg>text", "text"),
+    ("a<svg><title>t</title><desc>d</desc><style>s</style><g>x<text>b <tspan>c</tspan></text><text>d</text></g></svg>e", "a\nb c\nd\ne"),
+    ("<p>n<textarea rows=2>one &amp;\n  <b>two</textarea>m", "n\none &\n  <b>two\nm"),
+    ("<select><option>a<option hidden>h<option>b</select>c", "a\nb\nc"),
+    ("<select><optgroup label='L'><option>a<optgroup label=M><option>b</select>", "L\na\nM\nb"), ("<div><svg><path d=x /></svg>text</div>", "text"),
 ])
 def test_html_implied_ends(html, text):
     assert visible_text(html) == text

@@ -460,6 +460,10 @@ def as_text(spans: Column) -> Column:
 
 def op12_secret_scan(spark, sf_dir: str) -> DataFrame:
     found = find_secrets(table(spark, sf_dir, "documents"))
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("bigint").alias(f"n_{k}") for k in KINDS[:3]]
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
+    counts = [count(kind) for kind in KINDS[:3]]
     return found.select(F.col("id").alias("doc_id"), *counts, F.sha2(as_text(F.col("base")).cast("binary"), 256).alias("base_sha256"),
                         as_text(F.col("spans")).alias("spans"))

@@ -180,6 +180,20 @@ def test_secret_base_spans_are_the_patterns(spark):
                 assert e - s >= 2 and not any(a < e and s < b for _, a, b in want)
 
 
+def test_secret_query_columns(spark, small="/root/testdata/sf0.001"):
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    got = secret_scan.op12_secret_scan(spark, small)
+    assert got.columns == ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"]
+    got = got.collect()
+    assert {r["doc_id"] for r in got} == set(texts)
+    for r in got:
+        base = base_by_hand(texts[r["doc_id"]])
+        assert [r["n_assign"], r["n_access"], r["n_hex"]] == [sum(k == n for _, k, _ in base) for n in range(3)]
+        text = ",".join(f"{secret_scan.KINDS[k]}:{s}:{e}" for s, k, e in base)
+        assert r["base_sha256"] == hashlib.sha256(text.encode()).hexdigest()
+        assert set(filter(None, text.split(","))) <= set(r["spans"].split(","))
+
+
 def test_secret_edges(spark):
     got = secret_scan.find_secrets(edge(spark)).collect()
     assert len(got) == len(edge_rows()) and all(r["base"] == [] for r in got)

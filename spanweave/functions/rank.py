@@ -138,6 +138,9 @@ def group_dense_index(df: DataFrame, group_cols: list, order_cols: list, name: s
                                                    F.count(F.lit(1)).alias("_sw_n"))
     w = Window.partitionBy(*group_cols).orderBy("_sw_pid").rowsBetween(Window.unboundedPreceding, -1)
     pg = pg.withColumn("_sw_before", F.coalesce(F.sum("_sw_n").over(w), F.lit(0)))
-    out = local.join(pg.select("_sw_pid", *group_cols, "_sw_min", "_sw_before"), ["_sw_pid", *group_cols])
-    return (out.withColumn(name, F.col("_sw_before") + F.col("_sw_mid") - F.col("_sw_min"))
-               .drop("_sw_pid", "_sw_mid", "_sw_min", "_sw_before"))
+    # a null group is a group like any other
+    pg = pg.select("_sw_pid", *group_cols, "_sw_min", "_sw_before").toDF(
+        "_sw_p", *[f"_sw_g{i}" for i in range(len(group_cols))], "_sw_min", "_sw_before")
+    same = [F.col("_sw_pid") == F.col("_sw_p")] + [F.col(c).eqNullSafe(F.col(f"_sw_g{i}")) for i, c in enumerate(group_cols)]
+    out = local.join(pg, on=same)
+    return out.withColumn(name, F.col("_sw_before") + F.col("_sw_mid") - F.col("_sw_min")).select(*df.columns, name)

@@ -1,19 +1,19 @@
 """Vocabulary, encoding and decoding.
 
-The reference downloads a pretrained subword model; none is available
-offline, so the vocabulary is learned from the corpus itself: a piece is a
-run of word characters or one punctuation/symbol character, prefixed with
-the word-start marker when separators precede it (as a sentencepiece model
-writes it). The vocabulary holds every character of the corpus, the marker
-included, and then the most frequent longer pieces; a piece that is not in it
-is spelled as its characters (a head with the marker, then continuation
-pieces), so no text of the corpus is lost. Ids: 0 pad, 1 eos, 2 unk, 3..
-characters by (count desc, character), then pieces by (count desc, piece), then
-the sentinels at the top of the id space.
+A piece is a run of word characters or one punctuation/symbol character,
+prefixed with the word-start marker when separators precede it (as a
+sentencepiece model writes it). The vocabulary holds the 256 bytes, the subwords
+of a public rank file, the corpus's frequent characters and then its most frequent
+longer pieces. A piece that is not in it is spelled: from the left, the longest
+entry that stands there, and a character that has none as its UTF-8 bytes. So
+every Unicode text has ids, whatever the size of the alphabet, and none is 2.
+Ids: 0 pad, 1 eos, 2 unk (unused by encoding), 3..258 bytes, then subwords in rank
+order, characters and pieces by (count desc, text), then the sentinels at the top.
 """
 
 from __future__ import annotations
 
+import base64
 from itertools import chain
 
 import numpy as np
@@ -27,6 +27,45 @@ from spanweave.constants import (EOS_ID, EOS_TOKEN, N_SENTINELS, PAD_ID, PAD_TOK
 from spanweave.functions.arrays import fit_length_sql, ignore_pads_sql
 
 N_SPECIAL = 3
+#: Id of the first entry that is text; the 256 bytes stand before it.
+FIRST_PIECE = N_SPECIAL + 256
+#: Longest entry, in characters, that spelling looks for.
+SPELL_LEN = 16
+#: Subwords of the public rank file that a vocabulary takes by default.
+N_SUBWORDS = 2000
+#: Characters get at most this part of the ids that are left for text.
+CHARACTER_PART = 8
+#: Counts are told apart to 1/16 of a power of two when the least count of a vocabulary is looked for.
+COUNT_STEPS = 16
+
+
+def byte_piece(b: int) -> str:
+    return f"<0x{b:02X}>"
+
+
+def read_subwords(path: str | None = None, n: int = N_SUBWORDS) -> list[str]:
+    """The first n entries of a public rank file (base64 text and rank a line) that are whole characters.
+
+    A space stands for the word-start marker. ``path`` defaults to the installed byte-level file; without one
+    there are no subwords."""
+    if path is None:
+        try:
+            import public_tokenizers
+        except ModuleNotFoundError:
+            return []
+        path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    out: dict[str, None] = {}
+    with open(path, "rb") as f:
+        for line in f:
+            if len(out) == n:
+                break
+            try:
+                word = base64.b64decode(line.split()[0]).decode().replace(" ", WORD_MARK)
+            except UnicodeDecodeError:
+                continue
+            if word.isprintable():
+                out[word] = None
+    return list(out)
 
 
 def pieces(text: str | Column) -> Column:
@@ -43,110 +82,142 @@ def sentinel_token(k: int) -> str:
 
 
 def build_vocab(df: DataFrame, text_col: str = "text", size: int = VOCAB_SIZE,
-                n_sentinels: int = N_SENTINELS) -> DataFrame:
-    """(piece, id, count) for specials, the most frequent pieces, sentinels.
+                n_sentinels: int = N_SENTINELS, subwords: list[str] | None = None) -> DataFrame:
+    """(piece, id, count) for specials, bytes, subwords, characters, the most frequent pieces, sentinels.
 
-    Counting is a map-side-combined ``groupBy`` (hot pieces never reach one
-    task unaggregated); the top-k is a ``TakeOrderedAndProject`` whose result
-    is bounded by ``size``, so numbering it on one task is safe. An alphabet that
-    leaves no room for longer pieces keeps its most frequent characters.
+    Counting is a map-side-combined ``groupBy`` (hot pieces never reach one task
+    unaggregated). A histogram of counts (some hundred rows) gives the least count
+    that can still be in the vocabulary, so that only about ``size`` pieces, not so many
+    of every partition, meet in the top-k that numbers them.
     """
-    k = size - n_sentinels - N_SPECIAL
+    k = size - n_sentinels - FIRST_PIECE
+    if k < 0:
+        raise ValueError(f"a vocabulary needs {n_sentinels + FIRST_PIECE} ids for specials, bytes and sentinels")
+    spark = df.sparkSession
+    subwords = (read_subwords() if subwords is None else subwords)[:k]
+    sub = spark.createDataFrame([(w, r) for r, w in enumerate(subwords)], "piece string, rank int")
     counts = (df.select(F.explode(pieces(text_col)).alias("piece"))
                 .groupBy("piece").agg(F.count(F.lit(1)).alias("count")))
     chars = (counts.select(F.explode(F.split("piece", "")).alias("piece"), "count")
                    .groupBy("piece").agg(F.sum("count").alias("count")).where("piece <> ''"))
-    longer = counts.where(F.length("piece") > 1)
-    both = chars.withColumn("part", F.lit(0)).unionByName(longer.withColumn("part", F.lit(1)))
-    order = (F.asc("part"), F.desc("count"), F.asc("piece"))
-    top = both.orderBy(*order).limit(k)
-    ranked = top.withColumn("id", (F.row_number().over(Window.orderBy(*order)) + (N_SPECIAL - 1)).cast("int"))
-    spark = df.sparkSession
-    specials = ([(PAD_TOKEN, PAD_ID, 0), (EOS_TOKEN, EOS_ID, 0), (UNK_TOKEN, UNK_ID, 0)]
-                + [(sentinel_token(j), size - 1 - j, 0) for j in range(n_sentinels)])
-    # the table is bounded by ``size``: materialise it once so every consumer
-    # (encoding, decoding, id -> piece) reads the same small relation instead
-    # of recounting the corpus
+    new = counts.where(F.length("piece") > 1).join(F.broadcast(sub), "piece", "left_anti")
+    order = (F.desc("count"), F.asc("piece"))
+    # tables bounded by ``size``, kept once so that every consumer reads the same small relation
+    # instead of recounting the corpus
+    known = counts.join(F.broadcast(sub), "piece").select("piece", "count").toPandas()
+    held = dict(zip(known["piece"], known["count"]))
+    most = (k - len(subwords)) // CHARACTER_PART
+    letters = (chars.join(F.broadcast(sub), "piece", "left_anti").orderBy(*order).limit(most)).toPandas()
+    room = k - len(subwords) - len(letters)
+    step = F.floor(F.log2("count") * COUNT_STEPS)
+    least, above = 0, 0
+    for r in new.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("step")).collect():
+        least, above = r["step"], above + r["n"]
+        if above >= room:
+            break
+    longer = new.where(step >= least).orderBy(*order).limit(room).toPandas()
     import pandas as pd
-    pdf = ranked.select("piece", "id", "count").toPandas()  # Arrow transfer, bounded by ``size``
-    if len(pdf) > size:
-        raise ValueError("vocabulary larger than its declared size")
-    pdf = pd.concat([pdf, pd.DataFrame(specials, columns=["piece", "id", "count"])], ignore_index=True)
-    pdf = pdf.astype({"id": "int32", "count": "int64"})
+    rows = [(PAD_TOKEN, PAD_ID, 0), (EOS_TOKEN, EOS_ID, 0), (UNK_TOKEN, UNK_ID, 0)]
+    rows += [(byte_piece(b), N_SPECIAL + b, 0) for b in range(256)]
+    text = [(w, held.get(w, 0)) for w in subwords] + [*letters.itertuples(index=False)] + [*longer.itertuples(index=False)]
+    rows += [(w, FIRST_PIECE + i, n) for i, (w, n) in enumerate(text)]
+    rows += [(sentinel_token(j), size - 1 - j, 0) for j in range(n_sentinels)]
+    pdf = pd.DataFrame(rows, columns=["piece", "id", "count"]).astype({"id": "int32", "count": "int64"})
     return spark.createDataFrame(pdf, "piece string, id int, count bigint")
 
 
 def _vocab_pieces(vocab: DataFrame, size: int, n_sentinels: int) -> list[str]:
-    """Ordinary pieces ordered by id (ids 3..), collected once; bounded by ``size``."""
-    pdf = (vocab.filter((F.col("id") >= N_SPECIAL) & (F.col("id") < size - n_sentinels))
+    """Text entries ordered by id (ids 259..), collected once; bounded by ``size``."""
+    pdf = (vocab.filter((F.col("id") >= FIRST_PIECE) & (F.col("id") < size - n_sentinels))
                 .orderBy("id").select("piece", "id").toPandas())
     if len(pdf) > size:
         raise ValueError("vocabulary larger than its declared size")
-    if (pdf["id"].to_numpy() != range(N_SPECIAL, N_SPECIAL + len(pdf))).any():
-        raise ValueError("vocabulary ids must be dense from 3")
+    if (pdf["id"].to_numpy() != range(FIRST_PIECE, FIRST_PIECE + len(pdf))).any():
+        raise ValueError(f"vocabulary ids must be dense from {FIRST_PIECE}")
     return pdf["piece"].tolist()
 
 
+def spell(piece: str, held: dict[str, int]) -> list[int]:
+    """Ids of a piece: its own, or those of the longest entries from the left, bytes where none stands."""
+    if piece in held:
+        return [held[piece]]
+    out, at, n = [], 0, len(piece)
+    while at < n:
+        for stop in range(min(n, at + SPELL_LEN), at, -1):
+            found = held.get(piece[at:stop])
+            if found is not None:
+                out.append(found)
+                at = stop
+                break
+        else:
+            out += [N_SPECIAL + b for b in piece[at].encode()]
+            at += 1
+    return out
+
+
+def _spelled(arr: pa.Array, held: dict[str, int]) -> tuple[list[list[int]], np.ndarray, np.ndarray]:
+    """(ids of each distinct piece, their numbers, which distinct piece stands where) of a flat array of pieces."""
+    coded = arr.dictionary_encode()
+    ids = [spell(p or "", held) for p in coded.dictionary.to_pylist()]
+    return ids, np.array([len(x) for x in ids], np.int64), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _flat(arr: pa.Array) -> tuple[pa.Array, np.ndarray, pa.Array]:
+    """(items, row ends with a 0 before them, mask of null rows) of a list array."""
+    if isinstance(arr, pa.ChunkedArray):
+        arr = arr.combine_chunks()
+    sizes = pc.fill_null(pc.list_value_length(arr), 0).to_numpy(zero_copy_only=False)
+    return pc.list_flatten(arr), np.concatenate([[0], np.cumsum(sizes)]), arr.is_null()
+
+
+def _held(vocab: DataFrame, size: int, n_sentinels: int):
+    """Function that gives the text entries' ids on a worker, built once a task from a broadcast list."""
+    bc = vocab.sparkSession.sparkContext.broadcast(_vocab_pieces(vocab, size, n_sentinels))
+    built: dict[str, int] = {}
+
+    def get() -> dict[str, int]:
+        if not built:
+            built.update((p, FIRST_PIECE + i) for i, p in enumerate(bc.value))
+        return built
+    return get
+
+
 def piece_ids(vocab: DataFrame, size: int = VOCAB_SIZE, n_sentinels: int = N_SENTINELS):
     """Column function: array<string> pieces -> array<int> ids.
 
-    A piece of the vocabulary is one id; any other is the ids of its characters
-    (a character the corpus never had is 2). Each batch looks up its distinct
-    pieces only, against a dictionary that a task builds once from the broadcast
-    piece list: the vocabulary is bounded by ``size`` (32,100 by default,
-    checked), and the lookup keeps the per-document layout, so no token-level
-    explode/regroup shuffle is needed.
+    Each batch spells its distinct pieces only, against a dictionary that a task
+    builds once from the broadcast entries: the vocabulary is bounded by ``size``
+    (32,100 by default, checked), and the lookup keeps the per-document
+    layout, so no token-level explode/regroup shuffle is needed.
     """
-    plist = _vocab_pieces(vocab, size, n_sentinels)
-    bc = vocab.sparkSession.sparkContext.broadcast(plist)
-    held: dict = {}
+    get = _held(vocab, size, n_sentinels)
 
     @F.arrow_udf("array<int>")
     def _lookup(arr: pa.Array) -> pa.Array:
-        if not held:
-            held.update(zip(bc.value, range(N_SPECIAL, N_SPECIAL + len(bc.value))))
-        if isinstance(arr, pa.ChunkedArray):
-            arr = arr.combine_chunks()
-        coded = pc.list_flatten(arr).dictionary_encode()
-        spelled = [[held[p]] if p in held else [held.get(c, UNK_ID) for c in p or ""]
-                   for p in coded.dictionary.to_pylist()]
-        sizes = np.array([len(x) for x in spelled], np.int64)
+        items, cut, nulls = _flat(arr)
+        ids, sizes, which = _spelled(items, get())
         starts = np.concatenate([[0], np.cumsum(sizes)])
-        every = np.fromiter(chain.from_iterable(spelled), np.int32, starts[-1])
-        which = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        every = np.fromiter(chain.from_iterable(ids), np.int32, starts[-1])
         ends = np.concatenate([[0], np.cumsum(sizes[which])])
-        ids = every[np.repeat(starts[which] - ends[:-1], sizes[which]) + np.arange(ends[-1])]
-        lens = pc.fill_null(pc.list_value_length(arr), 0).to_numpy(zero_copy_only=False)
-        rows = ends[np.concatenate([[0], np.cumsum(lens)])]
-        return pa.ListArray.from_arrays(pa.array(rows, pa.int32()), pa.array(ids), mask=arr.is_null())
+        out = every[np.repeat(starts[which] - ends[:-1], sizes[which]) + np.arange(ends[-1])]
+        return pa.ListArray.from_arrays(pa.array(ends[cut], pa.int32()), pa.array(out), mask=nulls)
 
     return _lookup
 
 
 def piece_counts(vocab: DataFrame, size: int = VOCAB_SIZE, n_sentinels: int = N_SENTINELS):
-    """Column function: array<array<string>> lists of pieces -> array<int>, the number of ids of each list.
-
-    Counts what ``piece_ids`` gives: one id for a piece of the vocabulary, else one for each character."""
-    plist = _vocab_pieces(vocab, size, n_sentinels)
-    bc = vocab.sparkSession.sparkContext.broadcast(plist)
-    held: set = set()
+    """Column function: array<array<string>> lists of pieces -> array<int>, the number of ids that
+    ``piece_ids`` gives for each list."""
+    get = _held(vocab, size, n_sentinels)
 
     @F.arrow_udf("array<int>")
     def _count(arr: pa.Array) -> pa.Array:
-        if not held:
-            held.update(bc.value)
-        if isinstance(arr, pa.ChunkedArray):
-            arr = arr.combine_chunks()
-        lists = pc.list_flatten(arr)
-        coded = pc.list_flatten(lists).dictionary_encode()
-        sizes = np.array([1 if p in held else len(p or "") for p in coded.dictionary.to_pylist()], np.int64)
-        which = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        lists, outer, nulls = _flat(arr)
+        items, inner, _ = _flat(lists)
+        _, sizes, which = _spelled(items, get())
         ends = np.concatenate([[0], np.cumsum(sizes[which])])
-        inner = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
-        outer = pc.fill_null(pc.list_value_length(arr), 0).to_numpy(zero_copy_only=False)
-        counts = np.diff(ends[np.concatenate([[0], np.cumsum(inner)])]).astype(np.int32)
-        rows = np.concatenate([[0], np.cumsum(outer)])
-        return pa.ListArray.from_arrays(pa.array(rows, pa.int32()), pa.array(counts), mask=arr.is_null())
+        counts = np.diff(ends[inner]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(outer, pa.int32()), pa.array(counts), mask=nulls)
 
     return _count
 
@@ -158,8 +229,8 @@ def encode(df: DataFrame, text_col: str, vocab: DataFrame, max_len: int,
 
     ``overflow="truncate"`` is the reference behaviour (first max_len-1 pieces
     + eos). ``overflow="chunk"`` keeps the whole text: one row per run of
-    max_len-1 pieces (column ``chunk``), each closed by eos and padded. Both
-    are narrow (no shuffle).
+    max_len-1 pieces (column ``chunk``), each closed by eos and padded.
+    ``overflow="refuse"`` fails on a longer text. All are narrow (no shuffle).
     """
     lookup = piece_ids(vocab, size)
     body = max_len - 1
@@ -170,8 +241,11 @@ def encode(df: DataFrame, text_col: str, vocab: DataFrame, max_len: int,
         d = d.withColumn("chunk", F.explode(F.expr(
             f"sequence(0, greatest(cast(ceil(size(_sw_ids) / {body}) as int), 1) - 1)")))
         seg = f"slice(_sw_ids, chunk * {body} + 1, {body})"
+    elif overflow == "refuse":
+        seg = (f"IF(size(_sw_ids) > {body}, raise_error(concat('text of ', size(_sw_ids) + 1, "
+               f"' ids does not fit into {max_len}')), _sw_ids)")
     else:
-        raise ValueError("overflow must be 'truncate' or 'chunk'")
+        raise ValueError("overflow must be 'truncate', 'chunk' or 'refuse'")
     d = d.withColumn("_sw_seg", F.expr(f"concat({seg}, array({EOS_ID}))"))
     d = (d.withColumn(out, F.expr(fit_length_sql("_sw_seg", max_len, PAD_ID)))
           .withColumn(mask_out, F.expr(f"{fit_length_sql('array_repeat(1, size(_sw_seg))', max_len, 0)}")))
@@ -189,8 +263,8 @@ def encode_ids(df: DataFrame, text_col: str, vocab: DataFrame, out: str = "ids",
 
 
 def encode_labels(df: DataFrame, text_col: str, vocab: DataFrame, max_len: int,
-                  out: str = "labels", overflow: str = "truncate") -> DataFrame:
-    """D3: as D2, then pad -> -100."""
+                  out: str = "labels", overflow: str = "refuse") -> DataFrame:
+    """D3: as D2, then pad -> -100. A label that does not fit is an error unless ``overflow`` allows a cut or rows."""
     d = encode(df, text_col, vocab, max_len, overflow=overflow, out="_sw_lab", mask_out="_sw_labmask")
     return d.withColumn(out, F.expr(ignore_pads_sql("_sw_lab"))).drop("_sw_lab", "_sw_labmask")
 
@@ -217,8 +291,13 @@ def decode(df: DataFrame, ids_col: str, vocab: DataFrame, out: str = "text",
     specials = f"p.id >= {VOCAB_SIZE - N_SENTINELS} OR p.id < {N_SPECIAL}" if skip_special else "false"
     pieces_expr = (f"filter(transform({ids_col}, i -> try_element_at(_sw_v, IF(i = -100, {PAD_ID}, i) + 1)), "
                    f"p -> p IS NOT NULL AND NOT ({specials}))")
-    text = f"trim(replace(array_join(transform({pieces_expr}, p -> p.piece), ''), '{WORD_MARK}', ' '))"
-    return d.withColumn(out, F.expr(text)).drop("_sw_v")
+    byte = f"(p.id >= {N_SPECIAL} AND p.id < {FIRST_PIECE})"
+    d = d.withColumn("_sw_p", F.expr(pieces_expr))
+    # bytes are characters only together with those beside them; ends of characters cut off are U+FFFD
+    raw = f"array_join(transform(_sw_p, p -> IF({byte}, substr(p.piece, 4, 2), hex(encode(p.piece, 'UTF-8')))), '')"
+    text = (f"IF(exists(_sw_p, p -> {byte}), make_valid_utf8(cast(unhex({raw}) as string)), "
+            f"array_join(transform(_sw_p, p -> p.piece), ''))")
+    return d.withColumn(out, F.expr(f"trim(replace({text}, '{WORD_MARK}', ' '))")).drop("_sw_v", "_sw_p")
 
 
 def id_to_piece(df: DataFrame, ids_col: str, vocab: DataFrame, out: str = "tokens") -> DataFrame:

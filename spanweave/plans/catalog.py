@@ -35,6 +35,7 @@ def query(name: str, sql: str | None = None):
 # --- D1 vocabulary ---------------------------------------------------------
 @query("vocab_build", sql=O.corpus_ctes() + """
 SELECT piece, id, count FROM vocab
+UNION ALL SELECT '<0x' || upper(printf('%02x', b)) || '>', (3 + b)::INTEGER, 0 FROM range(256) t(b)
 UNION ALL SELECT '<pad>', 0, 0 UNION ALL SELECT '</s>', 1, 0 UNION ALL SELECT '<unk>', 2, 0
 UNION ALL SELECT '<extra_id_' || CAST(j AS VARCHAR) || '>', (32099 - j)::INTEGER, 0 FROM range(100) t(j)""")
 def vocab_build(spark, sf):
@@ -53,12 +54,21 @@ def encode_chunks(spark, sf):
 @query("unk_share", sql=O.corpus_ctes() + """
 SELECT count(*) AS n_rows, CAST(sum(len(list_filter(ids, lambda x: x = 2))) AS BIGINT) AS n_unknown FROM doc_ids""")
 def unk_share(spark, sf):
-    """Ids that stand for no piece, over the whole corpus: none, since every character has a piece."""
+    """Ids that stand for no piece, over the whole corpus: none, since bytes spell every character."""
     ids = encode_ids(documents(spark, sf), "text", corpus_vocab(spark, sf), add_eos=False)
     unknown = F.size(F.filter("ids", lambda i: i == UNK_ID)).cast("bigint")
     return ids.agg(F.count(F.lit(1)).alias("n_rows"), F.sum(unknown).alias("n_unknown"))
 
 
+@query("round_trip", sql="WITH " + O.PIECES_CTE + f"""
+SELECT doc_id, trim(replace(array_to_string(pieces, ''), '{WORD_MARK}', ' ')) AS text FROM pc WHERE pieces IS NOT NULL""")
+def round_trip(spark, sf):
+    """Every text to ids and back, whole; separators come back as one space."""
+    vocab = corpus_vocab(spark, sf)
+    ids = encode_ids(documents(spark, sf).where("text is not null"), "text", vocab).drop("text")
+    return decode(ids, "ids", vocab, "text").select("doc_id", "text")
+
+
 # --- E1/E2 random span mask ------------------------------------------------
 @query("span_mask", sql=O.corpus_ctes() + "," + O.random_mask_ctes(
     "chunks", "len(input_ids)", "row_key", 0.15, 3.0, True, True) + f"""
@@ -107,13 +117,16 @@ PACK_RAW, PACK_TARGET = plan_lengths(PACK_INPUT, PACK_DENSITY, 3.0)
 
 
 def packed_rows(spark, sf):
-    docs = documents(spark, sf)
-    ids = encode_ids(docs, "text", corpus_vocab(spark, sf))
-    # number only the narrow key column; the group id joins back to the arrays
-    # (AQE broadcasts it when small), so the token arrays are never checkpointed
-    groups = dense_index(docs.select("doc_id"), ["doc_id"], "doc_idx").select(
-        "doc_id", (F.col("doc_idx") / PACK_GROUP_DOCS).cast("bigint").alias("pack_group"))
-    return pack_tokens(ids.join(groups, "doc_id"), "ids", PACK_RAW, "pack_group", "doc_id")
+    return pack_documents(documents(spark, sf), corpus_vocab(spark, sf))
+
+
+def pack_documents(docs: DataFrame, vocab: DataFrame, group_docs: int = PACK_GROUP_DOCS) -> DataFrame:
+    """Documents in ``doc_id`` order in groups of ``group_docs``, packed group by group. The texts are numbered,
+    not the ids made of them, so repeated and null doc_ids are documents like any other; null texts hold nothing."""
+    numbered = dense_index(docs.select("doc_id", "text"), ["doc_id"], "doc_idx")
+    ids = encode_ids(numbered.where("text is not null"), "text", vocab)
+    group = (F.col("doc_idx") / group_docs).cast("bigint")
+    return pack_tokens(ids.withColumn("pack_group", group), "ids", PACK_RAW, "pack_group", "doc_idx")
 
 
 _PACK_SQL = (O.vocab_ctes() + O.text_ids_ctes("docs", "documents", ["doc_id"])
@@ -601,7 +614,7 @@ def rouge_l_q(spark, sf):
 
 
 @query("decode_text", sql=O.corpus_ctes() + O.tokens_cte("chunks").replace("tk_rows AS", "tk_unused AS") + """,
-dec AS (SELECT u.doc_id, u.chunk, string_agg(v.piece, '' ORDER BY u.pos) FILTER (WHERE v.id >= 3 AND v.id < 32000) AS t
+dec AS (SELECT u.doc_id, u.chunk, string_agg(v.txt, '' ORDER BY u.pos) FILTER (WHERE v.id >= 3 AND v.id < 32000) AS t
         FROM tk_u u LEFT JOIN full_vocab v ON v.id = u.id GROUP BY u.doc_id, u.chunk)
 SELECT doc_id, chunk, trim(replace(coalesce(t, ''), '▁', ' ')) AS text FROM dec""")
 def decode_text(spark, sf):
@@ -971,9 +984,9 @@ al AS (SELECT p.doc_id, p.chunk, CASE WHEN fm.m = 0 THEN p.pred[2 : len(p.pred)]
               list_transform(p.labels, lambda x: CASE WHEN x = -100 THEN 0 ELSE x END) AS labels FROM preds p, fm),
 pu AS (SELECT doc_id, chunk, unnest(pred) AS id, unnest(generate_series(1, len(pred))) AS pos FROM al),
 lu AS (SELECT doc_id, chunk, unnest(labels) AS id, unnest(generate_series(1, len(labels))) AS pos FROM al),
-pdx AS (SELECT u.doc_id, u.chunk, string_agg(v.piece, '' ORDER BY u.pos) FILTER (WHERE v.id >= 3 AND v.id < 32000) AS t
+pdx AS (SELECT u.doc_id, u.chunk, string_agg(v.txt, '' ORDER BY u.pos) FILTER (WHERE v.id >= 3 AND v.id < 32000) AS t
         FROM pu u LEFT JOIN full_vocab v ON v.id = u.id GROUP BY u.doc_id, u.chunk),
-ldx AS (SELECT u.doc_id, u.chunk, string_agg(v.piece, '' ORDER BY u.pos) FILTER (WHERE v.id >= 3 AND v.id < 32000) AS t
+ldx AS (SELECT u.doc_id, u.chunk, string_agg(v.txt, '' ORDER BY u.pos) FILTER (WHERE v.id >= 3 AND v.id < 32000) AS t
         FROM lu u LEFT JOIN full_vocab v ON v.id = u.id GROUP BY u.doc_id, u.chunk)
 SELECT 'corpus' AS task, 'train' AS split, a.doc_id, a.chunk, trim(replace(coalesce(b.t, ''), '▁', ' ')) AS input,
        trim(replace(coalesce(a.t, ''), '▁', ' ')) AS prediction,

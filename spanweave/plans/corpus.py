@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from spanweave.constants import SPARK_PIECE_PATTERN, VOCAB_SIZE
-from spanweave.operators.vocab import build_vocab, encode
+from spanweave.operators.vocab import build_vocab, encode, read_subwords
 from spanweave.sources.tables import cached, input_fingerprint, read_table
 
 CHUNK_LEN = 128
 #: Part of every artifact's key: changes with the algorithm, so that older artifacts are not reused.
-VOCAB_VERSION = "characters-and-pieces-2"
+VOCAB_VERSION = "bytes-subwords-pieces-3"
 PHRASES_VERSION = "pmi-1"
 
 
@@ -29,7 +29,8 @@ def corpus_vocab(spark: SparkSession, sf_dir: str, fresh: bool = False) -> DataF
     if fresh:
         return build_vocab(documents(spark, sf_dir), "text")
     cfg = {"artifact": "vocabulary", "inputs": input_fingerprint(spark, f"{sf_dir.rstrip('/')}/documents.parquet"),
-           "pattern": SPARK_PIECE_PATTERN, "size": VOCAB_SIZE, "version": VOCAB_VERSION}
+           "pattern": SPARK_PIECE_PATTERN, "size": VOCAB_SIZE, "subwords": read_subwords()[-1:],
+           "version": VOCAB_VERSION}
     return cached(spark, cfg, lambda: build_vocab(documents(spark, sf_dir), "text"))
 
 

@@ -35,29 +35,57 @@ pc AS (
   SELECT doc_id, list_transform(core, lambda c, i: CASE WHEN ws[i] = '' THEN c ELSE '{WORD_MARK}' || c END) AS pieces
   FROM pc_raw)"""
 
+def _subword_rows() -> str:
+    from spanweave.operators.vocab import read_subwords
+    rows = ", ".join("('" + w.replace("'", "''") + f"', {r})" for r, w in enumerate(read_subwords()))
+    return f"subwords(piece, rank) AS (VALUES {rows})" if rows else "subwords AS (SELECT '' AS piece, 0 AS rank WHERE false)"
+
+
 VOCAB_CTE = f"""
 piece_counts AS (
   SELECT piece, count(*) AS n FROM (SELECT unnest(pieces) AS piece FROM pc) GROUP BY piece),
+{_subword_rows()},
 piece_chars AS (
   SELECT substr(piece, i, 1) AS piece, sum(n) AS n
   FROM (SELECT piece, n, unnest(generate_series(1, length(piece))) AS i FROM piece_counts) GROUP BY 1),
+char_pieces AS (
+  SELECT piece, n FROM piece_chars WHERE piece NOT IN (SELECT piece FROM subwords) ORDER BY n DESC, piece
+  LIMIT (SELECT ({VOCAB_SIZE} - 359 - count(*)) // 8 FROM subwords)),
 ranked_pieces AS (
-  SELECT piece, n, row_number() OVER (ORDER BY part, n DESC, piece) AS r
-  FROM (SELECT piece, n, 0 AS part FROM piece_chars
-        UNION ALL SELECT piece, n, 1 FROM piece_counts WHERE length(piece) > 1)),
+  SELECT piece, n, row_number() OVER (ORDER BY part, rank, n DESC, piece) AS r
+  FROM (SELECT s.piece, s.rank, coalesce(c.n, 0) AS n, 0 AS part FROM subwords s LEFT JOIN piece_counts c ON c.piece = s.piece
+        UNION ALL SELECT piece, 0, n, 1 FROM char_pieces
+        UNION ALL SELECT piece, 0, n, 2 FROM piece_counts
+        WHERE length(piece) > 1 AND piece NOT IN (SELECT piece FROM subwords))),
 vocab AS (
-  SELECT piece, (r + 2)::INTEGER AS id, n::BIGINT AS count FROM ranked_pieces WHERE r <= {VOCAB_SIZE - 103})"""
+  SELECT piece, (r + 258)::INTEGER AS id, n::BIGINT AS count FROM ranked_pieces WHERE r <= {VOCAB_SIZE} - 359)"""
 
 
 def spelled_ctes(name: str, src: str, keys: list[str]) -> str:
-    """``{name}``: (keys, pos, sub, tid) of the pieces in ``src``; unknown pieces as their characters."""
+    """``{name}``: (keys, pos, sub, tid) of the pieces in ``src``. A piece that is not in the vocabulary is cut
+    into the longest entries from the left; a character without one is its UTF-8 bytes (ids 3 + byte)."""
     k = ", ".join(keys)
     return f"""
 {name}_w AS (SELECT s.*, v.id AS tid FROM {src} s LEFT JOIN vocab v ON v.piece = s.piece),
-{name}_c AS (SELECT {k}, pos, i AS sub, substr(piece, i, 1) AS ch
-  FROM (SELECT {k}, pos, piece, unnest(generate_series(1, length(piece))) AS i FROM {name}_w WHERE tid IS NULL)),
+{name}_u AS (SELECT DISTINCT piece FROM {name}_w WHERE tid IS NULL),
+{name}_p AS (SELECT piece, unnest(generate_series(1, length(piece))) AS p FROM {name}_u),
+{name}_h AS (SELECT a.piece, a.p, arg_max(v.id, a.len) AS tid, max(a.len) AS len
+  FROM (SELECT piece, p, unnest(generate_series(1, least(16, length(piece) - p + 1))) AS len FROM {name}_p) a
+  JOIN vocab v ON v.piece = substr(a.piece, a.p, a.len) GROUP BY a.piece, a.p),
+{name}_g AS (SELECT a.piece, list_reduce(list({{'p': a.p, 'len': coalesce(h.len, 0), 'tid': coalesce(h.tid, -1)}} ORDER BY a.p),
+    lambda acc, x: CASE WHEN x.p = acc.nxt THEN {{'nxt': acc.nxt + greatest(x.len, 1), 'hit': list_append(acc.hit, x)}} ELSE acc END,
+    {{'nxt': 1::BIGINT, 'hit': []::STRUCT(p BIGINT, len BIGINT, tid INTEGER)[]}}).hit AS hit
+  FROM {name}_p a LEFT JOIN {name}_h h ON h.piece = a.piece AND h.p = a.p GROUP BY a.piece),
+{name}_x AS (SELECT piece, unnest(hit) AS x FROM {name}_g),
+{name}_s AS (
+  SELECT piece, x.p * 8 AS sub, x.tid AS tid FROM {name}_x WHERE x.tid >= 0
+  UNION ALL
+  SELECT piece, p * 8 + b, 3 + ('0x' || substr(raw, 2 * b + 1, 2))::INTEGER
+  FROM (SELECT piece, x.p AS p, hex(encode(substr(piece, x.p, 1))) AS raw FROM {name}_x WHERE x.tid < 0),
+       unnest(range(length(raw) // 2)) AS t(b)),
 {name} AS (SELECT {k}, pos, 0 AS sub, tid FROM {name}_w WHERE tid IS NOT NULL
-  UNION ALL SELECT {", ".join("c." + x for x in keys)}, pos, sub, coalesce(v.id, 2) FROM {name}_c c LEFT JOIN vocab v ON v.piece = c.ch)"""
+  UNION ALL SELECT {", ".join("w." + x for x in keys)}, w.pos, s.sub, s.tid FROM {name}_w w JOIN {name}_s s ON s.piece = w.piece
+  WHERE w.tid IS NULL)"""
 
 
 IDS_CTE = """
@@ -253,11 +281,14 @@ mined AS (SELECT s.text AS phrase, s.n::INTEGER AS n, s.count::BIGINT AS count,
 
 
 def tokens_cte(src: str = "chunks") -> str:
-    """ids -> piece strings via the vocabulary (specials and sentinels included)."""
+    """ids -> piece strings via the vocabulary (specials and sentinels included); ``txt`` is what decoding gives
+    (single bytes are characters below 128; the shared tables' texts need no others)."""
     return f""",
-full_vocab AS (SELECT piece, id FROM vocab UNION ALL SELECT '<pad>', 0 UNION ALL SELECT '</s>', 1
-               UNION ALL SELECT '<unk>', 2
-               UNION ALL SELECT '<extra_id_' || CAST(j AS VARCHAR) || '>', (32099 - j)::INTEGER FROM range(100) t(j)),
+full_vocab AS (SELECT piece, id, piece AS txt FROM vocab UNION ALL SELECT '<pad>', 0, '' UNION ALL SELECT '</s>', 1, ''
+               UNION ALL SELECT '<unk>', 2, ''
+               UNION ALL SELECT '<0x' || upper(printf('%02x', b)) || '>', (3 + b)::INTEGER, CASE WHEN b < 128 THEN chr(b::INTEGER) END
+               FROM range(256) t(b)
+               UNION ALL SELECT '<extra_id_' || CAST(j AS VARCHAR) || '>', (32099 - j)::INTEGER, '' FROM range(100) t(j)),
 tk_u AS (SELECT doc_id, chunk, unnest(input_ids) AS id, unnest(generate_series(1, len(input_ids))) AS pos FROM {src}),
 tk_rows AS (SELECT c.doc_id, c.chunk, c.row_key, c.input_ids, c.attention_mask,
                    list(coalesce(v.piece, '<unk>') ORDER BY u.pos) AS tokens

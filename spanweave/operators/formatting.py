@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StringType
 
-from spanweave.operators.tasks import N_INPUT_COLUMN_NAMES, TaskConfig, get_task
+from spanweave.operators.tasks import N_INPUT_COLUMN_NAMES, Task, get_task
 from spanweave.operators.vocab import encode, encode_labels
 
 
@@ -42,26 +42,26 @@ def score_to_text(label: str | Column, exact: bool = True) -> Column:
     return F.bround(c.cast("double"), 1).cast("string")
 
 
-def format_one_input(df: DataFrame, cfg: TaskConfig, text: str | None = None, label: str = "label") -> DataFrame:
+def format_one_input(df: DataFrame, cfg: Task, text: str | None = None, label: str = "label") -> DataFrame:
     """``prefix || text`` (no added space); label looked up."""
-    text = text or cfg.text_columns[0]
-    return (df.withColumn("processed_inputs", F.concat(F.lit(cfg.prefix), F.col(text)))
+    text = text or cfg.columns[0]
+    return (df.withColumn("processed_inputs", F.concat(F.lit(cfg.lead[0]), F.col(text)))
               .withColumn("processed_outputs", label_to_text(label, cfg.labels, cfg.name)))
 
 
-def format_two_inputs(df: DataFrame, cfg: TaskConfig, text_1: str | None = None, text_2: str | None = None,
+def format_two_inputs(df: DataFrame, cfg: Task, text_1: str | None = None, text_2: str | None = None,
                       label: str = "label", exact_scores: bool = True) -> DataFrame:
     """``(p1 || t1) || ' ' || (p2 || t2)``; regression labels via C5."""
-    t1 = text_1 or cfg.text_columns[0]
-    t2 = text_2 or cfg.text_columns[1]
-    out = (score_to_text(label, exact_scores) if cfg.regression or cfg.labels is None
+    t1 = text_1 or cfg.columns[0]
+    t2 = text_2 or cfg.columns[1]
+    out = (score_to_text(label, exact_scores) if cfg.labels is None
            else label_to_text(label, cfg.labels, cfg.name))
-    return (df.withColumn("processed_inputs", F.concat(F.lit(cfg.prefix), F.col(t1), F.lit(" "),
-                                                       F.lit(cfg.prefix_2), F.col(t2)))
+    return (df.withColumn("processed_inputs", F.concat(F.lit(cfg.lead[0]), F.col(t1), F.lit(" "),
+                                                       F.lit(cfg.lead[1]), F.col(t2)))
               .withColumn("processed_outputs", out))
 
 
-def format_n_inputs(df: DataFrame, cfg: TaskConfig, text_columns: list[str], label: str = "label") -> DataFrame:
+def format_n_inputs(df: DataFrame, cfg: Task, text_columns: list[str], label: str = "label") -> DataFrame:
     """Every text column in order becomes ``first_sentence: ...`` etc., TAB-joined,
     prefixed ``task: ``; more than nine columns fails; a null text reads ``None``."""
     if len(text_columns) > len(N_INPUT_COLUMN_NAMES):
@@ -76,12 +76,12 @@ def format_task(df: DataFrame, task: str, text_columns: list[str] | None = None,
                 **kw) -> DataFrame:
     """Dispatch by the registry (unknown task names raise)."""
     cfg = get_task(task)
-    if cfg.kind == "one":
+    if cfg.inputs == 1:
         return format_one_input(df, cfg, (text_columns or [None])[0], label)
-    if cfg.kind == "two":
+    if cfg.inputs == 2:
         cols = text_columns or [None, None]
         return format_two_inputs(df, cfg, cols[0], cols[1], label, **kw)
-    if cfg.kind == "n":
+    if cfg.inputs is None:
         cols = text_columns or [c for c in df.columns if c != label]
         return format_n_inputs(df, cfg, cols, label)
     raise ValueError(f"task {task!r} has an unsupported shape")

@@ -3,15 +3,17 @@
 Token metrics explode kept positions (label not pad/eos) and aggregate with
 built-in functions; class-level statistics (MCC, Spearman ranks) aggregate
 per token id first, so their size is bounded by the vocabulary, not by the
-data. ROUGE-L's LCS runs in a vectorised Arrow helper (row-local).
+data. Metrics of whole examples are sums of parts that a batch of them gives (J3).
 """
 
 from __future__ import annotations
 
+import inspect
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import IntegerType
+from pyspark.sql.types import ArrayType, DoubleType
 from pyspark.sql.window import Window
 
 from spanweave.constants import EOS_ID, IGNORE_ID, PAD_ID
@@ -20,6 +22,7 @@ from spanweave.operators.split import limit_batches
 from spanweave.operators.tasks import REGISTRY
 
 METRICS: dict = {}
+ROW_METRICS: dict = {}
 BUILT_IN = ("accuracy", "f1", "precision", "recall", "mcc", "pearson", "spearman")
 
 
@@ -29,6 +32,38 @@ def register_metric(name: str, fn) -> None:
     METRICS[name] = fn
 
 
+def register_row_metric(name: str, parts, finish) -> None:
+    """A metric of whole examples, ``row_<name>``.
+
+    ``parts(labels, preds)`` gets the aligned arrays of a batch of examples (lists of NumPy arrays, pads included) and
+    returns one row of numbers per example; Spark sums them per group before and after the shuffle, so no
+    group meets in one task; ``finish(*sums) -> Column`` makes the value."""
+    ROW_METRICS[name] = (parts, finish)
+
+
+def _row_parts(parts):
+    @F.arrow_udf(ArrayType(DoubleType()))
+    def run(labels: pa.Array, preds: pa.Array) -> pa.Array:
+        def arrays(col):
+            if isinstance(col, pa.ChunkedArray):
+                col = col.combine_chunks()
+            cut = np.append(0, np.cumsum(col.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)))
+            flat = col.flatten().to_numpy(zero_copy_only=False)
+            return [flat[lo:hi] for lo, hi in zip(cut[:-1], cut[1:])]
+        got = np.asarray(parts(arrays(labels), arrays(preds)), float)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(got) + 1) * got.shape[1], pa.int32()), pa.array(got.ravel()))
+    return run
+
+
+def _row_metric(d: DataFrame, group: list, name: str, pred: str, labels: str) -> DataFrame:
+    """Sums of a row metric's parts per group, finished into column ``row_<name>``."""
+    parts, finish = ROW_METRICS[name]
+    sized = inspect.signature(finish).parameters
+    got = d.select(*group, _row_parts(parts)(labels, pred).alias("v"))
+    sums = got.groupBy(*group).agg(*[F.sum(F.get("v", F.lit(k))).alias(f"_sw_s{k}") for k in range(len(sized))])
+    return sums.select(*group, finish(*[F.col(f"_sw_s{k}") for k in range(len(sized))]).cast("double").alias(f"row_{name}"))
+
+
 def align_predictions(df: DataFrame, pred: str = "pred", labels: str = "labels", group: list | None = None) -> DataFrame:
     """G1: labels -100 -> pad; if the largest first predicted token over the whole set (over
     the group's rows, where ``group`` names columns) is pad, drop the first prediction token and
@@ -83,17 +118,22 @@ def token_metrics(df: DataFrame, group: list | None = None, pred: str = "pred",
     ranks) all derive from the confusion cells; G8 example scores from the
     marker cells (accuracy-like = share correct, MCC 0, correlations NaN).
     """
-    group = list(group or [])
-    names = list(metric_names) if metric_names is not None else [*BUILT_IN, *METRICS]
-    unknown = [m for m in names if m not in BUILT_IN and m not in METRICS]
+    shown = list(group or [])
+    names = list(metric_names) if metric_names is not None else [*BUILT_IN, *METRICS, *ROW_METRICS]
+    unknown = [m for m in names if m not in BUILT_IN and m not in METRICS and m not in ROW_METRICS]
     if unknown:
         raise KeyError(f"unknown metrics {unknown}")
-    custom = {m: METRICS[m] for m in names if m not in BUILT_IN}
+    custom = {m: METRICS[m] for m in names if m in METRICS}
+    by_row = [m for m in names if m in ROW_METRICS]
+    # groups meet by one key that is never null, so that a null group is a group like any other
+    group = ["_sw_key"] if shown else []
+    if shown:
+        df = df.withColumn("_sw_key", F.to_json(F.struct(*shown)))
     d = align_predictions(df, pred, labels, group) if align else df
     # filters on the grouping key would be pushed below the aggregation and make
     # every branch recount the examples; the cell table is small (distinct
     # label/prediction pairs), so it is kept once and all branches read it
-    cells = confusion_cells(d, group, pred, labels).persist()
+    cells = confusion_cells(d, group + shown, pred, labels).persist()
     tok = cells.filter(F.col("l") >= 0)
     ex = (cells.filter(F.col("l") == -1).groupBy(*group)
                .agg((F.sum(F.when(F.col("p") == 1, F.col("c")).otherwise(0)) / F.sum("c")).alias("ex_acc")))
@@ -127,6 +167,10 @@ def token_metrics(df: DataFrame, group: list | None = None, pred: str = "pred",
                           .otherwise((F.col("tp") * F.col("n") - F.col("tp_sum")) / den * 100)))
     for name, fn in custom.items():
         out = j(out, tok.groupBy(*group).agg(fn().alias(f"custom_{name}")))
+    for name in by_row:
+        out = j(out, _row_metric(d, group, name, pred, labels))
+    if shown:
+        out = j(out, cells.groupBy("_sw_key").agg(F.first(F.struct(*shown)).alias("_sw_shown"))).select("*", "_sw_shown.*")
     rows = []
     for m in [m for m in names if m in BUILT_IN]:
         tokv = F.col(m).cast("double")
@@ -140,19 +184,21 @@ def token_metrics(df: DataFrame, group: list | None = None, pred: str = "pred",
                  F.struct(F.lit(f"example_{m}").alias("metric"), exv.alias("value"))]
     for name in custom:
         rows.append(F.struct(F.lit(f"token_{name}").alias("metric"), F.col(f"custom_{name}").cast("double").alias("value")))
-    return out.select(*group, F.explode(F.array(*rows)).alias("m")).select(*group, "m.metric", "m.value")
+    for name in by_row:
+        rows.append(F.struct(F.lit(f"row_{name}").alias("metric"), F.col(f"row_{name}").alias("value")))
+    return out.select(*shown, F.explode(F.array(*rows)).alias("m")).select(*shown, "m.metric", "m.value")
 
 
 def metrics_by_task(df: DataFrame, task: str = "task", pred: str = "pred", labels: str = "labels") -> DataFrame:
     """G9 by task: each task's predictions are aligned and scored on their own, and get the metrics
     that the task's record lists (J1), registered ones (J3) included. A task without a record raises."""
-    listed = {name: list(cfg.metric_names) for name, cfg in REGISTRY.items()}
+    listed = {name: list(cfg.scores) for name, cfg in REGISTRY.items()}
     names = sorted({m for ms in listed.values() for m in ms})
     pairs = [x for name, ms in listed.items() for x in (F.lit(name), F.array(*[F.lit(m) for m in ms]))]
     wanted = F.coalesce(F.element_at(F.create_map(*pairs), F.col(task)), F.raise_error(
         F.concat(F.lit("no record of task "), F.coalesce(F.col(task), F.lit("null")))).cast("array<string>"))
     found = token_metrics(df, [task], pred, labels, metric_names=names)
-    return found.where(F.array_contains(wanted, F.regexp_replace("metric", "^(token|example)_", "")))
+    return found.where(F.array_contains(wanted, F.regexp_replace("metric", "^(token|example|row)_", "")))
 
 
 def argmax_tokens(df: DataFrame, logits: str = "logits", out: str = "pred") -> DataFrame:
@@ -194,46 +240,6 @@ def evaluate_batches(df: DataFrame, batch_1based: str, steps: int, grad_acc: int
                  F.count(F.lit(1)).alias("n_batches"))
 
 
-def rouge_tokens(text: str | Column) -> Column:
-    """ROUGE tokenisation: lowercase, non-[a-z0-9] -> space, split on whitespace."""
-    c = text if isinstance(text, Column) else F.col(text)
-    t = F.trim(F.regexp_replace(F.lower(c), r"[^a-z0-9]+", " "))
-    return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, " "))
-
-
-@F.arrow_udf(IntegerType())
-def lcs_length(a: pa.Array, b: pa.Array) -> pa.Array:
-    """Longest common subsequence length per pair, one vectorised row update per token:
-    row_i = running max of (match ? row_{i-1}[j-1] + 1 : row_{i-1}[j])."""
-    out = []
-    for x, y in zip(a.to_pylist(), b.to_pylist()):
-        if not x or not y:
-            out.append(0)
-            continue
-        vocab = {t: i for i, t in enumerate(set(x) | set(y))}
-        ys = np.fromiter((vocab[t] for t in y), dtype=np.int64, count=len(y))
-        row = np.zeros(len(y) + 1, dtype=np.int64)
-        for t in x:
-            cand = np.where(ys == vocab[t], row[:-1] + 1, row[1:])
-            row[1:] = np.maximum.accumulate(cand)
-        out.append(int(row[-1]))
-    return pa.array(out, pa.int32())
-
-
-def rouge_l(df: DataFrame, prediction: str = "prediction", reference: str = "reference",
-            group: list | None = None) -> DataFrame:
-    """Mean ROUGE-L F-measure x 100 (unstemmed tokenisation)."""
-    group = list(group or [])
-    d = (df.withColumn("_sw_pt", rouge_tokens(prediction)).withColumn("_sw_rt", rouge_tokens(reference))
-           .withColumn("_sw_lcs", lcs_length("_sw_pt", "_sw_rt")))
-    p = F.col("_sw_lcs") / F.size("_sw_pt")
-    r = F.col("_sw_lcs") / F.size("_sw_rt")
-    f = F.when((F.size("_sw_pt") == 0) | (F.size("_sw_rt") == 0) | (F.col("_sw_lcs") == 0), F.lit(0.0)) \
-         .otherwise(2 * p * r / (p + r))
-    d = d.withColumn("rouge_l", f)
-    return d.groupBy(*group).agg((F.avg("rouge_l") * 100).alias("rouge_l"), F.count(F.lit(1)).alias("n_pairs"))
-
-
 def trim_duplicates(df: DataFrame, key: str) -> DataFrame:
     """The last distributed batch repeats rows; keep one row per example key."""
     return df.dropDuplicates([key])

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
+from spanweave.operators.tasks import REGISTRY
+
 
 def report_intervals(df: DataFrame, every: int, step: str = "step") -> DataFrame:
     """H2: reports at steps every, 2*every, ...; interval k covers steps ((k-1)*every, k*every]."""
@@ -37,6 +39,20 @@ def best_step(df: DataFrame, metric: str, greater_is_better: bool = True, run: s
                        F.col("b").getField(value).alias("best_value"))
 
 
+def best_step_by_task(df: DataFrame, task: str = "task", run: str = "run", name: str = "name",
+                      value: str = "value", step: str = "step") -> DataFrame:
+    """H3 by task record (J1): each run's best checkpoint by its task's goal. A task without a record raises."""
+    goals = [x for t in REGISTRY.values() for x in (F.lit(t.name), F.struct(F.lit(t.goal.metric).alias("metric"),
+                                                                            F.lit(t.goal.direction == "max").alias("up")))]
+    missing = F.raise_error(F.concat(F.lit("no record of task "), F.coalesce(F.col(task), F.lit("null"))))
+    goal = F.coalesce(F.element_at(F.create_map(*goals), F.col(task)), missing.cast("struct<metric:string,up:boolean>"))
+    d = df.withColumn("_sw_goal", goal).where(F.col(name) == F.col("_sw_goal.metric"))
+    key = F.when(F.col("_sw_goal.up"), F.col(value)).otherwise(-F.col(value))
+    best = d.groupBy(task, run).agg(F.first("_sw_goal.metric").alias("metric"), F.max_by(
+        F.struct(F.col(step), F.col(value)), F.struct(key.alias("k"), (-F.col(step)).alias("s"))).alias("b"))
+    return best.select(task, run, "metric", F.col("b").getField(step).alias("best_step"), F.col("b").getField(value).alias("best_value"))
+
+
 def early_stop(df: DataFrame, metric: str, patience: int, threshold: float = 0.0,
                greater_is_better: bool = True, run: str = "run", name: str = "name",
                value: str = "value", step: str = "step") -> DataFrame:

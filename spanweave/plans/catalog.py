@@ -588,14 +588,15 @@ def eval_all_batches(spark, sf):
     return r.select(F.round("loss", 6).alias("loss"), F.round("accuracy", 6).alias("accuracy"), "n_batches")
 
 
+from spanweave.operators import rouge as RG  # noqa: E402
+
+
 def _rouge_tokens_sql(col: str) -> str:
     t = f"trim(regexp_replace(lower({col}), '[^a-z0-9]+', ' ', 'g'))"
     return f"CASE WHEN {t} = '' THEN []::VARCHAR[] ELSE string_split({t}, ' ') END"
 
 
-@query("rouge_l", sql=f"""
-WITH pairs AS (SELECT a.item_id, {_rouge_tokens_sql('a.text')} AS pt, {_rouge_tokens_sql('b.text')} AS rt
-               FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 1),
+_ROUGE_SCORES = """
 lcs AS (SELECT item_id, pt, rt,
                list_reduce(pt,
                  lambda row, tok: [0::BIGINT] || list_transform(range(1, len(rt) + 1), lambda j:
@@ -607,12 +608,42 @@ f AS (SELECT p.item_id, coalesce(CASE WHEN l.r[len(l.r)] = 0 THEN 0.0 ELSE
         2.0 * (l.r[len(l.r)]::DOUBLE / len(p.pt)) * (l.r[len(l.r)]::DOUBLE / len(p.rt))
         / (l.r[len(l.r)]::DOUBLE / len(p.pt) + l.r[len(l.r)]::DOUBLE / len(p.rt)) END, 0.0) AS f
       FROM pairs p LEFT JOIN lcs l ON l.item_id = p.item_id)
-SELECT round(avg(f) * 100, 6) AS rouge_l, count(*) AS n_pairs FROM f""")
+SELECT round(avg(f) * 100, 6) AS rouge_l, count(*) AS n_pairs FROM f"""
+
+
+@query("rouge_l", sql=f"""
+WITH pairs AS (SELECT a.item_id, {_rouge_tokens_sql('a.text')} AS pt, {_rouge_tokens_sql('b.text')} AS rt
+               FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 1),{_ROUGE_SCORES}""")
 def rouge_l_q(spark, sf):
-    r = M.rouge_l(EV.text_pairs(spark, sf))
+    r = RG.rouge_l(EV.text_pairs(spark, sf))
     return r.select(F.round("rouge_l", 6).alias("rouge_l"), "n_pairs")
 
 
+@query("rouge_l_stemmed", sql=f"""
+WITH raw AS (SELECT a.item_id, {_rouge_tokens_sql('a.text')} AS pt, {_rouge_tokens_sql('b.text')} AS rt
+             FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 1),
+sw AS (SELECT unnest(pt) AS word FROM raw UNION SELECT unnest(rt) FROM raw),{O.stem_ctes("sw")},
+sp AS (SELECT item_id, list(stem ORDER BY i) AS pt FROM (SELECT item_id, unnest(pt) AS word, unnest(range(len(pt))) AS i FROM raw)
+       JOIN stemmed USING (word) GROUP BY item_id),
+sr AS (SELECT item_id, list(stem ORDER BY i) AS rt FROM (SELECT item_id, unnest(rt) AS word, unnest(range(len(rt))) AS i FROM raw)
+       JOIN stemmed USING (word) GROUP BY item_id),
+pairs AS (SELECT raw.item_id, coalesce(sp.pt, []) AS pt, coalesce(sr.rt, []) AS rt
+          FROM raw LEFT JOIN sp USING (item_id) LEFT JOIN sr USING (item_id)),{_ROUGE_SCORES}""")
+def rouge_l_stemmed(spark, sf):
+    """G13 as the reference scores it: over Porter stems."""
+    r = RG.rouge_l(EV.text_pairs(spark, sf), stemmed=True)
+    return r.select(F.round("rouge_l", 6).alias("rouge_l"), "n_pairs")
+
+
+@query("word_stems", sql=f"""
+WITH docs AS (SELECT unnest({_rouge_tokens_sql('text')}) AS word FROM documents),{O.stem_ctes("docs")}
+SELECT word, stem FROM stemmed""")
+def word_stems(spark, sf):
+    """The stem of every distinct word of the corpus (a word is stemmed once, after the shuffle)."""
+    words = documents(spark, sf).select(F.explode(RG.rouge_tokens("text")).alias("word")).distinct()
+    return words.select("word", RG.stems(F.array("word"))[0].alias("stem"))
+
+
 @query("decode_text", sql=O.corpus_ctes() + O.tokens_cte("chunks").replace("tk_rows AS", "tk_unused AS") + """,
 dec AS (SELECT u.doc_id, u.chunk, string_agg(v.txt, '' ORDER BY u.pos) FILTER (WHERE v.id >= 3 AND v.id < 32000) AS t
         FROM tk_u u LEFT JOIN full_vocab v ON v.id = u.id GROUP BY u.doc_id, u.chunk)
@@ -625,6 +656,7 @@ def decode_text(spark, sf):
 
 # --- H1-H7 run-log analytics, B8 due steps -------------------------------------
 from spanweave.operators import runlog as R  # noqa: E402
+from spanweave.operators.tasks import REGISTRY, Goal, Task, register_task  # noqa: E402
 from spanweave.operators.split import due_steps  # noqa: E402
 from spanweave.plans.runs import run_log  # noqa: E402
 
@@ -661,6 +693,29 @@ def best_steps(spark, sf):
     return R.best_step(rl, "purchase", True).unionByName(R.best_step(rl, "error", False))
 
 
+_GOALS = {"sst2": ("example_accuracy", 1), "mrpc": ("example_f1", 1), "stsb": ("example_spearman", 1), "loss_task": ("loss", -1)}
+_SCORE_OF = {"purchase": "example_accuracy", "click": "example_f1", "view": "example_spearman", "error": "loss"}
+
+
+@query("best_steps_by_task", sql=_RL + f""",
+tasks(k, task, metric, sign) AS (VALUES {", ".join(f"({k}, '{t}', '{m}', {s})" for k, (t, (m, s)) in enumerate(_GOALS.items()))}),
+named(name, metric) AS (VALUES {", ".join(f"('{n}', '{m}')" for n, m in _SCORE_OF.items())}),
+b AS (SELECT task, run, t.metric, step AS best_step, value AS best_value,
+             row_number() OVER (PARTITION BY run ORDER BY sign * value DESC, step) AS r
+      FROM rl JOIN tasks t ON t.k = user_id % 4 JOIN named n ON n.name = rl.name AND n.metric = t.metric)
+SELECT task, run, metric, best_step, best_value FROM b WHERE r = 1""")
+def best_steps_by_task(spark, sf):
+    """H3 driven by the task records; ``loss_task`` is registered here with a goal that is to be small."""
+    tasks = F.array(*[F.lit(t) for t in _GOALS])
+    score = F.create_map(*[F.lit(x) for pair in _SCORE_OF.items() for x in pair])
+    rl = run_log(spark, sf).withColumn("task", F.get(tasks, (F.col("user_id") % 4).cast("int"))).withColumn("name", score[F.col("name")])
+    register_task(Task("loss_task", 1, goal=Goal("loss", "min")))
+    try:
+        return R.best_step_by_task(rl)
+    finally:
+        REGISTRY.pop("loss_task")
+
+
 @query("early_stop", sql=_RL + """,
 ev AS (SELECT run, list({'step': step, 'value': value} ORDER BY step) AS evals FROM rl WHERE name = 'purchase' GROUP BY run)
 SELECT run, list_reduce(evals, lambda acc, e: CASE WHEN acc.stop IS NOT NULL THEN acc ELSE {

@@ -350,3 +350,59 @@ lg0 AS (SELECT vec_id, embedding, CASE WHEN {uniform('8', 'vec_id')} = 0 THEN -1
                vec_id // 8 AS example_key FROM embeddings),
 logit_ex AS (SELECT example_key, list(embedding ORDER BY vec_id) AS logits, list(label ORDER BY vec_id) AS labels
              FROM lg0 GROUP BY example_key)"""
+
+
+def stem_ctes(words: str) -> str:
+    """``stemmed`` (word, stem) of the distinct words of the table ``words`` (column word), by the Porter
+    algorithm with the common toolkit's extensions; words of up to three characters stay."""
+    c, v = "[^aeiou][^aeiouy]*", "[aeiouy][aeiou]*"
+    m0, m1, m2 = f"^({c})?{v}{c}", f"^({c})?{v}{c}({v})?$", f"^({c})?{v}{c}{v}{c}"
+    short = "[^aeiou][aeiouy][^aeiouwxy]$|^[aeiouy][^aeiou]$"
+
+    def head(n: int, w: str = "w") -> str:
+        return f"left({w}, length({w}) - {n})"
+
+    def rules(pairs, test: str) -> str:
+        cases = []
+        for end, put in pairs:
+            h = head(len(end))
+            tested = h + (" || 'l'" if end == "logi" else "")
+            cases.append(f"WHEN ends_with(w, '{end}') THEN CASE WHEN regexp_matches({tested}, '{test}') THEN {h} || '{put}' ELSE w END")
+        return f"CASE {' '.join(cases)} ELSE w END"
+
+    def trimmed(h: str) -> str:
+        last, before = f"right({h}, 1)", f"right(left({h}, length({h}) - 1), 1)"
+        return (f"CASE WHEN regexp_matches({h}, '(at|bl|iz)$') THEN {h} || 'e' "
+                f"WHEN length({h}) > 1 AND {last} = {before} AND NOT regexp_matches({h}, '[aeiou]$|[aeiou]yy$|^[yY]y$') "
+                f"THEN CASE WHEN {last} IN ('l', 's', 'z') THEN {h} ELSE left({h}, length({h}) - 1) END "
+                f"WHEN regexp_matches({h}, '{m1}') AND regexp_matches({h}, '{short}') THEN {h} || 'e' ELSE {h} END")
+    second = [("ational", "ate"), ("tional", "tion"), ("enci", "ence"), ("anci", "ance"), ("izer", "ize"), ("bli", "ble"), ("alli", "al"),
+              ("entli", "ent"), ("eli", "e"), ("ousli", "ous"), ("ization", "ize"), ("ation", "ate"), ("ator", "ate"), ("alism", "al"),
+              ("iveness", "ive"), ("fulness", "ful"), ("ousness", "ous"), ("aliti", "al"), ("iviti", "ive"), ("biliti", "ble"),
+              ("fulli", "ful"), ("logi", "log")]
+    third = [("icate", "ic"), ("ative", ""), ("alize", "al"), ("iciti", "ic"), ("ical", "ic"), ("ful", ""), ("ness", "")]
+    fourth = "al ance ence er ic able ible ant ement ment ent ion ou ism ate iti ous ive ize".split()
+    odd = {"sky": "sky", "skies": "sky", "dying": "die", "lying": "lie", "tying": "tie", "news": "news", "innings": "inning",
+           "inning": "inning", "outings": "outing", "outing": "outing", "cannings": "canning", "canning": "canning", "howe": "howe",
+           "proceed": "proceed", "exceed": "exceed", "succeed": "succeed"}
+    cut4 = " ".join(f"WHEN ends_with(w, '{e}') THEN CASE WHEN regexp_matches({head(len(e))}, '{m2}')"
+                    + (f" AND right({head(3)}, 1) IN ('s', 't')" if e == "ion" else "") + f" THEN {head(len(e))} ELSE w END" for e in fourth)
+    return f"""
+st0 AS (SELECT DISTINCT word, CASE WHEN starts_with(word, 'y') THEN 'Y' || substr(word, 2) ELSE word END AS w FROM {words}),
+st1 AS (SELECT word, CASE WHEN ends_with(w, 'ies') AND length(w) = 4 THEN {head(1)} WHEN ends_with(w, 'sses') THEN {head(2)}
+  WHEN ends_with(w, 'ies') THEN {head(2)} WHEN ends_with(w, 'ss') THEN w WHEN ends_with(w, 's') THEN {head(1)} ELSE w END AS w FROM st0),
+st2 AS (SELECT word, CASE WHEN ends_with(w, 'ied') THEN CASE WHEN length(w) = 4 THEN {head(1)} ELSE {head(2)} END
+  WHEN ends_with(w, 'eed') THEN CASE WHEN regexp_matches({head(3)}, '{m0}') THEN {head(1)} ELSE w END
+  WHEN ends_with(w, 'ed') AND regexp_matches({head(2)}, '^({c})?[aeiouy]') THEN {trimmed(head(2))}
+  WHEN ends_with(w, 'ing') AND regexp_matches({head(3)}, '^({c})?[aeiouy]') THEN {trimmed(head(3))} ELSE w END AS w FROM st1),
+st3 AS (SELECT word, CASE WHEN length(w) > 2 AND regexp_matches(w, '[^aeiouy]y$|[aeiouy]yy$') THEN {head(1)} || 'i' ELSE w END AS w FROM st2),
+st4 AS (SELECT word, CASE WHEN ends_with(w, 'alli') AND regexp_matches({head(4)}, '{m0}') THEN {head(2)} ELSE w END AS w FROM st3),
+st5 AS (SELECT word, {rules(second, m0)} AS w FROM st4),
+st6 AS (SELECT word, {rules(third, m0)} AS w FROM st5),
+st7 AS (SELECT word, CASE {cut4} ELSE w END AS w FROM st6),
+st8 AS (SELECT word, CASE WHEN ends_with(w, 'e') AND (regexp_matches({head(1)}, '{m2}')
+  OR (regexp_matches({head(1)}, '{m1}') AND NOT regexp_matches({head(1)}, '{short}'))) THEN {head(1)} ELSE w END AS w FROM st7),
+st9 AS (SELECT word, CASE WHEN ends_with(w, 'll') AND regexp_matches({head(1)}, '{m2}') THEN {head(1)} ELSE w END AS w FROM st8),
+stemmed AS (SELECT word, CASE WHEN length(word) <= 3 THEN word
+  {" ".join(f"WHEN word = '{a}' THEN '{b}'" for a, b in odd.items())}
+  WHEN starts_with(word, 'y') THEN 'y' || substr(w, 2) ELSE w END AS stem FROM st9)"""

@@ -5,6 +5,7 @@ Files that a reader needs are derived from the given tables first.
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import functions as F
@@ -55,8 +56,8 @@ def read_task_splits(spark, sf):
         rows.where(which).write.parquet(f"{base}/glue/sst2/{split}")
     chosen = J.select_tasks(J.registry_df(spark), include=["sst2", "rte", "mnli"], exclude=["rte", "mnli"])
     found = None
-    for record in chosen.select("benchmark", "task").collect():   # bounded by the registry
-        for split, d in read_task(spark, base, record["benchmark"], record["task"]).items():
+    for record in chosen.select("family", "task").collect():   # bounded by the registry
+        for split, d in read_task(spark, base, record["family"], record["task"]).items():
             d = d.select(F.lit(record["task"]).alias("task"), F.lit(split).alias("split"), "idx", "sentence", "label")
             found = d if found is None else found.unionByName(d)
     return found
@@ -142,6 +143,26 @@ def _task_rows(task: str, where: str, names: tuple) -> str:
     return f"SELECT '{task}' AS task, metric, value FROM ({C.metric_sql(where)}) WHERE metric IN ({listed})"
 
 
+def lead_parts(labels: list[np.ndarray], preds: list[np.ndarray]) -> np.ndarray:
+    """Per example: right tokens before the first wrong one, and kept tokens. No table of (label, prediction)
+    pairs gives it, since it depends on places."""
+    out = np.zeros((len(labels), 2))
+    for r, (want, got) in enumerate(zip(labels, preds)):
+        kept = (want != 0) & (want != 1)
+        wrong = np.flatnonzero((want != got)[kept])
+        out[r] = (wrong[0] if len(wrong) else kept.sum(), kept.sum())
+    return out
+
+
+def _lead_sql(where: str) -> str:
+    return (O.corpus_ctes() + O.predictions_cte() + f""",
+moved AS (SELECT row_key, pred[2 : len(pred)] || [0] AS pred, labels FROM preds WHERE {where}),
+each AS (SELECT row_key, unnest(labels) AS l, unnest(pred) AS p, unnest(generate_series(1, len(labels))) AS i FROM moved),
+kept AS (SELECT *, max((l <> p)::INTEGER) OVER (PARTITION BY row_key ORDER BY i ROWS UNBOUNDED PRECEDING) AS past
+         FROM each WHERE l NOT IN (0, 1, -100))
+SELECT 'spans' AS task, 'row_lead' AS metric, round(sum(1 - past)::DOUBLE / count(*), 6) AS value FROM kept""")
+
+
 def _hits_sql(where: str) -> str:
     return (O.corpus_ctes() + O.predictions_cte() + f""",
 moved AS (SELECT pred[2 : len(pred)] || [0] AS pred, labels FROM preds WHERE {where}),
@@ -152,16 +173,19 @@ SELECT 'spans' AS task, 'token_hits' AS metric, count(*)::DOUBLE AS value FROM e
 @query("task_metrics", sql=" UNION ALL ".join([
     _task_rows("cola", "doc_id % 2 = 0", ("accuracy", "f1", "precision", "recall", "mcc")),
     _task_rows("spans", "doc_id % 2 = 1", ("accuracy", "spearman")),
-    f"SELECT * FROM ({_hits_sql('doc_id % 2 = 1')})"]))
+    f"SELECT * FROM ({_hits_sql('doc_id % 2 = 1')})", f"SELECT * FROM ({_lead_sql('doc_id % 2 = 1')})"]))
 def task_metrics(spark, sf):
-    """G9 by task, with a task added by register_task (J1) that lists a metric added by register_metric."""
+    """G9 by task, with a task added by register_task (J1) that lists metrics added by register_metric
+    and register_row_metric (J3)."""
     M.register_metric("hits", lambda: F.sum(F.when(F.col("l") == F.col("p"), F.col("c")).otherwise(0)))
-    J.register_task(J.TaskConfig("spans", "one", "spans: ", metric_names=("accuracy", "spearman", "hits")))
+    M.register_row_metric("lead", lead_parts, lambda right, kept: right / kept)
+    J.register_task(J.Task("spans", 1, ("spans: ",), scores=("accuracy", "spearman", "hits", "lead")))
     try:
         p = EV.predictions(spark, sf).withColumn("task", F.when(F.col("doc_id") % 2 == 0, "cola").otherwise("spans"))
         return M.metrics_by_task(p).select("task", "metric", F.round("value", 6).alias("value"))
     finally:
         M.METRICS.pop("hits")
+        M.ROW_METRICS.pop("lead")
         J.REGISTRY.pop("spans")
 
 

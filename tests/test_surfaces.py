@@ -48,11 +48,11 @@ def test_check_length_raises(spark):
 def test_unknown_pieces_are_spelled(spark):
     from spanweave.operators.vocab import build_vocab, encode
     corpus = spark.createDataFrame([(1, "aa bb aa"), (2, "abc, aa")], "k int, text string")
-    # 3 special ids, 5 characters (marker, a, b, c and the comma), the most frequent longer piece, 100 sentinels
-    vocab = build_vocab(corpus, "text", size=109)
+    # 3 special ids, 256 bytes, 5 given subwords (marker, a, b, c and the comma), the most frequent longer piece, 100 sentinels
+    vocab = build_vocab(corpus, "text", size=365, subwords=["\u2581", "a", "b", "c", ","])
     pieces = {r["piece"] for r in vocab.collect()}
     assert {"a", "b", "c", ",", "\u2581", "\u2581aa"} <= pieces and "\u2581abc" not in pieces
-    ids = encode(corpus, "text", vocab, 16, size=109)
+    ids = encode(corpus, "text", vocab, 16, size=365)
     assert all(2 not in r["input_ids"] for r in ids.collect())
 
 
@@ -174,7 +174,8 @@ def test_collated_instructions_keep_task_input_and_whole_target(spark):
     from spanweave.operators.instructions import TASK_SCHEMA, explode_instances, with_fixed_encoding
     from spanweave.operators.udf import collate
     from spanweave.operators.vocab import build_vocab, encode_ids
-    vocab = build_vocab(spark.createDataFrame([(1, "abcdefghijklmnopqrstuvwxyz ABCDEFGINOP .:- 0123456789")], "k int, text string"), "text")
+    vocab = build_vocab(spark.createDataFrame([(1, "abcdefghijklmnopqrstuvwxyz ABCDEFGINOP .:- 0123456789")], "k int, text string"), "text",
+                        subwords=[])
     # every word is spelled, so ids are several times the pieces
     reply = " ".join(f"reply{k}" for k in range(40))
     example = {"input": "some words " * 8, "output": "other words " * 8, "explanation": "why"}

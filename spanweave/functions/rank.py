@@ -74,7 +74,8 @@ def dense_index(df: DataFrame, order_cols: list, name: str = "idx",
     keys = _dense_index_rows(keys, order_cols, name, num_partitions, weight="_sw_copies").toDF(
         *[f"_sw_k{i}" for i in range(len(order_cols))], "_sw_copies", name)
     same = [F.col(c).eqNullSafe(F.col(f"_sw_k{i}")) for i, c in enumerate(order_cols)]
-    d = df.join(keys, on=same)
+    # every row has its key; an outer join never broadcasts the wide side
+    d = df.join(keys, on=same, how="left")
     if keys.where("_sw_copies > 1").limit(1).count():
         d = d.withColumn(name, F.col(name) + F.row_number().over(
             Window.partitionBy(*order_cols).orderBy(F.xxhash64(F.to_json(F.struct(*extra))))) - 1)
@@ -144,3 +145,40 @@ def group_dense_index(df: DataFrame, group_cols: list, order_cols: list, name: s
     same = [F.col("_sw_pid") == F.col("_sw_p")] + [F.col(c).eqNullSafe(F.col(f"_sw_g{i}")) for i, c in enumerate(group_cols)]
     out = local.join(pg, on=same)
     return out.withColumn(name, F.col("_sw_before") + F.col("_sw_mid") - F.col("_sw_min")).select(*df.columns, name)
+
+
+def running_scan(df: DataFrame, group_cols: list, order_cols: list, value: Column, how, name: str,
+                 num_partitions: int | None = None, upto: bool = True) -> DataFrame:
+    """Running aggregate ``how`` (``F.max``, ``F.sum``, ...) of ``value`` inside each group in ``order_cols`` order,
+    without one task per group.
+
+    Two levels: rows are range-partitioned on (group, order) and scanned inside each (partition, group); what earlier
+    partitions of the same group hold, one row for each (partition, group), is scanned on its own and
+    joined back. A group of any size is spread over many tasks. ``upto=False`` leaves the row itself out; the
+    first row of a group then has null. Null groups are groups; the order must be total inside a group.
+    """
+    from pyspark.sql.window import Window
+    n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = list(group_cols) + list(order_cols)
+    local = _materialize(df.withColumn("_sw_v", value).repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+                           .withColumn("_sw_pid", F.spark_partition_id()))
+    part = ["_sw_pid", *group_cols]
+    ends = local.groupBy(*part).agg(how("_sw_v").alias("_sw_part"))
+    before = Window.partitionBy(*group_cols).orderBy("_sw_pid").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.withColumn("_sw_before", how("_sw_part").over(before)).drop("_sw_part").toDF(
+        "_sw_p", *[f"_sw_g{i}" for i in range(len(group_cols))], "_sw_before")
+    inside = Window.partitionBy(*part).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, 0 if upto else -1)
+    same = [F.col("_sw_pid") == F.col("_sw_p")] + [F.col(c).eqNullSafe(F.col(f"_sw_g{i}")) for i, c in enumerate(group_cols)]
+    out = local.withColumn("_sw_here", how("_sw_v").over(inside)).join(ends, on=same, how="left")
+    return out.withColumn(name, _merge(how, F.col("_sw_before"), F.col("_sw_here"))).select(*df.columns, name)
+
+
+def _merge(how, a: Column, b: Column) -> Column:
+    """Two parts of a running aggregate as one."""
+    if how is F.sum:
+        return F.when(a.isNull(), b).when(b.isNull(), a).otherwise(a + b)
+    if how is F.max:
+        return F.greatest(a, b)
+    if how is F.min:
+        return F.least(a, b)
+    raise ValueError("a running aggregate is a sum, a maximum or a minimum")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from spanweave.functions.rank import dense_index
+from spanweave.functions.rank import _dense_index_rows, dense_index
+from spanweave.sources.tables import stored
 
 
 def pack_tokens(df: DataFrame, ids: str, length: int, group: str, order: str,
@@ -35,6 +36,27 @@ def pack_tokens(df: DataFrame, ids: str, length: int, group: str, order: str,
     return packed.filter(F.size(out) == L).select(group, "row", out)
 
 
+def pack_corpus(df: DataFrame, ids: str, length: int, order: str, out: str = "input_ids", first: int = 0) -> tuple[DataFrame, DataFrame]:
+    """D6 over the whole corpus: all ids in ``order`` (a unique column) as one sequence, cut into rows of ``length``.
+
+    The place of each document is a two-level prefix sum of the lengths alone (``dense_index`` with
+    weights), so no group of documents loses a remainder; only the end of the corpus does not fill a row.
+    Returns (rows, rest): ``row`` (from ``first``) with its ids, and the ids of the end as one row of the same
+    form, or none. The ids are stored once, since both need them.
+    """
+    L = int(length)
+    held = stored(df.where(F.size(ids) > 0).select(F.col(order).alias("_sw_key"), F.col(ids).alias("_sw_ids")), "pack-ids")
+    places = _dense_index_rows(held.select("_sw_key", F.size("_sw_ids").alias("_sw_n")), ["_sw_key"], "_sw_start", weight="_sw_n")
+    d = held.join(places, "_sw_key")
+    d = d.withColumn("row", F.explode(F.expr(f"sequence(_sw_start div {L}, (_sw_start + _sw_n - 1) div {L})")))
+    d = d.withColumn("_sw_piece", F.expr(
+        f"slice(_sw_ids, cast(greatest(row * {L} - _sw_start, 0) + 1 as int), "
+        f"cast(least((row + 1) * {L}, _sw_start + _sw_n) - greatest(row * {L}, _sw_start) as int))"))
+    rows = d.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("_sw_start", "_sw_piece"))).alias("_sw_parts"))
+    rows = rows.select((F.col("row") + first).alias("row"), F.flatten(F.expr("transform(_sw_parts, p -> p._sw_piece)")).alias(out))
+    return rows.where(F.size(out) == L), rows.where(F.size(out) < L)
+
+
 def assign_batches(df: DataFrame, order_cols: list, batch_size: int, grad_acc: int = 1,
                    out: str = "batch_id") -> DataFrame:
     """Consecutive batches of batch_size // grad_acc rows; the last partial batch is kept."""

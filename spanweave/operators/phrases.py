@@ -1,24 +1,23 @@
 """Phrase-aware masking (E4-E8) and phrase mining (X1, extension).
 
-Everything is row-local except mining (n-gram counts and the sub-span
-join) and the shuffled fallback of phrase membership when the phrase table is
-too large to broadcast.
+Masking is row-local. Phrase membership is an equi-join of window hashes with the phrase table,
+whose size the optimizer knows; mining counts level by level and prunes by hash joins.
 """
 
 from __future__ import annotations
 
 import itertools
 
-import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from spanweave.constants import ASCII_PUNCTUATION, DEFAULT_SEED, EOS_TOKEN, PAD_TOKEN, WORD_MARK
 from spanweave.functions.rank import md5_sql
 from spanweave.operators.vocab import pieces
+from spanweave.sources.tables import stored
 
 WORD_T = "array<struct<first:int,ntok:int,part:int>>"
-MAX_BROADCAST_PHRASES = 2_000_000
+#: Bits of one long of a position set.
+BITS = 64
 
 
 def _let(value: str, var: str, body: str) -> str:
@@ -52,81 +51,89 @@ def words_sql(tokens: str, with_parts: bool = True) -> str:
 
 
 def word_texts_sql(tokens: str, words: str) -> str:
-    """Text of each word: every token stripped of the marker, lowercased, concatenated."""
-    return (f"transform({words}, w -> array_join(transform(slice({tokens}, w.first + 1, w.ntok), "
-            f"t -> lower(trim(BOTH '{WORD_MARK}' FROM t))), ''))")
+    """Text of each word: every token stripped of the marker, lowercased, concatenated.
 
+    Tokens are read by place: ``slice`` in a lambda copies the whole array for every word."""
+    def text(i: str) -> str:
+        return f"lower(trim(BOTH '{WORD_MARK}' FROM {tokens}[{i}]))"
+    return (f"transform({words}, w -> IF(w.ntok = 1, {text('w.first')}, "
+            f"array_join(transform(sequence(w.first, w.first + w.ntok - 1), i -> {text('i')}), '')))")
 
-def ngram_candidates_sql(words: str, texts: str, sizes=(5, 4, 3, 2)) -> str:
-    """E5 candidates: every window of n words inside one part, with its text.
 
-    The word texts are bound once per row (``_let``); referenced from inside
-    the window lambda they would otherwise be recomputed per window.
-    """
-    arr = ", ".join(str(n) for n in sizes)
-    body = (f"flatten(transform(array({arr}), n -> transform(filter("
-            f"IF(size({words}) >= n, sequence(0, size({words}) - n), cast(array() as array<int>)), "
-            f"s -> {words}[s].part = {words}[s + n - 1].part), "
-            f"s -> named_struct('n', n, 's', s, 'text', array_join(slice(TX, s + 1, n), ' ')))))")
-    return _let(texts, "TX", body)
+#: Most words of a phrase.
+LONGEST = 5
+
+
+def _hash_sql(words: str, at: str, n: int) -> str:
+    """Hash of n words of an array from a place."""
+    return f"xxhash64({', '.join(f'{words}[{at} + {k}]' for k in range(n))})"
+
 
+def windows(d: DataFrame, row: str, words: str, texts: str, pairs: DataFrame | None = None) -> DataFrame:
+    """E5 candidates: (row, n, s, h) of every window of 2 to ``LONGEST`` words inside one part; h hashes its words.
 
-def phrase_member_udf(phrases: DataFrame, col: str = "phrase"):
-    """Arrow UDF: array<string> -> array<boolean>, membership in a broadcast phrase set.
+    With ``pairs`` (column h2: hashes of two words), only of windows that begin with one of them."""
+    parts = [f"'h{n}', IF(get({words}, s + {n - 1}).part = {words}[s].part, {_hash_sql(texts, 's', n)}, NULL)" for n in range(2, LONGEST + 1)]
+    spots = d.select(F.col(row).alias("row"), F.explode(F.expr(
+        f"transform(IF(size({words}) >= 2, sequence(0, size({words}) - 2), cast(array() as array<int>)), s -> "
+        f"named_struct('s', s, {', '.join(parts)}))")).alias("x")).select("row", "x.*")
+    if pairs is not None:
+        spots = spots.join(pairs, "h2", "left_semi")
+    every = [F.struct(F.lit(n).alias("n"), F.col(f"h{n}").alias("h")) for n in range(2, LONGEST + 1)]
+    return spots.select("row", "s", F.inline(F.array(*every))).where("h is not null")
 
-    The set is collected once and its size checked against
-    ``MAX_BROADCAST_PHRASES``; beyond it callers use ``match_phrases_shuffled``.
+
+def match_phrases(df: DataFrame, tokens: str, phrases: DataFrame, out: str = "matches") -> DataFrame:
+    """E4 + E5: words of ``tokens`` (column ``words``) and matched windows ``out`` (array of (n, s, text)).
+
+    Rows with their words are stored once under numbers of their own. Windows, as hashes, meet the
+    phrases in an equi-join that the optimizer broadcasts or shuffles by the phrase table's size; the few that
+    meet go back to their row by its number, where the words themselves decide.
     """
-    pdf = phrases.select(col).distinct().limit(MAX_BROADCAST_PHRASES + 1).toPandas()  # Arrow, size-checked
-    if len(pdf) > MAX_BROADCAST_PHRASES:
-        return None
-    bc = phrases.sparkSession.sparkContext.broadcast([x for x in pdf[col].tolist() if x is not None])
-
-    @F.arrow_udf("array<boolean>")
-    def _member(arr: pa.Array) -> pa.Array:
-        if isinstance(arr, pa.ChunkedArray):
-            arr = arr.combine_chunks()
-        offsets = pc.subtract(arr.offsets, arr.offsets[0])
-        flat = pc.list_flatten(arr)
-        hit = pc.is_in(flat, value_set=pa.array(bc.value, pa.string()))
-        return pa.ListArray.from_arrays(offsets, hit, mask=arr.is_null())
-
-    return _member
-
-
-def match_phrases(df: DataFrame, tokens: str, phrases: DataFrame, key: str, out: str = "matches") -> DataFrame:
-    """E4 + E5: words of ``tokens`` (column ``words``) and matched windows ``out``
-    (array of (n, s, text)), via a broadcast set or, for huge phrase tables, a
-    shuffled semi join."""
-    d = (df.withColumn("_sw_punct", F.lit(ASCII_PUNCTUATION))
-           .withColumn("words", F.expr(words_sql(tokens)))
-           .withColumn("_sw_cands", F.expr(ngram_candidates_sql("words", word_texts_sql(tokens, "words")))))
-    member = phrase_member_udf(phrases)
-    if member is not None:
-        d = d.withColumn("_sw_hit", member(F.expr("transform(_sw_cands, c -> c.text)")))
-        d = d.withColumn(out, F.expr("filter(zip_with(_sw_cands, _sw_hit, (c, h) -> IF(h, c, NULL)), x -> x IS NOT NULL)"))
-    else:
-        d = match_phrases_shuffled(d, "_sw_cands", phrases, key, out)
-    return d.drop("_sw_punct", "_sw_cands", "_sw_hit")
-
-
-def match_phrases_shuffled(d: DataFrame, cands: str, phrases: DataFrame, key: str, out: str) -> DataFrame:
-    """Membership for phrase tables beyond the broadcast bound: explode windows,
-    semi join on the phrase text, regroup by row key, join back."""
-    ex = d.select(key, F.explode(cands).alias("_c")).select(key, "_c.*")
-    hit = ex.join(phrases.select(F.col("phrase").alias("text")).distinct(), "text", "left_semi")
-    back = hit.groupBy(key).agg(F.collect_list(F.struct("n", "s", "text")).alias(out))
-    return (d.join(back, key, "left")
-             .withColumn(out, F.coalesce(F.col(out), F.expr("cast(array() as array<struct<n:int,s:int,text:string>>)"))))
-
-
-def resolve_overlaps_sql(matches: str, seed, key: str) -> str:
-    """Longest first, md5 order within a length; skip a window touching a covered word."""
+    d = (df.withColumn("_sw_punct", F.lit(ASCII_PUNCTUATION)).withColumn("words", F.expr(words_sql(tokens))).drop("_sw_punct")
+           .withColumn("_sw_texts", F.expr(word_texts_sql(tokens, "words"))).withColumn("_sw_row", F.monotonically_increasing_id()))
+    d = stored(d, "phrase-rows")
+    known = phrases.select("phrase").where("phrase <> ''").distinct().select(F.col("phrase").alias("text"), F.split("phrase", " ").alias("w"))
+    sizes = [F.when(F.size("w") == n, F.expr(_hash_sql("w", "0", n))) for n in range(2, LONGEST + 1)]
+    known = known.select("text", F.size("w").alias("n"), F.coalesce(*sizes).alias("h"), F.when(F.size("w") > 1, F.expr(
+        _hash_sql("w", "0", 2))).alias("h2")).where("h is not null")
+    known = stored(known, "phrase-hashes")
+    pairs = known.select("h2").distinct()
+    met = (windows(d, "_sw_row", "words", "_sw_texts", pairs).join(known.drop("h2"), ["h", "n"])
+           .groupBy("row").agg(F.collect_list(F.struct("n", "s", "text")).alias("met")))
+    d = d.join(met, F.col("_sw_row") == F.col("row"), "left")
+    return d.withColumn(out, F.expr(
+        "filter(coalesce(met, cast(array() as array<struct<n:int,s:int,text:string>>)), "
+        "m -> array_join(transform(sequence(m.s, m.s + m.n - 1), i -> _sw_texts[i]), ' ') = m.text)")).drop("_sw_texts", "_sw_row", "row", "met")
+
+
+def _no_bits(size: str) -> str:
+    """An empty set of positions 0 .. size - 1."""
+    return f"array_repeat(0L, cast({size} div {BITS} as int) + 1)"
+
+
+def _has_bit(bits: str, at: str) -> str:
+    return f"(({bits}[cast({at} div {BITS} as int)] & shiftleft(1L, cast({at} % {BITS} as int))) != 0L)"
+
+
+def _with_bits(bits: str, at: str, n: str = "1") -> str:
+    """The set with positions ``at`` .. ``at`` + n - 1 (n below ``BITS``); they touch two longs at most."""
+    ones = f"(shiftleft(1L, cast({n} as int)) - 1L)"
+    return (f"transform({bits}, (x, k) -> CASE WHEN k = {at} div {BITS} THEN x | shiftleft({ones}, cast({at} % {BITS} as int)) "
+            f"WHEN k = ({at} + {n} - 1) div {BITS} THEN x | shiftrightunsigned({ones}, cast({BITS} - {at} % {BITS} as int)) ELSE x END)")
+
+
+def resolve_overlaps_sql(matches: str, size: str, seed, key: str) -> str:
+    """Longest first, md5 order within a length; skip a window touching a covered word.
+
+    The fold keeps two sets of word positions, covered words and first words. An earlier window is
+    at least as long, so that it meets a later one only where it covers its first or its last word.
+    Result: struct (covered, first) of the two sets."""
     order = (f"sort_array(transform({matches}, m -> named_struct('k', -m.n, 'r', "
              f"{md5_sql(seed, key, chr(39) + 'merge' + chr(39), 'm.n', 'm.s')}, 's', m.s, 'n', m.n)))")
-    return (f"aggregate({order}, cast(array() as array<struct<s:int,n:int>>), "
-            f"(acc, m) -> IF(exists(acc, a -> a.s < m.s + m.n AND m.s < a.s + a.n), acc, "
-            f"concat(acc, array(named_struct('s', m.s, 'n', m.n)))))")
+    return (f"aggregate({order}, named_struct('covered', {_no_bits(size)}, 'first', {_no_bits(size)}), "
+            f"(acc, m) -> IF({_has_bit('acc.covered', 'm.s')} OR {_has_bit('acc.covered', '(m.s + m.n - 1)')}, acc, "
+            f"named_struct('covered', {_with_bits('acc.covered', 'm.s', 'm.n')}, 'first', {_with_bits('acc.first', 'm.s')})))")
 
 
 def _spans_to_mask_sql(spans: str, n: str) -> str:
@@ -144,24 +151,27 @@ def phrase_mask(df: DataFrame, tokens: str, phrases: DataFrame, key: str, out: s
 
     Budget = min(max, max(1, round(len * p))) with len counting pads;
     candidates (resolved phrases, then remaining single words) are ordered by
-    token count desc with md5 ties, and taken while they fit the budget.
+    token count desc with md5 ties, and taken while they fit the budget. What is chosen is a set of
+    positions in 64-bit words, so that the work grows with the length, not with its square.
     """
-    d = match_phrases(df, tokens, phrases, key, "_sw_matches")
-    d = d.withColumn("_sw_chosen", F.expr(resolve_overlaps_sql("_sw_matches", seed, key)))
-    cands = (f"concat(transform(_sw_chosen, a -> named_struct('first', words[a.s].first, 'ntok', "
-             f"words[a.s + a.n - 1].first + words[a.s + a.n - 1].ntok - words[a.s].first)), "
-             f"transform(filter(IF(size(words) > 0, sequence(0, size(words) - 1), cast(array() as array<int>)), "
-             f"w -> NOT exists(_sw_chosen, a -> w >= a.s AND w < a.s + a.n)), "
-             f"w -> named_struct('first', words[w].first, 'ntok', words[w].ntok)))")
-    d = d.withColumn("_sw_cands", F.expr(
-        f"sort_array(transform({cands}, c -> named_struct('k', -c.ntok, 'r', "
-        f"{md5_sql(seed, key, chr(39) + 'cand' + chr(39), 'c.first')}, 'first', c.first, 'ntok', c.ntok)))"))
+    d = match_phrases(df, tokens, phrases, "_sw_matches")
+    d = d.withColumn("_sw_chosen", F.expr(resolve_overlaps_sql("_sw_matches", "size(words)", seed, key)))
+    # a phrase or a lone word begins at each word that is a first one or is not covered, and ends before the next one
+    begins = (f"filter(IF(size(words) > 0, sequence(0, size(words) - 1), cast(array() as array<int>)), "
+              f"w -> {_has_bit('_sw_chosen.first', 'w')} OR NOT {_has_bit('_sw_chosen.covered', 'w')})")
+    cands = (f"transform(BG, (w, j) -> named_struct('first', words[w].first, 'ntok', "
+             f"words[coalesce(try_element_at(BG, j + 2), size(words)) - 1].first + "
+             f"words[coalesce(try_element_at(BG, j + 2), size(words)) - 1].ntok - words[w].first))")
+    ranked = (f"sort_array(transform({cands}, c -> named_struct('k', -c.ntok, 'r', "
+              f"{md5_sql(seed, key, chr(39) + 'cand' + chr(39), 'c.first')}, 'first', c.first, 'ntok', c.ntok)))")
+    d = d.withColumn("_sw_cands", F.expr(_let(begins, "BG", ranked)))
     budget = f"least({int(max_predictions)}, greatest(1, cast(rint(size({tokens}) * {float(p)!r}) as int)))"
-    fold = (f"aggregate(_sw_cands, named_struct('used', 0, 'sel', cast(array() as array<struct<first:int,ntok:int>>)), "
-            f"(acc, c) -> IF(acc.used + c.ntok <= {budget}, named_struct('used', acc.used + c.ntok, 'sel', "
-            f"concat(acc.sel, array(named_struct('first', c.first, 'ntok', c.ntok)))), acc), "
-            f"acc -> {_let('array_sort(acc.sel)', 'S', _spans_to_mask_sql('S', f'size({tokens})'))})")
-    d = d.withColumn(out, F.expr(fold))
+    fold = (f"aggregate(_sw_cands, named_struct('used', 0, 'first', {_no_bits(f'size({tokens})')}), "
+            f"(acc, c) -> IF(acc.used + c.ntok <= {budget}, named_struct('used', acc.used + c.ntok, "
+            f"'first', {_with_bits('acc.first', 'c.first')}), acc), acc -> acc.first)")
+    taken = (f"array_sort(transform(filter(_sw_cands, c -> {_has_bit('TK', 'c.first')}), "
+             f"c -> named_struct('first', c.first, 'ntok', c.ntok)))")
+    d = d.withColumn(out, F.expr(_let(fold, "TK", _let(taken, "S", _spans_to_mask_sql("S", f"size({tokens})")))))
     return d.drop("_sw_matches", "_sw_chosen", "_sw_cands", "words")
 
 
@@ -193,20 +203,33 @@ def mine_phrases(df: DataFrame, text_col: str = "text", max_n: int = 5, min_coun
     sub-spans to the count table (equi join on (length, text); AQE splits hot
     sub-span keys).
     """
-    words = doc_words(df, text_col)
+    words = stored(doc_words(df, text_col).select("word_texts"), "mine-words")
     # every document also emits one marker (n = 0, weight = its word count): the
-    # word total comes out of the same aggregation as the n-gram counts
+    # word total comes out of the same aggregation as the counts of words and pairs
     grams = words.select(F.explode(F.expr(_let("word_texts", "W",
-        f"concat(array(named_struct('n', 0, 'text', '', 'w', size(W))), "
-        f"flatten(transform(sequence(1, {max_n}), n -> transform("
-        f"IF(size(W) >= n, sequence(0, size(W) - n), cast(array() as array<int>)), "
-        f"s -> named_struct('n', n, 'text', array_join(slice(W, s + 1, n), ' '), 'w', 1)))))"))).alias("g")).select("g.*")
+        "concat(array(named_struct('n', 0, 'text', '', 'w', size(W))), transform(W, x -> named_struct('n', 1, 'text', x, 'w', 1)), "
+        "transform(IF(size(W) >= 2, sequence(1, size(W) - 1), cast(array() as array<int>)), "
+        "s -> named_struct('n', 2, 'text', concat(W[s - 1], ' ', W[s]), 'w', 1)))"))).alias("g")).select("g.*")
     counts = grams.groupBy("n", "text").agg(F.sum("w").cast("bigint").alias("count"))
-    # every occurrence of a candidate contains each of its sub-spans, so sub-span
-    # counts are >= the candidate's count >= min_count: only frequent n-grams are
-    # needed. The frequent table is small; it is persisted so the three readers
-    # below (candidates, sub-span lookup, total) share one counting pass.
-    frequent = counts.filter((F.col("count") >= min_count) | (F.col("n") == 0)).persist()
+    # every occurrence of an n-gram contains its two (n-1)-grams, so one that is frequent has
+    # frequent ones: longer windows are counted only where both hashes are among the level below
+    # (a clash of hashes lets a window through, nothing more). Level tables are stored, so that the optimizer
+    # knows their size and broadcasts or shuffles by it.
+    level = stored(counts.filter((F.col("count") >= min_count) | (F.col("n") == 0)), "mine-level")
+    frequent = level
+    for n in range(3, max_n + 1):
+        below = level.where(F.col("n") == n - 1).select(F.split("text", " ").alias("w")).select(F.expr(_hash_sql("w", "0", n - 1)).alias("h"))
+        text = "concat_ws(' ', " + ", ".join(f"word_texts[s + {k}]" for k in range(n)) + ")"
+        spots = words.select(F.explode(F.expr(
+            f"transform(IF(size(word_texts) >= {n}, sequence(0, size(word_texts) - {n}), cast(array() as array<int>)), "
+            f"s -> named_struct('a', {_hash_sql('word_texts', 's', n - 1)}, 'b', {_hash_sql('word_texts', 's + 1', n - 1)}, "
+            f"'text', {text}))")).alias("g")).select("g.*")
+        for side in ("a", "b"):
+            spots = spots.join(below.withColumnRenamed("h", side), side, "left_semi")
+        found = spots.groupBy("text").agg(F.count(F.lit(1)).alias("count")).where(F.col("count") >= min_count)
+        level = stored(found.select(F.lit(n).alias("n"), "text", "count"), "mine-level")
+        frequent = frequent.unionByName(level)
+    # sub-span counts are >= the candidate's count >= min_count: only frequent n-grams are needed
     total = frequent.filter(F.col("n") == 0).select(F.col("count").alias("total"), F.lit(1).alias("_sw_one"))
     cand = frequent.filter(F.col("n") >= 2)
     subs = cand.select("n", "text", "count", F.explode(F.expr(

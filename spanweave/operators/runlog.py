@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
+from spanweave.functions.rank import group_dense_index, running_scan
 from spanweave.operators.tasks import REGISTRY
 
 
@@ -62,20 +63,21 @@ def early_stop(df: DataFrame, metric: str, patience: int, threshold: float = 0.0
     running max (min) of earlier evaluations; an evaluation improves when it
     beats that by more than ``threshold``. Training stops at the first
     evaluation that is ``patience`` evaluations past the last improvement.
-    Expressed with running-window aggregates (no per-run array is gathered).
+    The evaluation number, the best so far and the last improvement are two-level
+    scans over range partitions, so that one run of any length is spread over many tasks. Evaluations at
+    the same step count in the order of their values.
     """
-    d = df.filter(F.col(name) == metric).select(run, step, value)
     sign = 1.0 if greater_is_better else -1.0
-    v = F.col(value) * sign
-    w_prev = Window.partitionBy(run).orderBy(step).rowsBetween(Window.unboundedPreceding, -1)
-    w_upto = Window.partitionBy(run).orderBy(step).rowsBetween(Window.unboundedPreceding, 0)
-    d = d.withColumn("_sw_k", F.row_number().over(Window.partitionBy(run).orderBy(step)))
-    d = d.withColumn("_sw_best", F.max(v).over(w_prev))
+    d = df.filter(F.col(name) == metric).select(run, step, (F.col(value) * sign).alias("_sw_value"))
+    order = [step, "_sw_value"]
+    d = group_dense_index(d, [run], order, "_sw_k")
+    order = ["_sw_k"]
+    best = running_scan(d, [run], order, F.col("_sw_value"), F.max, "_sw_best", upto=False)
+    v = F.col("_sw_value")
     improved = F.col("_sw_best").isNull() | ((v > F.col("_sw_best")) & (F.abs(v - F.col("_sw_best")) > threshold))
-    d = d.withColumn("_sw_imp", F.when(improved, F.col("_sw_k")).otherwise(F.lit(0)))
-    d = d.withColumn("_sw_last", F.max("_sw_imp").over(w_upto))
+    last = running_scan(best, [run], order, F.when(improved, F.col("_sw_k")).otherwise(F.lit(-1)), F.max, "_sw_last")
     stop = F.when(F.col("_sw_k") - F.col("_sw_last") >= patience, F.col(step).cast("bigint"))
-    return d.groupBy(run).agg(F.min(stop).alias("stopped_at_step"), F.count(F.lit(1)).cast("int").alias("n_evals"))
+    return last.groupBy(run).agg(F.min(stop).alias("stopped_at_step"), F.count(F.lit(1)).cast("int").alias("n_evals"))
 
 
 def keep_last(df: DataFrame, n: int, run: str = "run", step: str = "step") -> DataFrame:

@@ -25,6 +25,7 @@ from pyspark.sql.window import Window
 from spanweave.constants import (EOS_ID, EOS_TOKEN, N_SENTINELS, PAD_ID, PAD_TOKEN, SPARK_PIECE_PATTERN,
                                  UNK_ID, UNK_TOKEN, VOCAB_SIZE, WORD_MARK)
 from spanweave.functions.arrays import fit_length_sql, ignore_pads_sql
+from spanweave.sources.tables import stored
 
 N_SPECIAL = 3
 #: Id of the first entry that is text; the 256 bytes stand before it.
@@ -96,14 +97,13 @@ def build_vocab(df: DataFrame, text_col: str = "text", size: int = VOCAB_SIZE,
     spark = df.sparkSession
     subwords = (read_subwords() if subwords is None else subwords)[:k]
     sub = spark.createDataFrame([(w, r) for r, w in enumerate(subwords)], "piece string, rank int")
-    counts = (df.select(F.explode(pieces(text_col)).alias("piece"))
-                .groupBy("piece").agg(F.count(F.lit(1)).alias("count")))
+    counts = stored(df.select(F.explode(pieces(text_col)).alias("piece"))
+                      .groupBy("piece").agg(F.count(F.lit(1)).alias("count")), "piece-counts")
     chars = (counts.select(F.explode(F.split("piece", "")).alias("piece"), "count")
                    .groupBy("piece").agg(F.sum("count").alias("count")).where("piece <> ''"))
     new = counts.where(F.length("piece") > 1).join(F.broadcast(sub), "piece", "left_anti")
     order = (F.desc("count"), F.asc("piece"))
-    # tables bounded by ``size``, kept once so that every consumer reads the same small relation
-    # instead of recounting the corpus
+    # tables bounded by ``size``
     known = counts.join(F.broadcast(sub), "piece").select("piece", "count").toPandas()
     held = dict(zip(known["piece"], known["count"]))
     most = (k - len(subwords)) // CHARACTER_PART

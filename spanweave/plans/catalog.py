@@ -104,7 +104,7 @@ def corrupt_random(spark, sf):
 from spanweave.functions.masks import plan_lengths  # noqa: E402
 from spanweave.functions.rank import dense_index, uniform_sql  # noqa: E402
 from spanweave.operators.corrupt import corrupt_complement  # noqa: E402
-from spanweave.operators.pack import (assign_batches, collect_batches, pack_tokens,  # noqa: E402
+from spanweave.operators.pack import (assign_batches, collect_batches, pack_corpus, pack_tokens,  # noqa: E402
                                       pad_to_longest)
 from spanweave.operators.vocab import encode_ids  # noqa: E402
 from spanweave.plans.corpus import documents  # noqa: E402
@@ -139,6 +139,36 @@ def pack_rows(spark, sf):
     return packed_rows(spark, sf).select("pack_group", "row", render("input_ids"))
 
 
+_WHOLE_SQL = (O.vocab_ctes() + O.text_ids_ctes("docs", "documents", ["doc_id"]) + f""",
+lens AS (SELECT doc_id, ids, len(ids) AS n, coalesce(sum(len(ids)) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS st
+         FROM docs_ids),
+cuts AS (SELECT st, r AS row, ids[greatest(r * {PACK_RAW} - st, 0) + 1 : least((r + 1) * {PACK_RAW}, st + n) - st] AS piece
+         FROM lens, unnest(range(st // {PACK_RAW}, (st + n - 1) // {PACK_RAW} + 1)) t(r)),
+whole AS (SELECT row, flatten(list(piece ORDER BY st)) AS input_ids FROM cuts GROUP BY row)""")
+
+
+def packed_corpus(spark, sf):
+    docs = dense_index(documents(spark, sf).where("text is not null"), ["doc_id"], "doc_idx")
+    return pack_corpus(encode_ids(docs, "text", corpus_vocab(spark, sf)).select("doc_idx", "ids"), "ids", PACK_RAW, "doc_idx")
+
+
+@query("pack_whole", sql=_WHOLE_SQL + f"""
+SELECT row, {O.render('input_ids')} AS input_ids FROM whole WHERE len(input_ids) = {PACK_RAW}""")
+def pack_whole(spark, sf):
+    """D6 over the whole corpus as one sequence."""
+    return packed_corpus(spark, sf)[0].select("row", render("input_ids"))
+
+
+@query("pack_whole_account", sql=_WHOLE_SQL + f"""
+SELECT sum(n)::BIGINT AS n_ids, (sum(n) // {PACK_RAW})::BIGINT AS n_rows, (sum(n) % {PACK_RAW})::BIGINT AS n_left FROM lens""")
+def pack_whole_account(spark, sf):
+    """Ids in and rows out of ``pack_whole``: nothing is lost but the end that does not fill a row."""
+    rows, rest = packed_corpus(spark, sf)
+    every = rows.unionByName(rest).select(F.size("input_ids").cast("bigint").alias("n"))
+    full = F.when(F.col("n") == PACK_RAW, 1).otherwise(0)
+    return every.agg(F.sum("n").alias("n_ids"), F.sum(full).alias("n_rows"), F.sum(F.col("n") * (1 - full)).alias("n_left"))
+
+
 def _complement_sql() -> str:
     keep = ("list_filter(list_transform(input_ids, lambda x, i: CASE WHEN {s}[i] != 0 THEN {s}[i] ELSE x END), "
             "lambda y: y >= 0) || [1]")
@@ -231,7 +261,7 @@ FROM tk_rows r LEFT JOIN cm m ON m.doc_id = r.doc_id AND m.chunk = r.chunk
 GROUP BY r.doc_id, r.chunk""")
 def phrase_match(spark, sf):
     tok, phrases = chunk_tokens(spark, sf)
-    m = match_phrases(tok, "tokens", phrases, "row_key", "matches")
+    m = match_phrases(tok, "tokens", phrases, "matches")
     return m.select("doc_id", "chunk", F.size("matches").cast("bigint").alias("n_matches"), F.expr(
         "array_join(transform(sort_array(transform(matches, m -> named_struct('k', -m.n, 's', m.s, 't', m.text))), "
         "x -> concat(cast(-x.k as string), ':', cast(x.s as string), ':', x.t)), '|')").alias("matches"))
@@ -801,6 +831,13 @@ def stream_pack(spark, sf):
     return spark.read.parquet(out).select("pack_group", "row", render("input_ids"), render("labels"))
 
 
+@query("stream_pack_whole", sql=ORACLE["pack_whole"])
+def stream_pack_whole_q(spark, sf):
+    """I2 with the remainder carried from batch to batch."""
+    out = ST.stream_pack_whole(spark, _doc_stream(spark, sf), corpus_vocab(spark, sf), ST.scratch_path(spark, "stream-whole"), PACK_RAW)
+    return spark.read.schema("row bigint, input_ids array<int>").parquet(out).select("row", render("input_ids"))
+
+
 @query("stream_take", sql="SELECT doc_id FROM documents ORDER BY doc_id LIMIT 500")
 def stream_take(spark, sf):
     out = ST.stream_take(spark, _doc_stream(spark, sf).select("doc_id"), 500, "doc_id",

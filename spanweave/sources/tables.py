@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -27,6 +29,23 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, balance: bool = Fals
     return balanced(df) if balance else df
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh path below the shared checkpoint folder, deleted when the application ends."""
+    from spanweave.session import checkpoint_dir
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
+    return path
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written below the shared checkpoint folder and read back: later steps read files that every executor
+    can reach, the optimizer knows their size, and nothing stays in memory."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_corpora(spark: SparkSession, paths: str | list, names: str | list | None = None,
                  fmt: str = "parquet", text_col: str = "text") -> dict[str, DataFrame]:
     """A1: comma-separated paths and names (equal counts), each loaded separately.

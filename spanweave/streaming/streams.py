@@ -8,18 +8,16 @@ there and stops, which is also how the tests drive them.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from spanweave.functions.rank import dense_index
 from spanweave.operators.corrupt import corrupt, corrupt_complement
-from spanweave.operators.pack import pack_tokens
+from spanweave.operators.pack import pack_corpus, pack_tokens
 from spanweave.operators.runlog import report_intervals
 from spanweave.operators.split import buffer_shuffle
 from spanweave.operators.vocab import encode, encode_ids
-from spanweave.session import checkpoint_dir
+from spanweave.sources.tables import scratch_path  # noqa: F401  (folders of stream sinks)
 
 DOCUMENT_SCHEMA = StructType([StructField("doc_id", LongType()), StructField("text", StringType()),
                               StructField("lang", StringType()), StructField("source", StringType()),
@@ -30,11 +28,6 @@ DOCUMENT_SCHEMA = StructType([StructField("doc_id", LongType()), StructField("te
 GROUPS_PER_BATCH = 1 << 32
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the shared checkpoint folder."""
-    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
-
-
 def batch_folder(out: str, batch_id: int) -> str:
     """Where a micro-batch writes: a folder of its own, so that a retried batch replaces its rows."""
     return f"{out}/batch_id={batch_id}"
@@ -110,7 +103,7 @@ def stream_pack_corrupt(spark: SparkSession, stream: DataFrame, vocab: DataFrame
         docs = dense_index(batch.select("doc_id", "text"), ["doc_id"], "_sw_doc")
         group = F.floor(F.col("_sw_doc") / group_docs) + F.lit(batch_id * GROUPS_PER_BATCH)
         ids = encode_ids(docs.withColumn("pack_group", group.cast("bigint")), "text", vocab)
-        packed = pack_tokens(ids, "ids", raw_length, "pack_group", "doc_id")
+        packed = pack_tokens(ids, "ids", raw_length, "pack_group", "_sw_doc")
         packed = packed.withColumn("row_key", F.concat_ws(":", F.col("pack_group").cast("string"),
                                                           F.col("row").cast("string")))
         shuffled = buffer_shuffle(packed, ["pack_group", "row"], "row_key", buffer=buffer)
@@ -124,6 +117,39 @@ def stream_pack_corrupt(spark: SparkSession, stream: DataFrame, vocab: DataFrame
     return out
 
 
+def stream_pack_whole(spark: SparkSession, stream: DataFrame, vocab: DataFrame, out: str, raw_length: int) -> str:
+    """I2 without loss: every micro-batch goes on with the ids that the batch before it left over.
+
+    A batch packs the carried ids and its own documents (in ``doc_id`` order) as one sequence; full rows are numbered on from
+    the batch before, and the ids that do not fill a row (fewer than ``raw_length``) are written beside
+    them for the next one. What a batch reads is what an earlier batch wrote, so a batch that runs again
+    writes the same rows. Only the end of the whole stream does not fill a row; it stays in ``<out>-carry``."""
+    carry = out + "-carry"
+    schema = "row bigint, input_ids array<int>"
+
+    def per_batch(batch: DataFrame, batch_id: int) -> None:
+        earlier = [p for p in batch_folders(spark, carry) if int(p.rpartition("=")[2]) < batch_id]
+        last = max(earlier, key=lambda p: int(p.rpartition("=")[2]), default=None)
+        left = spark.read.schema(schema).parquet(last) if last else spark.createDataFrame([], schema)
+        held = left.first()
+        first = held["row"] if held else 0
+        docs = dense_index(batch.select("doc_id", "text").where("text is not null"), ["doc_id"], "_sw_doc")
+        ids = encode_ids(docs, "text", vocab).select("_sw_doc", "ids")
+        ids = ids.unionByName(left.select(F.lit(-1).cast("bigint").alias("_sw_doc"), F.col("input_ids").alias("ids")))
+        rows, rest = pack_corpus(ids, "ids", raw_length, "_sw_doc", first=first)
+        folder = batch_folder(out, batch_id)
+        rows.write.mode("overwrite").parquet(folder)
+        done = spark.read.schema(schema).parquet(folder).agg(F.coalesce(F.max("row") + 1, F.lit(first))).first()[0]
+        nothing = spark.createDataFrame([(done, [])], schema)
+        rest = rest.unionByName(nothing).agg(F.max("row").alias("row"), F.flatten(F.collect_list("input_ids")).alias("input_ids"))
+        rest.write.mode("overwrite").parquet(batch_folder(carry, batch_id))
+
+    q = (stream.writeStream.foreachBatch(per_batch).option("checkpointLocation", out + "-checkpoint")
+               .trigger(availableNow=True).start())
+    _run(q)
+    return out
+
+
 def stream_take(spark: SparkSession, stream: DataFrame, n: int, order: str, out: str) -> str:
     """Keep the first n rows of the stream (in ``order`` inside each micro-batch), then
     write nothing more. What earlier batches wrote is counted from their folders (parquet

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from spanweave.constants import ASCII_PUNCTUATION
 from spanweave.operators.pack import pack_tokens
-from spanweave.operators.phrases import phrase_mask
+from spanweave.operators.phrases import match_phrases, phrase_mask
 
 SEPS = ("</s>", "<pad>")
 
@@ -86,12 +86,34 @@ def test_pack_exact_rows_and_remainder(spark):
     assert [x for r in out for x in r["input_ids"]] == flat[: len(flat) // 8 * 8]
 
 
-def test_shuffled_membership_fallback(spark, monkeypatch):
-    """Beyond the broadcast bound, membership is a shuffled semi join; same masks."""
-    import spanweave.operators.phrases as P
-    monkeypatch.setattr(P, "MAX_BROADCAST_PHRASES", 2)
+def test_shuffled_membership(spark):
+    """A phrase table too large to broadcast is joined by a shuffle; same masks."""
     df = spark.createDataFrame(ROWS, "k string, tokens array<string>")
     ph = spark.createDataFrame([(x,) for x in PHRASES], "phrase string")
-    got = {r["k"]: r["m"] for r in phrase_mask(df, "tokens", ph, "k", "m", p=0.5).collect()}
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = {r["k"]: r["m"] for r in phrase_mask(df, "tokens", ph, "k", "m", p=0.5).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
     for k, toks in ROWS:
         assert got[k] == brute_force_mask(k, toks, set(PHRASES), p=0.5), k
+
+
+def test_repeated_keys_keep_their_own_matches(spark):
+    rows = [("a", ["▁new", "▁york"]), ("a", ["▁other", "▁words"]), (None, ["▁hello", "▁world"])]
+    ph = spark.createDataFrame([("new york",), ("hello world",)], "phrase string")
+    got = match_phrases(spark.createDataFrame(rows, "k string, tokens array<string>"), "tokens", ph).collect()
+    assert sorted([m["text"] for m in r["matches"]] for r in got) == [[], ["hello world"], ["new york"]]
+
+
+def test_masks_of_long_rows(spark):
+    """Several 64-bit words of positions, windows across their borders, against the brute force."""
+    import random
+    rng = random.Random(4)
+    rows = [(f"r{k}", [rng.choice(["▁a", "▁b", "▁c", "d", ","]) for _ in range(n)]) for k, n in enumerate([63, 64, 65, 130, 512])]
+    phrases = [" ".join(rng.choice("abc") for _ in range(n)) for n in (2, 2, 3, 4, 5, 5)]
+    ph = spark.createDataFrame([(x,) for x in phrases], "phrase string")
+    got = {r["k"]: r["m"] for r in phrase_mask(spark.createDataFrame(rows, "k string, tokens array<string>"), "tokens", ph, "k", "m").collect()}
+    for k, toks in rows:
+        assert got[k] == brute_force_mask(k, toks, set(phrases), p=0.5), k

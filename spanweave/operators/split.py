@@ -35,11 +35,14 @@ def buffer_shuffle(df: DataFrame, order_cols: list, key: str, buffer: int = 10_0
     """deterministic bounded-locality shuffle: order by (index div buffer, md5 rank).
 
     A row moves at most ``buffer`` positions, the same locality bound as a
-    shuffle buffer of that size.
+    shuffle buffer of that size. Rows are numbered once; a block holds ``buffer`` of them, so that
+    its order is a window of bounded size.
     """
     d = dense_index(df, order_cols, "_sw_idx")
-    d = d.withColumn("_sw_block", (F.col("_sw_idx") / F.lit(buffer)).cast("bigint")).withColumn("_sw_rank", md5_rank(seed, key))
-    return dense_index(d, ["_sw_block", "_sw_rank", key], out).drop("_sw_idx", "_sw_block", "_sw_rank")
+    d = d.withColumn("_sw_block", F.floor(F.col("_sw_idx") / F.lit(buffer))).withColumn("_sw_rank", md5_rank(seed, key))
+    order = Window.partitionBy("_sw_block").orderBy("_sw_rank", key, "_sw_idx")
+    place = F.col("_sw_block") * buffer + F.row_number().over(order) - 1
+    return d.withColumn(out, place.cast("bigint")).drop("_sw_idx", "_sw_block", "_sw_rank")
 
 
 def train_test_split(df: DataFrame, key: str, test_fraction: float = 0.05, seed=DEFAULT_SEED,

@@ -109,26 +109,51 @@ def read_task(spark: SparkSession, base: str, benchmark: str, task: str, fmt: st
     return {s: spark.read.format(fmt).load(f"{base.rstrip('/')}/{benchmark}/{task}/{s}") for s in splits}
 
 
+def _file_system(spark: SparkSession, path: str):
+    jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jpath
+
+
+def _versions(spark: SparkSession, pattern: str) -> list[tuple[int, str]]:
+    """(time, folder) of the complete versions that match, the first finished one first."""
+    fs, path = _file_system(spark, f"{pattern}/_SUCCESS")
+    return sorted((f.getModificationTime(), f.getPath().getParent().toString()) for f in fs.globStatus(path) or [])
+
+
 def cached(spark: SparkSession, config: dict, build, root: str | None = None) -> DataFrame:
     """Load a materialised result if present, else build, write and load it.
 
     The key is a hash of the whole configuration (paths, tokenizer, slice,
     lengths), so a changed setting never hits a stale entry. Entries live in
-    the shared checkpoint folder unless ``root`` names another shared path;
-    ``_SUCCESS`` marks a complete write.
+    the shared checkpoint folder unless ``root`` names another shared path. Every writer
+    has a folder of its own below the key, and ``_SUCCESS`` marks it complete: writers at the same
+    time never touch each other's files, and all later readers take the version that was finished first.
+    ``expire_cache`` removes entries by age.
     """
     import hashlib
     import json
 
     from spanweave.session import checkpoint_dir
     key = hashlib.sha256(json.dumps(config, sort_keys=True, default=str).encode()).hexdigest()[:24]
-    path = f"{(root or checkpoint_dir(spark)).rstrip('/')}/cache-{key}"
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")
-    if not p.getFileSystem(conf).exists(p):
-        build().write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    folder = f"{(root or checkpoint_dir(spark)).rstrip('/')}/cache-{key}"
+    found = _versions(spark, f"{folder}/*")
+    if not found:
+        build().write.parquet(f"{folder}/{uuid.uuid4().hex}")
+        found = _versions(spark, f"{folder}/*")
+    return spark.read.parquet(found[0][1])
+
+
+def expire_cache(spark: SparkSession, older_than_seconds: float, root: str | None = None) -> int:
+    """Delete the versions of cached results that were finished before that long ago; their number."""
+    import time
+
+    from spanweave.session import checkpoint_dir
+    limit = (time.time() - older_than_seconds) * 1000
+    old = [p for t, p in _versions(spark, f"{(root or checkpoint_dir(spark)).rstrip('/')}/cache-*/*") if t < limit]
+    for path in old:
+        fs, jpath = _file_system(spark, path)
+        fs.delete(jpath, True)
+    return len(old)
 
 
 def input_fingerprint(spark: SparkSession, pattern: str) -> list:

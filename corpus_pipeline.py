@@ -4,13 +4,16 @@ Language ID (documents without a language go), MinHash near-dedup (one document
 benchmark decontamination (documents that hold a benchmark passage go), personal data (spans are
 redacted), best-fit packing (token pieces in sequences). All stages but the last return the
 columns of ``documents``; ``n_chars`` follows the redacted text.
+
+Every stage takes an empty table (and gives one), repeated rows, null ids and texts, and columns of any further names, which
+it carries along.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from spanweave.llm.common import id_crc, shared_path, table
+from spanweave.llm.common import fresh, id_crc, shared_path, table
 from spanweave.llm.decontamination import drop_contaminated
 from spanweave.llm.language_id import UNKNOWN, identify
 from spanweave.llm.near_dedup import drop_near_duplicates
@@ -22,23 +25,26 @@ LEAST_SCORE = 0.3
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in one of the labelled languages; those without letters or a clear language go."""
-    found = identify(docs, id_crc("doc_id") % 3 != 1, lang_out="_lang_pred", score_out="_lang_score")
-    return found.where((F.col("_lang_pred") != UNKNOWN) & (F.col("_lang_score") >= LEAST_SCORE)).select(*docs.columns)
+    """Documents in one of the labelled languages; those without letters (null and empty texts too) or a clear
+    language go. Repeated rows are judged alike."""
+    lang, score = fresh(docs, "_lang_pred"), fresh(docs, "_lang_score")
+    found = identify(docs, id_crc("doc_id") % 3 != 1, lang_out=lang, score_out=score)
+    return found.where((F.col(lang) != UNKNOWN) & (F.col(score) >= LEAST_SCORE)).select(*docs.columns)
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, similarity 0.8 or more)."""
+    """One document of each group of near copies (five-word shingles, similarity 0.8 or more): the one with the
+    smallest id. Documents without words are copies of nothing and stay."""
     return drop_near_duplicates(docs, num=80, den=100).select(*docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no passage of ``benchmark``."""
+    """Documents that hold no passage of ``benchmark``; null and empty texts hold none and stay."""
     return drop_contaminated(docs, table(spark, sf_dir, "benchmark")).select(*docs.columns)
 
 
 def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The same documents with personal data redacted."""
+    """The same documents with personal data redacted; null texts stay null and keep their ``n_chars``."""
     clean = redact(docs)
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
@@ -48,8 +54,9 @@ def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces with the sequence and the place in it."""
-    return pack(docs)
+    """Token pieces with their ids, the sequence and the place in it, so that the sequences can be read from
+    them alone; a null or empty text is its end id alone."""
+    return pack(docs, with_ids=True)
 
 
 STAGES = [

@@ -127,3 +127,32 @@ def test_pipeline_stages_on_edge_rows(spark, tmp_path):
     for name, stage in corpus_pipeline.STAGES[1:]:
         docs = stage(spark, docs, "/root/testdata/sf0.001")
     assert docs.count() > 0
+
+
+def test_all_stages_keep_columns_of_clashing_names(spark):
+    import corpus_pipeline
+    good = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select(
+        "doc_id", "text", "lang", "source", "n_chars", F.lit(1).alias("rk"), F.lit("c").alias("c"), F.lit("r").alias("_rk"), F.lit(2).alias("id"))
+    docs = good.unionByName(spark.createDataFrame(edge_rows(), EDGE_SCHEMA)).select(
+        "*", F.lit("mine").alias("_lang_pred"), F.lit(-1.5).alias("_LANG_SCORE"), F.lit("s").alias("_spans"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = common.stored(stage(spark, docs, "/root/testdata/sf0.001"), "stage")
+        rest = docs.select("_lang_pred", "_LANG_SCORE", "_spans", "rk", "c", "_rk", "id").distinct().collect()
+        assert [tuple(r) for r in rest] == [("mine", -1.5, "s", 1, "c", "r", 2)], name
+    pieces = corpus_pipeline.STAGES[-1][1](spark, docs, "/root/testdata/sf0.001").collect()
+    held = {}
+    for r in pieces:
+        assert len(r["ids"]) == r["length"]
+        held.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for places in held.values():
+        places.sort()
+        assert places[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(places, places[1:])) and sum(n for _, n in places) <= 1024
+
+
+def test_all_stages_on_an_empty_table(spark):
+    import corpus_pipeline
+    docs = spark.createDataFrame([], EDGE_SCHEMA)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, "/root/testdata/sf0.001")
+        assert out.count() == 0, name
+        docs = out if name != "packing" else docs

@@ -62,6 +62,80 @@ def test_html_implied_ends(html, text):
     assert visible_text(html) == text
 
 
+@pytest.mark.parametrize("html, text", [
+    ("<table><tr><td colspan=2>wide<td>c<tr><td>a<td>b<td>d</table>", "wide  c\na  b  d"),
+    ("<table><tr><td rowspan=2>tall<td>b<tr><td>d<tr><td>e<td>f</table>", "tall  b\n      d\ne     f"),
+    ("<table><tr><td>a<td><td>c<tr><td>d<td><td>f</table>", "a    c\nd    f"),
+    ("<div style='visibility:hidden'>no<b style='visibility:visible'>yes</b>no</div>", "yes"),
+    ("<div style='display:none'>no<b style='visibility:visible'>no</b></div>yes", "yes"),
+    ("<details><summary>head</summary>body</details>", "head"),
+    ("<details open><summary>head</summary>body</details>", "head\nbody"),
+    ("<p>one <b two</p>three", "one\n\nthree"), ("a <b", "a <b"), ("a <? b", "a"), ("<svg><g/>", ""),
+])
+def test_html_spans_and_visibility(html, text):
+    assert visible_text(html) == text
+
+
+@pytest.mark.parametrize("part", [
+    "<div>", "<a ", "<span>", "<p><table>", "<ul><li>x", "<table><tr><td>x", "<a<", "<!", "<a \"", "<a '\"", "<b></i>",
+    "<svg a=====\"/>", "<td rowspan=9>x", "<tr><td colspan=1000 rowspan=60000>x", "<select><option>x", "<pre>x\n", "<svg>",
+])
+def test_html_time_is_linear(part):
+    import time
+    n = 200_000
+    for html in (part * n, "<span>" * (n // 2) + part * (n // 2) + "</div></p>" * (n // 2)):
+        begun = time.process_time()
+        text = visible_text(html)
+        assert time.process_time() - begun < 12 and len(text) < 100 * len(html)
+
+
+def test_html_tree_equals_a_plain_search():
+    """The tree of random pages, against a builder that searches the open elements one by one."""
+    import random
+
+    def outline(node):
+        return (node.tag, [c if isinstance(c, str) else outline(c) for c in node.children])
+
+    def plain(parts):
+        root = html_text.Node("#root")
+        stack = [root]
+        for kind, tag in parts:
+            if kind == "text":
+                stack[-1].children.append(tag)
+            elif kind == "end":
+                for k in range(len(stack) - 1, 0, -1):
+                    if stack[k].tag == tag:
+                        del stack[k:]
+                        break
+                    if stack[k].tag in html_text.WALL and tag not in html_text.WALL and tag not in html_text.ROWS:
+                        break
+            else:
+                gone, barrier = html_text.CLOSES.get(tag, ((), ()))
+                for k in range(len(stack) - 1, 0, -1):
+                    if stack[k].tag in barrier:
+                        break
+                    if stack[k].tag in gone:
+                        del stack[k:]
+                        if tag not in html_text.SEVERAL:
+                            break
+                node = html_text.Node(tag)
+                stack[-1].children.append(node)
+                stack.append(node)
+        return root
+
+    rng = random.Random(3)
+    tags = "div p ul li table tr td th tbody span b dl dt dd select option button".split()
+    form = {"text": "{}", "end": "</{}>", "start": "<{}>"}
+    for _ in range(3000):
+        parts, last = [], None
+        for k in range(rng.randrange(1, 40)):
+            kind = rng.choice(["start", "start", "end"] + ["text"] * (last != "text"))
+            parts.append((kind, f"t{k}" if kind == "text" else rng.choice(tags)))
+            last = kind
+        html = "".join(form[kind].format(tag) for kind, tag in parts)
+        assert outline(html_text.build(html)) == outline(plain(parts)), html
+
+
 def test_html_keeps_columns(spark):
     df = spark.createDataFrame([(1, "<p>a", "x"), (2, None, "y")], "page_id int, html string, `_text` string")
     got = {r["page_id"]: r["text"] for r in html_text.extract_text(df).collect()}

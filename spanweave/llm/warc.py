@@ -8,19 +8,24 @@ place they go to. Of records with equal payloads (SHA-256) of ``least`` bytes or
 the smallest page id is the response; the smallest is a partially aggregated minimum, so a
 payload with very many copies is no single task.
 
-Reading: archives are parsed by ``Content-Length`` (separators may occur in payloads), and the
+Reading: archives (``.warc`` or ``.warc.gz``, one gzip member or one a record) are inflated piece by piece and
+parsed by ``Content-Length`` (separators may occur in payloads), so that a task holds the compressed file and
+one record, never the inflated archive; and the
 records of a transaction are joined on the identifier they share: one aggregation on it, which
 also bears repeated captures. One nested row per capture comes out.
 
 Defined cases: null html is the empty payload; a null page id is carried through and is never
 the smallest; pages that share the smallest id and the payload are all responses; equal rows
-are captures of their own; null urls leave the target out; other columns are ignored.
+are captures of their own; null urls leave the target out; other columns are ignored. Of foreign archives, records of
+other types are left out, fields that are not there are null, and bytes that are no UTF-8 are replaced in the payload column
+(its digest and length are those of the bytes).
 """
 
 from __future__ import annotations
 
 import hashlib
 import zlib
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -29,6 +34,9 @@ from spanweave.llm.common import shared_path
 
 LEAST = 100
 RECORDS_PER_FILE = 30_000
+PIECE = 1 << 18
+#: rows of a batch end at this many payload bytes
+BATCH_BYTES = 8 << 20
 DATE = "2024-01-01T00:00:00Z"
 END = "\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -92,22 +100,68 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
 
 def _fields(block: bytes) -> dict[str, str]:
     got = {}
-    for line in block.decode("utf-8").split("\r\n"):
-        name, colon, value = line.partition(": ")
+    for line in block.decode("utf-8", "replace").split("\r\n"):
+        name, colon, value = line.partition(":")
         if colon:
-            got[name.lower()] = value
+            got[name.strip().lower()] = value.strip()
     return got
 
 
-def records(data: bytes):
-    """(WARC fields, block) of every record of an archive, by Content-Length."""
+def inflated(data: bytes) -> Iterator[bytes]:
+    """Pieces of an archive: all gzip members one after another, or the bytes as they are. What follows the last
+    whole member and is no member is left out, as are the missing bytes of a member that is cut off."""
+    view = memoryview(data)
+    if bytes(view[:2]) != b"\x1f\x8b":
+        yield from (bytes(view[k:k + PIECE]) for k in range(0, len(view), PIECE))
+        return
     at = 0
-    while at < len(data):
-        stop = data.index(b"\r\n\r\n", at)
-        fields = _fields(data[at:stop])
-        size = int(fields["content-length"])
-        yield fields, data[stop + 4:stop + 4 + size]
-        at = stop + 4 + size + len(END)
+    while bytes(view[at:at + 2]) == b"\x1f\x8b":
+        member = zlib.decompressobj(31)
+        while not member.eof and at < len(view):
+            piece = bytes(view[at:at + PIECE])
+            at += len(piece)
+            out = b""
+            while not member.eof and (piece or len(out) == PIECE):    # a full piece may leave more inside
+                out = member.decompress(piece, PIECE)
+                piece = member.unconsumed_tail
+                yield out
+            at -= len(member.unused_data)
+
+
+def records(pieces: Iterator[bytes]):
+    """(WARC fields, block) of every record of an archive, by Content-Length; a record that is cut off is left out."""
+    held, at = bytearray(), 0
+
+    def more(upto: int) -> bool:
+        """Hold at least ``upto`` bytes from ``at``; False if the archive ends before."""
+        nonlocal at
+        while len(held) - at < upto:
+            piece = next(pieces, None)
+            if piece is None:
+                return False
+            if at > PIECE:
+                del held[:at]
+                at = 0
+            held.extend(piece)
+        return True
+
+    while more(1):
+        if held[at] in b"\r\n":       # the line ends after a record
+            at += 1
+            continue
+        seen = 0
+        while (stop := held.find(b"\r\n\r\n", at + seen)) < 0:
+            seen = max(0, len(held) - at - 3)
+            if not more(len(held) - at + 1):
+                return
+        head = stop - at + 4
+        fields = _fields(bytes(held[at:stop]))
+        size = int(fields.get("content-length", 0))
+        if not more(head + size):
+            return
+        at += head
+        yield fields, bytes(memoryview(held)[at:at + size])
+        at += size
 
 
 _COLUMNS = ("transaction", "kind", "record_id", "uri", "date", "refers_to", "about_page", "about_refers",
@@ -117,21 +171,22 @@ _SCHEMA = ("transaction string, kind string, record_id string, uri string, date
 
 
 def _row(fields: dict[str, str], block: bytes, with_payload: bool) -> dict:
-    kind = fields["warc-type"]
+    kind, own = fields.get("warc-type"), fields.get("warc-record-id")
     row = dict.fromkeys(_COLUMNS) | {
-        "transaction": fields.get("warc-concurrent-to", fields["warc-record-id"]), "kind": kind,
-        "record_id": fields["warc-record-id"], "uri": fields.get("warc-target-uri"), "date": fields["warc-date"]}
+        "transaction": fields.get("warc-concurrent-to", own), "kind": kind, "record_id": own,
+        "uri": fields.get("warc-target-uri"), "date": fields.get("warc-date")}
     if kind == "metadata":
         about = _fields(block)
         row["about_page"], row["about_refers"] = about.get("page-id"), about.get("refers-to-page")
     elif kind in ("response", "revisit"):
         head, _, payload = block.partition(b"\r\n\r\n")
-        row["payload_bytes"] = len(payload) if kind == "response" else int(_fields(head)["content-length"])
+        stated = _fields(head).get("content-length", "")
+        row["payload_bytes"] = len(payload) if kind == "response" else int(stated) if stated.isdigit() else None
         row["payload_digest"] = (hashlib.sha256(payload).hexdigest() if kind == "response"
-                                 else fields["warc-payload-digest"].partition(":")[2])
+                                 else fields.get("warc-payload-digest", "").rpartition(":")[2] or None)
         row["refers_to"] = fields.get("warc-refers-to")
         if with_payload and kind == "response":
-            row["payload"] = payload.decode("utf-8")
+            row["payload"] = payload.decode("utf-8", "replace")
     return row
 
 
@@ -140,16 +195,17 @@ def read_captures(spark: SparkSession, path: str, with_payload: bool = True) ->
     def run(batches):
         for batch in batches:
             for content in batch.column(0):
-                rows = []
-                for fields, block in records(zlib.decompress(content.as_py(), 31)):
+                rows, held = [], 0
+                for fields, block in records(inflated(content.as_buffer())):
                     rows.append(_row(fields, block, with_payload))
-                    if len(rows) == 2000:
+                    held += len(rows[-1]["payload"] or "")
+                    if len(rows) == 2000 or held > BATCH_BYTES:
                         yield pa.RecordBatch.from_pylist(rows, schema=arrow)
-                        rows = []
+                        rows, held = [], 0
                 yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
     arrow = pa.schema([(n, pa.int64() if n == "payload_bytes" else pa.string()) for n in _COLUMNS])
-    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content").mapInArrow(
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.{gz,warc}").load(path).select("content").mapInArrow(
         run, _SCHEMA)
     kind = F.col("kind")
     part = {

@@ -29,6 +29,46 @@ def test_warc_round_trip_with_hostile_payloads(spark):
     assert {r["payload"] for r in got.where("page = 3").collect()} == {body}
 
 
+def _foreign(n, kind="response"):
+    """A record as crawlers write it, with payload bytes that hold the separators."""
+    payload = b"\r\n\r\nWARC/1.0\r\n" + b"\xff" * n
+    block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n" + payload
+    head = f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Record-ID:<urn:{kind}:{n}>\r\nContent-Length: {len(block)}\r\n\r\n"
+    return head.encode() + block + b"\r\n\r\n", payload
+
+
+def test_warc_reads_members_and_plain_archives(spark, tmp_path):
+    import gzip
+    import hashlib
+    info = b"WARC/1.0\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:i>\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+    made = [_foreign(n) for n in (0, 1, 50, 70_000, 600_000)]
+    whole = b"".join([info, *[r for r, _ in made]])
+    (tmp_path / "members.warc.gz").write_bytes(b"".join(gzip.compress(r) for r in [info, *[r for r, _ in made]]))
+    (tmp_path / "one.warc.gz").write_bytes(gzip.compress(whole))
+    (tmp_path / "plain.warc").write_bytes(whole)
+    (tmp_path / "cut.warc.gz").write_bytes(gzip.compress(whole)[:-500])
+    (tmp_path / "empty.warc").write_bytes(b"")
+    want = sorted((len(p), hashlib.sha256(p).hexdigest()) for _, p in made)
+    for name, times in (("members.warc.gz", 1), ("one.warc.gz", 1), ("plain.warc", 1), ("empty.warc", 0)):
+        got = warc.read_captures(spark, str(tmp_path / name)).select("answer.*").collect()
+        assert sorted((r["payload_bytes"], r["payload_digest"]) for r in got) == want * times, name
+    cut = warc.read_captures(spark, str(tmp_path / "cut.warc.gz")).count()
+    assert cut < len(made)
+
+
+def test_warc_reader_holds_one_record(tmp_path):
+    """A 1 GB archive of many members within a small part of its size."""
+    import gzip
+    import tracemalloc
+    member = gzip.compress(_foreign(1 << 20)[0])
+    data = member * 1000
+    tracemalloc.start()
+    n = sum(len(block) for _, block in warc.records(warc.inflated(data)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n > 1000 << 20 and peak < 32 << 20
+
+
 def test_warc_empty_table(spark):
     path = common.shared_path(spark, "test-warc")
     warc.write_archives(spark.createDataFrame([], "page_id bigint, url string, html string"), path)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from spanweave.constants import ASCII_PUNCTUATION, DEFAULT_SEED, SPARK_PIECE_PATTERN
-from spanweave.functions.rank import uniform_sql
+from spanweave.functions.rank import group_dense_index, uniform_sql
 from spanweave.operators.split import cap_per_task, first_n_per_task
 
 EXAMPLE_T = ArrayType(StructType([StructField("input", StringType()), StructField("output", StringType()),
@@ -39,10 +39,13 @@ ENCODINGS = [
     (False, True, 2, 2, False),   # instruction + positive + negative examples
     (False, True, 2, 0, True),    # instruction + positive examples with explanations
 ]
+#: examples of a kind that any of the encodings asks for
+MAX_EXAMPLES = max(max(positive, negative) for _, _, positive, negative, _ in ENCODINGS)
 
 
 def read_instruction_tasks(spark: SparkSession, split_file: str, task_dir: str, subset: str | None = None,
-                           max_per_task: int | None = None, seed=DEFAULT_SEED, one_per_file: bool = True) -> DataFrame:
+                           max_per_task: int | None = None, seed=DEFAULT_SEED, one_per_file: bool = True,
+                           max_examples: int | None = None) -> DataFrame:
     """A5: task names (one per line) joined with task JSON files; one row per instance; 'test' keeps
     the first 100 instances per task, ``max_per_task`` a seeded random cap.
 
@@ -57,15 +60,24 @@ def read_instruction_tasks(spark: SparkSession, split_file: str, task_dir: str,
     tasks = tasks.withColumn("Definition", F.coalesce(listed, F.array("Definition")))
     name = F.regexp_extract(F.input_file_name(), r"([^/]+)\.json$", 1) if one_per_file else F.col("Task")
     tasks = tasks.withColumn("task_name", name).join(names, "task_name")
-    return explode_instances(tasks, subset=subset, max_per_task=max_per_task, seed=seed)
+    return explode_instances(tasks, subset=subset, max_per_task=max_per_task, seed=seed, max_examples=max_examples)
 
 
 def explode_instances(tasks: DataFrame, subset: str | None = None, max_per_task: int | None = None,
-                      seed=DEFAULT_SEED, task_col: str = "Task") -> DataFrame:
-    """J5 + B3/B4: one row per instance (``posexplode``); ``id`` = instance id."""
+                      seed=DEFAULT_SEED, task_col: str = "Task", max_examples: int | None = None) -> DataFrame:
+    """J5 + B3/B4: one row per instance (``posexplode``); ``id`` = instance id. With ``max_examples`` an instance
+    carries that many examples of each kind (``MAX_EXAMPLES`` is what the encodings ask for), without it the task's
+    whole lists, which is quadratic where tasks hold many."""
+    for kind in ("Positive Examples", "Negative Examples") if max_examples is not None else ():
+        tasks = tasks.withColumn(kind, F.slice(F.col(f"`{kind}`"), 1, max_examples))
     keep = [c for c in tasks.columns if c not in ("Instances", "Instruction Source")]
     d = tasks.select(*keep, F.posexplode("Instances").alias("instance_pos", "Instance"))
-    d = d.withColumn("id", F.col("Instance.id"))
+    return limit_instances(d.withColumn("id", F.col("Instance.id")), subset, max_per_task, seed, task_col)
+
+
+def limit_instances(d: DataFrame, subset: str | None = None, max_per_task: int | None = None, seed=DEFAULT_SEED,
+                    task_col: str = "Task") -> DataFrame:
+    """B3/B4: 'test' keeps the first 100 instances of a task, ``max_per_task`` a seeded random cap."""
     if subset == "test":
         d = first_n_per_task(d, task_col, "instance_pos", 100).drop("rank_in_group")
     if max_per_task is not None and max_per_task >= 0:
@@ -73,6 +85,39 @@ def explode_instances(tasks: DataFrame, subset: str | None = None, max_per_task:
     return d
 
 
+def instances_of_turns(turns: DataFrame, subset: str | None = None, max_per_task: int | None = None, seed=DEFAULT_SEED,
+                       max_examples: int = MAX_EXAMPLES, conv: str = "conv_id", order: tuple = ("turn", "role", "text"),
+                       role: str = "role", text: str = "text") -> DataFrame:
+    """Instances of the tasks that conversations make, by joins of tables; no record holds a conversation.
+
+    Turns are numbered inside their conversation over all tasks of the cluster (``group_dense_index``) and joined with the turn
+    before; a conversation's definition (its first turn) and its first ``max_examples`` pairs are one bounded row, joined back
+    on the conversation. So the work is linear in the turns, and a conversation of any length is spread; a null
+    conversation is one like any other. Rows are those of ``explode_instances`` over the nested tasks.
+    """
+    d = group_dense_index(turns.select(*dict.fromkeys([conv, *order, role, text])), [conv], list(order), "_sw_i")
+    before = d.select(F.col(conv).alias("_sw_c"), (F.col("_sw_i") + 1).alias("_sw_j"), F.col(text).alias("_sw_input"))
+    pairs = d.join(before, F.col(conv).eqNullSafe(F.col("_sw_c")) & (F.col("_sw_i") == F.col("_sw_j")))
+    pairs = pairs.select(conv, "_sw_i", order[0], "_sw_input", F.col(text).alias("_sw_output"), F.col(role).alias("_sw_role"))
+
+    def example(given: str, answer: str):
+        return lambda p: F.struct(p[given].alias("input"), p[answer].alias("output"), p["_sw_role"].alias("explanation"))
+
+    first = pairs.where(F.col("_sw_i") <= max_examples).groupBy(conv).agg(F.array_sort(F.collect_list(
+        F.struct("_sw_i", "_sw_input", "_sw_output", "_sw_role"))).alias("_sw_first"))
+    first = first.select(F.col(conv).alias("_sw_c"), F.transform("_sw_first", example("_sw_input", "_sw_output")).alias("Positive Examples"),
+                         F.transform("_sw_first", example("_sw_output", "_sw_input")).alias("Negative Examples"))
+    stated = d.where("_sw_i = 0").select(F.col(conv).alias("_sw_t"), F.array(text).alias("Definition"))
+    tasks = stated.join(first, F.col("_sw_t").eqNullSafe(F.col("_sw_c"))).drop("_sw_c")
+    key = F.col(conv).cast("string")
+    rows = pairs.join(tasks, F.col(conv).eqNullSafe(F.col("_sw_t"))).select(
+        F.concat(F.lit("task"), key).alias("Task"), "Definition", "Positive Examples", "Negative Examples",
+        (F.col("_sw_i") - 1).cast("int").alias("instance_pos"),
+        F.struct(F.concat(key, F.lit("-"), F.col(order[0]).cast("string")).alias("id"), F.col("_sw_input").alias("input"),
+                 F.array("_sw_output", "_sw_role").alias("output")).alias("Instance"))
+    return limit_instances(rows.withColumn("id", F.col("Instance.id")), subset, max_per_task, seed)
+
+
 def choose_encoding(df: DataFrame, seed=DEFAULT_SEED, key: str = "id") -> DataFrame:
     """One of the five encodings per row, by md5 uniform."""
     lit = "array(" + ", ".join(

@@ -872,7 +872,7 @@ def _stream_stats(spark, sf, weight):
 
 # --- A5/J5 instances, C8-C11 instruction prompts ---------------------------------
 from spanweave.operators import instructions as IN  # noqa: E402
-from spanweave.plans.instructions import instruction_tasks  # noqa: E402
+from spanweave.plans.instructions import instruction_instances  # noqa: E402
 
 _STRIP_D = r"'^[\s\p{Z}]+|[\s\p{Z}]+$'"
 INSTR_MAX = 256
@@ -945,7 +945,7 @@ FROM n"""
 @query("instruction_prompts", sql=_instruction_sql(
     "true AS name_f, true AS def_f, 2 AS npos, 2 AS nneg, true AS expl_f"))
 def instruction_prompts(spark, sf):
-    e = IN.explode_instances(instruction_tasks(spark, sf), subset="test")
+    e = instruction_instances(spark, sf, subset="test")
     e = IN.with_fixed_encoding(e, add_task_name=True, add_task_definition=True, num_pos_examples=2,
                                num_neg_examples=2, add_explanation=True)
     r = IN.choose_reference(IN.render_instruction(e, max_source_length=INSTR_MAX))
@@ -963,7 +963,7 @@ def _encoding_case(field: str) -> str:
     _encoding_case(f) for f in ("name_f", "def_f", "npos", "nneg", "expl_f"))))
 def instruction_mixed(spark, sf):
     """One of five encodings per instance (md5 uniform), then C8/C9/C11."""
-    e = IN.choose_encoding(IN.explode_instances(instruction_tasks(spark, sf), subset="test"))
+    e = IN.choose_encoding(instruction_instances(spark, sf, subset="test"))
     r = IN.choose_reference(IN.render_instruction(e, max_source_length=INSTR_MAX))
     return r.select("id", "source", "target")
 
@@ -988,7 +988,7 @@ SELECT sp.id, CASE WHEN coalesce(sd.tokens, 0) + 1 <= {TRUNC_MAX} THEN sp.source
 FROM sp LEFT JOIN sd ON sd.id = sp.id""")
 def instruction_truncate(spark, sf):
     """Prompts over the limit become the decoding of their first tokens."""
-    e = IN.explode_instances(instruction_tasks(spark, sf), subset="test")
+    e = instruction_instances(spark, sf, subset="test")
     e = IN.with_fixed_encoding(e, add_task_name=True, add_task_definition=True, num_pos_examples=2,
                                num_neg_examples=2, add_explanation=True)
     r = IN.render_instruction(e, max_source_length=INSTR_MAX)

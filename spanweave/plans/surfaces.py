@@ -21,7 +21,7 @@ from spanweave.operators.formatting import encode_task
 from spanweave.operators.udf import collate, map_batches
 from spanweave.plans import catalog as C, evaluation as EV, oracle as O, tasks as T
 from spanweave.plans.corpus import corpus_chunks, corpus_vocab
-from spanweave.plans.instructions import instruction_tasks
+from spanweave.plans.instructions import instruction_instances, instruction_tasks
 from spanweave.sources.tables import drop_columns, read_corpora, read_table, read_task
 from spanweave.streaming.streams import scratch_path
 
@@ -75,7 +75,8 @@ def instruction_files(spark, sf):
     tasks = instruction_tasks(spark, sf)
     tasks.write.json(f"{base}/tasks")
     tasks.select("Task").write.text(f"{base}/names")
-    d = IN.read_instruction_tasks(spark, f"{base}/names", f"{base}/tasks", subset="test", one_per_file=False)
+    d = IN.read_instruction_tasks(spark, f"{base}/names", f"{base}/tasks", subset="test", one_per_file=False,
+                                  max_examples=IN.MAX_EXAMPLES)
     return d.select("id", F.col("Definition")[0].alias("definition"), F.col("Instance.input").alias("input"),
                     F.array_join("Instance.output", "|").alias("outputs"))
 
@@ -230,7 +231,7 @@ SELECT id, {O.render(O.fit('i', n))} AS input_ids, {O.render(O.fit('list_transfo
 @query("collate_instruction", sql=_collated_sql())
 def collate_instruction(spark, sf):
     """J4 in instruction mode, cut to its lengths as the reference's collator does."""
-    e = IN.explode_instances(instruction_tasks(spark, sf), subset="test")
+    e = instruction_instances(spark, sf, subset="test")
     e = IN.with_fixed_encoding(e, add_task_name=True, add_task_definition=True, num_pos_examples=2,
                                num_neg_examples=2, add_explanation=True)
     out = collate(e, "instruction", vocab=corpus_vocab(spark, sf), max_source_length=C.INSTR_MAX,
@@ -280,10 +281,7 @@ def collate_instruction_whole(spark, sf):
     """J4 in instruction mode at the reference's lengths: whole prompts and references, in chunk rows.
 
     Instances carry the two examples of each kind that the encoding asks for, not the task's whole lists."""
-    tasks = instruction_tasks(spark, sf)
-    for kind in ("Positive Examples", "Negative Examples"):
-        tasks = tasks.withColumn(kind, F.slice(kind, 1, 2))
-    e = IN.explode_instances(tasks, subset="test")
+    e = instruction_instances(spark, sf, subset="test")
     e = IN.with_fixed_encoding(e, add_task_name=True, add_task_definition=True, num_pos_examples=2,
                                num_neg_examples=2, add_explanation=True)
     out = collate(e, "instruction", vocab=corpus_vocab(spark, sf), max_source_length=SOURCE_MAX,

@@ -203,3 +203,32 @@ def test_all_batches_are_evaluated(spark):
     from tests.conftest import SF_SMALL
     n = spark.read.parquet(f"{SF_SMALL}/embeddings.parquet").selectExpr("count(distinct vec_id div 32)").first()[0]
     assert n > 9 and C.QUERIES["eval_all_batches"](spark, SF_SMALL).first()["n_batches"] == n
+
+
+def test_instances_joined_from_turns_equal_those_of_nested_tasks(spark, tmp_path):
+    from spanweave.operators.instructions import MAX_EXAMPLES, explode_instances, instances_of_turns
+    from spanweave.plans.instructions import instruction_tasks
+    rows = [(c, t, "user" if t % 2 else "bot", None if (c or 0) == 3 and t == 4 else f"{c} says {t}")
+            for c in (1, 2, 3, None) for t in range(0, 2 + 3 * (c or 4), 2)]
+    rows += [(7, 0, "bot", "alone"), (8, 1, "user", "tie"), (8, 1, "user", "tie"), (8, 2, "bot", "")]
+    turns = spark.createDataFrame(rows, "conv_id bigint, turn int, role string, text string")
+    turns.write.parquet(str(tmp_path / "conversations.parquet"))
+    nested = explode_instances(instruction_tasks(spark, str(tmp_path)), max_examples=MAX_EXAMPLES)
+    joined = instances_of_turns(turns)
+    key = lambda r: repr(r)
+    names = ["Task", "Definition", "Positive Examples", "Negative Examples", "instance_pos", "Instance", "id"]
+    want, got = (sorted(map(key, x.select(*[f"`{n}`" for n in names]).collect())) for x in (nested, joined))
+    assert got == want and len(got) > 15
+    assert instances_of_turns(turns.limit(0)).count() == 0
+
+
+def test_instances_of_a_very_long_conversation(spark):
+    from pyspark.sql import functions as F
+    from spanweave.operators.instructions import instances_of_turns
+    n = 100_000
+    turns = spark.range(n).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.lit("user").alias("role"),
+                                  F.concat(F.lit("turn "), "id", F.repeat(F.lit(" word"), 20)).alias("text"))
+    d = instances_of_turns(turns)
+    shape = d.agg(F.count(F.lit(1)), F.max(F.size("Positive Examples")), F.countDistinct("id"), F.max("instance_pos"),
+                  F.sum((F.split("`Instance`.`input`", " ")[1].cast("int") == F.col("instance_pos")).cast("int"))).first()
+    assert tuple(shape) == (n - 1, 2, n - 1, n - 2, n - 1)

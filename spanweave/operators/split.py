@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from spanweave.constants import DEFAULT_SEED
-from spanweave.functions.rank import dense_index, md5_rank
+from spanweave.functions.rank import dense_index, md5_rank, uniform
 
 SALT_BUCKETS = 64
 
@@ -45,6 +45,35 @@ def buffer_shuffle(df: DataFrame, order_cols: list, key: str, buffer: int = 10_0
     return d.withColumn(out, place.cast("bigint")).drop("_sw_idx", "_sw_block", "_sw_rank")
 
 
+def buffer_pass(df: DataFrame, index: str, buffer: int, seed=DEFAULT_SEED, out: str = "shuffle_idx") -> DataFrame:
+    """F2 as a shuffle buffer of ``buffer`` slots: the first rows fill the slots, every later row goes to a random
+    slot and drives out the row that stands there.
+
+    ``index`` is the place of arrival. The row that drives another out is the next one of its slot, so the
+    place at which a row leaves is a lead over the slot's rows; ``out`` is null for rows still in the buffer. Slots hold equal
+    shares of the rows whatever their content, so no window is hot.
+    """
+    slot = F.when(F.col(index) < buffer, F.col(index)).otherwise(uniform(buffer, seed, index))
+    turn = Window.partitionBy("_sw_slot").orderBy(index)
+    return df.withColumn("_sw_slot", slot).withColumn(out, F.lead(index).over(turn) - F.lit(buffer)).drop("_sw_slot")
+
+
+def buffer_rest(held: DataFrame, index: str, seed=DEFAULT_SEED, out: str = "shuffle_idx") -> DataFrame:
+    """The rows that stand in the buffer at the end of the input, in random order after all that left it."""
+    ends = held.agg((F.coalesce(F.max(index), F.lit(-1)) + 1 - F.count(F.lit(1))).cast("bigint")).scalar()
+    d = held.drop(out).withColumn("_sw_rank", md5_rank(seed, F.lit("rest"), index))
+    d = dense_index(d, ["_sw_rank", index], "_sw_place")
+    return d.withColumn(out, (F.col("_sw_place") + ends).cast("bigint")).drop("_sw_rank", "_sw_place")
+
+
+def shuffle_through(df: DataFrame, order_cols: list, buffer: int = 10_000, seed=DEFAULT_SEED,
+                    out: str = "shuffle_idx") -> DataFrame:
+    """the whole table through a shuffle buffer; a row leaves at most ``buffer`` places early and any number late."""
+    d = buffer_pass(dense_index(df, order_cols, "_sw_idx"), "_sw_idx", buffer, seed, out)
+    left = d.where(F.col(out).isNotNull())
+    return left.unionByName(buffer_rest(d.where(F.col(out).isNull()), "_sw_idx", seed, out)).drop("_sw_idx")
+
+
 def train_test_split(df: DataFrame, key: str, test_fraction: float = 0.05, seed=DEFAULT_SEED,
                      test_name: str = "validation", train_name: str = "train") -> DataFrame:
     """exact-size seeded split: the first ceil(N * fraction) rows of the md5 order are test."""

@@ -438,6 +438,23 @@ def buffer_order(spark, sf):
     return S.buffer_shuffle(_docs_ids(spark, sf), ["doc_id"], "doc_id", buffer=100)
 
 
+SHUFFLE_SLOTS = 100
+_THROUGH_SQL = f"""
+WITH d AS (SELECT doc_id, length(text) AS n, row_number() OVER (ORDER BY doc_id) - 1 AS i FROM documents),
+s AS (SELECT *, CASE WHEN i < {SHUFFLE_SLOTS} THEN i ELSE {O.uniform(str(SHUFFLE_SLOTS), 'i')} END AS slot FROM d),
+l AS (SELECT *, lead(i) OVER (PARTITION BY slot ORDER BY i) AS next FROM s)
+SELECT doc_id, n::BIGINT AS n_text, (CASE WHEN next IS NOT NULL THEN next - {SHUFFLE_SLOTS}
+    ELSE count(next) OVER () + row_number() OVER (PARTITION BY next IS NULL ORDER BY {O.md5("'rest'", 'i')}, i) - 1 END)::BIGINT
+    AS shuffle_idx FROM l"""
+
+
+@query("shuffle_through", sql=_THROUGH_SQL)
+def shuffle_through(spark, sf):
+    """F2 with the slots of a shuffle buffer, whole documents."""
+    d = S.shuffle_through(documents(spark, sf).select("doc_id", "text"), ["doc_id"], buffer=SHUFFLE_SLOTS)
+    return d.select("doc_id", F.length("text").cast("bigint").alias("n_text"), "shuffle_idx")
+
+
 _SPLIT_SQL = f"""
 WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY {O.md5('doc_id')}, doc_id) - 1 AS i,
                   count(*) OVER () AS n FROM documents)
@@ -838,6 +855,20 @@ def stream_pack_whole_q(spark, sf):
     return spark.read.schema("row bigint, input_ids array<int>").parquet(out).select("row", render("input_ids"))
 
 
+@query("stream_shuffle", sql=_THROUGH_SQL)
+def stream_shuffle(spark, sf):
+    """F2 over documents that arrive in three parts; the stream is started anew for each and goes on with its buffer."""
+    docs = documents(spark, sf).select("doc_id", "text")
+    low, high = docs.approxQuantile("doc_id", [1 / 3, 2 / 3], 0.01) or (0.0, 0.0)
+    part = F.when(F.col("doc_id") > high, 2).when(F.col("doc_id") > low, 1).otherwise(0)
+    src, out = ST.scratch_path(spark, "arrivals"), ST.scratch_path(spark, "stream-shuffle")
+    for k in range(3):
+        docs.where(part == k).write.mode("append").parquet(src)
+        ST.stream_shuffle(spark, spark.readStream.schema(docs.schema).parquet(src), ["doc_id"], out, buffer=SHUFFLE_SLOTS)
+    d = ST.read_shuffled(spark, out, docs.schema)
+    return d.select("doc_id", F.length("text").cast("bigint").alias("n_text"), "shuffle_idx")
+
+
 @query("stream_take", sql="SELECT doc_id FROM documents ORDER BY doc_id LIMIT 500")
 def stream_take(spark, sf):
     out = ST.stream_take(spark, _doc_stream(spark, sf).select("doc_id"), 500, "doc_id",

@@ -8,14 +8,17 @@ there and stops, which is also how the tests drive them.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
 
+from spanweave.constants import DEFAULT_SEED
 from spanweave.functions.rank import dense_index
 from spanweave.operators.corrupt import corrupt, corrupt_complement
 from spanweave.operators.pack import pack_corpus, pack_tokens
 from spanweave.operators.runlog import report_intervals
-from spanweave.operators.split import buffer_shuffle
+from spanweave.operators.split import buffer_pass, buffer_rest, buffer_shuffle
 from spanweave.operators.vocab import encode, encode_ids
 from spanweave.sources.tables import scratch_path  # noqa: F401  (folders of stream sinks)
 
@@ -150,6 +153,54 @@ def stream_pack_whole(spark: SparkSession, stream: DataFrame, vocab: DataFrame,
     return out
 
 
+def _buffered(spark: SparkSession, schema: StructType, *folders: str) -> DataFrame:
+    """Rows of written micro-batches of ``stream_shuffle``; ``_sw_held`` tells those that stayed in the buffer."""
+    written = StructType([*schema.fields, StructField("_sw_idx", LongType()), StructField("shuffle_idx", LongType()),
+                          StructField("_sw_held", BooleanType())])
+    parts = [spark.read.schema(written).option("basePath", f).parquet(f) for f in folders]
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], written)
+
+
+def stream_shuffle(spark: SparkSession, stream: DataFrame, order_cols: list, out: str, buffer: int = 10_000,
+                   seed=DEFAULT_SEED) -> str:
+    """F2 on a stream: a shuffle buffer that lives on from micro-batch to micro-batch.
+
+    A batch's rows (in ``order_cols`` order) arrive after those of the batches before it, meet the rows that the last batch
+    left in the buffer (at most ``buffer``), and drive them out. Its folder holds the rows that left, with their
+    place, and beside them the buffer as it stands then, both in one write. What a batch reads
+    is what an earlier one wrote, so a batch that runs again, and a stream that is started again, goes on in
+    the same order. The order depends on the order of arrival alone, not on where batches end.
+    ``read_shuffled`` gives the rows."""
+    schema = stream.schema
+
+    def per_batch(batch: DataFrame, batch_id: int) -> None:
+        earlier = [p for p in batch_folders(spark, out) if int(p.rpartition("=")[2]) < batch_id]
+        last = max(earlier, key=lambda p: int(p.rpartition("=")[2]), default=None)
+        held = _buffered(spark, schema, *([last] if last else [])).where("_sw_held").drop("shuffle_idx", "_sw_held")
+        # the row that arrived last is always in the buffer
+        first = held.agg(F.coalesce(F.max("_sw_idx") + 1, F.lit(0))).first()[0]
+        rows = dense_index(batch, order_cols, "_sw_idx").withColumn("_sw_idx", F.col("_sw_idx") + first)
+        passed = buffer_pass(held.unionByName(rows), "_sw_idx", buffer, seed)
+        (passed.withColumn("_sw_held", F.col("shuffle_idx").isNull())
+               .write.mode("overwrite").partitionBy("_sw_held").parquet(batch_folder(out, batch_id)))
+
+    q = (stream.writeStream.foreachBatch(per_batch).option("checkpointLocation", out + "-checkpoint")
+               .trigger(availableNow=True).start())
+    _run(q)
+    return out
+
+
+def read_shuffled(spark: SparkSession, out: str, schema: StructType, ended: bool = True, seed=DEFAULT_SEED) -> DataFrame:
+    """Rows of ``stream_shuffle`` with their place ``shuffle_idx``: all that left the buffer, and, if the stream has
+    ``ended``, the rows that still stand in it behind them."""
+    folders = sorted(batch_folders(spark, out), key=lambda p: int(p.rpartition("=")[2]))
+    left = _buffered(spark, schema, *folders).where("not _sw_held")
+    if ended:
+        held = _buffered(spark, schema, *folders[-1:]).where("_sw_held")
+        left = left.unionByName(buffer_rest(held, "_sw_idx", seed))
+    return left.drop("_sw_idx", "_sw_held")
+
+
 def stream_take(spark: SparkSession, stream: DataFrame, n: int, order: str, out: str) -> str:
     """Keep the first n rows of the stream (in ``order`` inside each micro-batch), then
     write nothing more. What earlier batches wrote is counted from their folders (parquet

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from spanweave.functions.rank import running_scan
 from spanweave.operators.pack import pack_corpus
 from spanweave.operators.runlog import early_stop
-from spanweave.operators.split import buffer_shuffle
+from spanweave.operators.split import buffer_shuffle, shuffle_through
 from spanweave.sources.tables import cached, expire_cache
 from spanweave.streaming import streams as ST
 
@@ -112,3 +112,50 @@ def test_buffer_shuffle_is_a_bounded_permutation(spark):
     got = buffer_shuffle(df, ["k"], "k", buffer=64).collect()
     assert sorted(r["shuffle_idx"] for r in got) == list(range(1000))
     assert all(r["shuffle_idx"] // 64 == r["k"] // 64 for r in got) and any(r["shuffle_idx"] != r["k"] for r in got)
+
+
+def through_by_hand(n, buffer, slot_of):
+    """Indexes in the order in which a shuffle buffer gives them out, without the rest; and the rest."""
+    slots, left = {}, []
+    for i in range(n):
+        slot = i if i < buffer else slot_of[i]
+        if i >= buffer:
+            left.append(slots[slot])
+        slots[slot] = i
+    return left, set(slots.values())
+
+
+def test_shuffle_buffer_matches_a_loop(spark):
+    from spanweave.functions.rank import uniform
+    for n, buffer in ((0, 8), (5, 8), (9, 8), (500, 32)):
+        slot_of = {r["id"]: r["s"] for r in spark.range(n).select("id", uniform(buffer, 42, "id").alias("s")).collect()}
+        left, rest = through_by_hand(n, buffer, slot_of)
+        df = spark.range(n).select(F.col("id").alias("k"), F.lit("x").alias("slot"))
+        got = sorted((r["shuffle_idx"], r["k"]) for r in shuffle_through(df, ["k"], buffer).collect())
+        assert [i for i, _ in got] == list(range(n))
+        assert [k for _, k in got][:len(left)] == left and {k for _, k in got[len(left):]} == rest
+        assert all(i >= k - buffer for i, k in got)
+
+
+def test_stream_shuffle_crosses_batches_and_restarts(spark, tmp_path):
+    rows = [(k if k % 7 else None, f"t{k % 3}") for k in range(300)]
+    df = spark.createDataFrame([(p, *r) for p, r in enumerate(rows)], "pos bigint, k bigint, t string")
+    want = {(r["shuffle_idx"], r["pos"], r["k"], r["t"]) for r in shuffle_through(df, ["pos"], 40).collect()}
+
+    def run(name, cuts):
+        src, out = str(tmp_path / f"{name}-in"), str(tmp_path / name)
+        for lo, hi in zip([0, *cuts], [*cuts, 300]):
+            df.where((F.col("pos") >= lo) & (F.col("pos") < hi)).coalesce(1).write.mode("append").parquet(src)
+            ST.stream_shuffle(spark, spark.readStream.schema(df.schema).parquet(src), ["pos"], out, 40)
+        return out
+    for name, cuts in (("a", [10, 55, 200]), ("b", [299])):
+        out = run(name, cuts)
+        got = ST.read_shuffled(spark, out, df.schema)
+        assert got.columns == ["pos", "k", "t", "shuffle_idx"]
+        assert {tuple(r[c] for c in ("shuffle_idx", "pos", "k", "t")) for r in got.collect()} == want
+        part = {r["shuffle_idx"] for r in ST.read_shuffled(spark, out, df.schema, ended=False).collect()}
+        assert part == set(range(260))
+    # rows of an earlier batch leave after rows of a later one
+    place = {pos: i for i, pos, _, _ in want}
+    assert max(place[p] for p in range(55, 200)) > min(place[p] for p in range(200, 300))
+    assert ST.read_shuffled(spark, str(tmp_path / "none"), df.schema).count() == 0

@@ -2,10 +2,14 @@
 
 import math
 import random
+import re
+import time
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -160,6 +164,87 @@ def test_licence_base_and_templates(spark):
     assert licences.scan_licences(edge(spark)).count() == 13 and licences.scan_licences(empty(spark)).count() == 0
 
 
+def licence_by_hand(index, words):
+    """(labels, best share) of one file: every template at every place of its first phrase, word by word."""
+    number = {w: k for k, w in enumerate(index.words)}
+    at = [number.get(w, -1) for w in words]
+    labels, best = set(), 0.0
+
+    def stands(ids, low, high):
+        return any(at[p:p + len(ids)] == ids for p in range(max(low, 0), high + 1))
+    for t in index.templates:
+        for p in range(len(at)):
+            if not stands(t.phrases[0][1], p, p):
+                continue
+            move = [p + q - t.origin for q in range(len(t.words))]
+            if all(stands(ids, move[q] - t.slack[q], move[q] + t.slack[q]) for q, ids in t.phrases[1:]):
+                share = sum(t.weight[q] for q, w in enumerate(t.words)
+                            if stands([w], move[q] - t.slack[q], move[q] + t.slack[q])) / t.weight.sum()
+                if share >= licences.LEAST - 1e-12:
+                    labels.add(t.label)
+                    best = max(best, share)
+    return labels, best
+
+
+def test_licence_texts_against_brute_force(spark):
+    rng = random.Random(11)
+    texts, planted = [], []
+    for label, phrases, text in licences.LICENCES:
+        words = text.split()
+        for drop in (0.0, 0.1, 0.45):
+            kept = [w for w in words if rng.random() >= drop]
+            for _ in range(rng.choice([0, 2])):
+                kept.insert(rng.randrange(len(kept)), "Inserted")
+            texts.append(prose(30, len(texts)) + " " + " ".join(kept) + "\n" + prose(20, len(texts) + 1))
+            whole = f" {' '.join(re.findall('[0-9a-z]+', ' '.join(kept).lower()))} "
+            # an inserted word may have split a mandatory phrase, and then the text does not count
+            planted.append(label if drop == 0.0 and all(f" {p} " in whole for p in phrases) else None)
+    texts += ["gnu general public license " * 40, "mit license", "permission is hereby granted free of charge " * 30,
+              texts[0] + texts[30], "license software the and of " * 50, "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    index = licences.Index(*licences.document_frequencies(df))
+    got = {r["doc_id"]: r for r in licences.scan_licences(df).collect()}
+    seen = 0
+    for k, text in enumerate(texts):
+        words = re.findall(r"[0-9a-z]+", (text or "").lower())
+        labels, best = licence_by_hand(index, words)
+        base = {x for p, x in licences.BASE.items() if f" {p} " in f" {' '.join(words)} "}
+        assert set(got[k]["labels"].split(",")) - {""} == labels | base
+        assert got[k]["score"] == pytest.approx(max([best, *(index.base_score[x] for x in base)], default=0.0))
+        if k < len(planted) and planted[k]:
+            assert planted[k] in labels
+        seen += bool(labels)
+    assert len(list(filter(None, planted))) >= 10 and seen > 20 and 0 < got[len(planted) + 1]["score"] < 1
+
+
+def test_licence_base_columns_against_sql(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    phrases = ", ".join(f"({p.split()}, '{label}')" for p, label in licences.BASE.items())
+    want = duckdb.sql(f"""
+        WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{letters.upper()}', '{letters}'),
+                                                     '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws
+                   FROM read_parquet('{SMALL}/documents.parquet')),
+        p(phrase, label) AS (VALUES {phrases}),
+        f AS (SELECT doc_id, label, unnest(list_filter(range(1, len(ws) + 1), lambda i: ws[i:i + len(phrase) - 1] = phrase)) AS i
+              FROM w, p WHERE list_contains(ws, phrase[1]))
+        SELECT w.doc_id, len(any_value(ws)), count(i), min(i) - 1, max(i) - 1,
+               coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '')
+        FROM w LEFT JOIN f ON f.doc_id = w.doc_id GROUP BY w.doc_id""").fetchall()
+    got = licences.op5_licence_scan(spark, SMALL).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+    assert sorted(map(tuple, got.collect())) == sorted(want) and any(r[2] for r in want)
+
+
+def test_licence_places_of_a_hostile_text(spark):
+    """A phrase of a long template 20,000 times over, and its words in no order: all places are verified in seconds."""
+    text = "hereby granted free of charge copies or substantial portions of the software " * 20_000
+    df = spark.createDataFrame([(1, text), (2, "software the of and notice " * 100_000)], "doc_id bigint, text string")
+    index = licences.Index(*licences.document_frequencies(df))
+    batch = pa.array([text, "software the of and notice " * 100_000])
+    start = time.process_time()
+    columns = licences._scan(index, *licences._known(*licences.text_bytes(batch), index.hashes, index.order))
+    assert time.process_time() - start < 15 and columns[0].to_pylist() == [240_000, 500_000]
+
+
 @pytest.mark.parametrize("frequent", [1 << 19, 20])
 def test_lm_base_score_and_probabilities(spark, monkeypatch, frequent):
     monkeypatch.setattr(lm_scoring, "FREQUENT", frequent)

@@ -5,12 +5,13 @@ not overlapping within a kind. They always stay.
 
 Method: generators with high recall propose further, overlapping spans (see ``GENERATORS``). Each has
 format features (length, digits, letters, variety, sign) and context features (key word before it,
-the characters around it), in a few bins. Seeds label themselves: spans that pass a strict
-check or stand in an unmistakable assignment are positive, spans that fail their kind's check are
-negative, the rest is unlabelled. Gradient-boosted trees of depth two are fitted to all seeds of the
-corpus: Spark counts the seeds of each feature combination (at most the product of the bins, whatever the
+the characters around it), in a few bins. The labels are planted, so no rule over these features makes them: into
+windows cut from at most ``CONTEXTS`` texts of the corpus, values are written that are personal data (secrets, numbers and addresses made
+from a hash) or that only look like them (digests, dates, versions, long words), each after words that go with
+it; a candidate that is a planted value has its label, and one that covers part of a harmless value is negative. Gradient-boosted trees of depth two are
+fitted: Spark counts the candidates of each feature combination (at most the product of the bins, whatever the
 corpus), the driver fits that table, and the trees go back as SQL CASE expressions. A threshold per
-generator is calibrated on seeds held out by hash: the lowest score at which their precision
+generator is calibrated on windows held out by hash: the lowest score at which their precision
 is ``PRECISION``. Candidates that reach it and overlap no base span are added; of overlapping ones the
 higher score stays.
 
@@ -59,6 +60,9 @@ BEFORE = 32
 ROUNDS = 24
 RATE = 0.5
 PRECISION = 0.98
+#: How many texts give windows for planted values (the classifier's bounded sample), and how wide a window is.
+CONTEXTS = 4_000
+WINDOW = 160
 
 
 # ---------------------------------------------------------------- spans
@@ -135,7 +139,7 @@ def _around(char: Column) -> Column:
 
 
 def candidates(text: Column) -> Column:
-    """Spans of the generators with their features and seed label (1, 0 or null)."""
+    """Spans of the generators with their features."""
     def of(name: str, number: int) -> Column:
         kind, pattern = GENERATORS[name]
 
@@ -146,23 +150,93 @@ def candidates(text: Column) -> Column:
             for k in sorted(WORDS, reverse=True):
                 word = F.when(s["before"].rlike(WORDS[k]), k).otherwise(word)
             variety = F.size(F.array_distinct(F.split(span, "")))
-            label = {
-                "run": F.when((digits >= 4) & (letters >= 1) & (word == 1), 1).when(
-                    (digits == 0) | (letters == 0) | (variety < 6), 0),
-                "number": F.when(digits.between(9, 13) & (word == 3), 1).when((digits < 9) | (digits > 13), 0),
-                "spelled": F.when(span.rlike(r"[A-Za-z]{2,}$") & (word == 4), 1).when(~span.rlike(r"[A-Za-z]{2,}$"), 0),
-            }[name]
             return F.struct(
                 F.lit(KINDS.index(kind)).alias("kind"), s["start"].alias("start"), s["stop"].alias("stop"),
                 F.lit(number).alias("gen"), _bin(F.length(span), 20, 28, 40, 64).alias("length"),
                 _bin(digits, 1, 4, 9, 14).alias("digits"), _bin(letters, 1, 4, 12).alias("letters"),
                 _bin(variety, 4, 8, 14).alias("variety"), word.cast("int").alias("word"),
-                _around(F.right(s["before"], F.lit(1))).alias("before"), _around(s["after"]).alias("after"),
-                label.cast("int").alias("label"))
+                _around(F.right(s["before"], F.lit(1))).alias("before"), _around(s["after"]).alias("after"))
         return F.transform(spans_of(text, pattern), one)
     return F.concat(*[of(name, number) for number, name in enumerate(GENERATORS)])
 
 
+# ---------------------------------------------------------------- planted labels
+
+def _made(row: Column) -> list[tuple[int, int, tuple, list[Column]]]:
+    """(generator, label, words before, values) of what is planted; values are made from the hash ``row``."""
+    def hashed(tag: str) -> Column:
+        return F.md5(F.concat(row, F.lit(tag)))
+
+    def digits(tag: str, n: int) -> Column:
+        return F.substring(F.translate(hashed(tag), "abcdef", "012345"), 1, n)
+
+    def letters(tag: str, n: int) -> Column:
+        return F.substring(F.translate(hashed(tag), "0123456789", "ghijklmnop"), 1, n)
+
+    def below(tag: str, n: int) -> Column:
+        return F.pmod(F.conv(F.substring(hashed(tag), 1, 8), 16, 10).cast("bigint"), F.lit(n)).cast("int")
+
+    def padded(tag: str, n: int) -> Column:
+        return F.lpad((below(tag, n) + 1).cast("string"), 2, "0")
+    base64 = F.translate(F.base64(F.unhex(F.concat(hashed("a"), hashed("b")))), "=", "")
+    sized = F.substring(base64, F.lit(1), 18 + below("size", 24))
+    hexes = F.substring(F.concat(hashed("c"), hashed("d")), F.lit(1), 20 + 4 * below("size", 12))
+    year, month, day = (2000 + below("y", 30)).cast("string"), padded("m", 12), padded("n", 28)
+    word = F.concat(letters("a", 6), letters("b", 5), letters("c", 8))
+    secret = ("token: ", "api_key = ", "secret=", "password: ", 'token = "', "the key is: ", "Bearer ", "passwd='", "client secret: ")
+    harmless = ("commit ", "see ", "digest ", "file ", "sha256:", "the ", "id=", "", "etag: ", "page ")
+    call = ("Tel: ", "phone ", "call me on ", "Fax ", "mobile: ", "Phone no. ", "tel. ")
+    dated = ("on ", "from ", "version ", "between ", "no. ", "scores ", "", "table ", "ISBN ")
+    mail = ("mail ", "e-mail: ", "contact ", "write to ", "mail me at ", "Contact: ")
+    looks = ("", "we ", "please ", "they ", "and ")
+    return [
+        (0, 1, secret, [sized, hexes, F.concat(F.lit("sk_live_"), sized), F.concat(letters("x", 9), F.lit("-"), digits("y", 8))]),
+        (0, 0, harmless, [sized, hexes, F.concat_ws("-", letters("p", 5), letters("q", 7), letters("r", 6)),
+                          F.concat_ws("/", F.lit("usr/share"), letters("p", 7), letters("q", 5)), word, F.repeat(F.lit("-"), 30)]),
+        (0, 0, secret, [word, F.concat_ws("_", letters("p", 5), letters("q", 7), letters("r", 6)), F.repeat(F.lit("x"), 20)]),
+        (1, 1, call, [F.concat_ws(" ", F.concat(F.lit("0"), digits("a", 3)), digits("b", 3), digits("c", 4)),
+                      F.concat(F.lit("("), digits("a", 3), F.lit(") "), digits("b", 3), F.lit("-"), digits("c", 4)),
+                      F.concat_ws("-", F.concat(F.lit("0"), digits("a", 1)), *[digits(t, 2) for t in "bcde"]),
+                      F.concat_ws(".", digits("a", 3), digits("b", 3), digits("c", 4))]),
+        (1, 0, dated, [F.concat_ws("-", year, month, day), F.concat_ws(".", day, month, year), F.concat_ws(" ", *[digits(t, 3) for t in "abcd"]),
+                       F.concat(F.concat_ws("-", year, month, day), F.lit(" "), padded("h", 24)), F.concat_ws(".", *[digits(t, 2) for t in "abc"]),
+                       F.concat_ws("-", F.lit("978"), digits("a", 2), digits("b", 4), digits("c", 3))]),
+        (1, 0, call, [F.concat_ws("-", year, month, day), F.concat_ws(".", day, month, year)]),
+        (2, 1, mail, [F.concat(letters("a", 5), F.lit(" [at] "), letters("b", 7), F.lit(" [dot] com")),
+                      F.concat(letters("a", 4), F.lit("."), letters("b", 6), F.lit("(at)"), letters("c", 6), F.lit(".org"))]),
+        (2, 0, looks, [F.concat(F.lit("looked (at) "), letters("a", 5), F.lit("."), digits("b", 2)),
+                       F.concat(F.lit("met [at] noon."), digits("b", 1)), F.concat(F.lit("arrive (at) "), digits("c", 2), F.lit("."), digits("d", 2))]),
+    ]
+
+
+def planted(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``fold``, features and label of the candidates on planted values, in windows of at most ``CONTEXTS`` texts. The
+    texts are chosen by their hash; equal texts count once."""
+    text = F.col(text_col)
+    rk = F.xxhash64(text)
+    start = F.pmod(rk, F.greatest(F.length(text) - WINDOW, F.lit(1))).cast("int") + 1
+    windows = (docs.where(text.isNotNull()).select(rk.alias("rk"), F.substring(text, start, F.lit(WINDOW)).alias("window"))
+                   .groupBy("rk").agg(F.min("window").alias("window")).orderBy("rk").limit(CONTEXTS))
+
+    def plant(number: int, made: tuple) -> Column:
+        gen, label, leads, values = made
+        pick = lambda tag, items: F.get(F.array(*items), F.pmod(
+            F.xxhash64(F.col("rk"), F.lit(f"{tag}{number}")), F.lit(len(items))).cast("int"))
+        return F.struct(F.lit(gen).alias("plant"), F.lit(label).alias("label"), pick("lead", [F.lit(x) for x in leads]).alias("lead"),
+                        pick("value", values).alias("value"))
+    plants = F.array(*[plant(k, m) for k, m in enumerate(_made(F.col("rk").cast("string")))])
+    head = F.concat(F.substring("window", 1, WINDOW // 2), F.lit(" "), F.col("lead"))
+    tail = F.concat(F.when(F.col("lead").rlike("[\"']$"), F.right("lead", F.lit(1))).otherwise(F.lit("")), F.lit(" "),
+                    F.substring("window", WINDOW // 2 + 1, WINDOW))
+    rows = windows.select("rk", "window", F.inline(plants)).select(
+        F.pmod("rk", F.lit(4)).alias("fold"), "plant", "label", F.length(head).alias("at"), F.length("value").alias("size"),
+        candidates(F.concat(head, F.col("value"), tail)).alias("cands"))
+    c = rows.select("fold", "plant", "label", "at", "size", F.inline("cands")).where("gen = plant")
+    whole = (F.col("start") == F.col("at")) & (F.col("stop") == F.col("at") + F.col("size"))
+    part = (F.col("start") < F.col("at") + F.col("size")) & (F.col("stop") > F.col("at"))
+    return c.where(whole | part & (F.col("label") == 0)).select("fold", "label", *FEATURES)
+
+
 # ---------------------------------------------------------------- boosted trees
 
 def boost(x: np.ndarray, pos: np.ndarray, neg: np.ndarray) -> tuple[float, list]:
@@ -239,11 +313,10 @@ def score_column(model, c: Column) -> Column:
     return score
 
 
-def fit(rows: DataFrame) -> tuple[tuple, list[float]]:
-    """Trees and a threshold per generator from all seeds of ``rows`` (columns rk, cands)."""
-    seeds = (rows.select(F.pmod(F.col("rk"), F.lit(4)).alias("fold"), F.inline("cands")).where("label is not null")
-                 .groupBy((F.col("fold") == 0).alias("held"), *FEATURES)
-                 .agg(F.sum("label").alias("pos"), F.sum(1 - F.col("label")).alias("neg")).collect())
+def fit(labelled: DataFrame) -> tuple[tuple, list[float]]:
+    """Trees and a threshold per generator from labelled candidates (columns fold, label and the features)."""
+    seeds = (labelled.groupBy((F.col("fold") == 0).alias("held"), *FEATURES)
+                     .agg(F.sum("label").alias("pos"), F.sum(1 - F.col("label")).alias("neg")).collect())
     # rows: at most 2 * the product of the bins
     x = np.array([[r[f] for f in FEATURES] for r in seeds], float).reshape(-1, len(FEATURES))
     pos, neg = (np.array([r[k] for r in seeds], float) for k in ("pos", "neg"))
@@ -309,7 +382,7 @@ def searched(docs: DataFrame, id_col: str, text_col: str, carry: list[str]) -> D
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, base, spans`` per document; spans are structs (kind number, start, stop)."""
     rows = searched(docs, id_col, text_col, [id_col])
-    model, limits = fit(rows)
+    model, limits = fit(planted(docs, text_col))
     return rows.select(F.col(f"row.{id_col}").alias("id"), in_order(F.col("base")).alias("base"),
                        all_spans(F.col("base"), F.col("cands"), model, limits).alias("spans"))
 
@@ -318,7 +391,7 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     """``docs`` with every span of the text replaced by its kind in brackets; overlapping spans are
     one gap under the first one's name. Null texts stay null."""
     rows = searched(docs, id_col, text_col, docs.columns)
-    model, limits = fit(rows)
+    model, limits = fit(planted(docs, text_col))
     spans = fresh(docs, "_spans")
     # in two steps: the carried columns may have the names of the working ones
     d = rows.select("row", all_spans(F.col("base"), F.col("cands"), model, limits).alias(spans)).select("row.*", spans)

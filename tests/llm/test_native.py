@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -185,6 +186,42 @@ def test_seeded_secrets_are_found_and_prose_is_left_alone(spark):
     assert 'token = "[SECRET]"' in clean
 
 
+def planted_by_hand(n, seed):
+    """Texts with one value each, made apart from the labels that the trees learn from: (text, kind or None, start, stop)."""
+    rng = random.Random(seed)
+    token = lambda k: "".join(rng.choice("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ0123456789") for _ in range(k))
+    digits = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
+    kinds = [
+        ("secret", lambda: (rng.choice(["token = ", "secret: ", "api key: ", "password="]), "gh" + token(30))),
+        ("phone", lambda: (rng.choice(["Tel. ", "phone: ", "call "]), f"0{digits(2)} {digits(4)} {digits(3)}")),
+        ("email", lambda: (rng.choice(["mail ", "contact: "]), f"{token(5)}.{token(4)} [at] {token(6)} [dot] net")),
+        (None, lambda: (rng.choice(["commit ", "blob ", "at "]), hashlib.sha1(digits(9).encode()).hexdigest())),
+        (None, lambda: (rng.choice(["since ", "in ", "on "]), f"{rng.randrange(1900, 2030)}-0{rng.randrange(1, 10)}-{rng.randrange(10, 29)}")),
+        (None, lambda: (rng.choice(["the ", "key "]), "inter" * rng.randrange(4, 8) + "nationalization")),
+        (None, lambda: (rng.choice(["they ", "all "]), "gathered (at) dusk.4")),
+    ]
+    for k in range(n):
+        kind, make = kinds[k % len(kinds)]
+        lead, value = make()
+        head = f"{prose(rng.randrange(3, 40), seed + k)} {lead}"
+        yield f"{head}{value} {prose(12, seed + k + 1)}", kind, len(head), len(head) + len(value)
+
+
+def test_planted_spans_are_found_and_lookalikes_left_alone(spark):
+    rows = list(planted_by_hand(700, 3))
+    df = spark.createDataFrame([(k, r[0]) for k, r in enumerate(rows)], "doc_id bigint, text string")
+    assert no_python(pii.planted(df))
+    hit, missed, wrong = Counter(), Counter(), 0
+    for r in pii.find(df).collect():
+        _, kind, start, stop = rows[r["id"]]
+        found = [(pii.KINDS[s["kind"]], s["start"], s["stop"]) for s in r["spans"]]
+        if kind:
+            (hit if (kind, start, stop) in found else missed)[kind] += 1
+        wrong += len([s for s in found if s != (kind, start, stop)])
+    print("found", dict(hit), "missed", dict(missed), "other spans", wrong)
+    assert all(hit[k] >= 0.9 * (hit[k] + missed[k]) for k in ("secret", "phone", "email")) and wrong <= 0.02 * len(rows)
+
+
 def test_redaction_merges_overlaps_and_keeps_columns(spark):
     df = spark.createDataFrame([(1, "mail a.b@c.de now", 5, "q"), (2, "+4539148803436467 x 10.0.0.1", 6, "q"), (3, None, 7, "q"),
                                 (None, "none", 8, "q")], "doc_id bigint, text string, base int, cands string")

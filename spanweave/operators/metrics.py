@@ -20,10 +20,13 @@ from spanweave.constants import EOS_ID, IGNORE_ID, PAD_ID
 from spanweave.functions.arrays import argmax_sql
 from spanweave.operators.split import limit_batches
 from spanweave.operators.tasks import REGISTRY
+from spanweave.sources.tables import stored
 
 METRICS: dict = {}
 ROW_METRICS: dict = {}
 BUILT_IN = ("accuracy", "f1", "precision", "recall", "mcc", "pearson", "spearman")
+#: So many groups send one row each to every task; of more, each is a small part of the rows.
+FEW_GROUPS = 10_000
 
 
 def register_metric(name: str, fn) -> None:
@@ -67,10 +70,15 @@ def _row_metric(d: DataFrame, group: list, name: str, pred: str, labels: str) ->
 def align_predictions(df: DataFrame, pred: str = "pred", labels: str = "labels", group: list | None = None) -> DataFrame:
     """G1: labels -100 -> pad; if the largest first predicted token over the whole set (over
     the group's rows, where ``group`` names columns) is pad, drop the first prediction token and
-    append pad."""
+    append pad.
+
+    The rows are stored once, since the largest first token needs them before they are moved. Few groups
+    are broadcast: a shuffle by group would bring all rows to as many tasks as there are groups."""
+    df = stored(df, "predictions")
     largest = F.max(F.element_at(pred, 1))
     if group:
-        df = df.join(df.groupBy(*group).agg(largest.alias("_sw_first")), group)
+        found = stored(df.groupBy(*group).agg(largest.alias("_sw_first")), "first-tokens")
+        df = df.join(F.broadcast(found) if found.count() <= FEW_GROUPS else found, group)
         first_max = F.col("_sw_first")
     else:
         first_max = df.agg(largest).scalar()
@@ -129,7 +137,11 @@ def token_metrics(df: DataFrame, group: list | None = None, pred: str = "pred",
     group = ["_sw_key"] if shown else []
     if shown:
         df = df.withColumn("_sw_key", F.to_json(F.struct(*shown)))
-    d = align_predictions(df, pred, labels, group) if align else df
+    df = df.select(*dict.fromkeys([*group, *shown, pred, labels]))
+    if align:
+        d = align_predictions(df, pred, labels, group)
+    else:
+        d = stored(df, "predictions") if by_row else df
     # filters on the grouping key would be pushed below the aggregation and make
     # every branch recount the examples; the cell table is small (distinct
     # label/prediction pairs), so it is kept once and all branches read it

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import ArrayType, IntegerType
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from spanweave.functions.masks import hash32
 from spanweave.functions.rank import uniform_sql
@@ -25,9 +25,10 @@ from spanweave.sources.tables import read_table
 POSITIONS = 8
 
 
-@F.arrow_udf(ArrayType(IntegerType()))
-def _altered(ids: pa.Array, keys: pa.Array, clean: pa.Array) -> pa.Array:
-    """Ids with a fifth of the positions (above eos) altered, chosen by md5 of (row key, position); clean rows stay."""
+@F.arrow_udf(StructType([StructField(name, ArrayType(IntegerType())) for name in ("pred", "labels")]))
+def _predicted(ids: pa.Array, keys: pa.Array, clean: pa.Array) -> pa.Array:
+    """Predictions and labels of ids: a fifth of the positions (above eos) altered, chosen by md5 of (row key, position), clean rows
+    as they are, shifted right behind a pad; and the ids with -100 for pad."""
     sizes = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False)
     cut = np.concatenate([[0], np.cumsum(sizes)])
     x = pc.list_flatten(ids).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -38,16 +39,18 @@ def _altered(ids: pa.Array, keys: pa.Array, clean: pa.Array) -> pa.Array:
             met = lo + np.flatnonzero(x[lo:hi] > 1)
             met = met[hash32(42, key, [b"%d" % i for i in at[met]]) % 5 == 0]
             out[met] = 3 + (x[met] * 31 + at[met]) % 97
-    return pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(out, pa.int32()), mask=ids.is_null())
+    # shifted inside each row: no id goes over into the next
+    out = np.where(at == 0, 0, np.roll(out, 1))
+    lists = [pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(v, pa.int32()), mask=ids.is_null())
+             for v in (out, np.where(x == 0, -100, x))]
+    return pa.StructArray.from_arrays(lists, fields=[pa.field(n, lists[0].type) for n in ("pred", "labels")])
 
 
 def predictions(spark: SparkSession, sf: str) -> DataFrame:
     ch = corpus_chunks(spark, sf)
     clean = F.expr(uniform_sql("4", 42, "row_key")) == 0
-    d = ch.withColumn("_alt", _altered(F.col("input_ids"), F.col("row_key"), clean))
-    d = d.withColumn("pred", F.expr("concat(array(0), slice(_alt, 1, size(_alt) - 1))"))
-    d = d.withColumn("labels", F.expr("transform(input_ids, x -> IF(x = 0, -100, x))"))
-    return d.select("doc_id", "chunk", "row_key", "pred", "labels")
+    d = ch.withColumn("_sw_both", _predicted(F.col("input_ids"), F.col("row_key"), clean))
+    return d.select("doc_id", "chunk", "row_key", "_sw_both.pred", "_sw_both.labels")
 
 
 def logits_examples(spark: SparkSession, sf: str) -> DataFrame:

@@ -20,7 +20,7 @@ from spanweave.operators.pack import pack_corpus, pack_tokens
 from spanweave.operators.runlog import report_intervals
 from spanweave.operators.split import buffer_pass, buffer_rest, buffer_shuffle
 from spanweave.operators.vocab import encode, encode_ids
-from spanweave.sources.tables import scratch_path  # noqa: F401  (folders of stream sinks)
+from spanweave.sources.tables import scratch_path, stored  # noqa: F401  (folders of stream sinks)
 
 DOCUMENT_SCHEMA = StructType([StructField("doc_id", LongType()), StructField("text", StringType()),
                               StructField("lang", StringType()), StructField("source", StringType()),
@@ -106,7 +106,8 @@ def stream_pack_corrupt(spark: SparkSession, stream: DataFrame, vocab: DataFrame
         docs = dense_index(batch.select("doc_id", "text"), ["doc_id"], "_sw_doc")
         group = F.floor(F.col("_sw_doc") / group_docs) + F.lit(batch_id * GROUPS_PER_BATCH)
         ids = encode_ids(docs.withColumn("pack_group", group.cast("bigint")), "text", vocab)
-        packed = pack_tokens(ids, "ids", raw_length, "pack_group", "_sw_doc")
+        # the shuffle numbers the rows and then reads them again
+        packed = stored(pack_tokens(ids, "ids", raw_length, "pack_group", "_sw_doc"), "packed")
         packed = packed.withColumn("row_key", F.concat_ws(":", F.col("pack_group").cast("string"),
                                                           F.col("row").cast("string")))
         shuffled = buffer_shuffle(packed, ["pack_group", "row"], "row_key", buffer=buffer)

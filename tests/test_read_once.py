@@ -53,3 +53,23 @@ def test_task_metrics_read_predictions_once(spark):
         assert got["a", "row_lead"] == pytest.approx(2 * right / 40)
     finally:
         M.ROW_METRICS.pop("lead")
+
+
+def test_stream_encodes_a_batch_once(spark, tmp_path, monkeypatch):
+    from spanweave.functions.masks import plan_lengths
+    raw, target = plan_lengths(16, 0.15, 3.0)
+    rows = [(k, "alpha beta gamma delta epsilon " * 3) for k in range(20)]
+    src = str(tmp_path / "in")
+    spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1).write.parquet(src)
+    vocab = V.build_vocab(spark.read.parquet(src), "text", subwords=[])
+    seen = []
+
+    def encode_ids(df, text_col, vocab, out="ids"):
+        d, n = counted(V.encode_ids(df, text_col, vocab, out), out)
+        seen.append(n)
+        return d
+    monkeypatch.setattr(ST, "encode_ids", encode_ids)
+    stream = spark.readStream.schema("doc_id bigint, text string").parquet(src)
+    out = ST.stream_pack_corrupt(spark, stream, vocab, str(tmp_path / "out"), raw, 16, target, group_docs=8)
+    assert spark.read.parquet(out).count() > 0
+    assert [n.value for n in seen] == [20]

@@ -149,8 +149,9 @@ def _strip(x: str) -> str:
 
 
 def _dot(x: str) -> str:
-    """Append '.' unless the text already ends with ASCII punctuation."""
-    return f"concat({x}, IF(instr({PUNCT}, substr({x}, -1, 1)) > 0 AND length({x}) > 0, '', '.'))"
+    """Append '.' unless the text already ends with ASCII punctuation. The text is bound as a lambda variable, once:
+    nested calls that name it three times would make it three times each."""
+    return f"transform(array({x}), v -> concat(v, IF(instr({PUNCT}, substr(v, -1, 1)) > 0 AND length(v) > 0, '', '.')))[0]"
 
 
 def token_count_sql(text: str) -> str:

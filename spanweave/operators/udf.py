@@ -41,6 +41,8 @@ def collate_instructions(df: DataFrame, vocab: DataFrame, max_source_length: int
     from spanweave.operators.instructions import choose_reference, render_instruction
     from spanweave.operators.vocab import encode, encode_labels
     whole = overflow == "chunk"
+    # instances are short rows, but their texts take long: not as few tasks as the rows' size asks for
+    df = df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     d = choose_reference(render_instruction(df, max_source_length=max_source_length, vocab=vocab if whole else None))
     d = encode(d, "source", vocab, max_source_length, overflow=overflow)
     d = encode_labels(d.withColumnRenamed("chunk", "source_chunk"), "target", vocab, max_target_length, overflow=overflow)

@@ -73,3 +73,25 @@ def test_stream_encodes_a_batch_once(spark, tmp_path, monkeypatch):
     out = ST.stream_pack_corrupt(spark, stream, vocab, str(tmp_path / "out"), raw, 16, target, group_docs=8)
     assert spark.read.parquet(out).count() > 0
     assert [n.value for n in seen] == [20]
+
+
+def test_prompt_parts_stand_once_in_a_branch():
+    made = IN._example_sql("Positive", "e", "1", "true")
+    # one for each branch of the explanation
+    assert made.count("e.input") == made.count("e.output") == 2
+
+
+def test_dot_is_appended_once(spark):
+    df = spark.createDataFrame([("a",), ("b.",), ("",), (None,), ("c ",), ("d。",)], "x string")
+    got = [r[0] for r in df.select(F.expr(IN._dot("x"))).collect()]
+    assert got == ["a.", "b.", ".", None, "c .", "d。."]
+
+
+def test_instructions_are_collated_by_many_tasks(spark):
+    turns = spark.createDataFrame([(c, t, ["user", "assistant"][t % 2], f"turn {t} of {c}") for c in range(6) for t in range(5)],
+                                  "conv_id bigint, turn int, role string, text string")
+    vocab = V.build_vocab(turns, "text", subwords=[])
+    e = IN.with_fixed_encoding(IN.instances_of_turns(turns, subset="test"), num_pos_examples=2)
+    out = collate(e, "instruction", vocab=vocab, max_source_length=64, max_target_length=16)
+    assert out.count() >= 24
+    assert out.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))

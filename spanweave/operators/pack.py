@@ -42,10 +42,11 @@ def pack_corpus(df: DataFrame, ids: str, length: int, order: str, out: str = "in
     The place of each document is a two-level prefix sum of the lengths alone (``dense_index`` with
     weights), so no group of documents loses a remainder; only the end of the corpus does not fill a row.
     Returns (rows, rest): ``row`` (from ``first``) with its ids, and the ids of the end as one row of the same
-    form, or none. The ids are stored once, since both need them.
+    form, or none. The ids are stored once, since both need them; a filter on them before that would be
+    pushed below the numbering and make them a second time.
     """
     L = int(length)
-    held = stored(df.where(F.size(ids) > 0).select(F.col(order).alias("_sw_key"), F.col(ids).alias("_sw_ids")), "pack-ids")
+    held = stored(df.select(F.col(order).alias("_sw_key"), F.col(ids).alias("_sw_ids")), "pack-ids").where(F.size("_sw_ids") > 0)
     places = _dense_index_rows(held.select("_sw_key", F.size("_sw_ids").alias("_sw_n")), ["_sw_key"], "_sw_start", weight="_sw_n")
     d = held.join(places, "_sw_key")
     d = d.withColumn("row", F.explode(F.expr(f"sequence(_sw_start div {L}, (_sw_start + _sw_n - 1) div {L})")))

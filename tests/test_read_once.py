@@ -55,6 +55,16 @@ def test_task_metrics_read_predictions_once(spark):
         M.ROW_METRICS.pop("lead")
 
 
+def test_packed_ids_are_made_once(spark):
+    docs = spark.createDataFrame([(k, [10 + k] * (k % 4)) for k in range(30)], "doc_idx bigint, ids array<int>")
+    df, seen = counted(docs, "ids")
+    rows, rest = P.pack_corpus(df, "ids", 8, "doc_idx")
+    flat = [10 + k for k in range(30) for _ in range(k % 4)]
+    assert [list(r["input_ids"]) for r in rows.orderBy("row").collect()] == [flat[i:i + 8] for i in range(0, len(flat) - 7, 8)]
+    assert list(rest.first()["input_ids"]) == flat[len(flat) // 8 * 8:]
+    assert seen.value == 30
+
+
 def test_stream_encodes_a_batch_once(spark, tmp_path, monkeypatch):
     from spanweave.functions.masks import plan_lengths
     raw, target = plan_lengths(16, 0.15, 3.0)

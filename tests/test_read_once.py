@@ -105,3 +105,12 @@ def test_instructions_are_collated_by_many_tasks(spark):
     out = collate(e, "instruction", vocab=vocab, max_source_length=64, max_target_length=16)
     assert out.count() >= 24
     assert out.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_decoded_ids_at_the_edges(spark):
+    vocab = V.build_vocab(spark.createDataFrame([("ab cd ab",)], "text string"), "text", subwords=[])
+    ids = {r["piece"]: r["id"] for r in vocab.collect()}
+    word, mark = ids["▁ab"], [3 + b for b in "é".encode()]
+    rows = [(0, None), (1, []), (2, [word, -100, 0, 1, 2, 32099, None, 31_000]), (3, mark + [word]), (4, [mark[0], word])]
+    d = V.decode(spark.createDataFrame(rows, "k int, ids array<int>"), "ids", vocab, "text")
+    assert {r["k"]: r["text"] for r in d.collect()} == {0: None, 1: "", 2: "ab", 3: "é ab", 4: "� ab"}

@@ -55,6 +55,13 @@ def test_task_metrics_read_predictions_once(spark):
         M.ROW_METRICS.pop("lead")
 
 
+def test_repeated_predictions_are_trimmed_from_stored_ones(spark, monkeypatch):
+    df, seen = counted(predictions(spark, 50).drop("task"), "pred")
+    monkeypatch.setattr(C.EV, "predictions", lambda spark, sf: df)
+    got = C.dedup_predictions(spark, "unused").collect()
+    assert seen.value == 50 and sorted(r["doc_id"] for r in got) == list(range(50))
+
+
 def test_packed_ids_are_made_once(spark):
     docs = spark.createDataFrame([(k, [10 + k] * (k % 4)) for k in range(30)], "doc_idx bigint, ids array<int>")
     df, seen = counted(docs, "ids")

@@ -34,10 +34,11 @@ def _predicted(ids: pa.Array, keys: pa.Array, clean: pa.Array) -> pa.Array:
     x = pc.list_flatten(ids).to_numpy(zero_copy_only=False).astype(np.int64)
     at = np.arange(len(x)) - np.repeat(cut[:-1], sizes)
     out = x.copy()
+    places = [b"%d" % i for i in range(int(sizes.max(initial=0)))]
     for key, still, lo, hi in zip(keys.to_pylist(), clean.to_pylist(), cut[:-1], cut[1:]):
         if not still:
             met = lo + np.flatnonzero(x[lo:hi] > 1)
-            met = met[hash32(42, key, [b"%d" % i for i in at[met]]) % 5 == 0]
+            met = met[hash32(42, key, [places[i] for i in at[met].tolist()]) % 5 == 0]
             out[met] = 3 + (x[met] * 31 + at[met]) % 97
     # shifted inside each row: no id goes over into the next
     out = np.where(at == 0, 0, np.roll(out, 1))

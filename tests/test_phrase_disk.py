@@ -90,3 +90,16 @@ def test_long_runs_of_spaces_take_linear_time(spark):
     begun = time.time()
     line = P.word_lines(spark.range(1).select(F.concat(F.repeat(F.lit(" "), 300_000), F.lit("x"), F.repeat(F.lit("\t"), 300_000)).alias("text"))).first()["line"]
     assert line == " x" and time.time() - begun < 20
+
+
+def test_phrase_masks_are_corrupted_row_by_row(spark):
+    """The helper that corrupts takes its mask from the helper that matches, with no shuffle between them."""
+    from spanweave.operators.corrupt import corrupt
+    df = spark.createDataFrame([("a", ["▁new", "▁york", "</s>"], [5, 6, 1]), ("b", ["▁a", "</s>", "<pad>"], [7, 1, 0])],
+                               "k string, tokens array<string>, input_ids array<int>")
+    m = P.phrase_mask(df.repartition(2), "tokens", spark.createDataFrame([("new york",)], "phrase string"), "k", p=0.9)
+    got = {r["k"]: (r["phrase_mask"], r["input_ids"], r["labels"]) for r in corrupt(m, "k", 3, 4, mask_col="phrase_mask").collect()}
+    masks = {r["k"]: r["phrase_mask"] for r in m.collect()}
+    assert masks == {"a": [1, 1, 0], "b": [1, 0, 0]} and {k: v[0] for k, v in got.items()} == masks
+    assert got["a"][1] == [32099, 1, 0] and got["b"][1] == [32099, 1, 0]
+    assert got["a"][2][:3] == [32099, 5, 6] and got["b"][2][:2] == [32099, 7]
